@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempera.llm import chat, sharding, urlfilter, warc
+from tempera.llm import bpe, chat, sharding, urlfilter, warc
 from tempera.llm.common import table
 
 N_SHARDS = 40
@@ -23,6 +23,10 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), N_SHARDS)
 
 
+def op4_bpe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -35,6 +39,7 @@ def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_targets": op1_chat_targets,
     "op3_kd_shards": op3_kd_shards,
+    "op4_bpe_ids": op4_bpe_ids,
     "op5_url_rules": op5_url_rules,
     "op9_warc_bundles": op9_warc_bundles,
 }

@@ -91,7 +91,7 @@ class _Bundle:
     def __init__(self, folder: str, stem: str):
         self.name = f"{stem}-{uuid.uuid4().hex[:8]}.warc.zst"
         store, path = pafs.FileSystem.from_uri(folder)
-        self.out = store.open_output_stream(f"{path}/{self.name}")
+        self.out = store.open_output_stream(f"{path}/{self.name}", compression=None)  # else by the name
         self.zstd, self.frames, self.written = zstandard.ZstdCompressor(level=3, write_checksum=True), [], 0
         self.plain, self.size, self.ids = [], 0, []
 
