@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempera.llm import bpe, chat, sharding, urlfilter, warc
+from tempera.llm import bpe, chat, sharding, toxicity, urlfilter, warc
 from tempera.llm.common import table
 
 N_SHARDS = 40
@@ -36,12 +36,18 @@ def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(index, folder, payloads=False).drop("payload")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_chat_targets": op1_chat_targets,
     "op3_kd_shards": op3_kd_shards,
     "op4_bpe_ids": op4_bpe_ids,
     "op5_url_rules": op5_url_rules,
     "op9_warc_bundles": op9_warc_bundles,
+    "op10_toxicity": op10_toxicity,
 }
 
 _HOST = r"translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
