@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempera.llm import bpe, chat, decontam, sharding, toxicity, urlfilter, warc
+from tempera.llm import bpe, chat, decontam, embed_dedup, sharding, toxicity, urlfilter, warc
 from tempera.llm.common import table
 
 N_SHARDS = 40
@@ -35,6 +35,10 @@ def op6_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = warc.archive_pages(table(spark, sf_dir, "pages"))
     return warc.read_bundles(index, folder, payloads=False).drop("payload")
@@ -51,6 +55,7 @@ QUERIES = {
     "op4_bpe_ids": op4_bpe_ids,
     "op5_url_rules": op5_url_rules,
     "op6_contaminated": op6_contaminated,
+    "op7_near_vectors": op7_near_vectors,
     "op9_warc_bundles": op9_warc_bundles,
     "op10_toxicity": op10_toxicity,
 }
