@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempera.llm import bpe, chat, decontam, embed_dedup, sharding, toxicity, urlfilter, warc
+from tempera.llm import bpe, chat, decontam, embed_dedup, minhash, sharding, toxicity, urlfilter, warc
 from tempera.llm.common import table
 
 N_SHARDS = 40
@@ -19,6 +19,10 @@ def op1_chat_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.expand_targets(turns))
 
 
+def op2_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_documents(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), N_SHARDS)
 
@@ -51,6 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_targets": op1_chat_targets,
+    "op2_near_documents": op2_near_documents,
     "op3_kd_shards": op3_kd_shards,
     "op4_bpe_ids": op4_bpe_ids,
     "op5_url_rules": op5_url_rules,
