@@ -1,12 +1,67 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and keeps the columns of documents."""
+"""The corpus pipeline: filter, dedupe, decontaminate and encode ``documents``.
+
+Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the
+columns of ``documents``; the last returns ids."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tempera.llm import bpe, decontam, minhash, suffix_dedup, toxicity
+from tempera.llm.common import joined, table, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. It learns from the labels of the table."""
+    model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rejected = written(toxicity.score(docs, model).where("predicted = 1").select("doc_id").distinct(), "toxic")
+    return joined(docs, rejected, "doc_id", "left_anti", 16)
+
+
+def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates at five words and a similarity of 0.8 the least doc_id stays."""
+    dropped = written(minhash.near_documents(docs).where("not kept").select("doc_id").distinct(), "near")
+    return joined(docs, dropped, "doc_id", "left_anti", 16)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of at least 100 bytes that stand earlier too are cut out of the texts. A character
+    whose bytes are cut in part goes whole; a text may end up empty, its document stays."""
+
+    def text_of(batches):
+        for batch in batches:
+            text = pa.array([b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text], ["doc_id", "_text"])
+
+    changed = suffix_dedup.without_repeats(docs).where("n_removed > 0").select("doc_id", "kept").mapInArrow(text_of, "doc_id long, _text string")
+    out = docs.join(changed.dropDuplicates(["doc_id"]), "doc_id", "left")
+    text = F.coalesce("_text", "text")
+    n_chars = F.when(F.col("_text").isNotNull(), F.length("_text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumns({"text": text, "n_chars": n_chars}).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    leaks = written(found.select("doc_id").distinct(), "leaks")
+    return joined(docs, leaks, "doc_id", "left_anti", 16)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of what is left."""
+    return bpe.encode_documents(docs, digests=True)
 
-from tempera.llm.common import table, written
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash", keep_one_of_near),
+    ("suffix_dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
+]
+#: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
@@ -14,5 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

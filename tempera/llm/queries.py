@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempera.llm import bpe, chat, decontam, embed_dedup, minhash, sharding, toxicity, urlfilter, warc
+from tempera.llm import bpe, chat, decontam, embed_dedup, minhash, sharding, suffix_dedup, toxicity, urlfilter, warc
 from tempera.llm.common import table
 
 N_SHARDS = 40
@@ -43,6 +43,11 @@ def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = warc.archive_pages(table(spark, sf_dir, "pages"))
     return warc.read_bundles(index, folder, payloads=False).drop("payload")
@@ -61,6 +66,7 @@ QUERIES = {
     "op5_url_rules": op5_url_rules,
     "op6_contaminated": op6_contaminated,
     "op7_near_vectors": op7_near_vectors,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_warc_bundles": op9_warc_bundles,
     "op10_toxicity": op10_toxicity,
 }
