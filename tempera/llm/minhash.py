@@ -8,9 +8,10 @@ least id. Candidates are confirmed on the full sets.
 
 No bucket is turned into all its pairs. A first round compares each bucket's members with its least
 one and joins what links into components; a bucket that lies in one component is done. In those that
-don't, later rounds compare ``PIVOTS`` members at a time with all members of other components, until
-each pair of members was compared or lies in one component. So nothing is capped, a round emits at
-most ``PIVOTS`` pairs a member, and groups of copies end after the first round.
+don't, members of different components are compared by parity bitmaps of their sets, in blocks of
+``BLOCK`` members: the bits that differ bound the similarity from above, exactly, so what they rule
+out is no link. Of what is left each member offers its closest few for verification; rounds go on,
+with more offers, until nothing between different components is left untested. Nothing is capped.
 
 Defined cases: null or empty texts, and texts without words, have empty sets and link with nothing;
 with fewer words than a shingle the whole sequence is the one shingle; rows that repeat a doc_id are
@@ -33,7 +34,9 @@ from tempera.llm.components import connected_components
 
 BANDS, ROWS = 42, 6
 CIRCLE = 1 << 20  # places on the circle of the second permutation
-PIVOTS = 32
+BITS = 2048  # of a parity bitmap
+BLOCK = 1024
+OFFERS = 4  # of a member and block in the first round; four times as many in each later one
 SHINGLE, PERCENT = 5, 80
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _REMEMBERED = 500_000
@@ -100,30 +103,37 @@ def _bands(signatures: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _parities(shingles: np.ndarray) -> bytes:
+    """Which of ``BITS`` places an odd number of the shingles falls on."""
+    at = (_mixed(shingles + np.uint64(0x51ED270B)) >> np.uint64(64 - 11)).astype(np.intp)
+    return np.packbits(np.bincount(at, minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, n_shingles, d1, d2, bands``: the set's size, its 128-bit digest, its bands."""
+    """``doc_id, n_shingles, d1, d2, bands, bits``: the set's size, its 128-bit digest, its bands and
+    its parity bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signer = Shingler(shingle), Signer()
         for batch in batches:
-            sizes, digests, signs = [], [], []
+            sizes, digests, signs, bits = [], [], [], []
             for text in batch.column("text"):
                 s = shingler.of(text.as_py())
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+                bits.append(_parities(s))
                 signs.append(signer.of(s) if len(s) else np.zeros(BANDS * ROWS, np.uint32))
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             keys = _bands(np.array(signs, np.uint32)) if signs else np.zeros((0, BANDS), np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), bands], ["doc_id", "n_shingles", "d1", "d2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), bands, pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "bands", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, bits binary")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of documents whose full sets are similar enough."""
-    pairs = written(pairs.distinct(), "minhash-pairs")
+    """The pairs (a, b; written) of documents whose full sets are similar enough."""
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "minhash-ids")
     texts = joined(docs.select(F.col("doc_id").cast("long"), "text"), ids, "doc_id", "left_semi", 16)
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
@@ -150,40 +160,72 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
     return written(both.mapInArrow(run, "a long, b long"), "minhash-links")
 
 
+def _offered(percent: int, offers: int):
+    """Pairs of one pair of blocks that may link and lie in different components: the closest
+    ``offers`` of each member; ``more`` is true where some member has others."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        left, right = key[1].as_py(), key[2].as_py()
+        rep, n, label, block = (rows.column(c).to_numpy() for c in ("rep", "n", "label", "block"))
+        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(rep), BITS // 64)
+        common = np.unique(label, return_counts=True)
+        main = common[0][common[1].argmax()]
+        a, b, more = [], [], False
+        for side, other in {(left, right), (right, left)}:
+            theirs = np.flatnonzero(block == other)
+            for i in np.flatnonzero((block == side) & (label != main)):
+                j = theirs[label[theirs] != label[i]]
+                j = j[np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * percent]
+                apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+                good = np.flatnonzero(100 * (n[j] + n[i] - apart) >= percent * (n[j] + n[i] + apart))
+                more |= len(good) > offers
+                good = good[np.argsort(apart[good], kind="stable")[:offers]]
+                a.append(np.full(len(good), rep[i]))
+                b.append(rep[j[good]])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "more": pa.array([more] * len(a), pa.bool_())})
+
+    return run
+
+
 def near_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row. Documents link when
     100 * common shingles >= percent * all shingles of the two; ``component_id`` is the least doc_id
     reachable by links."""
     signed = written(signatures(docs, shingle), "minhash-signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = written(classes, "minhash-classes")
     keys = classes.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("least"))
-    buckets = written(buckets.where("size > 1"), "minhash-buckets")
+    buckets = written(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("least")).where("size > 1"), "minhash-buckets")
     members = written(joined(keys, buckets, "key", "inner", 24), "minhash-members")
-    close = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent
     pairs = members.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    tested = pairs = written(pairs.distinct(), "minhash-pairs")
     links = _verified(docs, pairs, shingle, percent)
     components = written(connected_components(links), "minhash-components")
-    spread = F.greatest(F.ceil(F.col("size") / PIVOTS), F.lit(1))
-    step = 0
+    offers = OFFERS
     while True:
-        labelled = joined(members, components.withColumnRenamed("node", "rep"), "rep", "left", 16).withColumn("label", F.coalesce("component", "rep")).drop("component", "least")
-        open_ = labelled.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max(spread).alias("blocks"))
-        open_ = written(open_.where(f"_lo <> _hi and blocks > {step}").select("key", "blocks"), "minhash-open")
-        if open_.isEmpty():
-            break
-        active = joined(labelled, open_, "key", "inner", 24)
-        pivots = active.where(F.pmod(F.xxhash64("rep", "key"), F.col("blocks")) == step).select("key", F.col("rep").alias("p"), F.col("n").alias("m"), F.col("label").alias("l"))
-        met = active.join(pivots, "key").where((F.col("label") != F.col("l")) & close(F.col("n"), F.col("m")))
-        more = _verified(docs, met.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")), shingle, percent)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            components = written(connected_components(links), "minhash-components")
-        step += 1
+        labelled = joined(members.where("size > 2"), components.withColumnRenamed("node", "rep"), "rep", "left", 16).withColumn("label", F.coalesce("component", "rep"))
+        open_ = labelled.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.ceil(F.max("size") / BLOCK).cast("int").alias("blocks"))
+        open_ = written(open_.where("_lo <> _hi").select("key", "blocks"), "minhash-open")
+        active = joined(labelled, open_, "key", "inner", 24).select("key", "rep", "n", "label", "blocks")
+        active = active.join(classes.select("rep", "bits"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        active = active.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        active = active.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
+        offered = written(active.groupBy("key", "left", "right").applyInArrow(_offered(percent, offers), "a long, b long, more boolean"), "minhash-offers")
+        pairs = written(offered.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
+        if pairs.isEmpty():
+            if offered.where("more").isEmpty():
+                break
+        else:
+            tested = tested.unionByName(pairs)
+            more = _verified(docs, pairs, shingle, percent)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                components = written(connected_components(links), "minhash-components")
+        offers *= 4
     of_class = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.drop("bands").withColumn("_own", F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    out = signed.drop("bands", "bits").withColumn("_own", F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     out = out.join(of_class.withColumn("_own", F.lit(True)), ["d1", "d2", "_own"], "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
