@@ -355,7 +355,8 @@ def _contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, start, length`` (bytes) of what repeats an earlier string; spans may overlap."""
+    """``doc_id, start, length`` (bytes) of what repeats an earlier string; spans may overlap. The
+    texts' shuffle by doc_id is the one that ``without_repeats`` needs too, so it happens once."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
     found = rows.mapInArrow(_find_anchors, _ROWS)
     dealt = found.repartition("gram").sortWithinPartitions("gram", "context", "doc_id", "at")
@@ -368,9 +369,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     if hot.isEmpty():
         cool = contexts
     else:
-        contexts = written(contexts, "suffix-contexts")
         cool = joined(contexts, hot, "gram", "left_anti", 16)
-        windows = written(joined(contexts, hot, "gram", "left_semi", 16).mapInArrow(_hash_windows, "one long, two long, doc_id long, start long"), "suffix-windows")
+        windows = joined(contexts, hot, "gram", "left_semi", 16).mapInArrow(_hash_windows, "one long, two long, doc_id long, start long")
         firsts = windows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
         later = windows.join(firsts, ["one", "two"]).where("doc_id <> first.doc_id or start <> first.start")
         spans = spans.unionByName(later.select("doc_id", "start", F.lit(LENGTH).cast("long").alias("length")))
