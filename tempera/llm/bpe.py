@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _PLAIN = re.compile("[\t\n\r -~¡-įı-ſ]*")  # no combining marks, one kind of case
 _FINAL = 0x400  # added to the character that ends a piece
-CACHED_CHUNK, CACHED_CHUNKS = 64, 500_000  # longest chunk and most chunks that a worker remembers
+CACHED_CHUNK, CACHED_CHUNKS = 64, 200_000  # longest chunk and most chunks that a worker remembers
 
 
 def _byte_chars() -> list[str]:
@@ -95,6 +95,8 @@ class Tokenizer:
     def compatible(self, a: int, b: int) -> bool:
         """Whether token b may stand right after token a, or at the start (a = -1)."""
         x, y = self.symbols.get(a, ""), self.symbols[b]
+        if len(self.follows) >= 2 * CACHED_CHUNKS:
+            self.follows.clear()
         found = self.follows[a, b] = self._merged(x + y) == ([x, y] if x else [y])
         return found
 

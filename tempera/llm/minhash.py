@@ -39,7 +39,7 @@ BLOCK = 1024
 OFFERS = 4  # of a member and block in the first round; four times as many in each later one
 SHINGLE, PERCENT = 5, 80
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_REMEMBERED = 500_000
+_REMEMBERED = 200_000
 
 
 class _Words(dict):

@@ -50,7 +50,8 @@ IDENTITY_TERMS = (
 )
 _SWAP = {t: kind[(i + 1) % len(kind)] for kind in IDENTITY_TERMS for i, t in enumerate(kind)}
 _WORD = re.compile(r"\w+")
-_REMEMBERED = 300_000
+_REMEMBERED = 100_000
+_SLICE = 500  # texts whose features are counted at once
 
 
 def _features(word: str) -> tuple[int, ...]:
@@ -113,12 +114,14 @@ def _chosen(rows: DataFrame, n_pos: int, n_neg: int) -> list[int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader()
-        for batch in batches:
-            label = batch.column("label").to_numpy()
-            found = [reader.of(t.as_py())[0] for t in batch.column("text")]
-            f, at = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_inverse=True)
-            side = np.repeat(label, [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(f), *[pa.array(np.bincount(at[side == v], minlength=len(f))) for v in (1, 0)]], ["f", "p", "n"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, _SLICE):
+                batch = whole.slice(k, _SLICE)
+                label = batch.column("label").to_numpy()
+                found = [reader.of(t.as_py())[0] for t in batch.column("text")]
+                f, at = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_inverse=True)
+                side = np.repeat(label, [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(f), *[pa.array(np.bincount(at[side == v], minlength=len(f))) for v in (1, 0)]], ["f", "p", "n"])
 
     sums = rows.mapInArrow(count, "f long, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     p, n, share = F.col("p"), F.col("n"), n_pos / (n_pos + n_neg)
