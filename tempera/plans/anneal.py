@@ -174,9 +174,42 @@ def initial(points: DataFrame, config: Config) -> tuple[Clusters, Schedule]:
     d2 = sum((F.get("x", F.lit(i)) - float(mean[i])) ** 2 / float(s2[i]) for i in range(d))
     schedule.t = schedule.t0 = 1.5 * points.agg(F.avg(d2)).first()[0]
     schedule.t_min = config.Tminimum if config.Tminimum > 0 else schedule.t0 / abs(config.Tminimum)
-    k = 1 + config.UseSponge
+    sponge = config.UseSponge and not sponge_later(config)
+    k = 1 + sponge
     y = np.tile(mean, (k, 1))
-    return Clusters(y, np.full(k, 1.0 / k), np.arange(k), np.full(k, 2), bool(config.UseSponge)), schedule
+    return Clusters(y, np.full(k, 1.0 / k), np.arange(k), np.full(k, 2), sponge), schedule
+
+
+def sponge_later(config: Config) -> bool:
+    """Whether the sponge waits for a temperature or a width."""
+    return config.SpongeTemperature1 > 0 or config.CreateSpongeScaledSquaredWidth > 0
+
+
+def wants_sponge(c: Clusters, schedule: Schedule) -> bool:
+    cfg = schedule.config
+    narrow = (c.width2 * c.c).sum() / c.c.sum() <= cfg.CreateSpongeScaledSquaredWidth
+    return cfg.UseSponge and not c.sponge and (narrow or schedule.t < cfg.SpongeTemperature1)
+
+
+def with_sponge(c: Clusters, config: Config) -> Clusters:
+    """The same clusters behind a new sponge, whose weight they give up in proportion."""
+    ps = config.SpongePWeight / (len(c) + 1)
+    out = {k: np.concatenate([v[:1] * 0, v]) for k, v in c.__dict__.items() if isinstance(v, np.ndarray)}
+    out["p"] = np.r_[ps, c.p * (1 - ps)]
+    out["created"][0] = c.created.max() + 1
+    out["y"][0] = c.y[0]
+    return replace(c, sponge=True, **out)
+
+
+def restarted(state: list, config: Config) -> tuple[Clusters, Schedule]:
+    """Clusters of a former run (rows of ``sources.text.restart_state``), the sponge first, at the
+    restart temperature."""
+    rows = sorted(state, key=lambda r: (not r["is_sponge"], r["cluster_id"]))
+    sponge = bool(rows and rows[0]["is_sponge"])
+    y = np.array([[r["y0"] or 0.0, r["y1"] or 0.0] for r in rows])
+    t = config.RestartTemperature
+    schedule = Schedule(config, t, config.Tminimum if config.Tminimum > 0 else t / abs(config.Tminimum), t, config.SpongeFactor1, config.InitialSigma0 or config.SigmaVectorParameters_i[0])
+    return Clusters(y, np.array([r["p"] for r in rows]), np.arange(len(rows)), np.full(len(rows), 2), sponge), schedule
 
 
 def update_p(c: Clusters, config: Config, n: float) -> np.ndarray:
@@ -237,11 +270,12 @@ def split(c: Clusters, k: int, v: np.ndarray, schedule: Schedule) -> Clusters:
     return replace(c, **out)
 
 
-def anneal(points: DataFrame, config: Config, max_clusters: int = 50, max_steps: int = 5000) -> Result:
-    """Run to the end of the schedule. ``points`` have ``x`` (array<double>); persist them first."""
+def anneal(points: DataFrame, config: Config, max_clusters: int = 50, max_steps: int = 5000, restart: list | None = None) -> Result:
+    """Run to the end of the schedule, from one cluster or from a former run's state. ``points`` have
+    ``x`` (array<double>); persist them first."""
     config = config.checked()
     n = float(points.count())
-    c, schedule = initial(points, config)
+    c, schedule = restarted(restart, config) if restart else initial(points, config)
     out, before, since, waited, final, rises, last_h, fine = Result(c, schedule), None, 0, 0, False, 0, None, False
     for step in range(max_steps):
         now = (c.y, schedule.sigma2(c.y), c.p, schedule.t, schedule.sponge_factor if c.sponge else None)
@@ -273,6 +307,9 @@ def anneal(points: DataFrame, config: Config, max_clusters: int = 50, max_steps:
                 break
         elif schedule.t <= schedule.t_min:
             final = True
+        if not final and wants_sponge(c, schedule):
+            c, before, since = with_sponge(c, config), None, 0
+            continue
         waited += 1
         chosen = splits(c, schedule, n) if not final and waited >= config.WaitIterations and len(c) < max_clusters else []
         if chosen:

@@ -786,3 +786,40 @@ def solution_occupation_hist(spark, sf_dir):
 @query(f"select (least(50, 1 + floor((v - lo) * 50 / (hi - lo))::int))::int as bin, count(*) as n from (select v, min(v) over () as lo, max(v) over () as hi from (select sqrt({_NEAR40}) as v from c40 a join c40 b on a.cluster_id <= b.cluster_id)) group by 1")
 def solution_distance_hist(spark, sf_dir):
     return compare.solution_histograms(V.centers40(V.points2d(spark, sf_dir)))[1]
+
+
+def _over(target: str, limits: tuple[int, ...]) -> str:
+    values = ", ".join(f"({x})" for x in limits)
+    return _OVER.replace("mclust", target).replace("(0), (2), (5), (10), (20), (50)", values)
+
+
+_REPORT = "select lim::int as lim, base_clusters, base_points, points_in_major, major, stray_single, stray, '{t}' as method from (select lim, count(*) filter (rk = 1) as base_clusters, sum(n)::bigint as base_points, (sum(n) filter (rk = 1))::bigint as points_in_major from bl group by 1) join (select lim, count(*) filter (rk = 1) as major, count(*) filter (rk > 1 and target_n = 1) as stray_single, count(*) filter (rk > 1 and target_n > 1) as stray from tg group by 1) using (lim)"
+
+
+@query(" union all ".join(f"(with {_over(t, (3, 11, 36))} {_REPORT.format(t=t)})" for t in ("mclust", "medea")))
+def comparison_report(spark, sf_dir):
+    from tempera.plans.comparison import comparison_report as report
+
+    p = V.points2d(spark, sf_dir)
+    return report(V.labelling(p, "golden"), {m: V.labelling(p, m) for m in ("mclust", "medea")})
+
+
+@query("select range as rank, n // 7 + (range < n % 7)::int as length, range * (n // 7) + least(range, n % 7) as start from range(7) cross join (select count(*) as n from points)")
+def even_ranges(spark, sf_dir):
+    n = V.points2d(spark, sf_dir).agg(F.count("*").alias("n"))
+    r = spark.range(7).withColumnRenamed("id", "rank").crossJoin(F.broadcast(n))
+    part, rest = F.floor(F.col("n") / 7), F.col("n") % 7
+    return r.select("rank", (part + (F.col("rank") < rest).cast("int")).alias("length"), (F.col("rank") * part + F.least("rank", rest)).alias("start"))
+
+
+@query(f"select concat_ws(chr(9), experiment::varchar, printf('%.6f', s0), printf('%.6f', d0), printf('%.6f', s1), printf('%.6f', d1)) as value from (select experiment, round(avg((h.x0 - y0) / (0.1e0 * y0)), 5) as s0, round(stddev_pop((h.x0 - y0) / (0.1e0 * y0)), 5) as d0, round(avg((h.x1 - y1) / 300e0), 5) as s1, round(stddev_pop((h.x1 - y1) / 300e0), 5) as d1 from hard h join points p using (point_id) join centers c on c.cluster_id = h.cluster_id group by 1)", soft=True)
+def shift_lines(spark, sf_dir):
+    a, c = _assigned(spark, sf_dir)
+    return writers.shift_lines(rounded(quality.experiment_shifts(a, c, V.RELATIVE)))
+
+
+@query("select round(avg(shift0), 6) as shift0, round(avg(shift1), 6) as shift1, round(sum(shared) / sum(n), 6) as share from (select r.n as shared, g.n, (t.m0 - g.m0) / (0.1e0 * g.m0) as shift0, (t.m1 - g.m1) / 300e0 as shift1 from rk r join (select golden, count(*) as n, avg(x0) as m0, avg(x1) as m1 from points group by 1) g on g.golden = base join (select mclust, count(*) as n, avg(x0) as m0, avg(x1) as m1 from points group by 1) t on t.mclust = r.target where rk = 1 and g.n > 3)", more=_OVER)
+def golden_report(spark, sf_dir):
+    p = V.points2d(spark, sf_dir)
+    g = compare.golden_match(p, V.labelling(p, "golden"), V.labelling(p, "mclust"), V.RELATIVE)
+    return rounded(g.agg(F.avg("shift0").alias("shift0"), F.avg("shift1").alias("shift1"), (F.sum("shared") / F.sum("n")).alias("share")), 6)

@@ -137,3 +137,15 @@ def test_a_stream_is_scored_like_a_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.point_id: r.cluster_id for r in spark.table("scored").collect()} == {i: 1 + (i >= 4) for i in range(8)}
+
+
+def test_the_sponge_comes_when_it_is_cold_and_takes_outliers(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, *(rng.normal(size=2) + [40 * (i % 2), 0])) for i in range(200)] + [(200 + i, 20.0, 60.0 + 50 * i) for i in range(4)]
+    config = Config(UseSponge=True, SpongeTemperature1=3.0, SpongeTemperature2=1.0, SigmaMethod=1, SigmaVectorParameters_i=(1.0, 1.0), Tminimum=0.5, InitialCoolingFactor1=0.7, InitialCoolingFactor2=0.7, FineCoolingFactor1=0.7, FineCoolingFactor2=0.7, WaitIterations=1, ConvergenceLoopLimit=8)
+    p = points(spark, rows).select(F.array("x0", "x1").alias("x")).coalesce(2).persist()
+    out = A.anneal(p, config, max_clusters=4, max_steps=300)
+    assert out.clusters.sponge and 0 < out.clusters.c[0] < 30 and abs(out.clusters.c.sum() - 204) < 1e-6
+    state = [{"cluster_id": 1, "is_sponge": False, "y0": 0.5, "y1": 0.0, "p": 0.5}, {"cluster_id": 2, "is_sponge": False, "y0": 39.0, "y1": 0.0, "p": 0.5}]
+    again = A.anneal(p, Config(SigmaMethod=1, SigmaVectorParameters_i=(1.0, 1.0), RestartTemperature=1.0, Tminimum=0.5, MaxNumberSplitClusters=0, InitialCoolingFactor1=0.7, InitialCoolingFactor2=0.7), restart=state, max_steps=100)
+    assert len(again.clusters) == 2
