@@ -95,6 +95,32 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by k) filter (role = 'assistant'), '')) as loss_sha256,
   (sum(upto) filter (role = 'assistant' or k = n))::bigint as formatted_chars
 from c group by conv_id
+""",
+    "op2_near_documents": r"""
+with recursive t as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), g as (
+  select doc_id, unnest(case when len(w) >= 2 then list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) when len(w) = 1 then w else [] end) as s from t
+), n as (select doc_id, count(*) as n from g group by 1),
+r as (select g.doc_id, g.s, n.n, row_number() over (partition by doc_id order by f, s) as k from g join n using (doc_id) join (select s, count(*) as f from g group by 1) using (s)),
+c as (select distinct a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb from r a join r b using (s) where a.doc_id < b.doc_id and a.k <= a.n // 5 + 1 and b.k <= b.n // 5 + 1 and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+l as (select c.a, c.b from c join g x on x.doc_id = c.a join g y on y.doc_id = c.b and x.s = y.s group by c.a, c.b, na, nb having 100 * count(*) >= 80 * (na + nb - count(*))),
+e as (select a, b from l union all select b, a from l),
+z as (select doc_id, doc_id as root from documents union select e.b, z.root from z join e on e.a = z.doc_id and z.root < e.b)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.root as component_id, d.doc_id = m.root as kept
+from documents d left join n using (doc_id) join (select doc_id, min(root) as root from z group by 1) m using (doc_id)
+""",
+    "op7_near_vectors": r"""
+with recursive v as (
+  select vec_id, embedding::double[] as x from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda a: a is null or not isfinite(a))) = 0 and len(list_filter(embedding, lambda a: a <> 0)) > 0
+), l as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.x) = len(b.x)
+  where list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))) >= 0.9e0),
+z as (select vec_id, vec_id as root from embeddings union select l.b, z.root from z join l on l.a = z.vec_id and z.root < l.b)
+select vec_id, (select count(*) from l where l.a = m.vec_id) as n_links, root as component_id, vec_id = root as kept
+from (select vec_id, min(root) as root from z group by 1) m
 """,
     "op5_url_rules": rf"""
 with u as (select page_id, {_HOST} as host, {_PATH} as path from pages),
