@@ -5,7 +5,6 @@ columns of ``documents``; the last returns ids."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,19 +26,11 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of at least 100 bytes that stand earlier too are cut out of the texts. A character
-    whose bytes are cut in part goes whole; a text may end up empty, its document stays."""
-
-    def text_of(batches):
-        for batch in batches:
-            text = pa.array([b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text], ["doc_id", "_text"])
-
-    changed = suffix_dedup.without_repeats(docs).where("n_removed > 0").select("doc_id", "kept").mapInArrow(text_of, "doc_id long, _text string")
-    out = docs.join(changed.dropDuplicates(["doc_id"]), "doc_id", "left")
-    text = F.coalesce("_text", "text")
-    n_chars = F.when(F.col("_text").isNotNull(), F.length("_text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumns({"text": text, "n_chars": n_chars}).select(docs.columns)
+    """Strings of at least 100 bytes that stand earlier too are cut out of the texts. A text may end
+    up empty; its document stays."""
+    out = suffix_dedup.cut_texts(docs)
+    n_chars = F.when(F.col("_changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

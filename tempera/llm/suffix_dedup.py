@@ -378,10 +378,25 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return spans.unionByName(compared)
 
 
+def _cut(data: bytes, found: list[dict]) -> tuple[bytes, list[dict]]:
+    """What is left of a text without some spans, and the spans joined to maximal ones."""
+    start = np.array([x["start"] for x in found], np.int64)
+    end = start + np.array([x["length"] for x in found], np.int64)
+    _, start, length = merged(np.zeros(len(found), np.int64), start, end)
+    parts, at = [], 0
+    for s, n in zip(start.tolist(), length.tolist(), strict=True):
+        parts.append(data[at:s])
+        at = s + n
+    return b"".join([*parts, data[at:]]), [{"start": s, "length": n} for s, n in zip(start.tolist(), length.tolist(), strict=True)]
+
+
+def _spans_by_doc(docs: DataFrame) -> DataFrame:
+    return repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, spans, kept`` for every row: the removed runs, joined
     to maximal ones, and the bytes that stay, in order."""
-    spans = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,19 +404,31 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for d, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans"), strict=True):
-                data, found = (text.as_py() or "").encode(), found.as_py() or []
-                start = np.array([x["start"] for x in found], np.int64)
-                end = start + np.array([x["length"] for x in found], np.int64)
-                _, start, length = merged(np.zeros(len(found), np.int64), start, end)
-                parts, at = [], 0
-                for s, n in zip(start.tolist(), length.tolist(), strict=True):
-                    parts.append(data[at:s])
-                    at = s + n
-                kept = b"".join([*parts, data[at:]])
-                out.append((None if d == _NO_ID else d, len(data), len(data) - len(kept), len(length), [{"start": s, "length": n} for s, n in zip(start.tolist(), length.tolist(), strict=True)], kept))
+                data = (text.as_py() or "").encode()
+                kept, spans = _cut(data, found.as_py() or [])
+                out.append((None if d == _NO_ID else d, len(data), len(data) - len(kept), len(spans), spans, kept))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), kind, pa.binary())
             columns = zip(*out, strict=True) if out else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, length: long>>, kept binary"
-    return rows.join(spans, "doc_id", "left").mapInArrow(cut, schema)
+    return rows.join(_spans_by_doc(docs), "doc_id", "left").mapInArrow(cut, schema)
+
+
+def cut_texts(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with all their columns, their texts without the repeats, and whether a
+    text was ``_changed``. A character whose bytes are cut in part goes whole."""
+    spans = _spans_by_doc(docs).toDF("_id", "_spans")
+    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).join(spans, "_id", "left").drop("_id")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, found = batch.column("text").to_pylist(), batch.column("_spans")
+            changed = found.is_valid()
+            for i in np.flatnonzero(np.asarray(changed)):
+                text[i] = _cut(text[i].encode(), found[int(i)].as_py())[0].decode("utf-8", "ignore")
+            out = batch.drop_columns(["_spans"])
+            out = out.set_column(out.schema.get_field_index("text"), "text", pa.array(text, pa.string()))
+            yield out.append_column("_changed", changed)
+
+    return rows.mapInArrow(cut, rows.drop("_spans").withColumn("_changed", F.lit(True)).schema)

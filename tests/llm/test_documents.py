@@ -121,6 +121,16 @@ def test_suffix_dedup_equals_brute_force(spark, docs, monkeypatch, hot, batch):
         assert sum(s.length for s in r.spans) == r.n_removed
 
 
+def test_cut_texts_keep_rows_and_columns(docs, nothing):
+    truth = brute_cuts(corpus())
+    out = suffix_dedup.cut_texts(docs)
+    assert out.columns == [*docs.columns, "_changed"] and out.count() == len(corpus())
+    for r in out.collect():
+        n, gone, _, kept = truth[r.doc_id]
+        assert r._changed == bool(gone) and (r.text or "") == kept.decode("utf-8", "ignore")
+    assert suffix_dedup.cut_texts(nothing).count() == 0
+
+
 def test_suffix_dedup_of_nothing(nothing):
     assert suffix_dedup.without_repeats(nothing).count() == 0
 
