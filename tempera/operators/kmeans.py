@@ -59,6 +59,18 @@ def nearest(x: np.ndarray, y: np.ndarray, prune: bool = True) -> tuple[np.ndarra
     return best, d2, done
 
 
+def assign_pruned(points: DataFrame, centers: np.ndarray) -> DataFrame:
+    """``point_id, cluster_id`` (the row of the nearest centre) by the pruned kernel."""
+    y = np.array(centers, float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, _, _ = nearest(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, y.shape[1]), y)
+            yield pa.RecordBatch.from_arrays([batch.column("point_id"), pa.array(best, pa.int64())], ["point_id", "cluster_id"])
+
+    return points.select("point_id", "x").mapInArrow(run, "point_id long, cluster_id long")
+
+
 def _sums(points: DataFrame, y: np.ndarray, prune: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     k, d = y.shape
 

@@ -589,6 +589,15 @@ def center_hist(spark, sf_dir):
     return a.groupBy(X.bin_clamped(F.sqrt("d2"), F.lit(0.0), F.lit(2.0), 202).alias("bin")).agg(F.count("*").alias("n"))
 
 
+@query("select point_id, cluster_id::bigint as cluster_id from a1", more=_KM)
+def kmeans_pruned(spark, sf_dir):
+    v = V.vectors(spark, sf_dir)
+    rows = kmeans.centers_of(v, "label").orderBy("cluster_id").collect()
+    ids = F.array(*[F.lit(int(r["cluster_id"])) for r in rows])
+    a = kmeans.assign_pruned(v, [r["y"] for r in rows])
+    return a.select("point_id", F.get(ids, F.col("cluster_id").cast("int")).cast("long").alias("cluster_id"))
+
+
 @query()
 def kmeans_run(spark, sf_dir):
     import numpy as np
@@ -823,3 +832,20 @@ def golden_report(spark, sf_dir):
     p = V.points2d(spark, sf_dir)
     g = compare.golden_match(p, V.labelling(p, "golden"), V.labelling(p, "mclust"), V.RELATIVE)
     return rounded(g.agg(F.avg("shift0").alias("shift0"), F.avg("shift1").alias("shift1"), (F.sum("shared") / F.sum("n")).alias("share")), 6)
+
+
+@query("select vec_id as point_id, round(embedding[1]::double, 5) as a, round(embedding[3]::double, 5) as b from embeddings")
+def scan_plot3d(spark, sf_dir):
+    v = V.table(spark, sf_dir, "embeddings")
+    line = F.concat_ws("\t", F.col("vec_id").cast("string"), *[F.element_at("embedding", i).cast("double").cast("string") for i in (1, 2, 3)])
+    out = text.plot3d(v.select(line.alias("line")))
+    return rounded(out.select("point_id", F.element_at("pos", 1).alias("a"), F.element_at("pos", 3).alias("b")))
+
+
+@query("select t, round(case when t <= 3 then 0.1e0 else greatest(0.1e0, 0.5e0 * exp(ln(0.9e0) * (ln(0.1e0) - ln(0.5e0)) / least(ln(3e0) - ln(t), ln(0.9e0)))) end, 6) as sigma from (select unnest([2e0, 3e0, 4e0, 8e0, 20e0]) as t)")
+def sigma_schedule(spark, sf_dir):
+    from tempera.plans.anneal import next_sigma
+    from tempera.sources.config import Config
+
+    c = Config(FinalTargetTemperature=3.0, FinalTargetSigma0=0.1)
+    return spark.createDataFrame([(t, round(float(next_sigma(c, t, 0.5, 0.9)), 6)) for t in (2.0, 3.0, 4.0, 8.0, 20.0)], "t double, sigma double")
