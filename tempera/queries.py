@@ -298,7 +298,7 @@ def range_predicates(spark, sf_dir):
 # Reductions
 
 
-@query("select charge, bool_or(k > 98) as any_high, sum(mclust)::bigint as total, greatest(max(x0 - 900e0), 0e0) as most, round(avg(x0), 5) as mean, round(stddev_pop(x0), 5) as sigma from points group by charge")
+@query("select charge, bool_or(k > 98) as any_high, sum(mclust)::bigint as total, round(greatest(max(x0 - 900e0), 0e0), 5) as most, round(avg(x0), 5) as mean, round(stddev_pop(x0), 5) as sigma from points group by charge")
 def agg_basic(spark, sf_dir):
     return rounded(
         V.points2d(spark, sf_dir).groupBy("charge").agg(
@@ -307,9 +307,6 @@ def agg_basic(spark, sf_dir):
     )
 
 
-ORACLE_SQL["agg_basic"] = ORACLE_SQL["agg_basic"].replace("greatest(max(x0 - 900e0), 0e0) as most", "round(greatest(max(x0 - 900e0), 0e0), 5) as most")
-
-
 @query("select k as bin, count(*) as n from points where k between 0 and 49 group by k")
 def agg_hist(spark, sf_dir):
     return R.counts_by_bin(V.points2d(spark, sf_dir), F.col("k"), 50)
