@@ -11,7 +11,8 @@ one and joins what links into components; a bucket that lies in one component is
 don't, members of different components are compared by parity bitmaps of their sets, in blocks of
 ``BLOCK`` members: the bits that differ bound the similarity from above, exactly, so what they rule
 out is no link. Of what is left each member offers its closest few for verification; rounds go on,
-with more offers, until nothing between different components is left untested. Nothing is capped.
+with more offers, where a member had others, until nothing between different components is left
+untested. Buckets of the same members are compared once. Nothing is capped.
 
 Defined cases: null or empty texts, and texts without words, have empty sets and link with nothing;
 with fewer words than a shingle the whole sequence is the one shingle; rows that repeat a doc_id are
@@ -161,8 +162,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
 
 
 def _offered(percent: int, offers: int):
-    """Pairs of one pair of blocks that may link and lie in different components: the closest
-    ``offers`` of each member; ``more`` is true where some member has others."""
+    """Pairs of one pair of blocks (``key, left, right``) that may link and lie in different
+    components: the closest ``offers`` of each member; ``more`` is true where some member has others."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         left, right = key[1].as_py(), key[2].as_py()
@@ -183,7 +184,8 @@ def _offered(percent: int, offers: int):
                 a.append(np.full(len(good), rep[i]))
                 b.append(rep[j[good]])
         a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "more": pa.array([more] * len(a), pa.bool_())})
+        where = {"key": pa.array(np.full(len(a), key[0].as_py())), "left": pa.array(np.full(len(a), left, np.int32)), "right": pa.array(np.full(len(a), right, np.int32))}
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "more": pa.array([more] * len(a), pa.bool_()), **where})
 
     return run
 
@@ -197,32 +199,37 @@ def near_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = written(classes, "minhash-classes")
     keys = classes.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = written(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("least")).where("size > 1"), "minhash-buckets")
+    members_hash = [F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"h{k}") for k in (1, 2)]
+    buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("least"), *members_hash).where("size > 1")
+    buckets = buckets.groupBy("size", "least", "h1", "h2").agg(F.min("key").alias("key"))  # equal ones are one
+    buckets = written(buckets.select("key", "size", "least"), "minhash-buckets")
     members = written(joined(keys, buckets, "key", "inner", 24), "minhash-members")
     pairs = members.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
     tested = pairs = written(pairs.distinct(), "minhash-pairs")
     links = _verified(docs, pairs, shingle, percent)
     components = written(connected_components(links), "minhash-components")
-    offers = OFFERS
-    while True:
-        labelled = joined(members.where("size > 2"), components.withColumnRenamed("node", "rep"), "rep", "left", 16).withColumn("label", F.coalesce("component", "rep"))
+    offers, todo = OFFERS, None
+    while todo is None or not todo.isEmpty():
+        rest = members.where("size > 2") if todo is None else joined(members, written(todo.select("key").distinct(), "minhash-keys"), "key", "left_semi", 8)
+        labelled = joined(rest, components.withColumnRenamed("node", "rep"), "rep", "left", 16).withColumn("label", F.coalesce("component", "rep"))
         open_ = labelled.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.ceil(F.max("size") / BLOCK).cast("int").alias("blocks"))
         open_ = written(open_.where("_lo <> _hi").select("key", "blocks"), "minhash-open")
         active = joined(labelled, open_, "key", "inner", 24).select("key", "rep", "n", "label", "blocks")
-        active = active.join(classes.select("rep", "bits"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        active = active.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         active = active.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         active = active.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
-        offered = written(active.groupBy("key", "left", "right").applyInArrow(_offered(percent, offers), "a long, b long, more boolean"), "minhash-offers")
+        if todo is not None:
+            active = joined(active, todo, ["key", "left", "right"], "left_semi", 16)
+        active = active.join(classes.select("rep", "bits"), "rep")
+        offered = written(active.groupBy("key", "left", "right").applyInArrow(_offered(percent, offers), "a long, b long, more boolean, key long, left int, right int"), "minhash-offers")
         pairs = written(offered.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
-        if pairs.isEmpty():
-            if offered.where("more").isEmpty():
-                break
-        else:
+        if not pairs.isEmpty():
             tested = tested.unionByName(pairs)
             more = _verified(docs, pairs, shingle, percent)
             if not more.isEmpty():
                 links = links.unionByName(more)
                 components = written(connected_components(links), "minhash-components")
+        todo = written(offered.where("more").select("key", "left", "right").distinct(), "minhash-todo")
         offers *= 4
     of_class = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.drop("bands", "bits").withColumn("_own", F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
