@@ -36,8 +36,8 @@ from tempera.llm.components import connected_components
 BANDS, ROWS = 42, 6
 CIRCLE = 1 << 20  # places on the circle of the second permutation
 BITS = 2048  # of a parity bitmap
-BLOCK = 1024
-OFFERS = 4  # of a member and block in the first round; four times as many in each later one
+BLOCK = 4096  # members compared at once with as many: two megabytes of bitmaps
+OFFERS = 4  # of a member and block in the first round; 16 times as many in each later one
 SHINGLE, PERCENT = 5, 80
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _REMEMBERED = 200_000
@@ -215,12 +215,11 @@ def near_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
         open_ = labelled.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.ceil(F.max("size") / BLOCK).cast("int").alias("blocks"))
         open_ = written(open_.where("_lo <> _hi").select("key", "blocks"), "minhash-open")
         active = joined(labelled, open_, "key", "inner", 24).select("key", "rep", "n", "label", "blocks")
-        active = active.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        active = active.join(classes.select("rep", "bits"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         active = active.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         active = active.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
         if todo is not None:
             active = joined(active, todo, ["key", "left", "right"], "left_semi", 16)
-        active = active.join(classes.select("rep", "bits"), "rep")
         offered = written(active.groupBy("key", "left", "right").applyInArrow(_offered(percent, offers), "a long, b long, more boolean, key long, left int, right int"), "minhash-offers")
         pairs = written(offered.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
         if not pairs.isEmpty():
@@ -230,7 +229,7 @@ def near_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
                 links = links.unionByName(more)
                 components = written(connected_components(links), "minhash-components")
         todo = written(offered.where("more").select("key", "left", "right").distinct(), "minhash-todo")
-        offers *= 4
+        offers *= 16
     of_class = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.drop("bands", "bits").withColumn("_own", F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     out = out.join(of_class.withColumn("_own", F.lit(True)), ["d1", "d2", "_own"], "left")
