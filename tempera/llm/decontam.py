@@ -3,12 +3,13 @@
 Texts are compared as UTF-8 bytes, A-Z lower-cased, line ends and tabs as spaces. A random walk
 (CGK) copies a window into a longer string: each step writes the byte under a pointer and moves it
 on by a random bit that depends on the step and the byte. Few edits between two windows become few
-differing places, so hashes of a few sampled places collide often. Windows come in sizes so that an
-item of length n holds at least one whole window of the size ``w <= (n + 1) / 2``, wherever it
-lies: documents are cut into such windows side by side, items at every offset. Several walks and
-several samples of each (``WALKS`` and ``TABLES``) repeat the search; items of several windows
-repeat it again. Every candidate place is verified by the exact edit distance of the whole item to
-its best substring around it.
+differing places, so hashes of a few sampled places collide often. Windows come in sizes by length
+class (``length_class``) so that a copy of an item holds at least one whole window, wherever it lies:
+documents are cut into such windows side by side, items at every offset. Walks, each with ``TABLES``
+samples, repeat the search until it finds ``RECALL`` of copies with all the edits of ``MAX_EDITS``:
+``plan_walks`` plants and searches such copies of the benchmark's own items, class by class. Every
+window found is compared first, then the whole item with its best substring around the place, both
+by exact edit distance.
 
 The items travel with the tasks in blocks of at most ``BLOCK_BYTES``; a larger benchmark takes more
 passes over the documents. Documents never shuffle.
@@ -20,6 +21,7 @@ ignored.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOWS = (40, 20, 10)
-SHORT = 19  # 2 * WINDOWS[-1] - 1
-WALKS, TABLES, PLACES = 3, 6, 12
-MAX_WINDOW_EDITS = 0.35  # of a colliding window, before its whole item is verified
+SHORT = 19  # bytes of the least length class
+RECALL = 0.98  # of copies with all the edits that the threshold allows, in every length class
+MOST_WINDOW = 30
+MAX_WINDOW_EDITS = 0.3  # of a colliding window, before its whole item is verified
+TABLES, PLACES = 8, 12  # samples a walk, places a sample
+MOST_WALKS = 60
+_PLANTED = 600  # copies a plan searches
 MAX_EDITS = 0.15  # of an item's length
 BLOCK_BYTES = 256 << 10
 _CHUNK = 4 << 20  # bytes of documents walked at once
@@ -50,10 +55,11 @@ class _Walk:
         rng = np.random.default_rng([window, seed])
         self.steps = window * 3 // 2
         self.moves = rng.integers(0, 2, (self.steps, 256)).astype(np.intp)
-        self.tables: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(self.steps)]
+        self.values = rng.integers(0, 1 << 63, (self.steps, 256), dtype=np.uint64) * 2 + 1
+        self.tables: list[list[int]] = [[] for _ in range(self.steps)]
         for t in range(TABLES):
             for step in rng.choice(self.steps, min(PLACES, self.steps), replace=False):
-                self.tables[step].append((t, rng.integers(0, 1 << 63, 256, dtype=np.uint64) * 2 + 1))
+                self.tables[step].append(t)
 
     def hashes(self, buffer: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """One hash a table of the window at each start; the buffer goes on past the last one."""
@@ -65,82 +71,166 @@ class _Walk:
             for step in range(self.steps):
                 np.take(buffer, at, out=byte, mode="clip")
                 np.copyto(index, byte)
-                for t, values in self.tables[step]:
-                    np.add(part[t], np.take(values, index, out=random, mode="clip"), out=part[t])
+                if self.tables[step]:
+                    np.take(self.values[step], index, out=random, mode="clip")
+                    for t in self.tables[step]:
+                        np.add(part[t], random, out=part[t])
                 np.add(at, np.take(self.moves[step], index, out=move, mode="clip"), out=at)
         return out ^ (out >> np.uint64(29))
 
 
-class Index:
-    """The windows of a block of items, by hash, one sorted list a size, walk and table."""
+def length_class(n: int) -> int:
+    """The least length of the class of items of n bytes: ``SHORT`` times a power of two."""
+    return SHORT << (n // SHORT).bit_length() - 1
+
+
+def _window(least: int) -> int:
+    """Windows of this size lie side by side in documents; each copy of an item holds a whole one."""
+    return min(MOST_WINDOW, (least + 1) // 2)
+
+
+class _Tables:
+    """The windows of one size of some items under one walk, by hash, one sorted list a table."""
 
     _BITS = 20
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, goals: list[bytes], window: int, seed: int):
+        self.w = window
+        self.walk = _Walk(self.w, seed)
+        buffer, first = self.goals = _joined(goals, self.w)
+        n = np.array([len(t) - self.w + 1 for t in goals])
+        item = np.repeat(np.arange(len(goals), dtype=np.int32), n)
+        offset = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+        self.lists = []
+        for h in self.walk.hashes(buffer, first[item] + offset):
+            order = np.argsort(h, kind="stable")
+            there = np.zeros(1 << self._BITS, bool)
+            there[(h >> np.uint64(64 - self._BITS)).astype(np.int64)] = True
+            self.lists.append((there, h[order], item[order], offset[order]))
+
+    def shared(self, texts: list[bytes]) -> np.ndarray:
+        """Rows (text, item, item's start in the text, window's start) of windows with an equal hash and at
+        most ``MAX_WINDOW_EDITS`` between them."""
+        buffer, first = _joined(texts, self.w)
+        lengths = np.array([len(t) for t in texts])
+        n = lengths // self.w
+        text = np.repeat(np.arange(len(texts)), n)
+        place = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * self.w
+        found = [np.zeros((0, 4), np.int64)]
+        for h, (there, keys, item, offset) in zip(self.walk.hashes(buffer, first[text] + place), self.lists, strict=True):
+            maybe = np.flatnonzero(there[(h >> np.uint64(64 - self._BITS)).astype(np.int64)])
+            lo, hi = np.searchsorted(keys, h[maybe], "left"), np.searchsorted(keys, h[maybe], "right")
+            q = np.repeat(maybe, hi - lo)
+            k = np.arange(len(q)) - np.repeat(np.cumsum(hi - lo) - hi, hi - lo)
+            found.append(np.stack([text[q], item[k], place[q] - offset[k], place[q]], 1))
+        rows = np.unique(np.concatenate(found), axis=0)
+        goals, begin = self.goals
+        at, goal_at = first[rows[:, 0]] + rows[:, 3], begin[rows[:, 1]] + rows[:, 3] - rows[:, 2]
+        near = [_window_edits(buffer, at[k : k + 2048], goals, goal_at[k : k + 2048], self.w) for k in range(0, len(rows), 2048)]
+        return rows[np.concatenate(near) <= MAX_WINDOW_EDITS * self.w] if near else rows
+
+
+def _joined(texts: list[bytes], w: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts in one buffer with room between them, and where each starts."""
+    lengths = np.array([len(t) + 2 * w for t in texts])
+    return np.frombuffer(b"".join(t + bytes(2 * w) for t in texts), np.uint8), np.cumsum(lengths) - lengths
+
+
+def _window_edits(buffer: np.ndarray, at: np.ndarray, goals: np.ndarray, goal_at: np.ndarray, w: int) -> np.ndarray:
+    """``min(_ends(...))`` of each window of at most 63 bytes in the goal around its place, all at once."""
+    one, rows, margin = np.uint64(1), np.arange(len(at)), w // 4
+    masks = np.zeros((len(at), 256), np.uint64)
+    for i in range(w):
+        masks[rows, buffer[at + i]] |= one << np.uint64(i)
+    full, last = np.uint64((1 << w) - 1), np.uint64(w - 1)
+    up, down, score = np.full(len(at), full), np.zeros(len(at), np.uint64), np.full(len(at), w)
+    least = score.copy()
+    for j in range(-margin, w + margin):
+        eq = masks[rows, np.take(goals, goal_at + j, mode="clip")]
+        x = eq | down
+        diagonal = ((((eq & up) + up) ^ up) | eq) & full
+        plus, minus = down | (full & ~(diagonal | up)), up & diagonal
+        score = score + (plus >> last).astype(np.int64) - (minus >> last).astype(np.int64)
+        plus, minus = (plus << one) & full, (minus << one) & full
+        up, down = minus | (full & ~(x | plus)), plus & x
+        np.minimum(least, score, out=least)
+    return least
+
+
+def edited(goal: bytes, edits: int, rng: np.random.Generator) -> bytes:
+    """A copy with so many random substitutions, insertions and deletions."""
+    out = bytearray(goal)
+    for kind, where, byte in zip(rng.integers(0, 3, edits), rng.random(edits), rng.integers(97, 123, edits), strict=True):
+        at = int(where * len(out))
+        out[at : at + (kind != 1)] = bytes([byte])[: int(kind != 2)]
+    return bytes(out)
+
+
+def plan_walks(goals: list[bytes], least: int, recall: float = RECALL) -> int:
+    """Walks for a class of items: one after the other searches ``_PLANTED`` copies of them, each with all
+    the edits of ``MAX_EDITS``, until the share found is ``recall`` by the lower bound of its 95 % interval."""
+    rng = np.random.default_rng([_PLANTED, least])
+    which = np.arange(_PLANTED) % len(goals)
+    lead = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in rng.integers(0, 2 * least, _PLANTED)]
+    texts = [x + edited(goals[i], int(len(goals[i]) * MAX_EDITS), rng) + bytes(least) for x, i in zip(lead, which, strict=True)]
+    starts, slack = np.array([len(x) for x in lead]), np.array([_slack(goals[i]) for i in which])
+    found = np.zeros(_PLANTED, bool)
+    for walks in range(1, MOST_WALKS + 1):
+        rows = _Tables(goals, _window(least), walks - 1).shared(texts)
+        t = rows[:, 0]
+        found[t[(rows[:, 1] == which[t]) & (np.abs(rows[:, 2] - starts[t]) <= slack[t])]] = True
+        p = found.mean()
+        if p - 1.65 * (p * (1 - p) / _PLANTED) ** 0.5 - 1 / _PLANTED >= recall:
+            return walks
+    warnings.warn(f"{MOST_WALKS} walks find {p:.3f} of edited copies of items of {least} bytes and more; the target is {recall}", stacklevel=2)
+    return MOST_WALKS
+
+
+def _slack(goal: bytes) -> int:
+    return max(8, int(len(goal) * MAX_EDITS))
+
+
+def plan(items: list[tuple[int, bytes]], recall: float = RECALL) -> dict[int, int]:
+    """Walks by length class."""
+    classes: dict[int, list[bytes]] = {}
+    for _, t in items:
+        if len(t) >= SHORT:
+            classes.setdefault(length_class(len(t)), []).append(t)
+    return {least: plan_walks(goals, least, recall) for least, goals in sorted(classes.items())}
+
+
+class Index:
+    """The windows of a block of items by size and walk; classes of one size share its walks."""
+
+    def __init__(self, items: list[tuple[int, bytes]], walks: dict[int, int] | None = None):
         self.items = items
         self.short = [(i, t) for i, (_, t) in enumerate(items) if 0 < len(t) < SHORT]
-        self.sizes: list[tuple[int, list]] = []
-        for k, w in enumerate(WINDOWS):
-            most = 2 * WINDOWS[k - 1] - 1 if k else 1 << 62
-            mine = [i for i, (_, t) in enumerate(items) if 2 * w - 1 <= len(t) < most]
-            if not mine:
-                continue
-            buffer = np.frombuffer(b"".join(items[i][1] + bytes(2 * w) for i in mine), np.uint8)
-            item, offset, starts, at = [], [], [], 0
-            for i in mine:
-                n = len(items[i][1]) - w + 1
-                item.append(np.full(n, i))
-                offset.append(np.arange(n))
-                starts.append(at + np.arange(n))
-                at += len(items[i][1]) + 2 * w
-            item, offset, starts = map(np.concatenate, (item, offset, starts))
-            tables = []
-            for walk in (_Walk(w, s) for s in range(WALKS)):
-                lists = []
-                for h in walk.hashes(buffer, starts):
-                    order = np.argsort(h, kind="stable")
-                    there = np.zeros(1 << self._BITS, bool)
-                    there[(h >> np.uint64(64 - self._BITS)).astype(np.int64)] = True
-                    lists.append((there, h[order], item[order], offset[order]))
-                tables.append((walk, lists))
-            self.sizes.append((w, tables))
-
-    def candidates(self, texts: list[bytes]) -> dict[tuple[int, int, int], tuple[int, int]]:
-        """(text, item, start of the item in the text) that share a sampled hash, with the start and
-        the size of one of the text's windows that do."""
-        found: dict[tuple[int, int, int], tuple[int, int]] = {}
-        for w, tables in self.sizes:
-            buffer = np.frombuffer(b"".join(t + bytes(2 * w) for t in texts), np.uint8)
-            lengths = np.array([len(t) for t in texts])
-            n = np.maximum(lengths // w, 0)
-            first = np.r_[0, np.cumsum(lengths + 2 * w)[:-1]]
-            text = np.repeat(np.arange(len(texts)), n)
-            place = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * w
-            starts = first[text] + place
-            for walk, lists in tables:
-                for h, (there, keys, item, offset) in zip(walk.hashes(buffer, starts), lists, strict=True):
-                    maybe = np.flatnonzero(there[(h >> np.uint64(64 - self._BITS)).astype(np.int64)])
-                    lo, hi = np.searchsorted(keys, h[maybe], "left"), np.searchsorted(keys, h[maybe], "right")
-                    for a, b, q in zip(lo, hi, maybe, strict=True):
-                        for k in range(a, b):
-                            found[int(text[q]), int(item[k]), int(place[q] - offset[k])] = int(place[q]), w
-        return found
+        self.tables: list[tuple[np.ndarray, _Tables]] = []
+        walks = plan(items) if walks is None else walks
+        for w in sorted({_window(least) for least in walks}):
+            for s in range(max(n for least, n in walks.items() if _window(least) == w)):
+                mine = [i for i, (_, t) in enumerate(items) if len(t) >= SHORT and _window(length_class(len(t))) == w and walks[length_class(len(t))] > s]
+                self.tables.append((np.array(mine), _Tables([items[i][1] for i in mine], w, s)))
+
+    def candidates(self, texts: list[bytes]) -> list[tuple[int, int, int]]:
+        """(text, item, start of the item in the text) that share a window by a sampled hash."""
+        out: set[tuple[int, int, int]] = set()
+        for mine, walk in self.tables:
+            out.update((t, int(mine[i]), start) for t, i, start in walk.shared(texts)[:, :3].tolist())
+        return sorted(out)
 
     def matches(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, start, length, edits): the best place of each item in each text."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         tried: set[tuple[int, int, int]] = set()
-        for (text, item, start), (place, w) in sorted(self.candidates(texts).items()):
+        for text, item, start in self.candidates(texts):
             goal = self.items[item][1]
-            slack = max(8, int(len(goal) * MAX_EDITS))
+            slack, most = _slack(goal), int(len(goal) * MAX_EDITS)
             if (text, item, start // slack) in tried:
                 continue
-            window, around = texts[text][place : place + w], goal[max(0, place - start - w // 4) : place - start + w + w // 4]
-            if window not in around and min(_ends(window, around), default=w) > MAX_WINDOW_EDITS * w:
-                continue
             tried.add((text, item, start // slack))
             lo = max(0, start - 2 * slack)
-            hit = find(goal, texts[text][lo : start + len(goal) + 2 * slack], int(len(goal) * MAX_EDITS))
+            hit = find(goal, texts[text][lo : max(0, start + len(goal) + 3 * slack)], most)
             if hit and (new := (hit[0], lo + hit[1], hit[2])) < best.get((text, item), (1 << 60,)):
                 best[text, item] = new
         for item, goal in self.short:
@@ -185,11 +275,11 @@ def find(goal: bytes, text: bytes, most: int) -> tuple[int, int, int] | None:
 _INDEXES: dict[int, Index] = {}
 
 
-def _index(items: list[tuple[int, bytes]]) -> Index:
+def _index(items: list[tuple[int, bytes]], walks: dict[int, int]) -> Index:
     key = hash(tuple(items))
     if key not in _INDEXES:
         _INDEXES.clear()
-        _INDEXES[key] = Index(items)
+        _INDEXES[key] = Index(items, walks)
     return _INDEXES[key]
 
 
@@ -202,14 +292,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     for block in range(max(1, blocks)):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks))) == block)
-        found = rows.mapInArrow(_searched(sorted((r["item_id"] or 0, folded(r["text"])) for r in mine.collect())), MATCH)
+        goals = sorted((r["item_id"] or 0, folded(r["text"])) for r in mine.collect())
+        found = rows.mapInArrow(_searched(goals, plan(goals)), MATCH)
         out = out.unionByName(found) if out else found
     return out
 
 
-def _searched(items: list[tuple[int, bytes]]):
+def _searched(items: list[tuple[int, bytes]], walks: dict[int, int]):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(items)
+        index = _index(items, walks)
         names = [x.split()[0] for x in MATCH.split(", ")]
         for batch in batches:
             ids, texts, size = [], [], 0

@@ -183,6 +183,17 @@ def test_contaminated_documents_are_found_and_clean_ones_left(spark, docs):
     assert decontam.contaminated(docs.where("false"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("least, most", [(19, 37), (38, 75), (76, 151), (152, 303), (304, 394)])
+def test_copies_with_all_allowed_edits_are_found_at_every_item_length(least, most):
+    r, rng = random.Random(least), np.random.default_rng(least)
+    text = " ".join(r.choice(WORDS) + str(r.randrange(90)) for _ in range(4000)).encode()
+    items = [(i, decontam.folded(text[a : a + r.randint(least, most)].decode("utf-8", "ignore"))) for i, a in enumerate(r.sample(range(len(text) - most), 60))]
+    noise = lambda: bytes(r.choice(b"mnop ") for _ in range(r.randrange(200)))
+    docs = [noise() + decontam.edited(t, int(len(t) * decontam.MAX_EDITS), rng) + noise() for _ in range(5) for _, t in items]
+    found = {(t, i) for t, i, *_ in decontam.Index(items).matches(docs)}
+    assert sum((k, k % 60) in found for k in range(len(docs))) >= (decontam.RECALL - 0.02) * len(docs)
+
+
 def test_ids_and_texts_equal_the_library(spark, docs):
     from tokenizers import Tokenizer
 
