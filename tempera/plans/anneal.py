@@ -158,7 +158,7 @@ class Result:
     clusters: Clusters
     schedule: Schedule
     trace: list[tuple[int, float, int, float]] = field(default_factory=list)  # step, temperature, clusters, H
-    reason: str = ""
+    reason: str = ""  # what ended the run; "step limit" if it isn't finished
 
 
 def hamiltonian(c: Clusters) -> float:
@@ -319,5 +319,7 @@ def anneal(points: DataFrame, config: Config, max_clusters: int = 50, max_steps:
             continue
         schedule.cool(fine)
         since = 0 if since >= config.ConvergenceLoopLimit else 1
+    else:
+        out.reason = "step limit"
     out.clusters, out.schedule = c, schedule
     return out

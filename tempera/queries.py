@@ -610,10 +610,12 @@ def anneal_run(spark, sf_dir):
     from tempera.plans.anneal import anneal
     from tempera.sources.config import Config
 
-    p = V.points2d(spark, sf_dir).select(F.array("x0", "x1").alias("x")).coalesce(8).persist()
+    p = V.points2d(spark, sf_dir).select(F.array("x0", "x1").alias("x")).persist()
     c = Config(SigmaMethod=1, SigmaVectorParameters_i=V.PARAMS, Tminimum=-20.0, InitialCoolingFactor1=0.8, InitialCoolingFactor2=0.8, FineCoolingFactor1=0.85, FineCoolingFactor2=0.85, WaitIterations=1, ConvergenceLoopLimit=5, TemperatureForClosenessTest=0.1)
-    out = anneal(p, c, max_clusters=6, max_steps=60)
+    out = anneal(p, c, max_clusters=6)
     p.unpersist()
+    if out.reason == "step limit":
+        raise RuntimeError("annealing stopped before its schedule ended")
     rows = [(int(i), float(y[0]), float(y[1]), float(n)) for i, (y, n) in enumerate(zip(out.clusters.y, out.clusters.c, strict=True))]
     return spark.createDataFrame(rows, "cluster_id int, y0 double, y1 double, c double")
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tempera import queries
 from tempera.operators import bandjoin, compare, em, kmeans
 from tempera.plans import anneal as A
 from tempera.plans.presets import preset
@@ -97,6 +98,18 @@ def test_annealing_finds_the_blobs_and_replicas_change_nothing(spark):
     assert np.allclose(3 * one["c"], three["c"]) and np.allclose(one["mean"], three["mean"])
 
 
+def test_a_run_says_what_ended_it_and_the_registered_one_ends(spark, monkeypatch):
+    rows = [(i, float(i % 2) * 40 + i / 100, 0.0) for i in range(60)]
+    config = Config(SigmaMethod=1, SigmaVectorParameters_i=(1.0, 1.0), Tminimum=0.5, InitialCoolingFactor1=0.5, InitialCoolingFactor2=0.5, FineCoolingFactor1=0.5, FineCoolingFactor2=0.5, WaitIterations=1, ConvergenceLoopLimit=4)
+    p = points(spark, rows).select(F.array("x0", "x1").alias("x")).coalesce(1).persist()
+    assert A.anneal(p, config, max_steps=3).reason == "step limit"
+    assert A.anneal(p, config).reason not in ("", "step limit")
+    ends, run = [], A.anneal
+    monkeypatch.setattr(A, "anneal", lambda *a, **k: ends.append(run(*a, **k)) or ends[-1])
+    assert queries.anneal_run(spark, "/root/testdata/sf0.001").count() == len(ends[0].clusters)
+    assert ends[0].reason not in ("", "step limit")
+
+
 def test_removed_clusters_leave_weights_that_sum_to_one():
     c = A.Clusters(np.zeros((3, 2)), np.array([0.2, 0.3, 0.5]), np.arange(3), np.full(3, 2), sponge=True)
     assert np.allclose(c.keep(np.array([True, False, True])).p.sum(), 1)
