@@ -8,6 +8,7 @@ of the partitions, which makes a run repeatable."""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -158,6 +159,7 @@ class Result:
     clusters: Clusters
     schedule: Schedule
     trace: list[tuple[int, float, int, float]] = field(default_factory=list)  # step, temperature, clusters, H
+    limited: bool = False  # whether the cluster limit held back a split
     reason: str = ""  # what ended the run; "step limit" if it isn't finished
 
 
@@ -270,10 +272,12 @@ def split(c: Clusters, k: int, v: np.ndarray, schedule: Schedule) -> Clusters:
     return replace(c, **out)
 
 
-def anneal(points: DataFrame, config: Config, max_clusters: int = 50, max_steps: int = 5000, restart: list | None = None) -> Result:
+def anneal(points: DataFrame, config: Config, max_clusters: int | None = None, max_steps: int = 5000, restart: list | None = None) -> Result:
     """Run to the end of the schedule, from one cluster or from a former run's state. ``points`` have
-    ``x`` (array<double>); persist them first."""
+    ``x`` (array<double>); persist them first. The limit on clusters, sponge included, is ``max_clusters``
+    or else ``MaxNcentTotal``, whose default of 0 sets none."""
     config = config.checked()
+    limit_k = max_clusters if max_clusters is not None else config.MaxNcentTotal or sys.maxsize
     n = float(points.count())
     c, schedule = restarted(restart, config) if restart else initial(points, config)
     out, before, since, waited, final, rises, last_h, fine = Result(c, schedule), None, 0, 0, False, 0, None, False
@@ -311,9 +315,11 @@ def anneal(points: DataFrame, config: Config, max_clusters: int = 50, max_steps:
             c, before, since = with_sponge(c, config), None, 0
             continue
         waited += 1
-        chosen = splits(c, schedule, n) if not final and waited >= config.WaitIterations and len(c) < max_clusters else []
-        if chosen:
-            for k, v in chosen[: max_clusters - len(c)]:
+        splitting, room = not final and waited >= config.WaitIterations, max(0, limit_k - len(c))
+        chosen = splits(c, schedule, n) if splitting else []
+        out.limited |= len(chosen) > room
+        if chosen and room:
+            for k, v in chosen[:room]:
                 c = split(c, k, v, schedule)
             before, since, waited, fine = None, 0, 0, True
             continue

@@ -110,6 +110,14 @@ def test_a_run_says_what_ended_it_and_the_registered_one_ends(spark, monkeypatch
     assert ends[0].reason not in ("", "step limit")
 
 
+def test_the_configured_limit_holds_back_splits_and_is_reported(spark):
+    p = points(spark, [(i, float(i % 4) * 40 + i / 100, 0.0) for i in range(60)]).select(F.array("x0", "x1").alias("x")).coalesce(1).persist()
+    config = {"SigmaMethod": 1, "SigmaVectorParameters_i": (1.0, 1.0), "Tminimum": 0.5, "InitialCoolingFactor1": 0.5, "InitialCoolingFactor2": 0.5, "FineCoolingFactor1": 0.5, "FineCoolingFactor2": 0.5, "WaitIterations": 1, "ConvergenceLoopLimit": 4}
+    held, free = A.anneal(p, Config(**config, MaxNcentTotal=2)), A.anneal(p, Config(**config))
+    assert len(held.clusters) <= 2 and held.limited
+    assert len(free.clusters) > 2 and not free.limited
+
+
 def test_removed_clusters_leave_weights_that_sum_to_one():
     c = A.Clusters(np.zeros((3, 2)), np.array([0.2, 0.3, 0.5]), np.arange(3), np.full(3, 2), sponge=True)
     assert np.allclose(c.keep(np.array([True, False, True])).p.sum(), 1)
