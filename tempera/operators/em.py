@@ -42,9 +42,11 @@ def e_step(points: DataFrame, clusters: DataFrame, temperature: float, sponge_fa
 
 
 def long_form(points: DataFrame) -> DataFrame:
-    """One row a membership."""
+    """One row a membership. The outer form spares the filter on the array's size that Spark infers
+    from the inner one: pushed below the clusters' join it would compute the array once more an element."""
     others = [c for c in points.columns if c != "ms"]
-    return points.select(*others, F.explode("ms").alias("_m")).select(*others, "_m.cluster_id", "_m.d2", "_m.m")
+    rows = points.select(*others, F.explode_outer("ms").alias("_m")).where("_m is not null")
+    return rows.select(*others, "_m.cluster_id", "_m.d2", "_m.m")
 
 
 def accumulate(points: DataFrame) -> DataFrame:
@@ -100,7 +102,8 @@ def candidates(points: DataFrame, clusters: DataFrame, temperature: float, targe
     near = F.sort_array(F.transform("cs", lambda c: F.struct(scaled_distance(F.col("x0"), F.col("x1"), c).alias("d2"), c["cluster_id"].alias("cluster_id"))))
     near = F.slice(near, 1, target)
     rows = rows.select("point_id", near.alias("near")).select("point_id", F.filter("near", lambda x: x["d2"] - F.get("near", F.lit(0))["d2"] <= 2 * cut * temperature).alias("near"))
-    return rows.select("point_id", F.posexplode("near").alias("rank", "c")).select("point_id", (F.col("rank") + 1).alias("rank"), "c.cluster_id", "c.d2")
+    rows = rows.select("point_id", F.posexplode_outer("near").alias("rank", "c")).where("c is not null")  # outer: see long_form
+    return rows.select("point_id", (F.col("rank") + 1).alias("rank"), "c.cluster_id", "c.d2")
 
 
 def close_clusters(clusters: DataFrame, limit: float) -> DataFrame:

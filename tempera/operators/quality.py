@@ -55,25 +55,29 @@ def point_quality(assigned: DataFrame, clusters: DataFrame, cut: float, sponge_i
 
 
 def point_statistics(quality: DataFrame) -> DataFrame:
-    """By cluster: its legal points, illegal ones, sponge points near it, and its extension."""
-    own = quality.where("not in_sponge").groupBy("cluster_id").agg(
-        F.count_if(~F.col("illegal")).alias("n_legal"), F.count_if("illegal").alias("n_illegal"), F.sqrt(F.max(F.when(~F.col("illegal"), F.col("own_d2")))).alias("extension")
+    """By cluster: its legal points, illegal ones, sponge points near it, and its extension. One pass:
+    a point counts for its own cluster and for the nearest one."""
+    legal = ~F.col("in_sponge") & ~F.col("illegal")
+    side = lambda id_, **more: F.struct(F.col(id_).alias("cluster_id"), *[v.alias(k) for k, v in more.items()])
+    no = F.lit(False)
+    own = side("cluster_id", mine=~F.col("in_sponge"), legal=legal, illegal=F.col("illegal"), d2=F.when(legal, F.col("own_d2")), near=no)
+    near = side("nearest", mine=no, legal=no, illegal=no, d2=F.lit(None).cast("double"), near=F.col("confused"))
+    rows = quality.select(F.explode(F.array(own, near)).alias("s")).select("s.*")
+    out = rows.groupBy("cluster_id").agg(
+        F.count_if("legal").alias("n_legal"), F.count_if("illegal").alias("n_illegal"), F.sqrt(F.max("d2")).alias("extension"), F.count_if("near").alias("n_sponge_near"), F.bool_or("mine").alias("_mine")
     )
-    near = quality.where("confused").groupBy(F.col("nearest").alias("cluster_id")).agg(F.count("*").alias("n_sponge_near"))
-    return own.join(near, "cluster_id", "left").fillna(0, ["n_sponge_near"])
+    return out.where("_mine").drop("_mine")
 
 
 def experiment_shifts(assigned: DataFrame, clusters: DataFrame, params: tuple[float, float], sponge_id: int | None = None) -> DataFrame:
-    """Mean and deviation of the scaled offsets from their clusters, by experiment."""
+    """Mean and deviation of the scaled offsets from their clusters, by experiment, in one pass: points
+    of no cluster (the sponge's) have no offset."""
     own = clusters.where("not is_sponge").select("cluster_id", "y0", "y1")
-    rows = assigned.join(F.broadcast(own), "cluster_id")
+    rows = assigned.join(F.broadcast(own), "cluster_id", "left")
     shift0, shift1 = (F.col("x0") - F.col("y0")) / (params[0] * F.col("y0")), (F.col("x1") - F.col("y1")) / params[1]
     stats = [f(s).alias(f"{n}{i}") for i, s in enumerate((shift0, shift1)) for n, f in (("shift", F.avg), ("sd", F.stddev_pop))]
-    out = rows.groupBy("experiment").agg(F.count("*").alias("n"), *stats)
-    if sponge_id is None:
-        return out
-    sponge = assigned.where(F.col("cluster_id") == sponge_id).groupBy("experiment").agg(F.count("*").alias("n_sponge"))
-    return out.join(sponge, "experiment", "left").fillna(0, ["n_sponge"])
+    sponge = [] if sponge_id is None else [F.count_if(F.col("cluster_id") == sponge_id).alias("n_sponge")]
+    return rows.groupBy("experiment").agg(F.count("y0").alias("n"), *stats, *sponge).where("n > 0")
 
 
 def status_lines(clusters: DataFrame, k: int) -> DataFrame:
