@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it is at most this many bytes, by its counted rows.
 BROADCAST_BYTES = 16 << 20
+#: Of an Arrow batch on its way to a Python worker. It is in memory several times there and in the executor, whose
+#: buffers double as they grow, so batches of long texts at Spark's default of 64 MB take gigabytes.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Only a session in local mode may leave it unset; it then gets a temporary folder."""
+    Only a session in local mode (one process) may leave it unset; it then gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tempera-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -57,6 +61,14 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def mapped(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``mapInArrow`` over batches of at most ``BATCH_BYTES``, unless the session sets another bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    conf.set(key, conf.get(key, str(BATCH_BYTES)))
+    return df.mapInArrow(function, schema)
+
+
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether a written table of rows of about ``row_bytes`` may be broadcast."""
     return df.count() * row_bytes <= limit

@@ -14,12 +14,16 @@ are induced from them by one scan over the buckets, and the common prefixes of n
 which windows are equal.
 
 Tasks settle equal contexts of their own batch before the shuffle, so a passage in a third of all
-rows is a row a batch. An anchor in more than ``HOT`` different contexts is compared by hashes of
-its windows instead, which aggregate on the map side; it is the same exact result.
+rows is a row a batch. Anchors of a very common line stand in new contexts in every document: those
+that a bounded sample of documents shows to be common are dealt by anchor and context, the others by
+anchor; the sample decides where rows go, never what comes out. An anchor in more than ``HOT``
+different contexts is split further, down to its single windows, by hashes of them that aggregate on
+the map side; it is the same result.
 
 Defined cases: a null or empty text has no bytes; texts below ``LENGTH`` bytes lose nothing; rows that
-repeat a doc_id are repeats of one document and all get its result; a null doc_id sorts first; an
-empty table gives no rows; other columns are ignored.
+repeat a doc_id and its text are repeats of one document and all get its result; other texts of the
+same doc_id are documents of their own, in the order of a hash; a null doc_id sorts first; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,17 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempera.llm.common import joined, written
+from tempera.llm.common import joined, mapped, written
 
 LENGTH, GRAM = 100, 24
 HOT = 20_000
+SAMPLE, COMMON = 5_000, 25  # documents looked at for common anchors; contexts there that make one common
 _GRAMS = LENGTH - GRAM + 1
 _PLACE = np.uint64(24)  # bits of a place in a batch
 _CHUNK = 4 << 20
 _BLOCK = 1 << 20
 _BASE = 0xD1342543DE82EF95
 _NO_ID = -(1 << 63)
-_SPANS = "doc_id long, start long, length long"
+_SPANS = "doc_id long, twin long, start long, length long"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -109,15 +114,15 @@ class Anchors:
         return out[0], out[1][::-1]
 
 
-def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
-    """Ids, offsets and texts of about ``_CHUNK`` bytes; a longer text comes in overlapping parts
+def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, int]], list[int], list[bytes]]]:
+    """Ids (with twins), offsets and texts of about ``_CHUNK`` bytes; a longer text comes in overlapping parts
     that hold each of its windows once."""
     ids, offsets, texts, size = [], [], [], 0
     for batch in rows:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+        for doc_id, twin, text in zip(batch.column("doc_id").to_pylist(), batch.column("twin").to_pylist(), batch.column("text"), strict=True):
             data = (text.as_py() or "").encode()
             for k in range(0, max(1, len(data) - LENGTH + 1), _CHUNK):
-                ids.append(doc_id)
+                ids.append((doc_id, twin))
                 offsets.append(k)
                 texts.append(data[k : k + _CHUNK + LENGTH - 1])
                 size += len(texts[-1])
@@ -147,78 +152,92 @@ def _record(columns, names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in names.split(", ")])
 
 
-#: gram, context: of the row; doc_id; at: anchor place; ahead, behind: from the first and the last
-#: window's start to it. A settled span has no context, and its start and length in at and ahead.
-_ROWS = "gram long, context long, doc_id long, at long, ahead long"
+#: gram, context: of the row; salt: the context again for a common anchor, else 0; doc_id, twin: of the
+#: document; at: anchor place; ahead: from the first and the last window's start to it. A settled span has no
+#: context, and its start and length in at and ahead.
+_ROWS = "gram long, context long, salt long, doc_id long, twin long, at long, ahead long"
 
 
-def _find_anchors(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find_anchors(common: np.ndarray):
     """The runs of windows of all texts; of equal contexts in a batch only the first."""
-    anchors = Anchors()
-    for ids, offsets, texts in _batches(rows):
-        text, start, stop, at, gram, context = anchors.of(texts)
-        doc, offset = np.array(ids, np.int64)[text], np.array(offsets, np.int64)[text]
-        start, stop, at = start + offset, stop + offset, at + offset
-        order = np.lexsort((at, doc, context, gram))
-        doc, start, stop, at, gram, context = (x[order] for x in (doc, start, stop, at, gram, context))
-        new = np.r_[True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])][: len(doc)]
-        head = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
-        repeat = ~new & ((doc != doc[head]) | (at != at[head]))
-        if len(doc):
-            yield _record((gram[new], context[new], doc[new], at[new], ((at - start) * 128 + (at - stop))[new]), _ROWS)
-        d, s, n = merged(doc[repeat], start[repeat], stop[repeat] + LENGTH)
-        if len(d):
-            spans = _record((_mixed(d.view(np.uint64)).view(np.int64), s, d, s, n), _ROWS)
-            yield spans.set_column(1, "context", pa.nulls(len(d), pa.int64()))
-
-
-_SETTLED = "gram long, doc_id long, start long, length long, at long"
+
+    def find(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = Anchors()
+        for ids, offsets, texts in _batches(rows):
+            text, start, stop, at, gram, context = anchors.of(texts)
+            doc, twin = np.array(ids, np.int64).reshape(-1, 2)[text].T
+            offset = np.array(offsets, np.int64)[text]
+            start, stop, at = start + offset, stop + offset, at + offset
+            order = np.lexsort((at, twin, doc, context, gram))
+            text, doc, twin, start, stop, at, gram, context = (x[order] for x in (text, doc, twin, start, stop, at, gram, context))
+            new = np.r_[True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])][: len(doc)]
+            head = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+            repeat = ~new & ((doc != doc[head]) | (twin != twin[head]) | (at != at[head]))
+            if len(doc):
+                salt = np.where(np.isin(gram, common), context | 1, 0)
+                yield _record([x[new] for x in (gram, context, salt, doc, twin, at, (at - start) * 128 + (at - stop))], _ROWS)
+            k, s, n = merged(text[repeat], start[repeat], stop[repeat] + LENGTH)
+            if len(k):
+                d, e = np.array(ids, np.int64)[k].T
+                none = np.zeros(len(k), np.int64)
+                spans = _record((_mixed(d.view(np.uint64)).view(np.int64), s, none, d, e, s, n), _ROWS)
+                yield spans.set_column(1, "context", pa.nulls(len(k), pa.int64()))
+
+    return find
+
+
+_SETTLED = "gram long, doc_id long, twin long, start long, length long, at long"
 
 
 def _settle(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by gram, context, document and place: repeats of a context become spans, first
-    rows of an anchor with several contexts stay to be compared (with ``at``; its other rows none)."""
-    last = None  # gram, context, doc, at of the current context's first row
+    rows of an anchor with several contexts, or a common one, stay to be compared (with ``at``; its other
+    rows none)."""
+    last = None  # gram, context, doc, twin, at of the current context's first row
     waiting = None  # the first row of an anchor while no second context was seen
+
+    def spans(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        columns = [*map(np.concatenate, zip(*parts, strict=True))]
+        if len(columns[0]):
+            yield _record((*columns, columns[0]), _SETTLED).set_column(5, "at", pa.nulls(len(columns[0]), pa.int64()))
+
     for batch in rows:
-        gram, doc, at, ahead = (batch.column(c).to_numpy() for c in ("gram", "doc_id", "at", "ahead"))
+        gram, salt, doc, twin, at, ahead = (batch.column(c).to_numpy() for c in ("gram", "salt", "doc_id", "twin", "at", "ahead"))
         span = np.asarray(batch.column("context").is_null())
         context = batch.column("context").fill_null(0).to_numpy()
-        done = [(gram[span], doc[span], at[span], ahead[span])]
-        gram, context, doc, at, ahead = (x[~span] for x in (gram, context, doc, at, ahead))
+        done = [tuple(x[span] for x in (gram, doc, twin, at, ahead))]
+        gram, context, salt, doc, twin, at, ahead = (x[~span] for x in (gram, context, salt, doc, twin, at, ahead))
         if not len(gram):
-            if len(done[0][0]):
-                yield _record((*done[0], np.zeros(len(done[0][0]), np.int64)), _SETTLED).set_column(4, "at", pa.nulls(len(done[0][0]), pa.int64()))
+            yield from spans(done)
             continue
         if last:  # go on where the batch before ended
-            gram, context, doc, at, ahead = (np.r_[np.int64(x), y] for x, y in zip((*last, 0), (gram, context, doc, at, ahead), strict=True))
+            salt, ahead = np.r_[salt[:1] * 0, salt], np.r_[ahead[:1] * 0, ahead]
+            gram, context, doc, twin, at = (np.r_[np.int64(x), y] for x, y in zip(last, (gram, context, doc, twin, at), strict=True))
         new_gram = np.r_[True, gram[1:] != gram[:-1]]
         new = new_gram | np.r_[True, context[1:] != context[:-1]]
         index = np.arange(len(gram))
         head = np.maximum.accumulate(np.where(new, index, 0))
-        repeat = ~new & ((doc != doc[head]) | (at != at[head]))
-        done.append((gram[repeat], doc[repeat], at[repeat] - (ahead[repeat] >> 7), (ahead[repeat] >> 7) - (ahead[repeat] & 127) + LENGTH))
+        repeat = ~new & ((doc != doc[head]) | (twin != twin[head]) | (at != at[head]))
+        done.append((gram[repeat], doc[repeat], twin[repeat], at[repeat] - (ahead[repeat] >> 7), (ahead[repeat] >> 7) - (ahead[repeat] & 127) + LENGTH))
         group = np.cumsum(new_gram) - 1
-        several = np.bincount(group, new)[group] > 1
+        several = (np.bincount(group, new)[group] > 1) | (salt != 0)
         ask = new & several
         ask[0] &= not last  # it was seen before; what became of it is in waiting
-        rows_asked = [tuple(x[ask] for x in (gram, doc, at, ahead))]
+        asked = [tuple(x[ask] for x in (gram, doc, twin, at, ahead))]
         if last:
             same = int(np.searchsorted(group, 1)) if group[-1] else len(group)
             if waiting and new[1:same].any():
-                rows_asked.append(tuple(np.array([x], np.int64) for x in waiting))
+                asked.append(tuple(np.array([x], np.int64) for x in waiting))
                 waiting = None
         k = int(head[-1])
         first_of_gram = int(np.flatnonzero(new_gram)[-1])
         if not (last and first_of_gram == 0):  # an anchor that began here
-            waiting = None if several[-1] else tuple(int(x[first_of_gram]) for x in (gram, doc, at, ahead))
-        last = tuple(int(x[k]) for x in (gram, context, doc, at))
-        g, d, s, n = map(np.concatenate, zip(*done, strict=True))
-        if len(g):
-            yield _record((g, d, s, n, np.zeros(len(g), np.int64)), _SETTLED).set_column(4, "at", pa.nulls(len(g), pa.int64()))
-        g, d, a, h = map(np.concatenate, zip(*rows_asked, strict=True))
+            waiting = None if several[-1] else tuple(int(x[first_of_gram]) for x in (gram, doc, twin, at, ahead))
+        last = tuple(int(x[k]) for x in (gram, context, doc, twin, at))
+        yield from spans(done)
+        g, d, e, a, h = map(np.concatenate, zip(*asked, strict=True))
         if len(g):
-            yield _record((g, d, a - (h >> 7), (h >> 7) - (h & 127) + LENGTH, a), _SETTLED)
+            yield _record((g, d, e, a - (h >> 7), (h >> 7) - (h & 127) + LENGTH, a), _SETTLED)
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -315,19 +334,20 @@ def repeats_in_block(doc: np.ndarray, start: np.ndarray, texts: list[bytes]) ->
 
 def _compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by anchor: whole anchors are put together into blocks and sorted."""
-    doc, start, texts, size, last = [], [], [], 0, None
+    ids, start, texts, size, last = [], [], [], 0, None
 
     def block() -> Iterator[pa.RecordBatch]:
-        found = merged(*repeats_in_block(np.array(doc, np.int64), np.array(start, np.int64), texts))
-        if len(found[0]):
-            yield _record(found, _SPANS)
+        pairs, doc = np.unique(np.array(ids, np.int64), axis=0, return_inverse=True)
+        k, s, n = merged(*repeats_in_block(doc.ravel(), np.array(start, np.int64), texts))
+        if len(k):
+            yield _record((*pairs[k].T, s, n), _SPANS)
 
     for batch in rows:
-        for g, d, s, t in zip(*[batch.column(c).to_pylist() for c in ("gram", "doc_id", "start", "bytes")], strict=True):
+        for g, d, e, s, t in zip(*[batch.column(c).to_pylist() for c in ("gram", "doc_id", "twin", "start", "bytes")], strict=True):
             if size >= _BLOCK and g != last:
                 yield from block()
-                doc, start, texts, size = [], [], [], 0
-            doc.append(d)
+                ids, start, texts, size = [], [], [], 0
+            ids.append((d, e))
             start.append(s)
             texts.append(t)
             size, last = size + len(t), g
@@ -335,46 +355,72 @@ def _compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from block()
 
 
+_WINDOW = "one long, two long, doc_id long, twin long, start long"
+
+
 def _hash_windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     anchors = Anchors()
     for batch in rows:
-        for d, s, t in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "start", "bytes")], strict=True):
+        for d, e, s, t in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "twin", "start", "bytes")], strict=True):
             one, two = anchors.windows(t)
-            yield _record((one, two, np.full(len(one), d), s + np.arange(len(one))), "one long, two long, doc_id long, start long")
+            yield _record((one, two, np.full(len(one), d), np.full(len(one), e), s + np.arange(len(one))), _WINDOW)
+
+
+_CONTEXT = "gram long, doc_id long, twin long, start long, bytes binary"
 
 
 def _contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         out = []
-        for d, text, asked in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+        for d, e, text, asked in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "twin", "text", "asked")], strict=True):
             data = (text or "").encode()
-            out += [(x["gram"], d, x["start"], data[x["start"] : x["start"] + x["length"]]) for x in asked]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            out += [(x["gram"], d, e, x["start"], data[x["start"] : x["start"] + x["length"]]) for x in asked]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["gram", "doc_id", "start", "bytes"])
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, start, length`` (bytes) of what repeats an earlier string; spans may overlap. The
-    texts' shuffle by doc_id is the one that ``without_repeats`` needs too, so it happens once."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
-    found = rows.mapInArrow(_find_anchors, _ROWS)
-    dealt = found.repartition("gram").sortWithinPartitions("gram", "context", "doc_id", "at")
-    settled = written(dealt.mapInArrow(_settle, _SETTLED), "suffix-settled")
-    spans = settled.where("at is null").select("doc_id", "start", "length")
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in _CONTEXT.split(", ")])
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """``doc_id, twin, text, row`` (all columns): a null doc_id as a number, and a twin that tells the texts
+    of a repeated doc_id apart: a hash of the text, or 0 where the doc_id occurs once."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    often = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("often"))
+    rows = joined(rows, written(often, "suffix-ids"), "doc_id", "left", 16)
+    twin = F.when(F.col("often"), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(0)
+    return rows.select("doc_id", twin.cast("long").alias("twin"), "text", "row")
+
+
+def _common_anchors(rows: DataFrame) -> np.ndarray:
+    """Anchors in at least ``COMMON`` different contexts of a sample of about ``SAMPLE`` documents."""
+    share = SAMPLE / max(1, rows.count())
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "twin"), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30))))
+    found = mapped(some, _find_anchors(np.zeros(0, np.int64)), _ROWS).where("context is not null")
+    often = found.groupBy("gram").agg(F.count_distinct("context").alias("n")).where(F.col("n") >= COMMON)
+    return np.sort(np.array([r["gram"] for r in often.select("gram").collect()], np.int64))
+
+
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """``doc_id, twin, start, length`` (bytes) of what repeats an earlier string, in rows of
+    ``_identified``; spans may overlap. The texts' shuffle by document is the one that ``without_repeats``
+    needs too, so it happens once."""
+    rows = rows.select("doc_id", "twin", "text")
+    found = mapped(rows, _find_anchors(_common_anchors(rows)), _ROWS)
+    dealt = found.repartition("gram", "salt").sortWithinPartitions("gram", "context", "doc_id", "twin", "at")
+    settled = written(mapped(dealt, _settle, _SETTLED), "suffix-settled")
+    spans = settled.where("at is null").select("doc_id", "twin", "start", "length")
     asked = settled.where("at is not null").drop("at")
-    by_doc = written(asked.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "start", "length")).alias("asked")), "suffix-asked")
-    contexts = rows.join(by_doc, "doc_id").mapInArrow(_contexts, "gram long, doc_id long, start long, bytes binary")
+    by_doc = written(asked.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("gram", "start", "length")).alias("asked")), "suffix-asked")
+    contexts = mapped(rows.join(by_doc, ["doc_id", "twin"]), _contexts, _CONTEXT)
     hot = written(asked.groupBy("gram").count().where(F.col("count") > HOT).select("gram"), "suffix-hot")
     if hot.isEmpty():
         cool = contexts
     else:
         cool = joined(contexts, hot, "gram", "left_anti", 16)
-        windows = joined(contexts, hot, "gram", "left_semi", 16).mapInArrow(_hash_windows, "one long, two long, doc_id long, start long")
-        firsts = windows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        later = windows.join(firsts, ["one", "two"]).where("doc_id <> first.doc_id or start <> first.start")
-        spans = spans.unionByName(later.select("doc_id", "start", F.lit(LENGTH).cast("long").alias("length")))
-    compared = cool.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare, _SPANS)
+        windows = written(mapped(joined(contexts, hot, "gram", "left_semi", 16), _hash_windows, _WINDOW), "suffix-windows")
+        firsts = windows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "twin", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        later = windows.join(firsts, ["one", "two"]).where("doc_id <> first.doc_id or twin <> first.twin or start <> first.start")
+        spans = spans.unionByName(later.select("doc_id", "twin", "start", F.lit(LENGTH).cast("long").alias("length")))
+    compared = mapped(cool.repartition("gram").sortWithinPartitions("gram"), _compare, _SPANS)
     return spans.unionByName(compared)
 
 
@@ -390,14 +436,16 @@ def _cut(data: bytes, found: list[dict]) -> tuple[bytes, list[dict]]:
     return b"".join([*parts, data[at:]]), [{"start": s, "length": n} for s, n in zip(start.tolist(), length.tolist(), strict=True)]
 
 
-def _spans_by_doc(docs: DataFrame) -> DataFrame:
-    return repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+def _with_spans(docs: DataFrame) -> DataFrame:
+    rows = _identified(docs)
+    spans = repeated_spans(rows).groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    return rows.join(spans, ["doc_id", "twin"], "left")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, spans, kept`` for every row: the removed runs, joined
     to maximal ones, and the bytes that stay, in order."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
+    rows = _with_spans(docs.select("doc_id", "text")).select("doc_id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
@@ -412,23 +460,25 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, length: long>>, kept binary"
-    return rows.join(_spans_by_doc(docs), "doc_id", "left").mapInArrow(cut, schema)
+    return mapped(rows, cut, schema)
 
 
-def cut_texts(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with all their columns, their texts without the repeats, and whether a
-    text was ``_changed``. A character whose bytes are cut in part goes whole."""
-    spans = _spans_by_doc(docs).toDF("_id", "_spans")
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).join(spans, "_id", "left").drop("_id")
+def cut_texts(docs: DataFrame, length: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with all their columns, whatever their names, and their texts without the
+    repeats. A character whose bytes are cut in part goes whole. ``length`` names a column that gets the
+    new count of characters where a text changed."""
+    rows = _with_spans(docs).select("text", "spans", "row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, found = batch.column("text").to_pylist(), batch.column("_spans")
-            changed = found.is_valid()
-            for i in np.flatnonzero(np.asarray(changed)):
-                text[i] = _cut(text[i].encode(), found[int(i)].as_py())[0].decode("utf-8", "ignore")
-            out = batch.drop_columns(["_spans"])
-            out = out.set_column(out.schema.get_field_index("text"), "text", pa.array(text, pa.string()))
-            yield out.append_column("_changed", changed)
-
-    return rows.mapInArrow(cut, rows.drop("_spans").withColumn("_changed", F.lit(True)).schema)
+            text, found = batch.column("text").to_pylist(), batch.column("spans")
+            for i in np.flatnonzero(np.asarray(found.is_valid())):
+                text[i] = _cut((text[i] or "").encode(), found[int(i)].as_py())[0].decode("utf-8", "ignore")
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), found.is_valid(), batch.column("row")], ["text", "changed", "row"])
+
+    out = mapped(rows, cut, rows.withColumn("changed", F.lit(True)).select("text", "changed", "row").schema)
+    new = {"text": F.col("text")}
+    if length in docs.columns:
+        kept = F.col("row").getField(length)
+        new[length] = F.when(F.col("changed"), F.length("text").cast(docs.schema[length].dataType)).otherwise(kept)
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
