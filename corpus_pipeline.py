@@ -28,9 +28,7 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of at least 100 bytes that stand earlier too are cut out of the texts. A text may end
     up empty; its document stays."""
-    out = suffix_dedup.cut_texts(docs)
-    n_chars = F.when(F.col("_changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n_chars).select(docs.columns)
+    return suffix_dedup.cut_texts(docs, length="n_chars")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
