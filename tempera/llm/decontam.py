@@ -11,11 +11,16 @@ samples, repeat the search until it finds ``RECALL`` of copies with all the edit
 window found is compared first, then the whole item with its best substring around the place, both
 by exact edit distance.
 
-The items travel with the tasks in blocks of at most ``BLOCK_BYTES``; a larger benchmark takes more
-passes over the documents. Documents never shuffle.
+Items below ``SHORT`` bytes have no such windows; of their most edits + 1 pieces one stands in a copy
+unchanged, so these are looked up and the whole item compared around them, which misses nothing.
 
-Defined cases: null or empty texts match nothing; items below ``SHORT`` bytes are searched exactly;
-repeated rows and equal items give a row each; an empty table gives no rows; other columns are
+The items travel with the tasks in blocks of at most ``BLOCK_POSTINGS`` indexed windows (about 12 bytes
+each); a larger benchmark takes more passes over the documents, one block on the driver at a time.
+Documents never shuffle.
+
+Defined cases: null or empty texts match nothing; items without a character but white space are no
+items; an item without id has a null ``item_id``; repeated rows and equal items give a row each; of
+equally good places of an item the first is told; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -29,17 +34,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHORT = 19  # bytes of the least length class
+from tempera.llm.common import mapped, written
+
+SHORT = 19  # bytes of the least length class; shorter items are found by their pieces
 RECALL = 0.98  # of copies with all the edits that the threshold allows, in every length class
 MOST_WINDOW = 30
 MAX_WINDOW_EDITS = 0.3  # of a colliding window, before its whole item is verified
 TABLES, PLACES = 8, 12  # samples a walk, places a sample
 MOST_WALKS = 60
 _PLANTED = 600  # copies a plan searches
+_PLANNED = 200  # items of a class whose copies it plants
 MAX_EDITS = 0.15  # of an item's length
-BLOCK_BYTES = 256 << 10
+BLOCK_POSTINGS = 16 << 20
 _CHUNK = 4 << 20  # bytes of documents walked at once
 _BATCH = 16_384  # windows whose arrays stay in the processor's cache
+_PROBED = 65_536  # windows looked up at once
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b"\t\n\r\x0b\x0c" else b for b in range(256))
 MATCH = "doc_id long, item_id long, start long, length long, edits long"
 
@@ -99,35 +108,77 @@ class _Tables:
         self.walk = _Walk(self.w, seed)
         buffer, first = self.goals = _joined(goals, self.w)
         n = np.array([len(t) - self.w + 1 for t in goals])
-        item = np.repeat(np.arange(len(goals), dtype=np.int32), n)
-        offset = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+        self.item = np.repeat(np.arange(len(goals), dtype=np.int32), n)
+        self.offset = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+        place = self.offset // np.array([_slack(t) for t in goals])[self.item]
         self.lists = []
-        for h in self.walk.hashes(buffer, first[item] + offset):
+        for h in self.walk.hashes(buffer, first[self.item] + self.offset):
             order = np.argsort(h, kind="stable")
+            hs, i, p = h[order], self.item[order], place[order]
+            order = order[np.r_[True, (hs[1:] != hs[:-1]) | (i[1:] != i[:-1]) | (p[1:] != p[:-1])]]  # of equal windows side by side one
             there = np.zeros(1 << self._BITS, bool)
             there[(h >> np.uint64(64 - self._BITS)).astype(np.int64)] = True
-            self.lists.append((there, h[order], item[order], offset[order]))
+            self.lists.append((np.packbits(there, bitorder="little"), h[order], order.astype(np.int32)))
 
     def shared(self, texts: list[bytes]) -> np.ndarray:
         """Rows (text, item, item's start in the text, window's start) of windows with an equal hash and at
         most ``MAX_WINDOW_EDITS`` between them."""
         buffer, first = _joined(texts, self.w)
-        lengths = np.array([len(t) for t in texts])
-        n = lengths // self.w
+        n = np.array([len(t) for t in texts]) // self.w
         text = np.repeat(np.arange(len(texts)), n)
         place = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * self.w
-        found = [np.zeros((0, 4), np.int64)]
-        for h, (there, keys, item, offset) in zip(self.walk.hashes(buffer, first[text] + place), self.lists, strict=True):
-            maybe = np.flatnonzero(there[(h >> np.uint64(64 - self._BITS)).astype(np.int64)])
+        parts = [self._shared(buffer, first, text[k : k + _PROBED], place[k : k + _PROBED]) for k in range(0, len(text), _PROBED)]
+        return np.concatenate([np.zeros((0, 4), np.int64), *parts])
+
+    def _shared(self, buffer: np.ndarray, first: np.ndarray, text: np.ndarray, place: np.ndarray) -> np.ndarray:
+        found, total = [], np.int64(len(self.item))
+        for h, (there, keys, window) in zip(self.walk.hashes(buffer, first[text] + place), self.lists, strict=True):
+            high = (h >> np.uint64(64 - self._BITS)).astype(np.int64)
+            maybe = np.flatnonzero(there[high >> 3] >> (high & 7).astype(np.uint8) & 1)
             lo, hi = np.searchsorted(keys, h[maybe], "left"), np.searchsorted(keys, h[maybe], "right")
             q = np.repeat(maybe, hi - lo)
             k = np.arange(len(q)) - np.repeat(np.cumsum(hi - lo) - hi, hi - lo)
-            found.append(np.stack([text[q], item[k], place[q] - offset[k], place[q]], 1))
-        rows = np.unique(np.concatenate(found), axis=0)
+            found.append(q * total + window[k])
+        q, window = np.divmod(np.unique(np.concatenate(found)), max(1, total))
         goals, begin = self.goals
-        at, goal_at = first[rows[:, 0]] + rows[:, 3], begin[rows[:, 1]] + rows[:, 3] - rows[:, 2]
-        near = [_window_edits(buffer, at[k : k + 2048], goals, goal_at[k : k + 2048], self.w) for k in range(0, len(rows), 2048)]
-        return rows[np.concatenate(near) <= MAX_WINDOW_EDITS * self.w] if near else rows
+        item, offset = self.item[window].astype(np.int64), self.offset[window]
+        at, goal_at = first[text[q]] + place[q], begin[item] + offset
+        near = [_window_edits(buffer, at[k : k + 2048], goals, goal_at[k : k + 2048], self.w) for k in range(0, len(q), 2048)]
+        good = np.concatenate([np.zeros(0, int), *near]) <= MAX_WINDOW_EDITS * self.w
+        return np.stack([text[q], item, place[q] - offset, place[q]], 1)[good]
+
+
+class _Pieces:
+    """The pieces of items below ``SHORT`` bytes, one more than the edits that an item allows."""
+
+    def __init__(self, items: list[tuple[int, bytes]]):
+        self.goals, self.begin = _joined([t for _, t in items], SHORT)
+        self.items, self.pieces = items, {}
+        for k, (_, t) in enumerate(items):
+            cuts = [len(t) * i // (_most(t) + 1) for i in range(_most(t) + 2)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                self.pieces.setdefault(t[a:b], []).append((k, a))
+
+    def candidates(self, texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """(text, item, start of the item in the text) around pieces, where the whole item is near."""
+        buffer, first = _joined(texts, SHORT)
+        data, starts, lengths = buffer.tobytes(), first, np.array([len(t) for t in texts])
+        for piece, where in self.pieces.items():
+            at, places = data.find(piece), []
+            while at >= 0:
+                places.append(at)
+                at = data.find(piece, at + 1)
+            places = np.array(places, np.int64)
+            text = np.searchsorted(starts, places, "right") - 1
+            inside = places < starts[text] + lengths[text]
+            for k, a in where:
+                item, goal = self.items[k]
+                at = np.maximum(places[inside] - a, 0)
+                for c in range(0, len(at), 2048):
+                    part = at[c : c + 2048]
+                    near = _window_edits(self.goals, np.full(len(part), self.begin[k]), buffer, part, len(goal)) <= _most(goal)
+                    for t, p in zip(text[inside][c : c + 2048][near].tolist(), part[near].tolist(), strict=True):
+                        yield t, item, p - int(starts[t])
 
 
 def _joined(texts: list[bytes], w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +223,7 @@ def plan_walks(goals: list[bytes], least: int, recall: float = RECALL) -> int:
     rng = np.random.default_rng([_PLANTED, least])
     which = np.arange(_PLANTED) % len(goals)
     lead = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in rng.integers(0, 2 * least, _PLANTED)]
-    texts = [x + edited(goals[i], int(len(goals[i]) * MAX_EDITS), rng) + bytes(least) for x, i in zip(lead, which, strict=True)]
+    texts = [x + edited(goals[i], _most(goals[i]), rng) + bytes(least) for x, i in zip(lead, which, strict=True)]
     starts, slack = np.array([len(x) for x in lead]), np.array([_slack(goals[i]) for i in which])
     found = np.zeros(_PLANTED, bool)
     for walks in range(1, MOST_WALKS + 1):
@@ -186,11 +237,15 @@ def plan_walks(goals: list[bytes], least: int, recall: float = RECALL) -> int:
     return MOST_WALKS
 
 
+def _most(goal: bytes) -> int:
+    return int(len(goal) * MAX_EDITS)
+
+
 def _slack(goal: bytes) -> int:
-    return max(8, int(len(goal) * MAX_EDITS))
+    return max(8, _most(goal))
 
 
-def plan(items: list[tuple[int, bytes]], recall: float = RECALL) -> dict[int, int]:
+def plan(items: list[tuple[int | None, bytes]], recall: float = RECALL) -> dict[int, int]:
     """Walks by length class."""
     classes: dict[int, list[bytes]] = {}
     for _, t in items:
@@ -202,19 +257,21 @@ def plan(items: list[tuple[int, bytes]], recall: float = RECALL) -> dict[int, in
 class Index:
     """The windows of a block of items by size and walk; classes of one size share its walks."""
 
-    def __init__(self, items: list[tuple[int, bytes]], walks: dict[int, int] | None = None):
+    def __init__(self, items: list[tuple[int | None, bytes]], walks: dict[int, int] | None = None):
         self.items = items
-        self.short = [(i, t) for i, (_, t) in enumerate(items) if 0 < len(t) < SHORT]
+        self.short = _Pieces([(i, t) for i, (_, t) in enumerate(items) if 0 < len(t) < SHORT])
         self.tables: list[tuple[np.ndarray, _Tables]] = []
         walks = plan(items) if walks is None else walks
+        of = [walks.get(length_class(len(t)), 0) if len(t) >= SHORT else 0 for _, t in items]
         for w in sorted({_window(least) for least in walks}):
             for s in range(max(n for least, n in walks.items() if _window(least) == w)):
-                mine = [i for i, (_, t) in enumerate(items) if len(t) >= SHORT and _window(length_class(len(t))) == w and walks[length_class(len(t))] > s]
-                self.tables.append((np.array(mine), _Tables([items[i][1] for i in mine], w, s)))
+                mine = [i for i, (_, t) in enumerate(items) if of[i] > s and _window(length_class(len(t))) == w]
+                if mine:
+                    self.tables.append((np.array(mine), _Tables([items[i][1] for i in mine], w, s)))
 
     def candidates(self, texts: list[bytes]) -> list[tuple[int, int, int]]:
-        """(text, item, start of the item in the text) that share a window by a sampled hash."""
-        out: set[tuple[int, int, int]] = set()
+        """(text, item, start of the item in the text) that share a window by a sampled hash, or a piece."""
+        out = set(self.short.candidates(texts))
         for mine, walk in self.tables:
             out.update((t, int(mine[i]), start) for t, i, start in walk.shared(texts)[:, :3].tolist())
         return sorted(out)
@@ -225,7 +282,7 @@ class Index:
         tried: set[tuple[int, int, int]] = set()
         for text, item, start in self.candidates(texts):
             goal = self.items[item][1]
-            slack, most = _slack(goal), int(len(goal) * MAX_EDITS)
+            slack, most = _slack(goal), _most(goal)
             if (text, item, start // slack) in tried:
                 continue
             tried.add((text, item, start // slack))
@@ -233,10 +290,6 @@ class Index:
             hit = find(goal, texts[text][lo : max(0, start + len(goal) + 3 * slack)], most)
             if hit and (new := (hit[0], lo + hit[1], hit[2])) < best.get((text, item), (1 << 60,)):
                 best[text, item] = new
-        for item, goal in self.short:
-            for i, t in enumerate(texts):
-                if (at := t.find(goal)) >= 0:
-                    best[i, item] = (0, at, len(goal))
         return [(text, item, start, length, edits) for (text, item), (edits, start, length) in sorted(best.items())]
 
 
@@ -275,7 +328,7 @@ def find(goal: bytes, text: bytes, most: int) -> tuple[int, int, int] | None:
 _INDEXES: dict[int, Index] = {}
 
 
-def _index(items: list[tuple[int, bytes]], walks: dict[int, int]) -> Index:
+def _index(items: list[tuple[int | None, bytes]], walks: dict[int, int]) -> Index:
     key = hash(tuple(items))
     if key not in _INDEXES:
         _INDEXES.clear()
@@ -283,17 +336,32 @@ def _index(items: list[tuple[int, bytes]], walks: dict[int, int]) -> Index:
     return _INDEXES[key]
 
 
+def _plan_of(items: DataFrame) -> tuple[dict[int, int], int]:
+    """Walks by length class, planned on ``_PLANNED`` items of each, and the count of blocks."""
+    n = F.octet_length("text")
+    step = F.when(n >= SHORT, F.floor(F.log2(F.floor(n / SHORT)))).otherwise(-1)
+    sizes = items.groupBy(step.cast("int").alias("step")).agg(F.sum(n).alias("bytes")).collect()
+    walks, postings = {}, 0
+    for step_, size in sizes:
+        least = SHORT << max(0, step_)
+        if step_ >= 0:
+            some = items.where(step == step_).orderBy(F.xxhash64("text"), "text").limit(_PLANNED).collect()
+            walks[least] = plan_walks([folded(r["text"]) for r in some], least)
+        postings += size * TABLES * walks.get(least, 1)
+    return walks, max(1, -(-postings // BLOCK_POSTINGS))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, start, length, edits`` (in bytes) for every document and item it holds."""
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("length(text) > 0")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    blocks = -(-total // BLOCK_BYTES)
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("text").rlike(r"[^ \t\n\r\x0b\x0c]"))
+    walks, blocks = _plan_of(items)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     out = None
-    for block in range(max(1, blocks)):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks))) == block)
-        goals = sorted((r["item_id"] or 0, folded(r["text"])) for r in mine.collect())
-        found = rows.mapInArrow(_searched(goals, plan(goals)), MATCH)
+    for block in range(blocks):
+        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        goals = sorted(((r["item_id"], folded(r["text"])) for r in mine.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        found = mapped(rows, _searched(goals, walks), MATCH)
+        found = written(found, "decontam") if blocks > 1 else found
         out = out.unionByName(found) if out else found
     return out
 
