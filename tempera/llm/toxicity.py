@@ -2,14 +2,14 @@
 
 Features of a document are its distinct words and their prefixes of ``PREFIXES`` letters. Counts over
 the labelled rows choose the features whose rates differ clearly between the labels. The fit
-minimises the log loss plus, for every labelled document that names a group, a penalty on the
-square of the change of its score when each identity term is swapped for another of its kind; so a
-group's name alone can't carry a score. Loss and gradient are summed by Spark, one small job an
-evaluation; the driver holds the weights only.
+minimises the log loss plus a penalty on the square of the change of a labelled document's score
+under its counterfactual: each identity term is swapped for another of its kind; a document that
+names no group gets a mention of one, chosen by a hash of its text. So a group's name, and the
+prefixes it shares with other words, can't carry a score. Loss and gradient are summed by Spark, one
+small job an evaluation; the driver holds the weights only.
 
-Documented bounds: at most about ``MAX_FIT_ROWS`` labelled rows are fitted, chosen by a hash of
-their id; at most ``MAX_FEATURES`` features, those that differ the most. Every document is scored, on
-its whole text.
+Documented bound: at most about ``MAX_FIT_ROWS`` labelled rows are fitted, chosen by a hash of their
+id; the features, all from these rows, are bounded by them. Every document is scored, on its whole text.
 
 Defined cases: a null or empty text gets the score of no words; rows without a label of 0 or 1 don't
 teach, of repeated labels the greatest holds; without both labels the score is the share of label 1
@@ -20,19 +20,19 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempera.llm.common import written
+from tempera.llm.common import mapped, written
 
 MAX_FIT_ROWS = 100_000
-MAX_FEATURES = 16_384
 MIN_ROWS, MIN_G = 4, 12.25  # of a feature: labelled rows with it, log-likelihood ratio
 PREFIXES = (4, 5)
 L2, COUNTERFACTUAL = 1e-4, 1.0
@@ -49,50 +49,34 @@ IDENTITY_TERMS = (
     ("muslime", "christen", "juden"), ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
 )
 _SWAP = {t: kind[(i + 1) % len(kind)] for kind in IDENTITY_TERMS for i, t in enumerate(kind)}
+_TERMS = sorted(_SWAP)
 _WORD = re.compile(r"\w+")
-_REMEMBERED = 100_000
-_SLICE = 500  # texts whose features are counted at once
+_COUNTED = 300_000  # features a task counts before it passes the counts on
 
 
-def _features(word: str) -> tuple[int, ...]:
-    return tuple(xxhash.xxh3_64_intdigest(f) >> 1 for f in (word, *[f"^{word[:k]}" for k in PREFIXES if len(word) > k]))
+def _words(text: str | None) -> set[str]:
+    return set(_WORD.findall((text or "").lower()))
 
 
-class _Reader(dict):
-    """What the words of a chunk without white space stand for: their own features in ``keep`` (all:
-    None), and whether one is an identity term."""
+def _features(words: Iterable[str], keep: set[str] | None = None) -> set[str]:
+    """The words and their prefixes (marked by ^), of these only those to ``keep``."""
+    every = [set(words), *[{f"^{w[:k]}" for w in words if len(w) > k} for k in PREFIXES]]
+    return set().union(*[x if keep is None else x & keep for x in every])
 
-    def __init__(self, keep: dict[int, int] | None = None):
-        self.keep = keep
 
-    def __missing__(self, chunk: str) -> tuple[tuple[int, ...], bool]:
-        words = _WORD.findall(chunk)
-        found = [f for w in words for f in _features(w)]
-        if self.keep is not None:
-            found = [self.keep[f] for f in found if f in self.keep]
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        value = (tuple(found), any(w in _SWAP for w in words))
-        if len(chunk) <= 64:
-            self[chunk] = value
-        return value
-
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Distinct features of a text, and those of its counterfactual if it names a group."""
-        chunks = set((text or "").lower().split())
-        read = [self[c] for c in chunks]
-        mine = np.fromiter({f for x, _ in read for f in x}, np.int64)
-        if not any(named for _, named in read):
-            return mine, None
-        swapped = [self[_WORD.sub(lambda m: _SWAP.get(m[0], m[0]), c)] for c in chunks]
-        return mine, np.fromiter({f for x, _ in swapped for f in x}, np.int64)
+def _counterfactual(words: set[str], text: str | None) -> set[str]:
+    """The words with each identity term swapped, or with a mention of one if they name none."""
+    named = words & _SWAP.keys()
+    if named:
+        return (words - named) | {_SWAP[w] for w in named}
+    return words | {_TERMS[zlib.crc32((text or "").encode()) % len(_TERMS)]}
 
 
 @dataclass
 class Model:
     bias: float = 0.0  # in logits
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    features: dict[int, int] = field(default_factory=dict)
+    features: dict[str, int] = field(default_factory=dict)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -109,25 +93,29 @@ def _labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label")
 
 
-def _chosen(rows: DataFrame, n_pos: int, n_neg: int) -> list[int]:
+def _chosen(rows: DataFrame, n_pos: int, n_neg: int) -> list[str]:
     """Features with clearly different odds; counts are combined in the tasks, then by Spark."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader()
-        for whole in batches:
-            for k in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(k, _SLICE)
-                label = batch.column("label").to_numpy()
-                found = [reader.of(t.as_py())[0] for t in batch.column("text")]
-                f, at = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_inverse=True)
-                side = np.repeat(label, [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(f), *[pa.array(np.bincount(at[side == v], minlength=len(f))) for v in (1, 0)]], ["f", "p", "n"])
-
-    sums = rows.mapInArrow(count, "f long, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+        counts = Counter(), Counter()
+
+        def record() -> pa.RecordBatch:
+            names = list(counts[0].keys() | counts[1].keys())
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([counts[v][f] for f in names], pa.int64()) for v in (1, 0)]], ["f", "p", "n"])
+
+        for batch in batches:
+            for label, text in zip(batch.column("label").to_pylist(), batch.column("text"), strict=True):
+                counts[label].update(_features(_words(text.as_py())))
+                if len(counts[0]) + len(counts[1]) > _COUNTED:
+                    yield record()
+                    counts = Counter(), Counter()
+        yield record()
+
+    sums = mapped(rows, count, "f string, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     p, n, share = F.col("p"), F.col("n"), n_pos / (n_pos + n_neg)
     part = lambda k, of: F.when(k > 0, k * F.log(k / ((p + n) * of))).otherwise(0.0)
-    good = sums.where(p + n >= MIN_ROWS).select("f", (2 * (part(p, share) + part(n, 1 - share))).alias("g")).where(F.col("g") >= MIN_G)
-    return [r["f"] for r in good.orderBy(F.desc("g"), "f").limit(MAX_FEATURES).collect()]
+    good = sums.where(p + n >= MIN_ROWS).where(2 * (part(p, share) + part(n, 1 - share)) >= MIN_G)
+    return sorted(r["f"] for r in good.select("f").collect())
 
 
 def _lbfgs(loss, x: np.ndarray, rounds: int = 20, memory: int = 6) -> np.ndarray:
@@ -163,7 +151,7 @@ def _lbfgs(loss, x: np.ndarray, rounds: int = 20, memory: int = 6) -> np.ndarray
 
 def fit(docs: DataFrame, labels: DataFrame, counterfactual: float = COUNTERFACTUAL, max_rows: int = MAX_FIT_ROWS) -> Model:
     """Learn from ``labels`` (doc_id, toxic), but for the rows held out."""
-    rows = written(_labelled(docs, labels, max_rows), "labelled")
+    rows = written(_labelled(docs, labels, max_rows).hint("rebalance"), "labelled")
     by = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n_pos, n_neg = by.get(1, 0), by.get(0, 0)
     total = n_pos + n_neg
@@ -174,37 +162,39 @@ def fit(docs: DataFrame, labels: DataFrame, counterfactual: float = COUNTERFACTU
     size = len(features)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(features)
+        keep, kind = set(features), pa.list_(pa.int64())
         for batch in batches:
-            both = [reader.of(t.as_py()) for t in batch.column("text")]
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.int32()), pa.array([a for a, _ in both], kind), pa.array([b for _, b in both], kind)], ["label", "x", "other"])
+            out: list[list[list[int]]] = [[], [], []]
+            for text in batch.column("text").to_pylist():
+                words = _words(text)
+                x, other = _features(words, keep), _features(_counterfactual(words, text), keep)
+                for column, found in zip(out, (x, x - other, other - x), strict=True):
+                    column.append(sorted(features[f] for f in found))
+            yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.int32()), *[pa.array(c, kind) for c in out]], ["label", "x", "lost", "gained"])
 
-    vectors = written(rows.mapInArrow(read, "label int, x array<long>, other array<long>").coalesce(8), "toxicity-vectors")
+    kind = "label int, x array<long>, lost array<long>, gained array<long>"
+    vectors = written(mapped(rows, read, kind), "toxicity-vectors")
 
     def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lengths = column.value_lengths().fill_null(0).to_numpy()
-        return np.repeat(np.arange(len(column)), lengths), column.flatten().to_numpy()
+        return np.repeat(np.arange(len(column)), column.value_lengths().to_numpy()), column.flatten().to_numpy()
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value, grad = 0.0, np.zeros(size + 1)
             for batch in batches:
                 y, n = batch.column("label").to_numpy(), batch.num_rows
-                row, at = flat(batch.column("x"))
+                (row, at), (row1, lost), (row2, gained) = (flat(batch.column(c)) for c in ("x", "lost", "gained"))
                 s = np.bincount(row, w[at], n) + w[-1]
                 value += float(np.logaddexp(0, np.where(y == 1, -s, s)).sum())
                 g = 1 / (1 + np.exp(-s)) - y
-                row2, at2 = flat(batch.column("other"))
-                named = np.asarray(batch.column("other").is_valid())
-                change = np.where(named, s - w[-1] - np.bincount(row2, w[at2], n), 0)
+                change = np.bincount(row2, w[gained], n) - np.bincount(row1, w[lost], n)
                 value += counterfactual * float(change @ change)
                 change *= 2 * counterfactual
-                grad[:-1] += np.bincount(at, (g + change)[row], size) - np.bincount(at2, change[row2], size)
+                grad[:-1] += np.bincount(at, g[row], size) + np.bincount(gained, change[row2], size) - np.bincount(lost, change[row1], size)
                 grad[-1] += g.sum()
             yield pa.RecordBatch.from_arrays([pa.array([0] * (size + 2)), pa.array(np.arange(size + 2)), pa.array(np.r_[grad, value])], ["z", "i", "g"])
 
-        sums = vectors.mapInArrow(partial, "z long, i long, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()
+        sums = mapped(vectors, partial, "z long, i long, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()
         out = np.zeros(size + 2)
         for r in sums:
             out[r["i"]] = r["g"]
@@ -219,11 +209,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document, from its text alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(model.features)
+        keep = set(model.features)
         for batch in batches:
-            logit = np.array([model.bias + model.weights[np.sort(reader.of(t.as_py())[0])].sum() for t in batch.column("text")], float)
+            found = [sorted(model.features[f] for f in _features(_words(t.as_py()), keep)) for t in batch.column("text")]
+            logit = np.array([model.bias + model.weights[x].sum() for x in found], float)
             value = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value, pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
