@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tempera.llm.common import mapped
+
 #: The characters that stand for bytes in byte-level vocabularies are those of the
 #: printable ranges below; the other bytes follow from 256 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -200,4 +202,4 @@ def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = F
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     kinds = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
-    return docs.select("doc_id", "text").mapInArrow(encode, kinds)
+    return mapped(docs.select("doc_id", "text"), encode, kinds)

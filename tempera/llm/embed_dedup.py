@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempera.llm.common import written
+from tempera.llm.common import mapped, written
 from tempera.llm.components import connected_components
 
 COSINE = 0.9
@@ -61,7 +61,7 @@ def _hashed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
                 ["rep", "copies", "dim", "vector", "codes"],
             )
 
-    return classes.mapInArrow(run, "rep long, copies long, dim int, vector binary, codes array<int>")
+    return mapped(classes, run, "rep long, copies long, dim int, vector binary, codes array<int>")
 
 
 def _compare(cosine: float):

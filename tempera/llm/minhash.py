@@ -30,11 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempera.llm.common import joined, written
+from tempera.llm.common import joined, mapped, written
 from tempera.llm.components import connected_components
 
 BANDS, ROWS = 42, 6
-CIRCLE = 1 << 20  # places on the circle of the second permutation
+CIRCLE, FINE = 1 << 20, 12  # places on the circle of the second permutation, bits inside a place
 BITS = 2048  # of a parity bitmap
 BLOCK = 4096  # members compared at once with as many: two megabytes of bitmaps
 OFFERS = 4  # of a member and block in the first round; 16 times as many in each later one
@@ -79,19 +79,24 @@ class Shingler:
 
 
 class Signer:
-    """Circulant MinHash: the second permutation as a table, once around and on by a signature."""
+    """Circulant MinHash: the second permutation as a table, once around and on by a signature. Shingles on
+    one place of the circle are told apart by ``FINE`` more bits, so sets larger than the circle differ too."""
 
     def __init__(self):
-        around = np.random.default_rng(1).permutation(CIRCLE).astype(np.uint32)
+        around = np.random.default_rng(1).permutation(CIRCLE).astype(np.uint32) << np.uint32(FINE)
         n = BANDS * ROWS
         self.windows = np.lib.stride_tricks.sliding_window_view(np.r_[around, around[: n - 1]], n)
 
     def of(self, shingles: np.ndarray) -> np.ndarray:
         """All coordinates: row p of ``windows`` holds what place p has under each shift."""
-        at = (_mixed(shingles ^ np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.intp)
-        out = self.windows[at[:1024]].min(0)
-        for k in range(1024, len(at), 1024):
-            np.minimum(out, self.windows[at[k : k + 1024]].min(0), out=out)
+        mixed = _mixed(shingles ^ np.uint64(0x9E3779B97F4A7C15))
+        at = (mixed >> np.uint64(44)).astype(np.intp)
+        fine = (mixed.astype(np.uint32) >> np.uint32(32 - FINE))[:, None]
+        out = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+        for k in range(0, len(at), 1024):
+            part = self.windows[at[k : k + 1024]]
+            part |= fine[k : k + 1024]
+            np.minimum(out, part.min(0), out=out)
         return out
 
 
@@ -130,27 +135,24 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), bands, pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "bands", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, bits binary")
+    return mapped(rows, run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, bits binary")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b; written) of documents whose full sets are similar enough."""
+    """The pairs (a, b; written) of documents whose full sets are similar enough. The second join is on
+    ``a``, the one that many pairs share: its text comes to a task once, and its set is made once."""
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "minhash-ids")
     texts = joined(docs.select(F.col("doc_id").cast("long"), "text"), ids, "doc_id", "left_semi", 16)
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sets = Shingler(shingle), {}
+        shingler, last, x = Shingler(shingle), None, None
         for batch in batches:
             good = []
             for a, b, ta, tb in zip(*[batch.column(c) for c in ("a", "b", "text_a", "text_b")], strict=True):
                 a, b = a.as_py(), b.as_py()
-                x = sets.get(a)
-                if x is None:
-                    x = shingler.of(ta.as_py())
-                    if len(sets) >= 64:
-                        sets.clear()
-                    sets[a] = x
+                if a != last:
+                    last, x = a, shingler.of(ta.as_py())
                 y = shingler.of(tb.as_py())
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * common >= percent * (len(x) + len(y) - common):
@@ -158,7 +160,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
             if good:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*good, strict=True)], ["a", "b"])
 
-    return written(both.mapInArrow(run, "a long, b long"), "minhash-links")
+    return written(mapped(both, run, "a long, b long"), "minhash-links")
 
 
 def _offered(percent: int, offers: int):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempera.llm.common import written
+from tempera.llm.common import mapped, written
 
 DIMS = 4  # language, source, characters, id
 BINS = 1024
@@ -105,7 +105,7 @@ def _sums(rows: DataFrame, of) -> list:
             parts = node[first], key[first], np.add.reduceat(size, first), value[first], value[last]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in parts], ["node", "key", "b", "lo", "hi"])
 
-    found = rows.mapInArrow(partial, "node long, key long, b long, lo long, hi long").groupBy("node", "key")
+    found = mapped(rows, partial, "node long, key long, b long, lo long, hi long").groupBy("node", "key")
     return found.agg(F.sum("b").alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
 
 
@@ -190,7 +190,7 @@ def assign_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: in
             shard = pa.array(_routed(root, _columns(batch.select([f"d{i}" for i in range(DIMS)] + ["tie"]))), pa.int32())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "size", "text_crc32", "tie")], shard], ["doc_id", "size", "text_crc32", "tie", "shard"])
 
-    return _slots(rows.mapInArrow(place, "doc_id long, size long, text_crc32 long, tie long, shard int"))
+    return _slots(mapped(rows, place, "doc_id long, size long, text_crc32 long, tie long, shard int"))
 
 
 def _slots(rows: DataFrame) -> DataFrame:
