@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, counterfactual: float = COUNTERFACTU
                 s = np.bincount(row, w[at], n) + w[-1]
                 value += float(np.logaddexp(0, np.where(y == 1, -s, s)).sum())
                 g = 1 / (1 + np.exp(-s)) - y
-                change = np.bincount(row2, w[gained], n) - np.bincount(row1, w[lost], n)
+                change = (np.bincount(row2, w[gained], n) - np.bincount(row1, w[lost], n)).astype(float)  # whole numbers if empty
                 value += counterfactual * float(change @ change)
                 change *= 2 * counterfactual
                 grad[:-1] += np.bincount(at, g[row], size) + np.bincount(gained, change[row2], size) - np.bincount(lost, change[row1], size)
