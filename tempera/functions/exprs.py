@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 UNIT, FIXED, PROPORTIONAL, ANNEALED = 0, 1, 2, 3
 
 
-def sigma2(y: Sequence[Column], method: int, params: Sequence[float]) -> list[Column]:
-    """Squared scales of a centre, one a dimension: all 1; fixed; or proportional to the centre in
-    the first dimension."""
+def sigma2(y: Sequence[Column], method: int | Callable[[Sequence[Column]], list[Column]], params: Sequence[float] = ()) -> list[Column]:
+    """Squared scales of a centre, one a dimension: all 1; fixed; proportional to the centre in the
+    first dimension; or what a function gives for the centre's columns."""
+    if callable(method):
+        return list(method(y))
     if method == UNIT:
         return [F.lit(1.0) for _ in y]
     fixed = [F.lit(float(p) * float(p)) for p in params[: len(y)]]

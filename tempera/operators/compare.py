@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 def relabel_sponge(labels: DataFrame, sponge_id: int, n_clusters: int) -> DataFrame:
     """Points of the sponge as clusters of their own, numbered on from ``n_clusters`` in the order of
-    the points. The sponge is numbered in ranges of ids: a count a range, then places inside it."""
+    the points. Ids are numbered inside ranges of 2 ** 16, these from the counts before them inside
+    spans of 2 ** 30 ids, and the spans among themselves."""
     sponge = labels.where(F.col("cluster_id") == sponge_id).withColumn("_range", F.shiftright("point_id", 16))
-    counts = sponge.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    counts = sponge.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_span", F.shiftright("_range", 14))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = counts.groupBy("_span").agg(F.sum("_n").alias("_n")).select("_span", before(Window.partitionBy(F.lit(1)).orderBy("_span")).alias("_first"))  # a row for 2 ** 30 ids
+    ranges = counts.withColumn("_start", before(Window.partitionBy("_span").orderBy("_range"))).join(spans, "_span")
     place = F.row_number().over(Window.partitionBy("_range").orderBy("point_id")) - 1
-    alone = sponge.join(starts, "_range").select("point_id", (F.lit(n_clusters) + F.col("_start") + place).cast("long").alias("cluster_id"))
+    alone = sponge.join(ranges.select("_range", (F.col("_start") + F.col("_first")).alias("_start")), "_range").select("point_id", (F.lit(n_clusters) + F.col("_start") + place).cast("long").alias("cluster_id"))
     return labels.where(F.col("cluster_id") != sponge_id).select("point_id", F.col("cluster_id").cast("long")).unionByName(alone)
 
 
@@ -100,16 +102,16 @@ def trim_histogram(hist: DataFrame) -> DataFrame:
     return hist.crossJoin(F.broadcast(last)).where(F.col("bin") <= F.col("_last")).drop("_last")
 
 
-def trimmed_centers(points: DataFrame, labels: DataFrame, params: tuple[float, float], cut: float = 0.7, rounds: int = 10, min_size: int = 3) -> DataFrame:
-    """Means of clusters above a size, each over its points within the cut (square and scaled) of
-    the mean before; a cluster that would lose all its points keeps its mean. ``n_in`` counts the
+def trimmed_centers(points: DataFrame, labels: DataFrame, params: tuple[float, float], cut: float = 0.7, rounds: int = 10, min_size: int = 3, mode: int = 0) -> DataFrame:
+    """Means of clusters above a size, each over its points within the cut (mode 0: square, scaled and
+    radial; mode 1: scaled, in every dimension by itself) of the mean before; a cluster that would lose all its points keeps its mean. ``n_in`` counts the
     points within the cut of the last. Every round is an aggregation that combines on the map side."""
     sizes = labels.where("cluster_id >= 0").groupBy("cluster_id").agg(F.count("*").alias("n")).where(F.col("n") > min_size)
     rows = points.join(labels.where("cluster_id >= 0"), "point_id").join(sizes, "cluster_id").select("cluster_id", "n", "x0", "x1")
     centers = rows.groupBy("cluster_id", "n").agg(F.avg("x0").alias("c0"), F.avg("x1").alias("c1"))
     for _ in range(rounds):
         d0, d1 = (F.col("x0") - F.col("c0")) / (params[0] * F.col("c0")), (F.col("x1") - F.col("c1")) / params[1]
-        inside = d0 * d0 + d1 * d1 <= cut
+        inside = d0 * d0 + d1 * d1 <= cut if mode == 0 else (F.abs(d0) <= cut) & (F.abs(d1) <= cut)
         seen = rows.drop("n").join(centers, "cluster_id").withColumn("_in", inside)
         centers = seen.groupBy("cluster_id", "n").agg(
             F.coalesce(F.avg(F.when(F.col("_in"), F.col("x0"))), F.max("c0")).alias("c0"), F.coalesce(F.avg(F.when(F.col("_in"), F.col("x1"))), F.max("c1")).alias("c1"), F.count_if("_in").alias("n_in")

@@ -21,6 +21,12 @@ def with_clusters(points: DataFrame, clusters: DataFrame) -> DataFrame:
     return points.crossJoin(F.broadcast(row))
 
 
+def once(rows: DataFrame, column: str) -> DataFrame:
+    """The same rows; conditions on the column, or on what is made of it, are not pushed below this point,
+    where they would compute it again, inside the clusters' join."""
+    return rows.withColumn(column, F.explode(F.array(column)))
+
+
 def scaled_distance(x0: Column, x1: Column, c: Column) -> Column:
     d0, d1 = x0 - c["y0"], x1 - c["y1"]
     return d0 * d0 / c["s0"] + d1 * d1 / c["s1"]
@@ -38,12 +44,12 @@ def e_step(points: DataFrame, clusters: DataFrame, temperature: float, sponge_fa
     weights = F.zip_with("d2", "cs", lambda d, c: F.when((d - least) / temperature < 2 * cut, F.greatest(F.lit(MIN_P), c["p"]) * F.exp(-0.5 * ((d - least) / temperature))).otherwise(0.0))
     rows = rows.withColumn("w", weights).withColumn("total", F.aggregate("w", F.lit(0.0), lambda s, v: s + v))
     ms = F.transform("cs", lambda c, i: F.struct(c["cluster_id"].alias("cluster_id"), F.get("d2", i).alias("d2"), (F.get("w", i) / F.col("total")).alias("m")))
-    return rows.withColumn("ms", F.filter(ms, lambda x: x["m"] > 0)).drop("cs", "d2", "w", "total")
+    return once(rows.withColumn("ms", F.filter(ms, lambda x: x["m"] > 0)).drop("cs", "d2", "w", "total"), "ms")
 
 
 def long_form(points: DataFrame) -> DataFrame:
     """One row a membership. The outer form spares the filter on the array's size that Spark infers
-    from the inner one: pushed below the clusters' join it would compute the array once more an element."""
+    from the inner one: pushed below the clusters' join it would compute the array again for every element."""
     others = [c for c in points.columns if c != "ms"]
     rows = points.select(*others, F.explode_outer("ms").alias("_m")).where("_m is not null")
     return rows.select(*others, "_m.cluster_id", "_m.d2", "_m.m")
@@ -106,12 +112,58 @@ def candidates(points: DataFrame, clusters: DataFrame, temperature: float, targe
     return rows.select("point_id", (F.col("rank") + 1).alias("rank"), "c.cluster_id", "c.d2")
 
 
+def reassigned(points: DataFrame, clusters: DataFrame, temperature: float, target: int, cut: float = EXP_CUT2) -> DataFrame:
+    """Memberships (``ms``) over new lists of clusters: the sponge, if there is one, then the nearest within the
+    cut, together at most ``target``. Clusters that stay keep their membership, new ones begin at zero; they
+    are scaled to one, or become uniform if less than 0.2 is left."""
+    rows = with_clusters(points, clusters)
+    sponge = F.filter("cs", lambda c: c["is_sponge"])
+    near = F.sort_array(F.transform(F.filter("cs", lambda c: ~c["is_sponge"]), lambda c: F.struct(scaled_distance(F.col("x0"), F.col("x1"), c).alias("d2"), c["cluster_id"].alias("cluster_id"))))
+    rows = rows.withColumns({"_sponge": F.transform(sponge, lambda c: c["cluster_id"]), "_near": F.slice(near, F.lit(1), F.greatest(F.lit(1), F.lit(target) - F.size(sponge)))})
+    least = F.get("_near", F.lit(0))["d2"]
+    within = F.transform(F.filter("_near", lambda x: x["d2"] - least <= 2 * cut * temperature), lambda x: x["cluster_id"])
+    rows = rows.withColumn("_ids", F.concat("_sponge", within)).withColumn("_old", F.map_from_entries(F.transform("ms", lambda x: F.struct(x["cluster_id"], F.struct(x["m"], x["d2"])))))
+    dist = F.map_from_entries(F.transform("_near", lambda x: F.struct(x["cluster_id"], x["d2"])))
+    rows = rows.withColumn("_dist", dist).withColumn("_m", F.transform("_ids", lambda k: F.coalesce(F.try_element_at("_old", k)["m"], F.lit(0.0))))
+    rows = rows.withColumn("_sum", F.aggregate("_m", F.lit(0.0), lambda s, v: s + v))
+    share = lambda m: F.when(F.col("_sum") < 0.2, 1.0 / F.size("_ids")).otherwise(m / F.col("_sum"))
+    d2 = lambda k: F.coalesce(F.try_element_at("_dist", k), F.try_element_at("_old", k)["d2"])
+    ms = F.zip_with("_ids", "_m", lambda k, m: F.struct(k.alias("cluster_id"), d2(k).alias("d2"), share(m).alias("m")))
+    return rows.withColumn("ms", ms).drop("cs", "_sponge", "_near", "_ids", "_old", "_dist", "_m", "_sum")
+
+
+def repaired(memberships: DataFrame, removed: DataFrame, split: DataFrame) -> DataFrame:
+    """Long memberships after clusters went (``cluster_id``) and others split (``cluster_id, child_id``): what a
+    point loses goes to its other clusters in proportion, evenly if it loses 0.99 or more; both halves of a
+    split get half."""
+    gone = removed.select("cluster_id", F.lit(True).alias("_gone"))
+    rows = memberships.join(F.broadcast(gone), "cluster_id", "left").join(F.broadcast(split.select("cluster_id", "child_id")), "cluster_id", "left")
+    mine, lost = Window.partitionBy("point_id"), F.when(F.col("_gone"), F.col("m")).otherwise(0.0)
+    rows = rows.withColumns({"_lost": F.sum(lost).over(mine), "_n": F.count_if(F.col("_gone").isNull()).over(mine)}).where("_gone is null")
+    rows = rows.withColumn("m", F.when(F.col("_lost") >= 0.99, 1.0 / F.col("_n")).otherwise(F.col("m") / (1 - F.col("_lost"))))
+    both = F.when(F.col("child_id").isNull(), F.array("cluster_id")).otherwise(F.array("cluster_id", F.col("child_id").cast(memberships.schema["cluster_id"].dataType)))
+    rows = rows.withColumn("m", F.col("m") / F.size(both)).withColumn("_ids", both)
+    return rows.select("point_id", F.explode("_ids").alias("cluster_id"), "m")
+
+
+def near_pairs(clusters: DataFrame, limit: float) -> DataFrame:
+    """Ordered pairs of clusters (no sponge) at most ``limit`` apart, square and by the first one's scale:
+    ``cluster_id, occupation, other, other_occupation, d2``. Bins of the first dimension, as wide as the limit can
+    reach, meet their neighbours, so clusters far apart are never paired."""
+    c = clusters.where("not is_sponge")
+    width = c.agg(F.greatest(F.sqrt(limit * F.max("s0")), F.lit(1e-300)).alias("_width"))
+    c = c.crossJoin(F.broadcast(width)).withColumn("_bin", F.floor(F.col("y0") / F.col("_width")))
+    a = c.select("cluster_id", "occupation", "y0", "y1", "s0", "s1", F.explode(F.array(*[F.col("_bin") + k for k in (-1, 0, 1)])).alias("_bin"))
+    b = c.select("_bin", F.col("cluster_id").alias("other"), F.col("occupation").alias("other_occupation"), F.col("y0").alias("o0"), F.col("y1").alias("o1"))
+    d2 = scaled_distance(F.col("o0"), F.col("o1"), {k: F.col(k) for k in ("y0", "y1", "s0", "s1")})
+    return a.join(b, "_bin").where("cluster_id <> other").select("cluster_id", "occupation", "other", "other_occupation", d2.alias("d2")).where(F.col("d2") <= limit)
+
+
 def close_clusters(clusters: DataFrame, limit: float) -> DataFrame:
     """Clusters near one that holds more points (of equals the greater id goes)."""
-    a, b = clusters.where("not is_sponge").alias("a"), clusters.where("not is_sponge").alias("b")
-    near = scaled_distance(F.col("b.y0"), F.col("b.y1"), {k: F.col(f"a.{k}") for k in ("y0", "y1", "s0", "s1")}) < limit
-    more = (F.col("b.occupation") > F.col("a.occupation")) | ((F.col("b.occupation") == F.col("a.occupation")) & (F.col("b.cluster_id") < F.col("a.cluster_id")))
-    return a.join(F.broadcast(b), near & more, "left_semi")
+    more = "d2 < {0} and (other_occupation > occupation or (other_occupation = occupation and other < cluster_id))"
+    near = near_pairs(clusters, limit).where(more.format(limit)).select("cluster_id").distinct()
+    return clusters.join(near, "cluster_id", "left_semi")
 
 
 def split_candidates(stats: DataFrame, min_width2: float = 1.5, min_size: float = 4.0) -> DataFrame:

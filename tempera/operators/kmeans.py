@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempera.functions.exprs import array_squared_distance
+from tempera.operators.em import once
 
 
 def centers_of(points: DataFrame, label: str) -> DataFrame:
@@ -27,7 +28,7 @@ def assign(points: DataFrame, centers: DataFrame) -> DataFrame:
     as one broadcast row."""
     row = centers.agg(F.sort_array(F.collect_list(F.struct("cluster_id", "y"))).alias("cs"))
     near = F.array_min(F.transform("cs", lambda c: F.struct(array_squared_distance(F.col("x"), c["y"]).alias("d2"), c["cluster_id"].alias("cluster_id"))))
-    rows = points.crossJoin(F.broadcast(row)).withColumn("_n", near)
+    rows = once(points.crossJoin(F.broadcast(row)).withColumn("_n", near), "_n")
     return rows.withColumns({"cluster_id": F.col("_n.cluster_id"), "d2": F.col("_n.d2")}).drop("cs", "_n")
 
 
@@ -40,32 +41,89 @@ def update(assigned: DataFrame, centers: DataFrame) -> DataFrame:
     return out.select("cluster_id", F.coalesce("_y", "y").alias("y"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("radius", F.lit(0.0)).alias("radius"), F.coalesce("width", F.lit(0.0)).alias("width"))
 
 
-def nearest(x: np.ndarray, y: np.ndarray, prune: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
-    """Nearest centre of each row, its square distance, and how many distances were computed. A centre
-    at least twice as far from the best so far as the point can't be nearer than it."""
+def distances(y: np.ndarray) -> np.ndarray:
+    """Between all centres; made once a task."""
+    out = np.zeros((len(y), len(y)))
+    for k in range(len(y)):
+        out[k] = np.sqrt(((y - y[k]) ** 2).sum(1))
+    return out
+
+
+def nearest(x: np.ndarray, y: np.ndarray, prune: bool = True, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Nearest centre of each row (the first of equals), its square distance, and how many distances
+    were computed. A few centres spread over the list give a first guess; a centre more than twice as
+    far from the best so far as the point can't be nearer than it."""
     if not prune:
         d2 = ((x[:, None, :] - y[None]) ** 2).sum(2)
         best = d2.argmin(1)
         return best, d2[np.arange(len(x)), best], d2.size
-    apart = np.sqrt(((y[:, None, :] - y[None]) ** 2).sum(2))
-    best, d2 = np.zeros(len(x), np.int64), ((x - y[0]) ** 2).sum(1)
-    done = len(x)
-    for k in range(1, len(y)):
+    apart = distances(y) if apart is None else apart
+    guesses = np.arange(0, len(y), max(1, int(len(y) ** 0.5)))
+    first = np.stack([((x - y[k]) ** 2).sum(1) for k in guesses], 1)
+    at = first.argmin(1)
+    best, d2, done = guesses[at], first[np.arange(len(x)), at], first.size
+    for k in np.setdiff1d(np.arange(len(y)), guesses):
         open_ = np.flatnonzero(apart[best, k] <= 2 * np.sqrt(d2) * (1 + 1e-12))
         new = ((x[open_] - y[k]) ** 2).sum(1)
-        better = new < d2[open_]
+        better = (new < d2[open_]) | ((new == d2[open_]) & (k < best[open_]))
         best[open_[better]], d2[open_[better]] = k, new[better]
         done += len(open_)
     return best, d2, done
 
 
+def scan(points: DataFrame, centers: np.ndarray) -> DataFrame:
+    """``points`` (point_id, x) with ``cluster_id`` (the row of the nearest centre), ``upper``, their
+    distance to it, and ``lower``, the least distance to any other: the state of ``rescan``."""
+    return _scanned(points.select("point_id", "x", F.lit(-1).cast("long").alias("cluster_id"), F.lit(0.0).alias("upper"), F.lit(0.0).alias("lower")), np.array(centers, float), None)
+
+
+def rescan(state: DataFrame, centers: np.ndarray, before: np.ndarray) -> DataFrame:
+    """The state after the centres moved. The bounds move with them; a point whose upper bound stays
+    below its lower one, or below half the way from its centre to the next, keeps its centre without
+    a distance. Of the others the distance to their own centre is tried before all are."""
+    return _scanned(state, np.array(centers, float), np.array(before, float))
+
+
+_STATE = "point_id long, x array<double>, cluster_id long, upper double, lower double, work long"
+
+
+def _scanned(state: DataFrame, y: np.ndarray, before: np.ndarray | None) -> DataFrame:
+    moved = np.sqrt(((y - before) ** 2).sum(1)) if before is not None else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart = distances(y) + np.diag(np.full(len(y), np.inf))
+        half = apart.min(1) / 2
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, y.shape[1])
+            at, upper, lower = (batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("cluster_id", "upper", "lower"))
+            work, todo = np.zeros(len(x), np.int64), np.arange(len(x))
+            if moved is not None:
+                upper, lower = upper + moved[at], lower - moved.max(initial=0)
+                todo = np.flatnonzero(upper * (1 + 1e-12) >= np.maximum(lower, half[at]))
+                upper[todo] = np.sqrt(((x[todo] - y[at[todo]]) ** 2).sum(1))
+                work[todo] += 1
+                todo = todo[upper[todo] * (1 + 1e-12) >= np.maximum(lower[todo], half[at[todo]])]
+            for part in np.array_split(todo, max(1, len(todo) * len(y) * y.shape[1] >> 22)):
+                d = np.sqrt(((x[part][:, None] - y[None]) ** 2).sum(2))
+                rows = np.arange(len(part))
+                at[part] = d.argmin(1)
+                upper[part] = d[rows, at[part]]
+                d[rows, at[part]] = np.inf
+                lower[part] = d.min(1, initial=np.inf)
+                work[part] += len(y)
+            yield pa.RecordBatch.from_arrays([batch.column("point_id"), batch.column("x"), *[pa.array(v) for v in (at, upper, lower, work)]], [c.split()[0] for c in _STATE.split(", ")])
+
+    return state.mapInArrow(run, _STATE)
+
+
 def assign_pruned(points: DataFrame, centers: np.ndarray) -> DataFrame:
     """``point_id, cluster_id`` (the row of the nearest centre) by the pruned kernel."""
     y = np.array(centers, float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart = distances(y)
         for batch in batches:
-            best, _, _ = nearest(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, y.shape[1]), y)
+            best, _, _ = nearest(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, y.shape[1]), y, apart=apart)
             yield pa.RecordBatch.from_arrays([batch.column("point_id"), pa.array(best, pa.int64())], ["point_id", "cluster_id"])
 
     return points.select("point_id", "x").mapInArrow(run, "point_id long, cluster_id long")
@@ -76,9 +134,10 @@ def _sums(points: DataFrame, y: np.ndarray, prune: bool) -> tuple[np.ndarray, np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total, far, width, done = np.zeros(k), np.zeros((k, d)), np.zeros(k), np.zeros(k), 0
+        apart = distances(y) if prune else None
         for batch in batches:
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            best, d2, work = nearest(x, y, prune)
+            best, d2, work = nearest(x, y, prune, apart)
             n += np.bincount(best, minlength=k)
             np.add.at(total, best, x)
             np.maximum.at(far, best, d2)
@@ -122,3 +181,15 @@ def initial_labels(points: DataFrame, k: int, policy: int = -4, seed: int = 1010
     block = max(1, n // k)
     by = {-1: random, -2: F.when(idx < k, idx.cast("int")).otherwise(random), -3: F.when((idx % block == 0) & (idx / block < k), F.floor(idx / block).cast("int")).otherwise(random), -4: F.least(F.floor(idx / block), F.lit(k - 1)).cast("int")}
     return points.withColumn("label", by[policy])
+
+
+def histograms(assigned: DataFrame, bins: int = 202) -> DataFrame:
+    """``bin, n, percent`` of the points' distances to their centres (``d2`` squared), over 0 to ten times the root of the mean
+    square width, in pretty bins; the first and last bin take what lies outside."""
+    from tempera.functions.exprs import bin_clamped, pretty_range
+
+    ends = assigned.agg(F.avg("d2").alias("_w"), F.count("*").alias("_n"))
+    lo, hi = pretty_range(F.lit(0.0), 10 * F.sqrt("_w"), F.lit(bins - 2))
+    rows = assigned.select("d2").crossJoin(F.broadcast(ends.select("_n", lo.alias("_lo"), hi.alias("_hi"))))
+    counts = rows.groupBy(bin_clamped(F.sqrt("d2"), F.col("_lo"), F.col("_hi"), bins).alias("bin"), "_n").agg(F.count("*").alias("n"))
+    return counts.select("bin", "n", (100.0 * F.col("n") / F.col("_n")).alias("percent"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempera.operators.em import scaled_distance, with_clusters
-from tempera.operators.reductions import k_least_by_group
+from tempera.operators.em import near_pairs, scaled_distance, with_clusters
 
 
 def occupation_histogram(clusters: DataFrame, bins: int) -> DataFrame:
@@ -14,28 +17,49 @@ def occupation_histogram(clusters: DataFrame, bins: int) -> DataFrame:
     return clusters.where("not is_sponge").groupBy(F.least(F.col("occupation"), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def cluster_pairs(clusters: DataFrame) -> DataFrame:
-    """Ordered pairs of clusters and their square distance by the first one's scale."""
-    c = clusters.where("not is_sponge")
-    a, b = c.select("cluster_id", "y0", "y1", "s0", "s1"), c.select(F.col("cluster_id").alias("other"), F.col("y0").alias("o0"), F.col("y1").alias("o1"))
-    d2 = scaled_distance(F.col("o0"), F.col("o1"), {k: F.col(k) for k in ("y0", "y1", "s0", "s1")})
-    return a.join(F.broadcast(b), F.col("cluster_id") != F.col("other")).select("cluster_id", "other", d2.alias("d2"))
-
-
 def distance_histogram(clusters: DataFrame, bins: int) -> DataFrame:
-    near = cluster_pairs(clusters).where(F.col("d2") <= bins)
+    near = near_pairs(clusters, bins)
     return near.groupBy(F.least(F.floor(F.col("d2") + 0.5), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def nearby_counts(clusters: DataFrame, cut: float) -> DataFrame:
     """Clusters within the cut of each; ``average`` over all of them, each pair once."""
-    near = cluster_pairs(clusters).groupBy("cluster_id").agg(F.count_if(F.col("d2") < cut * cut).alias("n"))
+    found = near_pairs(clusters, cut * cut).where(F.col("d2") < cut * cut).groupBy("cluster_id").agg(F.count("*").alias("n"))
+    near = clusters.where("not is_sponge").select("cluster_id").join(found, "cluster_id", "left").fillna(0, ["n"])
     every = Window.partitionBy(F.lit(1))  # a row a cluster
     return near.withColumn("average", F.sum("n").over(every) / (2.0 * F.count("*").over(every)))
 
 
 def nearest_clusters(clusters: DataFrame, k: int) -> DataFrame:
-    return k_least_by_group(cluster_pairs(clusters), "cluster_id", "d2", "other", k)
+    """``cluster_id, other, d2, rank`` (from 1; ties by id) of each cluster's k nearest. The driver holds the
+    clusters anyway; tasks compare theirs with all, block by block, and keep k."""
+    c = clusters.where("not is_sponge").select("cluster_id", "y0", "y1", "s0", "s1")
+    ids, y = _positions(c)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine = batch.column("cluster_id").to_numpy().astype(np.int64)
+            a0, a1, s0, s1 = (batch.column(x).to_numpy()[:, None] for x in ("y0", "y1", "s0", "s1"))
+            keep = np.zeros((len(mine), 0)), np.zeros((len(mine), 0), np.int64)
+            for at in range(0, len(ids), 1024):
+                o, other = y[at : at + 1024], np.broadcast_to(ids[at : at + 1024], (len(mine), len(y[at : at + 1024])))
+                d2 = (o[None, :, 0] - a0) ** 2 / s0 + (o[None, :, 1] - a1) ** 2 / s1
+                d2 = np.where(other == mine[:, None], np.inf, d2)
+                d2, other = np.concatenate([keep[0], d2], 1), np.concatenate([keep[1], other], 1)
+                order = np.lexsort((other, d2), 1)[:, :k]
+                keep = np.take_along_axis(d2, order, 1), np.take_along_axis(other, order, 1)
+            row, rank = np.nonzero(np.isfinite(keep[0]))
+            parts = mine[row], keep[1][row, rank], keep[0][row, rank], (rank + 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], ["cluster_id", "other", "d2", "rank"])
+
+    kind = c.schema["cluster_id"].dataType
+    found = c.mapInArrow(run, "cluster_id long, other long, d2 double, rank int")
+    return found.select(F.col("cluster_id").cast(kind), F.col("other").cast(kind), "d2", "rank")
+
+
+def _positions(c: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rows = c.select("cluster_id", "y0", "y1").collect()
+    return np.array([r["cluster_id"] for r in rows], np.int64), np.array([(r["y0"], r["y1"]) for r in rows], float).reshape(-1, 2)
 
 
 def point_quality(assigned: DataFrame, clusters: DataFrame, cut: float, sponge_id: int | None) -> DataFrame:
@@ -87,3 +111,28 @@ def status_lines(clusters: DataFrame, k: int) -> DataFrame:
     near = near.groupBy("cluster_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", text.alias("t")))), lambda x: x["t"]), " ").alias("near"))
     c = clusters.where("not is_sponge").join(near, "cluster_id", "left")
     return c.select("cluster_id", F.format_string("%d %.4f %.4f %d %s", F.col("cluster_id"), F.col("y0"), F.col("y1"), F.col("occupation"), F.coalesce("near", F.lit(""))).alias("line"))
+
+
+def status_table(clusters: DataFrame, statistics: DataFrame, k: int, cut: float, method: int, params: Sequence[float]) -> DataFrame:
+    """A row a cluster, as ``status_file_lines`` writes it: position in units of the scales (the first as a
+    logarithm where its scale is proportional), points, clusters within the cut, and of ``point_statistics`` the
+    sponge points near it, its illegal points and its extension; ``near``: its k nearest clusters as id(distance)."""
+    close = nearby_counts(clusters, cut).select("cluster_id", F.col("n").alias("n_near"))
+    text = F.format_string("%d(%.2f)", F.col("other"), F.sqrt("d2"))
+    near = nearest_clusters(clusters, k).groupBy("cluster_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", text.alias("t")))), lambda x: x["t"]), "\t").alias("near"))
+    c = clusters.where("not is_sponge").join(close, "cluster_id", "left").join(statistics, "cluster_id", "left").join(near, "cluster_id", "left")
+    first = F.log("y0") if method >= 2 else F.col("y0")
+    none = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
+    return c.select(
+        "cluster_id", (first / params[0]).alias("y0"), (F.col("y1") / params[1]).alias("y1"), "occupation", none("n_near"), none("n_sponge_near"), none("n_illegal"),
+        F.coalesce("extension", F.lit(0.0)).alias("extension"), F.coalesce("near", F.lit("")).alias("near"),
+    )
+
+
+STATUS_HEADER = "Label\tY-0\tY-1\tCount\tNearby Clusters\tNearby Sponge Points\tIllegal Points\tMax Extension\tNearby Cluster Points"
+
+
+def status_file_lines(table: DataFrame) -> DataFrame:
+    """``cluster_id, value``: a tab-separated line for each row of ``status_table``; the header is ``STATUS_HEADER``."""
+    fixed = F.format_string("%d\t%.4f\t%.4f\t%d\t%d\t%d\t%d\t%.3f", "cluster_id", "y0", "y1", "occupation", "n_near", "n_sponge_near", "n_illegal", "extension")
+    return table.select("cluster_id", F.concat_ws("\t", fixed, F.when(F.col("near") != "", F.col("near"))).alias("value"))

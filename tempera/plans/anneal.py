@@ -3,13 +3,15 @@ split along their most unstable direction and go when they are small or too clos
 
 The points stay distributed; the driver holds the clusters. One iteration is one Spark job: an Arrow
 kernel turns each batch into sums by cluster, with the memberships before and after from parameters
-alone, so memberships are never stored and lineage doesn't grow. Partial sums are added in the order
-of the partitions, which makes a run repeatable."""
+alone, so memberships are never stored and lineage doesn't grow. Where the scales are the same for all
+clusters, a point meets only those that the triangle inequality leaves within the exponents' cut, or
+the nearest ``TargetNcentPerPoint`` of them. Partial sums are added in the order of the partitions, in
+two levels, which makes a run repeatable."""
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempera.functions.exprs import ANNEALED, PROPORTIONAL, UNIT
+from tempera.operators.kmeans import distances, nearest
 from tempera.sources.config import Config
 
 MIN_P = 1e-7
@@ -67,10 +70,13 @@ class Schedule:
     t0: float
     sponge_factor: float
     sigma0: float
-    factor: float = 0.0
+    sigma: Callable[[np.ndarray], np.ndarray] | None = None  # squared scales of centres, in place of a method
+    magic: int = 0  # clean-ups done
 
     def sigma2(self, y: np.ndarray) -> np.ndarray:
         c = self.config
+        if self.sigma:
+            return np.array(self.sigma(y), float)
         if c.SigmaMethod == UNIT:
             return np.ones_like(y)
         s = np.tile(np.square(c.SigmaVectorParameters_i[: y.shape[1]]), (len(y), 1))
@@ -78,6 +84,17 @@ class Schedule:
             s[:, 0] = np.square((self.sigma0 if c.SigmaMethod == ANNEALED else c.SigmaVectorParameters_i[0]) * y[:, 0])
         return s
 
+    @property
+    def metric(self) -> bool:
+        """Whether all clusters have the same scales, so that scaled distances obey the triangle inequality."""
+        return self.sigma is None and self.config.SigmaMethod < PROPORTIONAL
+
+    def cleans_up(self) -> bool:
+        """Whether the next of the magic temperatures is reached; then there is no cooling this time."""
+        due = self.magic < len(self.config.MagicTemperatures) and self.t <= self.config.MagicTemperatures[self.magic]
+        self.magic += due
+        return due
+
     def cool(self, fine: bool) -> None:
         c = self.config
         late = self.t < c.CoolingTemperatureSwitch
@@ -106,52 +123,116 @@ def next_sigma(c: Config, t: float, sigma0: float, ratio: float) -> float:
     return max(c.FinalTargetSigma0, float(sigma0 * np.exp(step)))
 
 
-def memberships(x: np.ndarray, y: np.ndarray, s2: np.ndarray, p: np.ndarray, t: float, sponge: float | None, cut: float) -> tuple[np.ndarray, np.ndarray]:
-    """Memberships and scaled square distances of a batch; ``sponge`` is the factor of the first one."""
+def memberships(x: np.ndarray, y: np.ndarray, s2: np.ndarray, p: np.ndarray, t: float, sponge: float | None, cut: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Memberships and scaled square distances of a batch; ``sponge`` is the factor of the first one.
+    Only the sponge and the nearest clusters, ``most`` together, count (all: None)."""
     d2 = sum((x[:, None, i] - y[None, :, i]) ** 2 / s2[None, :, i] for i in range(x.shape[1]))
     if sponge is not None:
         d2[:, 0] = sponge * sponge
     e = (d2 - d2.min(1, keepdims=True)) / t
     w = np.where(e < 2 * cut, np.maximum(MIN_P, p) * np.exp(-0.5 * e), 0.0)
+    skip = int(sponge is not None)
+    if most is not None and w.shape[1] > most:
+        order = np.argsort(d2[:, skip:], 1, kind="stable")[:, max(1, most - skip) :] + skip
+        np.put_along_axis(w, order, 0.0, 1)
     return w / w.sum(1, keepdims=True), d2
 
 
-def em_sums(points: DataFrame, now: tuple, before: tuple | None, cut: float) -> dict[str, np.ndarray]:
+def reachable(x: np.ndarray, now: tuple, before: tuple | None, cut: float, apart: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a batch with the clusters that can have a membership there, now or before, for scales that
+    all clusters share. With ``apart`` between centres, b to the nearest one c and r the reach of the
+    exponents, a cluster at least b + sqrt(b * b + r) from c is beyond it; centres that moved by at most m
+    since widen all by m."""
+    y, s2, _, t, sponge = now
+    skip, s = int(sponge is not None), np.sqrt(s2[-1])
+    own = y[skip:] / s
+    best, d2, _ = nearest(x / s, own, apart=apart)
+    b, m = np.sqrt(d2), 0.0
+    if before is not None:
+        t, m = max(t, before[3]), float(np.sqrt(((before[0][skip:] / s - own) ** 2).sum(1)).max(initial=0))
+    reach = (b + np.sqrt((b + m) ** 2 + 2 * cut * t) + m) * (1 + 1e-9)
+    for c in np.unique(best):
+        rows = np.flatnonzero(best == c)
+        order = np.argsort(apart[c], kind="stable")
+        n = np.searchsorted(apart[c][order], reach[rows], "right")
+        size = np.minimum(len(order), 1 << np.ceil(np.log2(n)).astype(int))
+        for k in np.unique(size):
+            yield rows[size == k], np.r_[np.arange(skip), np.sort(order[:k]) + skip]
+
+
+def _folded(rows: DataFrame, keys: list[str], order: str, width: int) -> DataFrame:
+    """Vectors ``v`` by keys, added in an order."""
+    vs = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "v"))).alias("vs"))
+    return vs.select(*keys, F.aggregate("vs", F.array_repeat(F.lit(0.0), width), lambda s, v: F.zip_with(s, v["v"], lambda a, b: a + b)).alias("v"))
+
+
+def em_sums(points: DataFrame, now: tuple, before: tuple | None, cut: float, metric: bool = False, most: int | None = None, many_parts: bool = False) -> dict[str, np.ndarray]:
     """One pass: sums by cluster under ``now`` (y, s2, p, t, sponge factor), and how far memberships
-    moved from those under ``before``."""
+    moved from those under ``before``. ``metric``: all clusters have the same scales. ``work`` counts the
+    memberships that were computed. ``many_parts``: add the partitions' sums in blocks of 256 first."""
     y, s2, _, t, sponge = now
     k, d = y.shape
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    width = 5 + d + d + len(pairs)
+    width = 6 + d + d + len(pairs)
+    if before is not None and before[0].shape != y.shape:
+        before = None
+    part_of = lambda v, cols: (v[0][cols], v[1][cols], v[2][cols], v[3], v[4])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((k, width))
-        step = max(1, (1 << 21) // k)
+        step = max(1, (1 << 21) // (1 if metric else k) >> (5 if metric else 0))
+        apart = distances(y[int(sponge is not None) :] / np.sqrt(s2[-1])) if metric else None
         for batch in batches:
             xs = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             for at in range(0, len(xs), step):
-                x = xs[at : at + step]
-                m, d2 = memberships(x, *now, cut)
-                old = memberships(x, *before, cut)[0] if before else None
-                moved = np.abs(m - old).sum(0) if old is not None and old.shape == m.shape else np.full(k, np.inf)
-                half, off = m / 2, [x[:, None, i] - y[None, :, i] for i in range(d)]
-                columns = [m.sum(0), (m * (1 - m)).sum(0), (m * d2).sum(0), moved, np.bincount(m.argmax(1), minlength=k)]
-                columns += list((m.T @ x).T)
-                columns += [(half * (1 - half) * off[i]).sum(0) / (np.sqrt(s2[:, i]) * t) for i in range(d)]
-                columns += [(half * off[i] * off[j]).sum(0) / (t * np.sqrt(s2[:, i] * s2[:, j])) for i, j in pairs]
-                total += np.stack(columns, 1)
+                chunk = xs[at : at + step]
+                groups = reachable(chunk, now, before, cut, apart) if metric else [(np.arange(len(chunk)), np.arange(k))]
+                for rows, cols in groups:
+                    for r in np.array_split(rows, max(1, len(rows) * len(cols) >> 21)):
+                        x, mine = chunk[r], part_of(now, cols)
+                        m, d2 = memberships(x, *mine, cut, most)
+                        moved = np.abs(m - memberships(x, *part_of(before, cols), cut, most)[0]).sum(0) if before else np.full(len(cols), np.inf)
+                        half, off = m / 2, [x[:, None, i] - mine[0][None, :, i] for i in range(d)]
+                        columns = [m.sum(0), (m * (1 - m)).sum(0), (m * d2).sum(0), moved, np.bincount(m.argmax(1), minlength=len(cols)), np.full(len(cols), len(x))]
+                        columns += list((m.T @ x).T)
+                        columns += [(half * (1 - half) * off[i]).sum(0) / (np.sqrt(mine[1][:, i]) * t) for i in range(d)]
+                        columns += [(half * off[i] * off[j]).sum(0) / (t * np.sqrt(mine[1][:, i] * mine[1][:, j])) for i, j in pairs]
+                        total[cols] += np.stack(columns, 1)
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([part] * k), pa.array(np.arange(k)), pa.array(list(total))], ["part", "k", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([part] * k), pa.array([part >> 8] * k), pa.array(np.arange(k)), pa.array(list(total))], ["part", "block", "k", "v"])
 
-    rows = points.select("x").mapInArrow(run, "part long, k long, v array<double>")
-    folded = rows.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("part", "v"))).alias("vs"))  # a row a partition
-    added = folded.select("k", F.aggregate("vs", F.array_repeat(F.lit(0.0), width), lambda s, v: F.zip_with(s, v["v"], lambda a, b: a + b)).alias("v"))
+    rows = points.select("x").mapInArrow(run, "part long, block long, k long, v array<double>")
+    if many_parts:
+        added = _folded(_folded(rows, ["k", "block"], "part", width), ["k"], "block", width)
+    else:
+        added = _folded(rows, ["k"], "part", width)
     v = np.array([r["v"] for r in added.orderBy("k").collect()])
     c = v[:, 0]
     safe = np.maximum(c, 1e-300)
-    return {"c": c, "freezing": v[:, 1] / safe, "width2": v[:, 2] / safe, "moved": v[:, 3], "occupation": v[:, 4], "mean": v[:, 5 : 5 + d] / safe[:, None], "dc": v[:, 5 + d : 5 + 2 * d], "corr": v[:, 5 + 2 * d :]}
+    at = 6 + d
+    return {"c": c, "freezing": v[:, 1] / safe, "width2": v[:, 2] / safe, "moved": v[:, 3], "occupation": v[:, 4], "work": v[:, 5], "mean": v[:, 6:at] / safe[:, None], "dc": v[:, at : at + d], "corr": v[:, at + d :]}
+
+
+def labels(points: DataFrame, c: Clusters, schedule: Schedule) -> DataFrame:
+    """``point_id, cluster_id`` (long): the cluster of the greatest membership, the first of equals; the
+    sponge, if any, is 0."""
+    now = (c.y, schedule.sigma2(c.y), c.p, schedule.t, schedule.sponge_factor if c.sponge else None)
+    cut, metric, most, d = schedule.config.ExpArgumentCut1, schedule.metric, schedule.config.TargetNcentPerPoint or None, c.y.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, s2, p, t, sponge = now
+        apart = distances(y[int(sponge is not None) :] / np.sqrt(s2[-1])) if metric else None
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            out = np.zeros(len(x), np.int64)
+            for rows, cols in reachable(x, now, None, cut, apart) if metric else [(np.arange(len(x)), np.arange(len(y)))]:
+                for r in np.array_split(rows, max(1, len(rows) * len(cols) >> 21)):
+                    out[r] = cols[memberships(x[r], y[cols], s2[cols], p[cols], t, sponge, cut, most)[0].argmax(1)]
+            yield pa.RecordBatch.from_arrays([batch.column("point_id"), pa.array(out)], ["point_id", "cluster_id"])
+
+    return points.select(F.col("point_id").cast("long"), "x").mapInArrow(run, "point_id long, cluster_id long")
 
 
 @dataclass
@@ -160,6 +241,8 @@ class Result:
     schedule: Schedule
     trace: list[tuple[int, float, int, float]] = field(default_factory=list)  # step, temperature, clusters, H
     limited: bool = False  # whether the cluster limit held back a split
+    restored: bool = False  # whether the solution of the least H was taken in place of the last
+    work: float = 0.0  # memberships computed, as a share of points times clusters
     reason: str = ""  # what ended the run; "step limit" if it isn't finished
 
 
@@ -167,11 +250,11 @@ def hamiltonian(c: Clusters) -> float:
     return float(0.5 * (c.width2 * c.c).sum())
 
 
-def initial(points: DataFrame, config: Config) -> tuple[Clusters, Schedule]:
+def initial(points: DataFrame, config: Config, sigma: Callable | None = None) -> tuple[Clusters, Schedule]:
     """One cluster at the mean (and the sponge), the temperature from the spread."""
     d = config.ParameterVectorDimension
     mean = np.array(points.agg(*[F.avg(F.get("x", F.lit(i))) for i in range(d)]).first(), float)
-    schedule = Schedule(config, 1.0, 0.0, 1.0, config.SpongeFactor1, config.InitialSigma0 or config.SigmaVectorParameters_i[0])
+    schedule = Schedule(config, 1.0, 0.0, 1.0, config.SpongeFactor1, config.InitialSigma0 or config.SigmaVectorParameters_i[0], sigma)
     s2 = schedule.sigma2(mean[None])[0]
     d2 = sum((F.get("x", F.lit(i)) - float(mean[i])) ** 2 / float(s2[i]) for i in range(d))
     schedule.t = schedule.t0 = 1.5 * points.agg(F.avg(d2)).first()[0]
@@ -203,14 +286,14 @@ def with_sponge(c: Clusters, config: Config) -> Clusters:
     return replace(c, sponge=True, **out)
 
 
-def restarted(state: list, config: Config) -> tuple[Clusters, Schedule]:
+def restarted(state: list, config: Config, sigma: Callable | None = None) -> tuple[Clusters, Schedule]:
     """Clusters of a former run (rows of ``sources.text.restart_state``), the sponge first, at the
     restart temperature."""
     rows = sorted(state, key=lambda r: (not r["is_sponge"], r["cluster_id"]))
     sponge = bool(rows and rows[0]["is_sponge"])
     y = np.array([[r["y0"] or 0.0, r["y1"] or 0.0] for r in rows])
     t = config.RestartTemperature
-    schedule = Schedule(config, t, config.Tminimum if config.Tminimum > 0 else t / abs(config.Tminimum), t, config.SpongeFactor1, config.InitialSigma0 or config.SigmaVectorParameters_i[0])
+    schedule = Schedule(config, t, config.Tminimum if config.Tminimum > 0 else t / abs(config.Tminimum), t, config.SpongeFactor1, config.InitialSigma0 or config.SigmaVectorParameters_i[0], sigma)
     return Clusters(y, np.array([r["p"] for r in rows]), np.arange(len(rows)), np.full(len(rows), 2), sponge), schedule
 
 
@@ -222,17 +305,23 @@ def update_p(c: Clusters, config: Config, n: float) -> np.ndarray:
     return p
 
 
-def invalid(c: Clusters, schedule: Schedule) -> np.ndarray:
-    """Clusters that are too small, or too close to one with more points."""
+def tests_closeness(t: float, last: float | None, config: Config) -> bool:
+    """Below its temperature, and not again before the temperature fell by a quarter."""
+    return t < config.TemperatureForClosenessTest and (last is None or t < last - 0.25)
+
+
+def invalid(c: Clusters, schedule: Schedule, closeness: bool = True) -> np.ndarray:
+    """Clusters that are too small, or (``closeness``) too close to one with more points."""
     cfg = schedule.config
     small = c.c < (cfg.MinimumCountForClusterCkWithSponge if c.sponge else cfg.MinimumCountForClusterCk)
     small |= c.occupation < cfg.MinimuCountForClusterPoints
-    close = np.zeros(len(c), bool)
-    if schedule.t < cfg.TemperatureForClosenessTest or cfg.TemperatureForClosenessTest <= 0:
+    close, at = np.zeros(len(c), bool), np.arange(len(c))
+    if closeness:
         s2 = schedule.sigma2(c.y)
-        d2 = ((c.y[:, None] - c.y[None]) ** 2 / s2[:, None]).sum(2)
-        more = (c.occupation[None] > c.occupation[:, None]) | ((c.occupation[None] == c.occupation[:, None]) & (np.arange(len(c))[None] < np.arange(len(c))[:, None]))
-        close = ((d2 < cfg.ScaledSquaredDistanceAtClosenessTest) & more & c.own[None] & ~np.eye(len(c), dtype=bool)).any(1)
+        for k in np.flatnonzero(c.own & ~small):
+            near = ((c.y - c.y[k]) ** 2 / s2[k]).sum(1) < cfg.ScaledSquaredDistanceAtClosenessTest
+            more = (c.occupation > c.occupation[k]) | ((c.occupation == c.occupation[k]) & (at < k))
+            close[k] = (near & more & c.own & (at != k)).any()
     return (small | close) & c.own
 
 
@@ -272,20 +361,25 @@ def split(c: Clusters, k: int, v: np.ndarray, schedule: Schedule) -> Clusters:
     return replace(c, **out)
 
 
-def anneal(points: DataFrame, config: Config, max_clusters: int | None = None, max_steps: int = 5000, restart: list | None = None) -> Result:
+def anneal(points: DataFrame, config: Config, max_clusters: int | None = None, max_steps: int = 5000, restart: list | None = None, sigma: Callable[[np.ndarray], np.ndarray] | None = None) -> Result:
     """Run to the end of the schedule, from one cluster or from a former run's state. ``points`` have
     ``x`` (array<double>); persist them first. The limit on clusters, sponge included, is ``max_clusters``
-    or else ``MaxNcentTotal``, whose default of 0 sets none."""
+    or else ``MaxNcentTotal``, whose default of 0 sets none. ``sigma`` gives the squared scales of centres
+    (a row each) in place of the configured method."""
     config = config.checked()
     limit_k = max_clusters if max_clusters is not None else config.MaxNcentTotal or sys.maxsize
-    n = float(points.count())
-    c, schedule = restarted(restart, config) if restart else initial(points, config)
+    most = config.TargetNcentPerPoint if config.TargetNcentPerPoint > 0 else None
+    n, many_parts = float(points.count()), points.rdd.getNumPartitions() > 256
+    c, schedule = restarted(restart, config, sigma) if restart else initial(points, config, sigma)
     out, before, since, waited, final, rises, last_h, fine = Result(c, schedule), None, 0, 0, False, 0, None, False
+    best: tuple[Clusters, float] | None = None  # the solution when H last fell
+    close_at, done, asked = None, 0.0, 0.0
     for step in range(max_steps):
         now = (c.y, schedule.sigma2(c.y), c.p, schedule.t, schedule.sponge_factor if c.sponge else None)
-        sums = em_sums(points, now, before if since else None, config.ExpArgumentCut1)
+        sums = em_sums(points, now, before if since else None, config.ExpArgumentCut1, schedule.metric, most, many_parts)
         if abs(sums["c"].sum() - n) > max(0.5, 1e-6 * n):
             raise ArithmeticError("memberships don't sum to the points")
+        done, asked = done + sums["work"].sum(), asked + n * len(c)
         c = replace(c, **{k: sums[k] for k in ("c", "freezing", "width2", "occupation", "corr", "dc")})
         moved = sums["moved"].sum() / n
         c.p = update_p(c, config, n)
@@ -298,21 +392,28 @@ def anneal(points: DataFrame, config: Config, max_clusters: int | None = None, m
             continue
         h = hamiltonian(c)
         out.trace.append((step, schedule.t, len(c), h))
-        gone = invalid(c, schedule)
+        falls = last_h is None or h <= last_h
+        if falls:
+            best = replace(c, **{k: v.copy() for k, v in c.__dict__.items() if isinstance(v, np.ndarray)}), h
+        closeness = tests_closeness(schedule.t, close_at, config)
+        close_at = schedule.t if closeness else close_at
+        gone = invalid(c, schedule, closeness)
         if gone.any() and gone.sum() < c.own.sum():
-            c, before, since = c.keep(~gone), None, 0
+            c, before, since, last_h = c.keep(~gone), None, 0, None
             continue
         if final:
-            rises = rises + 1 if last_h is not None and h > last_h else rises
-            last_h = h
+            rises += not falls
             frozen = bool((c.freezing[c.own] <= config.FreezingLimit).all())
             if frozen or rises >= 5 or schedule.t <= schedule.t_min or len(out.trace) > config.IterationAtEnd:
                 out.reason = "frozen" if frozen else "H rises" if rises >= 5 else "least temperature"
+                out.restored = best is not None and len(best[0]) == len(c) and best[1] < h
+                c = best[0] if out.restored else c
                 break
         elif schedule.t <= schedule.t_min:
             final = True
+        last_h = h
         if not final and wants_sponge(c, schedule):
-            c, before, since = with_sponge(c, config), None, 0
+            c, before, since, last_h = with_sponge(c, config), None, 0, None
             continue
         waited += 1
         splitting, room = not final and waited >= config.WaitIterations, max(0, limit_k - len(c))
@@ -321,11 +422,14 @@ def anneal(points: DataFrame, config: Config, max_clusters: int | None = None, m
         if chosen and room:
             for k, v in chosen[:room]:
                 c = split(c, k, v, schedule)
-            before, since, waited, fine = None, 0, 0, True
+            before, since, waited, fine, last_h = None, 0, 0, True, None
+            continue
+        if schedule.cleans_up():
+            before, since, waited, last_h = None, 0, 0, None
             continue
         schedule.cool(fine)
         since = 0 if since >= config.ConvergenceLoopLimit else 1
     else:
         out.reason = "step limit"
-    out.clusters, out.schedule = c, schedule
+    out.clusters, out.schedule, out.work = c, schedule, done / max(1.0, asked)
     return out

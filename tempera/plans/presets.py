@@ -38,3 +38,17 @@ PRESETS = {1: fresh_full_analysis, 2: sponge_points, 3: join_equilibrate, 4: cha
 
 def preset(c: Config) -> Config:
     return PRESETS[c.LCMSmode](c).checked()
+
+
+def basic_annealing(c: Config) -> Config:
+    """Plain annealing of vectors: one scale, no sponge, up to 30 clusters, slow cooling."""
+    slow = {"InitialCoolingFactor1": 0.995, "FineCoolingFactor1": 0.9995, "InitialCoolingFactor2": 0.995, "FineCoolingFactor2": 0.9995}
+    return replace(
+        c, UseSponge=False, SigmaMethod=0, MaxNcentTotal=30, TargetNcentPerPoint=30, MaxNcentPerPoint=30, InitialNcent=1, SelectedInputLabel=0, InputFileType=0, Replicate=1,
+        ParameterVectorDimension=3, MagicTemperatures=(-1.0,) * 5, MaxNumberSplitClusters=4, WaitIterations=4, TooSmallToSplit=15.0, **slow,
+    )
+
+
+def basic_kmeans(c: Config) -> Config:
+    """K-means of vectors with three clusters."""
+    return replace(c, UseSponge=False, SigmaMethod=0, InitialNcent=3, MaxNcentTotal=3, TargetNcentPerPoint=3, MaxNcentPerPoint=3, SelectedInputLabel=0, ParameterVectorDimension=3)

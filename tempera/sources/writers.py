@@ -27,6 +27,16 @@ def cluster_lines(rows: DataFrame, extra: tuple[str, ...] = (), experiment: str
     return rows.select(F.concat_ws(" ", *parts).alias("value"))
 
 
+def kmeans_lines(assigned: DataFrame, centers: DataFrame, n_points: int) -> DataFrame:
+    """``row_id, value`` for points (point_id, x, cluster_id) and then centres (cluster_id, y) of any
+    dimension: number, position (a zero after two places), cluster; a centre's is the label of centres."""
+    k = centers.count()
+    points = assigned.select(F.col("point_id").cast("long").alias("row_id"), "x", F.col("cluster_id").cast("long").alias("label"))
+    rows = points.unionByName(centers.select((F.col("cluster_id") + n_points).cast("long").alias("row_id"), F.col("y").alias("x"), F.lit(max(CENTER_LABEL, k)).cast("long").alias("label")))
+    place = F.array_join(F.transform("x", lambda v: F.format_string("%.6f", v)), " ")
+    return rows.select("row_id", F.concat_ws(" ", F.col("row_id").cast("string"), place, F.when(F.size("x") == 2, "0.0"), F.col("label").cast("string")).alias("value"))
+
+
 def scaled_rows(rows: DataFrame, method: int, params: tuple[float, float]) -> DataFrame:
     """Positions in units of the scales; the first as a logarithm where its scale is proportional."""
     first = F.when(F.col("x0") != 0, F.log("x0")).otherwise(F.col("x0")) if method >= 2 else F.col("x0")
