@@ -548,6 +548,44 @@ def global_numbering(spark, sf_dir):
     return c.select(F.col("cluster_id").cast("long"), (F.row_number().over(order) - 1).alias("global_id"))
 
 
+@query(
+    "select point_id, cluster_id, round(case when s < 0.2e0 then 1e0 / n else m / s end, 6) as m from (select *, sum(m) over (partition by point_id) as s, count(*) over (partition by point_id) as n from (select point_id, cluster_id, m, d2, row_number() over (partition by point_id order by cluster_id <> 0, d2, cluster_id) as rk, min(d2) filter (cluster_id <> 0) over (partition by point_id) as dn from ms) where rk <= 3 and (cluster_id = 0 or d2 - dn <= 2 * 40e0 * 0.01e0))",
+    soft=True,
+)
+def reassign(spark, sf_dir):
+    m, c = _soft(spark, sf_dir, True)
+    return rounded(em.long_form(em.reassigned(m, c, 0.01, 3)).select("point_id", "cluster_id", "m"), 6)
+
+
+_REPAIR = "lo as (select *, sum(case when cluster_id in (3, 5) then m else 0e0 end) over (partition by point_id) as lost, count(*) filter (cluster_id not in (3, 5)) over (partition by point_id) as n from m where m > 0), re as (select point_id, cluster_id, case when lost >= 0.99e0 then 1e0 / n else m / (1 - lost) end as m from lo where cluster_id not in (3, 5))"
+
+
+@query("select point_id, cluster_id, round(m, 5) as m from (select point_id, cluster_id, case when cluster_id = 2 then m / 2 else m end as m from re union all select point_id, 9, m / 2 from re where cluster_id = 2)", soft=True, more=_REPAIR)
+def repair(spark, sf_dir):
+    m, c = _soft(spark, sf_dir)
+    split = c.where("cluster_id = 2").select("cluster_id", F.lit(9).alias("child_id"))
+    return rounded(em.repaired(em.long_form(m).select("point_id", "cluster_id", "m"), c.where("cluster_id in (3, 5)"), split))
+
+
+@query(
+    "select m.cluster_id::bigint as cluster_id, round(sum(m), 4) as c, round(sum(m * (1 - m)) / sum(m), 6) as freezing, round(sum(m * x0) / sum(m), 5) as y0, round(sum(m * x1) / sum(m), 5) as y1, round(sum(m * d2) / sum(m), 5) as width2, any_value(o.n) as occupation from m join (select cluster_id, count(*) as n from (select cluster_id, row_number() over (partition by point_id order by m desc, cluster_id) as rk from m) where rk = 1 group by 1) o using (cluster_id) group by m.cluster_id",
+    soft=True,
+)
+def em_kernel(spark, sf_dir):
+    import numpy as np
+
+    from tempera.plans.anneal import em_sums
+
+    p = V.points2d(spark, sf_dir)
+    rows = V.centers5(p).orderBy("cluster_id").collect()
+    column = lambda *names: np.array([[r[n] for n in names] for r in rows], float)
+    now = (column("y0", "y1"), column("s0", "s1"), column("p")[:, 0], V.TEMPERATURE, None)
+    s = em_sums(p.select(F.array("x0", "x1").alias("x")), now, None, em.EXP_CUT1, metric=True)
+    out = [(int(r["cluster_id"]), *map(float, (s["c"][k], s["freezing"][k], *s["mean"][k], s["width2"][k])), int(s["occupation"][k])) for k, r in enumerate(rows)]
+    df = spark.createDataFrame(out, "cluster_id long, c double, freezing double, y0 double, y1 double, width2 double, occupation long")
+    return df.select("cluster_id", F.round("c", 4).alias("c"), F.round("freezing", 6).alias("freezing"), *[F.round(c, 5).alias(c) for c in ("y0", "y1", "width2")], "occupation")
+
+
 # K-means
 
 _KM = """
@@ -595,6 +633,57 @@ def kmeans_pruned(spark, sf_dir):
     return a.select("point_id", F.get(ids, F.col("cluster_id").cast("int")).cast("long").alias("cluster_id"))
 
 
+@query("select point_id, cluster_id::bigint as cluster_id from a2", more=_KM)
+def kmeans_ongoing(spark, sf_dir):
+    import numpy as np
+
+    v = V.vectors(spark, sf_dir)
+    rows = kmeans.centers_of(v, "label").orderBy("cluster_id").collect()
+    ids, y0 = F.array(*[F.lit(int(r["cluster_id"])) for r in rows]), np.array([r["y"] for r in rows])
+    state = kmeans.scan(v, y0)
+    new = {r["cluster_id"]: r["y"] for r in kmeans.centers_of(state, "cluster_id").collect()}
+    after = kmeans.rescan(state.drop("work"), np.array([new.get(k, y) for k, y in enumerate(y0)]), y0)
+    return after.select("point_id", F.get(ids, F.col("cluster_id").cast("int")).cast("long").alias("cluster_id"))
+
+
+@query(
+    "select least(201, greatest(0, floor(sqrt(d2) * 200 / hi)::int + 1))::int as bin, count(*) as n, round(100e0 * count(*) / any_value(total), 6) as percent from (select *, 200 * ceil(least(pow(10e0, 1 - floor(log10(size))) * size, 100e0)) / pow(10e0, 1 - floor(log10(size))) as hi from (select *, 10 * sqrt(avg(d2) over ()) / 200 as size, count(*) over () as total from a1)) group by 1",
+    more=_KM,
+)
+def kmeans_hist(spark, sf_dir):
+    v = V.vectors(spark, sf_dir)
+    return kmeans.histograms(kmeans.assign(v, kmeans.centers_of(v, "label"))).select("bin", "n", F.round("percent", 6).alias("percent"))
+
+
+def _rounds_sql(rounds: int) -> str:
+    parts = ["x as (select vec_id as point_id, label, (i - 1)::int as i, embedding[i]::double as v from embeddings cross join range(1, 65) t(i))", "c0 as (select (dense_rank() over (order by label) - 1)::bigint as cluster_id, i, avg(v) as y from x group by label, i)"]
+    for r in range(rounds):
+        parts.append(f"b{r} as (select point_id, cluster_id, d2 from (select *, row_number() over (partition by point_id order by round(d2, 12), cluster_id) as rk from (select point_id, cluster_id, sum((v - y) * (v - y)) as d2 from x join c{r} using (i) group by 1, 2)) where rk = 1)")
+        parts.append(f"n{r} as (select cluster_id, i, avg(v) as y from x join b{r} using (point_id) group by 1, 2)")
+        parts.append(f"c{r + 1} as (select cluster_id, i, coalesce(n.y, c.y) as y, c.y as old from c{r} c left join n{r} n using (cluster_id, i))")
+        parts.append(
+            f"t{r} as (select {r} as step, (select round(avg(s), 5) from (select sqrt(sum((y - old) * (y - old))) as s from c{r + 1} group by cluster_id)) as change, (select round(avg(s), 5) from (select sqrt(coalesce(max(d2), 0)) as s from (select distinct cluster_id from c{r}) left join b{r} using (cluster_id) group by cluster_id)) as radius, (select round(sum(d2) / count(*), 5) from b{r}) as width)"
+        )
+    return ",\n".join(parts)
+
+
+@query(" union all ".join(f"select * from t{r}" for r in range(4)), more=_rounds_sql(4))
+def kmeans_rounds(spark, sf_dir):
+    import numpy as np
+
+    v = V.vectors(spark, sf_dir)
+    start = np.array([r["y"] for r in kmeans.centers_of(v, "label").orderBy("cluster_id").collect()])
+    _, trace = kmeans.run(v, start, 4, cut=0.0)
+    return spark.createDataFrame([(t["step"], *[round(float(t[k]), 5) for k in ("change", "radius", "width")]) for t in trace], "step int, change double, radius double, width double")
+
+
+@query("select row_id, concat_ws(' ', row_id, printf('%.6f', x0), printf('%.6f', x1), '0.0', label) as value from (select point_id as row_id, x0, x1, charge::bigint as label from points union all select cluster_id + (select count(*) from points), y0, y1, 100000000 from centers)")
+def kmeans_lines(spark, sf_dir):
+    p = V.points2d(spark, sf_dir)
+    centers = V.centers5(p).select("cluster_id", F.array("y0", "y1").alias("y"))
+    return writers.kmeans_lines(p.select("point_id", F.array("x0", "x1").alias("x"), F.col("charge").alias("cluster_id")), centers, p.count())
+
+
 @query()
 def kmeans_run(spark, sf_dir):
     import numpy as np
@@ -605,21 +694,43 @@ def kmeans_run(spark, sf_dir):
     return spark.createDataFrame([(t["step"], *[round(float(t[k]), 5) for k in ("change", "radius", "width", "work")]) for t in trace], "step int, change double, radius double, width double, work double")
 
 
-@query()
-def anneal_run(spark, sf_dir):
+def _annealed(spark, sf_dir):
     from tempera.plans.anneal import anneal
     from tempera.sources.config import Config
 
-    p = V.points2d(spark, sf_dir).select(F.array("x0", "x1").alias("x")).persist()
+    p = V.points2d(spark, sf_dir).select("point_id", F.array("x0", "x1").alias("x")).persist()
     c = Config(SigmaMethod=1, SigmaVectorParameters_i=V.PARAMS, Tminimum=-20.0, InitialCoolingFactor1=0.8, InitialCoolingFactor2=0.8, FineCoolingFactor1=0.85, FineCoolingFactor2=0.85, WaitIterations=1, ConvergenceLoopLimit=5, TemperatureForClosenessTest=0.1)
     out = anneal(p, c, max_clusters=6)
-    p.unpersist()
     if out.reason == "step limit":
         raise RuntimeError("annealing stopped before its schedule ended")
+    return p, out
+
+
+@query()
+def anneal_run(spark, sf_dir):
+    p, out = _annealed(spark, sf_dir)
+    p.unpersist()
     rows = [(int(i), float(y[0]), float(y[1]), float(n)) for i, (y, n) in enumerate(zip(out.clusters.y, out.clusters.c, strict=True))]
     return spark.createDataFrame(rows, "cluster_id int, y0 double, y1 double, c double")
 
 
+@query(
+    "select count(*) as points, count(*) as labelled, round(count(*)::double, 3) as size, 1e0 as p, true as falls, true as enough, true as inside, true as ended, round(avg(x0), 4) as mean0, round(avg(x1), 4) as mean1 from points"
+)
+def anneal_invariants(spark, sf_dir):
+    from tempera.plans.anneal import labels
+
+    p, out = _annealed(spark, sf_dir)
+    c, t = out.clusters, [x[1] for x in out.trace]
+    ends = p.agg(F.count("*").alias("n"), *[f(F.get("x", F.lit(i))).alias(f"{n}{i}") for i in (0, 1) for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
+    labelled = labels(p, c, out.schedule).where(F.col("cluster_id").between(0, len(c) - 1)).select("point_id").distinct().count()
+    inside = all((c.y[:, i] >= ends[f"lo{i}"]).all() and (c.y[:, i] <= ends[f"hi{i}"]).all() for i in (0, 1))
+    means = [round(float((c.y[:, i] * c.c).sum() / c.c.sum()), 4) for i in (0, 1)]  # of all points, as memberships sum to one
+    row = (ends["n"], labelled, round(float(c.c.sum()), 3), round(float(c.p.sum()), 6), all(a >= b for a, b in zip(t, t[1:], strict=False)), bool((c.c[c.own] >= 1.0).all()), inside, out.reason != "", *means)
+    p.unpersist()
+    return spark.createDataFrame([row], "points long, labelled long, size double, p double, falls boolean, enough boolean, inside boolean, ended boolean, mean0 double, mean1 double")
+
+
 # Analytics
 
 
@@ -687,6 +798,16 @@ def status_lines(spark, sf_dir):
     return quality.status_lines(V.centers40(V.points2d(spark, sf_dir)), 3)
 
 
+@query(
+    f"select c.cluster_id, round(y0 / 50e0, 5) as y0, round(y1 / 300e0, 5) as y1, occupation, coalesce(nn, 0) as n_near, coalesce(sn, 0) as n_sponge_near, coalesce(il, 0) as n_illegal, round(coalesce(ext, 0e0), 5) as extension from centers c left join (select a.cluster_id, count(*) as nn from centers a join centers b on a.cluster_id <> b.cluster_id and {_NEAR40} < 1.2e0 * 1.2e0 group by 1) using (cluster_id) left join (select cluster_id, count(*) filter (illegal) as il, sqrt(max(own_d2) filter (not illegal)) as ext, (select count(*) from g b where confused and b.nearest = g.cluster_id) as sn from g where not in_sponge group by cluster_id) using (cluster_id)",
+    soft=True, more=_QUALITY,
+)
+def status_full(spark, sf_dir):
+    a, c = _assigned(spark, sf_dir)
+    stats = quality.point_statistics(quality.point_quality(a, c, 1.2, V.SPONGE_ID))
+    return rounded(quality.status_table(c, stats, 3, 1.2, 1, V.PARAMS).drop("near"))
+
+
 _WIDTHS = """
 wk as (select mclust as cluster_id, x0, x1 from points),
 ww as (select cluster_id, count(*) as n, avg(x0) as m0, avg(x1) as m1, var_pop(x0) * count(*) / pow(0.1e0 * avg(x0), 2) as width0, var_pop(x1) * count(*) / 90000e0 as width1 from wk group by 1)"""
@@ -757,14 +878,30 @@ def peak_hist_2d(spark, sf_dir):
     return compare.peak_histogram_2d(_offsets(spark, sf_dir), 0.025, 321)
 
 
-def _trim_sql(rounds: int) -> str:
+def _trim_sql(rounds: int, box: bool = False) -> str:
     parts = ["t0 as (select golden, count(*) as n, avg(x0) as c0, avg(x1) as c1 from points where golden >= 0 group by 1 having count(*) > 3)"]
     for r in range(1, rounds + 1):
-        inside = "pow((x0 - c0) / (0.1e0 * c0), 2) + pow((x1 - c1) / 300e0, 2) <= 0.7e0"
+        inside = "abs((x0 - c0) / (0.1e0 * c0)) <= 0.7e0 and abs((x1 - c1) / 300e0) <= 0.7e0" if box else "pow((x0 - c0) / (0.1e0 * c0), 2) + pow((x1 - c1) / 300e0, 2) <= 0.7e0"
         parts.append(f"t{r} as (select golden, any_value(n) as n, coalesce(avg(x0) filter ({inside}), any_value(c0)) as c0, coalesce(avg(x1) filter ({inside}), any_value(c1)) as c1, count(*) filter ({inside}) as n_in from points join t{r - 1} using (golden) group by 1)")
     return ",\n".join(parts)
 
 
+@query("select golden as cluster_id, n, round(c0, 4) as c0, round(c1, 4) as c1, n_in from t10", more=_trim_sql(10, True))
+def trimmed_center_box(spark, sf_dir):
+    p = V.points2d(spark, sf_dir)
+    return rounded(compare.trimmed_centers(p, V.labelling(p, "golden"), V.RELATIVE, mode=1), 4)
+
+
+@query(
+    "select size::int as size, kind, bin::int as bin, count(*) as n from (select size, kind, case kind when '0' then least(99, floor(abs(o0) / 0.05e0)) when '1' then least(99, floor(abs(o1) / 0.05e0)) else least(320, floor((o0 * o0 + o1 * o1) / 0.025e0)) end as bin from (select (x0 - m0) / (0.1e0 * m0) as o0, (x1 - m1) / 300e0 as o1, n from points join (select mclust, count(*) as n, avg(x0) as m0, avg(x1) as m1 from points group by 1) using (mclust)) cross join (values (5), (10), (20), (50)) s(size) cross join (values ('0'), ('1'), ('r')) k(kind) where n > size) group by all"
+)
+def peak_schedule(spark, sf_dir):
+    from tempera.plans.comparison import peak_report
+
+    p = V.points2d(spark, sf_dir)
+    return peak_report(p, V.labelling(p, "mclust"), V.RELATIVE)
+
+
 @query("select golden as cluster_id, n, round(c0, 4) as c0, round(c1, 4) as c1, n_in from t10", more=_trim_sql(10))
 def trimmed_center(spark, sf_dir):
     p = V.points2d(spark, sf_dir)
