@@ -170,3 +170,132 @@ def test_the_sponge_comes_when_it_is_cold_and_takes_outliers(spark):
     state = [{"cluster_id": 1, "is_sponge": False, "y0": 0.5, "y1": 0.0, "p": 0.5}, {"cluster_id": 2, "is_sponge": False, "y0": 39.0, "y1": 0.0, "p": 0.5}]
     again = A.anneal(p, Config(SigmaMethod=1, SigmaVectorParameters_i=(1.0, 1.0), RestartTemperature=1.0, Tminimum=0.5, MaxNumberSplitClusters=0, InitialCoolingFactor1=0.7, InitialCoolingFactor2=0.7), restart=state, max_steps=100)
     assert len(again.clusters) == 2
+
+
+@pytest.mark.parametrize("name", ["e_step", "em_counts", "m_step", "correlations", "candidates_topk", "point_stats", "experiment_shift", "sponge_relabel", "assign_hard", "kmeans_update"])
+def test_no_plan_computes_memberships_in_a_join_or_filter(spark, name):
+    """Spark must not push conditions below the clusters' join, where they repeat the arrays' expressions."""
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        if line.strip(" :+-").startswith("Join"):
+            assert "lambda" not in line, line
+        if line.strip(" :+-").startswith("Filter"):
+            assert "exp(" not in line.lower(), line
+
+
+def grid(spark, k: int = 6, each: int = 40, seed: int = 3):
+    """Blobs on a square grid, far apart, and where their centres are."""
+    r = np.random.default_rng(seed)
+    centres = np.array([(100.0 * i, 100.0 * j) for i in range(k) for j in range(k)])
+    x = np.concatenate([c + r.normal(size=(each, 2)) for c in centres])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, x array<double>").repartition(3)
+    return df, centres
+
+
+@pytest.mark.parametrize("sponge", [None, 4.0])
+def test_the_pruned_kernel_equals_the_dense_one_with_fewer_distances(spark, sponge):
+    p, y = grid(spark)
+    if sponge:
+        y = np.r_[y[:1], y]
+    s2, weights = np.tile([1.0, 2.0], (len(y), 1)), np.full(len(y), 1 / len(y))
+    now, before = (y, s2, weights, 30.0, sponge), (y + 1.5, s2, weights, 35.0, sponge)
+    dense, pruned = (A.em_sums(p, now, before, 20.0, metric) for metric in (False, True))
+    for name in dense:
+        if name != "work":
+            assert np.allclose(dense[name], pruned[name], rtol=1e-9, atol=1e-9), name
+    assert pruned["work"].sum() < 0.5 * dense["work"].sum()
+    blocks = A.em_sums(p, now, before, 20.0, True, many_parts=True)
+    assert np.allclose(blocks["corr"], pruned["corr"], rtol=1e-12)
+    few, every = (A.em_sums(p, (*now[:3], 1e6, sponge), None, 20.0, metric, 5) for metric in (True, False))
+    assert np.allclose(few["c"], every["c"]) and abs(few["c"].sum() - 1440) < 1e-6
+
+
+def test_at_most_so_many_clusters_count_for_a_point():
+    x, y = np.array([[0.0]]), np.array([[0.0], [1.0], [2.0], [3.0]])
+    m, _ = A.memberships(x, y, np.ones((4, 1)), np.full(4, 0.25), 10.0, None, 20.0, 2)
+    assert (m > 0).tolist() == [[True, True, False, False]] and abs(m.sum() - 1) < 1e-12
+    m, _ = A.memberships(x, y, np.ones((4, 1)), np.full(4, 0.25), 10.0, 1.0, 20.0, 3)
+    assert (m > 0).tolist() == [[True, True, True, False]]
+
+
+def test_labels_follow_the_blobs_and_a_function_may_give_the_scales(spark):
+    p, y = grid(spark, 3)
+    config = Config(SigmaMethod=1, SigmaVectorParameters_i=(1.0, 1.0), Tminimum=-2000.0, InitialCoolingFactor1=0.8, InitialCoolingFactor2=0.8, FineCoolingFactor1=0.8, FineCoolingFactor2=0.8, WaitIterations=1, ConvergenceLoopLimit=8, MagicTemperatures=(500.0, 50.0))
+    p = p.persist()
+    plain = A.anneal(p, config, max_clusters=9, max_steps=600)
+    own = A.anneal(p, config, max_clusters=9, max_steps=600, sigma=lambda centres: np.ones_like(centres))
+    assert plain.schedule.magic == 2 and plain.work < 1 and own.work == 1
+    assert np.allclose(np.sort(plain.clusters.y, 0), np.sort(own.clusters.y, 0), atol=1e-6)
+    found = {r.point_id: r.cluster_id for r in A.labels(p, plain.clusters, plain.schedule).collect()}
+    near = np.argmin(((np.array([r.x for r in p.orderBy("point_id").collect()])[:, None] - plain.clusters.y[None]) ** 2).sum(2), 1)
+    assert [found[i] for i in range(len(near))] == near.tolist()
+
+
+def test_closeness_is_tested_again_only_after_a_drop_of_a_quarter():
+    c = Config(TemperatureForClosenessTest=4.0)
+    assert not A.tests_closeness(4.0, None, c) and A.tests_closeness(3.9, None, c)
+    assert not A.tests_closeness(3.7, 3.9, c) and A.tests_closeness(3.6, 3.9, c)
+
+
+def test_bounds_spare_distances_and_give_the_same_assignment(spark):
+    p, y = grid(spark)
+    moved = y + np.array([0.3, -0.2])
+    state = kmeans.scan(p, y)
+    after = kmeans.rescan(state.drop("work"), moved, y).collect()
+    plain = {r.point_id: r.cluster_id for r in kmeans.assign_pruned(p, moved).collect()}
+    assert {r.point_id: r.cluster_id for r in after} == plain
+    assert sum(r.work for r in after) < 0.1 * len(after) * len(y)
+
+
+def test_nearest_keeps_the_first_of_equal_centres():
+    r = np.random.default_rng(5)
+    y = r.integers(0, 4, (40, 2)).astype(float)  # many equal ones
+    x = r.integers(0, 4, (300, 2)).astype(float) + r.choice([0.0, 0.5], (300, 1))
+    for a, b in zip(kmeans.nearest(x, y)[:2], kmeans.nearest(x, y, prune=False)[:2], strict=True):
+        assert (a == b).all()
+
+
+def test_a_configuration_runs_from_its_files_to_outputs(spark, tmp_path):
+    from tempera.plans import job
+
+    r = np.random.default_rng(1)
+    lines = []
+    for i in range(240):
+        c = i % 3
+        x = 500 + 40 * c + r.normal(), 10 + 20 * c + r.normal()
+        lines.append(f"{i} {x[0]:.6f} {x[1]:.6f} 2 P {c} {c} {c} {i % 5 + 1}")
+    (tmp_path / "in.txt").write_text("\n".join([*lines, "999 1.0 1.0 7 P 0 0 0 1"]))
+    text_of = f"LabelFile={tmp_path}/in.txt\nComparisonClusterFile={tmp_path}/in.txt\nSelectedInputLabel=2\nCompareSolution=1\nSigmaMethod=1\nSigmaVectorParameters_i=1.0,1.0\nTminimum=-500\nInitialCoolingFactor1=0.8\nInitialCoolingFactor2=0.8\nFineCoolingFactor1=0.8\nFineCoolingFactor2=0.8\nWaitIterations=1\nConvergenceLoopLimit=8\nNumberNearbyClusters=2\n"
+    out = job.run(spark, Config.from_properties(text_of), f"file://{tmp_path}/out", max_clusters=3, max_steps=500)
+    assert out.result.reason != "step limit" and out.labels.count() == 240
+    groups = {}
+    for x in out.labels.collect():
+        groups.setdefault(x.cluster_id, set()).add(x.point_id % 3)
+    assert sorted(map(sorted, groups.values())) == [[0], [1], [2]]
+    read = lambda name: [x.value for x in spark.read.text(f"file://{tmp_path}/out/{name}").collect()]
+    assert len(read("clusters")) == 243 and len(read("status")) == 3 and len(read("shifts")) == 5 and any("clusters of 240 points" in x for x in read("summary"))
+    own = [x for x in out.reports["golden"].collect() if x.method == "own"]
+    assert {x.lim for x in own} == {3, 11, 36} and all(x.clusters == 3 and x.share == 1 for x in own)
+    assert {"differences", "differences_back", "statistics", "peaks"} <= out.reports.keys()
+    # go on from the written clusters, without refinement
+    parts = read("clusters")
+    (tmp_path / "again.txt").write_text("\n".join(parts))
+    again = job.run(spark, Config.from_properties(text_of + f"LCMSmode=5\nRestartClusterFile={tmp_path}/again.txt\n", {"MaxNumberSplitClusters": "0"}), max_steps=200)
+    assert np.allclose(np.sort(again.result.clusters.y, 0), np.sort(out.result.clusters.y, 0), atol=0.1)
+
+
+def test_kmeans_follows_an_annealed_solution_and_a_configuration(spark, tmp_path):
+    from dataclasses import replace
+
+    from tempera.plans import job
+    from tempera.plans.presets import basic_annealing, basic_kmeans
+
+    p, y = grid(spark, 2)
+    p = p.persist()
+    config = replace(basic_annealing(Config()), ParameterVectorDimension=2, InitialCoolingFactor1=0.8, InitialCoolingFactor2=0.8, FineCoolingFactor1=0.8, FineCoolingFactor2=0.8, WaitIterations=1, ConvergenceLoopLimit=8, Tminimum=-50.0)
+    out = A.anneal(p, config, max_clusters=4, max_steps=500)
+    centres, trace = job.follow_up_kmeans(p, out)
+    assert np.allclose(np.sort(centres, 0), np.sort(y, 0), atol=1) and trace[-1]["change"] < 1e-3
+    _, _, assigned = job.run_kmeans(spark, replace(basic_kmeans(Config()), InitialNcent=4), p, f"file://{tmp_path}/out")
+    lines = [x.value for x in spark.read.text(f"file://{tmp_path}/out/kmeans").collect()]
+    assert len(lines) == p.count() + 4 and sum(x.endswith(" 0.0 100000000") for x in lines) == 4 and assigned.count() == p.count()
