@@ -1,6 +1,7 @@
 """Near-duplicate embeddings: random-hyperplane signs in several tables, exact cosine, components.
 
-Equal vectors are one class first, so copies cost nothing. Classes are dealt to buckets by the signs
+Equal vectors, told by 128-bit digests, are one class first, so copies cost nothing and only digests
+go back to the rows. Classes are dealt to buckets by the signs
 of their products with random hyperplanes, in enough tables to find a pair at the threshold with
 ``RECALL``. Inside a bucket all cosines are computed exactly, block by block; a pair counts in the
 first table whose buckets it shares only, so links are counted once and no pairs are emitted: a
@@ -8,8 +9,8 @@ bucket returns counts and one edge a vector to the least vector of its local com
 above ``BLOCK`` vectors are split into pairs of blocks, which together still compare everything.
 
 Defined cases: a vector that is null, empty, zero or holds a null or non-finite component links with
-nothing; vectors of different lengths never link; repeated rows are vectors of their own; an empty
-table gives no rows; other columns, labels too, are ignored.
+nothing, nor does a null vec_id, which is kept; vectors of different lengths never link; repeated rows
+are vectors of their own; an empty table gives no rows; other columns, labels too, are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempera.llm.common import mapped, written
+from tempera.llm.common import joined, mapped, written
 from tempera.llm.components import connected_components
 
 COSINE = 0.9
@@ -70,7 +71,7 @@ def _compare(cosine: float):
         rep, copies = (rows.column(c).to_numpy() for c in ("rep", "copies"))
         x = _matrix(rows.column("vector"))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        codes = np.array(rows.column("codes").to_pylist(), np.int32)
+        codes = np.array(rows.column("codes").to_pylist(), np.int32).reshape(len(rep), t)  # of the tables before this one
         block = rows.column("block").to_numpy()
         a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
         links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
@@ -81,7 +82,7 @@ def _compare(cosine: float):
             i, j = part[i], b[j]
             if left == right:
                 i, j = i[i < j], j[i < j]
-            first = ~(codes[i, :t] == codes[j, :t]).any(1)
+            first = ~(codes[i] == codes[j]).any(1)
             i, j = i[first], j[first]
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])
@@ -108,15 +109,18 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("vector"))
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     usable = F.coalesce(F.forall("vector", finite) & F.exists("vector", lambda v: v != 0), F.lit(False))
-    rows = rows.withColumn("vector", F.when(usable, F.col("vector")))
-    classes = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    rows = rows.withColumn("vector", F.when(usable & F.col("vec_id").isNotNull(), F.col("vector")))
+    digest = lambda k, other: F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(k), "vector")).otherwise(other)
+    rows = rows.select("vec_id", "vector", F.col("vector").isNotNull().alias("usable"), digest(1, F.col("vec_id")).alias("d1"), digest(2, F.lit(0)).alias("d2"))
+    classes = rows.where("usable").groupBy("d1", "d2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     classes = written(classes, "vector-classes")
     bits, tables = plan_tables(classes.count(), cosine, recall)
     hashed = written(_hashed(classes, bits, tables), "vector-codes")
-    dealt = hashed.select("*", F.posexplode("codes").alias("t", "code"))
-    big = hashed.select("dim", F.posexplode("codes").alias("t", "code")).groupBy("dim", "t", "code").count().where(F.col("count") > BLOCK)
-    blocks = big.select("dim", "t", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = dealt.join(blocks, ["dim", "t", "code"], "left").fillna(1, ["blocks"])
+    places = hashed.select("dim", F.posexplode("codes").alias("t", "code"))
+    big = places.groupBy("dim", "t", "code").count().where(F.col("count") > BLOCK)
+    blocks = written(big.select("dim", "t", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "vector-blocks")
+    dealt = hashed.select("rep", "copies", "dim", "vector", "codes", F.posexplode("codes").alias("t", "code")).withColumn("codes", F.slice("codes", F.lit(1), F.col("t")))
+    dealt = joined(dealt, blocks, ["dim", "t", "code"], "left", 24).fillna(1, ["blocks"])
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
@@ -124,8 +128,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     found = written(found, "vector-links")
     components = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    of_class = classes.join(links, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = of_class.select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(of_class, "vector", "left")
+    of_class = classes.select("d1", "d2", "rep", "copies").join(links, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
+    of_class = of_class.select("d1", "d2", F.lit(True).alias("usable"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    out = rows.drop("vector").join(of_class, ["d1", "d2", "usable"], "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
