@@ -132,7 +132,8 @@ m as (
   select page_id, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict
   from u join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by page_id)
 select page_id, host, path, rule, coalesce(m.verdict,
-  case when regexp_matches(host, '(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)') then 'block' else 'allow' end) as verdict
+  case when regexp_matches(host, '(^|[.-])(adult|ads|adserver|bets|betting|casino|malware|pharmacy|phishing|pills|poker|porn|spam|viagra|xxx)([.-]|$)') or starts_with(path, '/ads/')
+    or regexp_matches(path, '(^|[^A-Za-z0-9])wp-login\.php($|[^A-Za-z0-9])') or ends_with(path, '.exe') then 'block' else 'allow' end) as verdict
 from u left join m using (page_id)
 """,
     "op9_warc_bundles": """

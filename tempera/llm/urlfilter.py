@@ -1,13 +1,14 @@
 """URL filters: pattern rules indexed by their rarest literal token, in DataFrame functions only.
 
-A rule is a regular expression over ``host || path`` and the literal tokens that any match holds
-whole. How often each of those tokens occurs is counted over all urls; the rule is filed under its
-rarest. The tokens of a url fetch candidate rules; only those run their expression.
+A rule is a regular expression over ``host || path`` and the literal tokens that any match holds whole,
+both made from a line of text (``read_rules``). How often each of those tokens occurs is counted over
+all urls; the rule is filed under its rarest. The tokens of a url fetch candidate rules; only those run
+their expression.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and meets no rule;
-repeated rows are judged each by itself; an empty table gives no rows; columns other than the two
-asked for are ignored; of rules of equal length the one with the longer host, then the greater text
-wins.
+repeated rows, null, tied and repeated ids are judged each by itself; an empty table gives no rows; columns
+other than the two asked for are ignored; of rules of equal length the one with the longer host, then the
+greater text wins.
 """
 
 from __future__ import annotations
@@ -43,9 +44,44 @@ def host_rule(verdict: str, text: str) -> Rule:
     return Rule(verdict, text, rf"^(?:[^/]*\.)?{quoted}", tuple(whole), len(text), len(host))
 
 
-def word_rule(verdict: str, word: str) -> Rule:
-    """A word of the host, bounded by dots, hyphens or its ends."""
-    return Rule(verdict, None, rf"^(?:[^/]*[.-])?{word}(?:[.-]|/|$)", (word,))
+_EDGE = "(?:(?<![A-Za-z0-9])|(?![A-Za-z0-9]))"
+#: By part of the url: what stands before a pattern, and before one that begins with a bar; what * and ^ stand for;
+#: what a final bar asks for.
+_PARTS = {
+    "host": ("^[^/]*?", "^", "[^/]*", "(?:(?<=[.-])|^|(?=[.-]|/|$))", "(?=/|$)"),
+    "path": ("^[^/]*+.*?", "^[^/]*+", ".*", _EDGE, "$"),
+    "url": ("^.*?", "^", ".*", _EDGE, "$"),
+}
+
+
+def pattern_rule(verdict: str, part: str, pattern: str) -> Rule:
+    """A pattern for the ``host``, the ``path`` or the whole ``url``: ``*`` stands for any text, ``|`` at
+    either end for that end, ``^`` for an edge of a word: in a host a dot, a hyphen or an end beside it,
+    elsewhere any place that isn't inside a run of letters and digits. Its tokens are the runs of letters
+    and digits that must stand whole: those with neither ``*`` nor an open end beside them."""
+    before, start, any_, edge, end = _PARTS[part]
+    body = pattern.removeprefix("|")
+    anchored = len(body) < len(pattern)
+    body, closed = (body[:-1], True) if body.endswith("|") else (body, False)
+    pieces = {"*": any_, "^": edge}
+    regex = "".join(pieces.get(c) or re.sub(r"([^A-Za-z0-9/])", r"\\\1", c) for c in body)
+    text = ("|" if anchored else "*") + body.lower() + ("|" if closed else "*")
+    tokens = tuple(m[0] for m in _TOKEN.finditer(text) if "*" not in (text[m.start() - 1], text[m.end()]))
+    return Rule(verdict, None, (start if anchored else before) + regex + (end if closed else ""), tokens)
+
+
+def read_rules(text: str) -> tuple[Rule, ...]:
+    """Rules from lines ``verdict host/path`` (a host rule) or ``verdict part pattern`` (a pattern of the
+    method); empty lines and what follows a # with a space before or at the start are skipped."""
+    out = []
+    for line in text.splitlines():
+        words = re.sub(r"(^|\s)#.*", "", line).split()
+        if not words:
+            continue
+        if words[0] not in ("allow", "block") or len(words) not in (2, 3) or (len(words) == 3 and words[1] not in _PARTS):
+            raise ValueError(f"not a rule: {line}")
+        out.append(host_rule(*words) if len(words) == 2 else pattern_rule(*words))
+    return tuple(out)
 
 
 HOST_RULES = (
@@ -55,8 +91,30 @@ HOST_RULES = (
     host_rule("allow", "com/fr/"),
     host_rule("block", "com/de/"),
 )
-#: What the method itself blocks when no host rule fits.
-WORD_RULES = tuple(word_rule("block", w) for w in ("adult", "ads", "bets", "casino", "pills", "spam"))
+#: What the method itself decides when no host rule fits.
+METHOD_RULES = """
+# words of the host, between dots, hyphens or its ends
+block host ^adult^
+block host ^ads^
+block host ^adserver^
+block host ^bets^
+block host ^betting^
+block host ^casino^
+block host ^malware^
+block host ^pharmacy^
+block host ^phishing^
+block host ^pills^
+block host ^poker^
+block host ^porn^
+block host ^spam^
+block host ^viagra^
+block host ^xxx^
+# places and kinds of files
+block path |/ads/
+block path ^wp-login.php^
+block path .exe|
+"""
+PATTERN_RULES = read_rules(METHOD_RULES)
 
 
 def host_of(url: Column) -> Column:
@@ -107,7 +165,7 @@ def _hits_joined(keys: DataFrame, rules: tuple[Rule, ...], index: dict[Rule, str
     return met.groupBy("_key").agg(F.collect_list(F.struct("size", "host_size", "name", "verdict")).alias("_hits"))
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = HOST_RULES + WORD_RULES, default: str = "allow", inrow: int = INROW_RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = HOST_RULES + PATTERN_RULES, default: str = "allow", inrow: int = INROW_RULES) -> DataFrame:
     """``id_col, host, path, rule, verdict`` for every row. The longest host rule that fits decides;
     without one, a pattern of the method (a block goes before an allow), else ``default``."""
     keys = pages.select(
