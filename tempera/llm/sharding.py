@@ -7,8 +7,10 @@ fixed), never rows. Rows equal in the split dimension are divided by a hash of t
 value or text may hold any part of the bytes. A node of k leaves splits in the proportion of the
 leaves on either side; leaves end up at the target bytes to within a document and ``TOLERANCE``.
 
+Languages and sources are dimensions by the rank of their whole strings, which Spark sorts.
+
 Defined cases: a null text has size 16 and the checksum of no bytes; null metadata sorts first;
-repeated rows are rows of their own; an empty table gives no rows; fewer rows than shards leave
+repeated rows are rows of their own; a null doc_id is a document like others; an empty table gives no rows; fewer rows than shards leave
 shards empty; other columns are ignored.
 """
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempera.llm.common import mapped, written
+from tempera.llm.common import joined, mapped, n_partitions, written
 
 DIMS = 4  # language, source, characters, id
 BINS = 1024
@@ -47,27 +49,38 @@ class _Node:
     children: tuple[_Node, _Node] | None = None
 
 
-def text_key(c: Column) -> Column:
-    """A string's first seven bytes as a number, in the order of the strings."""
-    return F.coalesce(F.conv(F.hex(F.rpad(F.substring(F.encode(c, "utf-8"), 1, 7), 7, b"\0")), 16, 10).cast("long"), F.lit(-1).cast("long"))
+def ranks(docs: DataFrame, column: str) -> DataFrame:
+    """``value, rank`` (from 0) of the distinct strings of a column: Spark deals them out by ranges, each of
+    which is numbered by itself, from the count of those before it."""
+    values = docs.select(F.col(column).alias("value")).where("value is not null").distinct()
+    dealt = values.repartitionByRange(n_partitions(docs.sparkSession), "value").withColumn("part", F.spark_partition_id())
+    dealt = written(dealt, "kd-values")
+    counts = {r["part"]: r["count"] for r in dealt.groupBy("part").count().collect()}
+    before = {p: sum(n for q, n in counts.items() if q < p) for p in counts}
+    starts = docs.sparkSession.createDataFrame(sorted(before.items()), "part int, start long")
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("value")) - 1
+    return dealt.join(F.broadcast(starts), "part").select("value", (inside + F.col("start")).cast("long").alias("rank"))
 
 
 def document_table(docs: DataFrame) -> DataFrame:
     """``doc_id, size, text_crc32``, the dimensions ``d0..`` and the tie hash, without the text."""
     raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-1).cast("long"))
+    whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-1).cast("long"))
     table = docs.select(
         "doc_id",
         (F.length(raw) + OVERHEAD).cast("long").alias("size"),
         F.crc32(raw).cast("long").alias("text_crc32"),
-        text_key(F.col("lang")).alias("d0"),
-        text_key(F.col("source")).alias("d1"),
-        number("n_chars").alias("d2"),
-        number("doc_id").alias("d3"),
-        F.monotonically_increasing_id().alias("_row"),
+        F.col("lang").cast("string").alias("lang"),
+        F.col("source").cast("string").alias("source"),
+        whole("n_chars").alias("d2"),
+        whole("doc_id").alias("d3"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    tie = F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "_row"), 64 - _TIE_BITS)
-    return table.withColumn("tie", tie).drop("_row")
+    for name, c in (("d0", "lang"), ("d1", "source")):
+        of = written(ranks(docs.select(F.col(c).cast("string").alias(c)), c).toDF(c, "rank"), "kd-ranks")
+        table = joined(table, of, c, "left", 64).withColumn(name, whole("rank")).drop("rank")
+    tie = F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "row"), 64 - _TIE_BITS)
+    return table.select("doc_id", "size", "text_crc32", *[f"d{i}" for i in range(DIMS)], tie.alias("tie"))
 
 
 def _routed(root: _Node, columns: dict[str, np.ndarray]) -> np.ndarray:
@@ -167,10 +180,9 @@ def _narrow(rows: DataFrame, root: _Node, level: list[_Node], tolerance: float)
         open_ = still
 
 
-def assign_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
-    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row. Give the number of
-    shards, or the bytes a leaf should reach. ``law`` is ``bytes``: shard sizes are near equal."""
-    rows = written(document_table(docs), "kd-documents")
+def kd_tree(rows: DataFrame, n_shards: int | None = None, target_bytes: int | None = None) -> _Node:
+    """The tree over rows of a ``document_table``: every node cut at the weighted median of its widest
+    dimension."""
     ends = [f(f"d{i}").alias(f"{n}{i}") for i in range(DIMS) for f, n in ((F.min, "lo"), (F.max, "hi"))]
     whole = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b"), *ends).first()
     n_shards = n_shards or max(1, round(whole["b"] / target_bytes))
@@ -184,6 +196,14 @@ def assign_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: in
             half = n.leaves // 2
             n.children = (_Node(n.first, half), _Node(n.first + half, n.leaves - half))
         level = [m for n in level for m in n.children]
+    return root
+
+
+def assign_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row. Give the number of
+    shards, or the bytes a leaf should reach. ``law`` is ``bytes``: shard sizes are near equal."""
+    rows = written(document_table(docs), "kd-documents")
+    root = kd_tree(rows, n_shards, target_bytes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
