@@ -310,6 +310,38 @@ def test_one_text_in_all_rows_still_makes_equal_shards(spark):
     assert len(counts) == 7 and max(counts) - min(counts) <= 3
 
 
+def test_every_cut_is_the_weighted_median_of_the_widest_dimension(spark):
+    r = random.Random(21)
+    rows = [(i, "x" * r.randrange(400), r.choice(["de", "en", None]), "long-common-prefix-" + str(r.randrange(300)), r.randrange(5000), 1, 1) for i in range(3000)]
+    rows += [(5000 + i, "y" * 50, "en", "long-common-prefix-7", 10, 1, 1) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, rank long, tie long").repartition(5)
+    table = sharding.document_table(docs).persist()
+    root = sharding.kd_tree(table, 11)
+    data = table.toPandas()
+    for c, text in (("d0", 2), ("d1", 3)):  # ranks keep the order of the whole strings
+        of = {i: row[text] for i, *_ in rows for row in [rows[i] if i < 3000 else rows[3000 + i - 5000]]}
+        known = {x: k for k, x in enumerate(sorted({v for v in of.values() if v is not None}))}
+        assert all(known.get(of[i], -1) == k for i, k in zip(data.doc_id, data[c], strict=True))
+    extent = [(data[f"d{i}"].min(), data[f"d{i}"].max()) for i in range(sharding.DIMS)]
+    most, slack = data["size"].max(), sharding.TOLERANCE * data["size"].sum() / 11
+    todo, cuts = [(root, data)], 0
+    while todo:
+        n, part = todo.pop()
+        if n.children is None:
+            continue
+        spread = [(part[f"d{i}"].max() - part[f"d{i}"].min()) / max(1, hi - lo) for i, (lo, hi) in enumerate(extent)]
+        assert n.dim == int(np.argmax(spread)) and n.bytes == part["size"].sum()
+        left = (part[f"d{n.dim}"] < n.cut) | ((part[f"d{n.dim}"] == n.cut) & (part["tie"] < n.cut_tie))
+        order = part.sort_values([f"d{n.dim}", "tie"])
+        upto = order["size"].cumsum().to_numpy()
+        goal = n.bytes * (n.leaves // 2) / n.leaves
+        nearest = np.abs(np.r_[0, upto] - goal).min()  # of all cuts in the order of this dimension
+        assert abs(part["size"][left].sum() - goal) <= nearest + slack
+        todo += [(n.children[0], part[left]), (n.children[1], part[~left])]
+        cuts += 1
+    assert cuts == 10 and most > slack
+
+
 def toxic_rows(seed: int, n: int = 900) -> list[tuple]:
     r = random.Random(seed)
     bad, rows = ["vilescum", "grotbag", "trashling"], []

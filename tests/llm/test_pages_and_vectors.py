@@ -40,6 +40,7 @@ def test_chat_examples_read_back(spark):
 URLS = [
     "http://a.example.org/es/x", "https://example.org/en/1?x", "http://example.org/en/2", "http://notexample.org/es/1", "HTTP://WWW.B.COM/de/?q", "http://b.com/DE/", "http://com/fr/",
     "http://x.com", "ftp://x.org#/", "http://casino.net/", "http://mycasino.net/", "no scheme", None, "", "a://b://example.org/es/", "http://adult-x.example.com/fr/1",
+    "http://x.net/ads/1", "http://x.net/a/ads/1", "http://x.net/wp-login.php?x", "http://x.net/my-wp-login.php5", "http://x.net/a.exe", "http://x.net/a.exe/", "http://x_spam.net:80/", "http://spam", "http://xxx:80/",
 ]
 
 
@@ -58,7 +59,9 @@ def plain_verdict(url):
     if fits:
         return host, path, max(fits)[1], max(fits)[2]
     words = set(host.replace("-", ".").split("."))
-    return host, path, None, "block" if words & {"adult", "ads", "bets", "casino", "pills", "spam"} else "allow"
+    bad = words & set("adult ads adserver bets betting casino malware pharmacy phishing pills poker porn spam viagra xxx".split())
+    login = any(path[k : k + 12] == "wp-login.php" and not (path[k - 1 : k] + path[k + 12 : k + 13]).isalnum() and not path[k - 1 : k].isalnum() and not path[k + 12 : k + 13].isalnum() for k in range(len(path)))
+    return host, path, None, "block" if bad or login or path.startswith("/ads/") or path.endswith(".exe") else "allow"
 
 
 @pytest.mark.parametrize("inrow", [512, 0])
@@ -67,6 +70,17 @@ def test_url_verdicts(spark, inrow):
     got = {r.page_id: tuple(r)[1:] for r in urlfilter.judge_urls(pages, inrow=inrow).collect()}
     assert got == {i: plain_verdict(u) for i, u in enumerate(URLS * 2)}
     assert urlfilter.judge_urls(pages.where("false"), inrow=inrow).count() == 0
+    tied = spark.createDataFrame([(None, "http://spam.net/"), (None, None), (3, "http://spam.net/"), (3, "http://ok.net/"), (3, "http://ok.net/")], "page_id long, url string")
+    assert sorted((str(r.page_id), r.verdict) for r in urlfilter.judge_urls(tied, inrow=inrow).collect()) == [("3", "allow"), ("3", "allow"), ("3", "block"), ("None", "allow"), ("None", "block")]
+
+
+def test_rules_are_read_with_their_tokens():
+    rules = urlfilter.read_rules("# a list\nblock example.org/es/\n\nallow path |/ads/*/x^  # why\nblock url |a*b.c-d|\nblock path .exe|\nblock host b^c\nblock host ^dot.com^")
+    assert [(r.verdict, r.name, r.tokens) for r in rules] == [
+        ("block", "example.org/es/", ("example", "org", "es")), ("allow", None, ("ads", "x")), ("block", None, ("c", "d")), ("block", None, ("exe",)), ("block", None, ()), ("block", None, ("dot", "com")),
+    ]
+    with pytest.raises(ValueError):
+        urlfilter.read_rules("drop host x")
 
 
 def test_warc_bundles_read_back(spark, monkeypatch, tmp_path):
@@ -98,20 +112,40 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch, block):
     near = base[0] + r.normal(size=(80, 16)) * 0.25
     x = np.r_[base, near, np.repeat(base[3:4], 50, 0)].astype(np.float32)
     rows = [(i, [float(a) for a in v], 1) for i, v in enumerate(x)]
-    odd = [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (904, []), (905, [1.0, 0.0]), (906, [2.0, 0.0])]
-    df = spark.createDataFrame([*rows, *[(*o, 1) for o in odd]], "vec_id long, embedding array<float>, label int").withColumn("vector", F.lit(1))
+    odd = [(None, [0.5] * 16), (None, None), (900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (904, []), (905, [1.0, 0.0]), (906, [2.0, 0.0])]
+    df = spark.createDataFrame([*rows, *[(*o, 1) for o in odd]], "vec_id long, embedding array<float>, label int").withColumns({c: F.lit(1) for c in ("vector", "usable", "d1", "d2", "rep", "codes")})
     y = x.astype(np.float64)
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     link = y @ y.T >= 0.9
     label = np.arange(len(y))
     while not ((new := np.array([label[m].min() for m in link])) == label).all():
         label = new
-    truth = {i: (int(link[i].sum()) - 1, int(label[i])) for i in range(len(y))} | {i: (0, i) for i, _ in odd[:5]} | {905: (1, 905), 906: (1, 905)}
-    got = {v.vec_id: (v.n_links, v.component_id) for v in embed_dedup.near_vectors(df).collect()}
-    assert got.keys() == truth.keys() and {k: v for k, v in got.items() if k >= 900} == {k: v for k, v in truth.items() if k >= 900}
+    truth = {i: (int(link[i].sum()) - 1, int(label[i])) for i in range(len(y))} | {i: (0, i) for i, _ in odd[:7]} | {905: (1, 905), 906: (1, 905)}
+    found = embed_dedup.near_vectors(df).collect()
+    got = {v.vec_id: (v.n_links, v.component_id) for v in found}
+    assert len(found) == len(rows) + len(odd) and all(v.kept for v in found if v.vec_id is None)
+    far = lambda x: {k: v for k, v in x.items() if k is None or k >= 900}
+    assert got.keys() == truth.keys() and far(got) == far(truth)
     assert sum(v[0] for v in got.values()) >= 0.95 * sum(v[0] for v in truth.values())
     assert all(got[k][0] <= truth[k][0] for k in truth)
-    assert embed_dedup.near_vectors(df.where("false")).count() == 0
+
+
+def test_links_right_at_the_threshold_are_found(spark):
+    """Pairs at a cosine just above the threshold, each with no other neighbour."""
+    r = np.random.default_rng(11)
+    a, b = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in r.normal(size=(2, 1500, 48)))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = embed_dedup.COSINE + 0.0005
+    x = np.r_[a, c * a + (1 - c * c) ** 0.5 * b].astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    pairs = sum(v.component_id == v.vec_id - 1500 for v in embed_dedup.near_vectors(df).collect() if v.vec_id >= 1500)
+    assert pairs >= 0.985 * 1500
+
+
+def test_near_vectors_of_nothing(spark):
+    df = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert embed_dedup.near_vectors(df).count() == 0
 
 
 def test_pipeline_stages_take_effect(spark):
