@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import decimal
 import os
+import platform
 import time
 from contextlib import contextmanager
 
@@ -13,6 +14,12 @@ from pyspark.sql import functions as F
 from tempera.sources.text import CENTER_LABEL
 
 
+#: The columns of the timing file.
+TIMING_HEADER = "\t".join(
+    "Duration(ms) HPDuration(us) Thread# MPIperNode Node# Pattern Parallelism Point#/Process Point#/Global maxNcent PTsplitting Ratio1 MPIReduce Ratio2 MPISRBasic Ratio3 MPISREigen Ratio4 MPIBdcast Ratio5 DataFileName CurrentTime ProcessorName".split()
+)
+
+
 def cluster_rows(assigned: DataFrame, clusters: DataFrame, n_points: int) -> DataFrame:
     """Points with their cluster, then centres (not the sponge) as rows of their own."""
     k = clusters.count()
@@ -79,6 +86,17 @@ class Stopwatch:
         whole = sum(self.totals.values()) or 1.0
         return decimal.Decimal(self.totals[name] / whole).quantize(decimal.Decimal("0.0001"), decimal.ROUND_UP)
 
+    def append_run(self, path: str, threads: int, nodes: int, points: int, clusters: int, data_file: str, part: str = "split") -> None:
+        """A tab-separated line of the timing file with its fixed columns; the header only where the file is
+        new. What message passing took has no equal here and is 0."""
+        whole = sum(self.totals.values())
+        share = self.share(part) if part in self.totals else 0
+        cores, zero = threads * nodes, (0, 0.0)
+        row = (round(whole * 1000), round(whole * 1e6), threads, 1, nodes, f"{threads}x1x{nodes}", cores, -(-points // max(1, cores)), points, clusters, round(self.totals.get(part, 0.0) * 1e6), float(share), *zero * 4, data_file, time.strftime("%Y-%m-%d %H:%M:%S"), platform.node())
+        new = not os.path.exists(path)
+        with open(path, "a", encoding="utf-8") as f:
+            f.write((TIMING_HEADER if new else "") + "\n" + "\t".join(map(str, row)))
+
     def append_to(self, path: str) -> None:
         """A tab-separated line; the header only where the file is new."""
         new = not os.path.exists(path)

@@ -147,6 +147,11 @@ def test_text_files_go_round(spark, tmp_path):
     watch.append_to(str(tmp_path / "t.tsv"))
     watch.append_to(str(tmp_path / "t.tsv"))
     assert len((tmp_path / "t.tsv").read_text().splitlines()) == 3
+    for _ in range(2):
+        watch.append_run(str(tmp_path / "run.tsv"), 4, 2, 1001, 7, "in.txt", "all")
+    head, *rows = [x.split("\t") for x in (tmp_path / "run.tsv").read_text().splitlines()]
+    assert len(head) == 23 and [len(x) for x in rows] == [23, 23]
+    assert rows[0][2:10] == ["4", "1", "2", "4x1x2", "8", "126", "1001", "7"] and rows[0][11] == "1.0" and rows[0][20] == "in.txt"
 
 
 def test_a_stream_is_scored_like_a_batch(spark, tmp_path):
