@@ -123,7 +123,7 @@ def brute_cuts(rows):
     return out
 
 
-@pytest.mark.parametrize(("hot", "batch"), [(20_000, 10_000), (3, 40)])
+@pytest.mark.parametrize(("hot", "batch"), [(2_048, 10_000), (3, 40)])
 def test_suffix_dedup_equals_brute_force(spark, docs, monkeypatch, hot, batch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)

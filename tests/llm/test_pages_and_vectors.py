@@ -164,3 +164,40 @@ def test_pipeline_stages_take_effect(spark):
             assert 0.5 * docs.count() < out.count() <= docs.count()
         docs = out
     assert P.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
+def test_pipeline_stages_keep_odd_rows_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as P
+
+    r = random.Random(5)
+    say = lambda n: " ".join(r.choice(["alpha", "beta", "gamma"]) + str(r.randrange(500)) for _ in range(n))
+    item, copy, shared = say(30), say(60), say(40)
+    rows = [(i, say(20)) for i in range(30)] + [(100, copy), (101, copy), (102, None), (103, ""), (None, say(20)), (None, None), (104, "x " + item), (105, say(9) + shared), (106, say(9) + shared)]
+    rows += [(i, say(10) + " grotbag") for i in range(200, 230)]
+    rows += [rows[0], rows[-1], (7, None)]
+    clash = ("predicted", "score", "kept", "component_id", "item_id", "start", "row", "twin", "text_a", "label")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(9) for c in clash})
+    labels = spark.createDataFrame([(i, 0, int(i is not None and i >= 200)) for i, _ in rows] + [(None, None, None)], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, " ")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sf, now = str(tmp_path), docs
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, now, sf).persist()
+        assert out.columns == docs.columns and out.select(*clash).distinct().count() == 1
+        assert out.where("doc_id is null").count() == 2
+        now = out
+        ids = sorted(x.doc_id for x in out.where("doc_id is not null").collect())
+        if name == "toxicity":
+            assert ids == sorted(i for i, _ in rows if i is not None and i < 200)
+        if name == "minhash":
+            assert 100 in ids and 101 not in ids and ids.count(0) == 2
+        if name == "suffix_dedup":
+            text = {x.doc_id: x for x in out.collect()}
+            assert shared in text[105].text and shared[:150] not in text[106].text and text[106].n_chars == len(text[106].text) and text[102].text is None
+    assert 104 not in ids and 105 in ids
+    last = P.STAGES[-1][1](spark, now, sf)
+    assert last.count() == now.count() and P.run(spark, sf).count() == now.count()
+    nothing = docs.where("false")
+    for name, stage in P.STAGES:
+        assert stage(spark, nothing, sf).count() == 0
