@@ -22,7 +22,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempera.llm.common import joined, mapped, written
+from tempera.llm.common import drop_written, joined, mapped, written
 from tempera.llm.components import connected_components
 
 BANDS, ROWS = 42, 6
@@ -138,10 +138,10 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return mapped(rows, run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, bits binary")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int, kept: Callable) -> DataFrame:
     """The pairs (a, b; written) of documents whose full sets are similar enough. The second join is on
     ``a``, the one that many pairs share: its text comes to a task once, and its set is made once."""
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "minhash-ids")
+    ids = kept(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "minhash-ids")
     texts = joined(docs.select(F.col("doc_id").cast("long"), "text"), ids, "doc_id", "left_semi", 16)
     both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
 
@@ -160,7 +160,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
             if good:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*good, strict=True)], ["a", "b"])
 
-    return written(mapped(both, run, "a long, b long"), "minhash-links")
+    return kept(mapped(both, run, "a long, b long"), "minhash-links")
 
 
 def _offered(percent: int, offers: int):
@@ -200,38 +200,47 @@ def near_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = written(classes, "minhash-classes")
+    scratch: list[DataFrame] = []
+
+    def kept(df: DataFrame, what: str) -> DataFrame:
+        """Written until the links are known."""
+        scratch.append(written(df, what))
+        return scratch[-1]
+
     keys = classes.select("rep", "n", F.explode("bands").alias("key"))
     members_hash = [F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"h{k}") for k in (1, 2)]
     buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("least"), *members_hash).where("size > 1")
     buckets = buckets.groupBy("size", "least", "h1", "h2").agg(F.min("key").alias("key"))  # equal ones are one
-    buckets = written(buckets.select("key", "size", "least"), "minhash-buckets")
-    members = written(joined(keys, buckets, "key", "inner", 24), "minhash-members")
+    buckets = kept(buckets.select("key", "size", "least"), "minhash-buckets")
+    members = kept(joined(keys, buckets, "key", "inner", 24), "minhash-members")
     pairs = members.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
-    tested = pairs = written(pairs.distinct(), "minhash-pairs")
-    links = _verified(docs, pairs, shingle, percent)
+    tested = pairs = kept(pairs.distinct(), "minhash-pairs")
+    links = _verified(docs, pairs, shingle, percent, kept)
     components = written(connected_components(links), "minhash-components")
     offers, todo = OFFERS, None
     while todo is None or not todo.isEmpty():
-        rest = members.where("size > 2") if todo is None else joined(members, written(todo.select("key").distinct(), "minhash-keys"), "key", "left_semi", 8)
+        rest = members.where("size > 2") if todo is None else joined(members, kept(todo.select("key").distinct(), "minhash-keys"), "key", "left_semi", 8)
         labelled = joined(rest, components.withColumnRenamed("node", "rep"), "rep", "left", 16).withColumn("label", F.coalesce("component", "rep"))
         open_ = labelled.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.ceil(F.max("size") / BLOCK).cast("int").alias("blocks"))
-        open_ = written(open_.where("_lo <> _hi").select("key", "blocks"), "minhash-open")
+        open_ = kept(open_.where("_lo <> _hi").select("key", "blocks"), "minhash-open")
         active = joined(labelled, open_, "key", "inner", 24).select("key", "rep", "n", "label", "blocks")
         active = active.join(classes.select("rep", "bits"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         active = active.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         active = active.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
         if todo is not None:
             active = joined(active, todo, ["key", "left", "right"], "left_semi", 16)
-        offered = written(active.groupBy("key", "left", "right").applyInArrow(_offered(percent, offers), "a long, b long, more boolean, key long, left int, right int"), "minhash-offers")
-        pairs = written(offered.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
+        offered = kept(active.groupBy("key", "left", "right").applyInArrow(_offered(percent, offers), "a long, b long, more boolean, key long, left int, right int"), "minhash-offers")
+        pairs = kept(offered.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
         if not pairs.isEmpty():
             tested = tested.unionByName(pairs)
-            more = _verified(docs, pairs, shingle, percent)
+            more = _verified(docs, pairs, shingle, percent, kept)
             if not more.isEmpty():
                 links = links.unionByName(more)
                 components = written(connected_components(links), "minhash-components")
-        todo = written(offered.where("more").select("key", "left", "right").distinct(), "minhash-todo")
+        todo = kept(offered.where("more").select("key", "left", "right").distinct(), "minhash-todo")
         offers *= 16
+    for table in scratch:
+        drop_written(table)
     of_class = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.drop("bands", "bits").withColumn("_own", F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     out = out.join(of_class.withColumn("_own", F.lit(True)), ["d1", "d2", "_own"], "left")
