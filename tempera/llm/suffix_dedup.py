@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tempera.llm.common import joined, mapped, written
 
 LENGTH, GRAM = 100, 24
-HOT = 20_000
+HOT = 2_048  # contexts of an anchor, about 300 KB, that one task sorts together
 SAMPLE, COMMON = 5_000, 25  # documents looked at for common anchors; contexts there that make one common
 _GRAMS = LENGTH - GRAM + 1
 _PLACE = np.uint64(24)  # bits of a place in a batch
@@ -381,9 +381,9 @@ def _contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """``doc_id, twin, text, row`` (all columns): a null doc_id as a number, and a twin that tells the texts
+    """``doc_id, twin, text, row`` (all columns but the text): a null doc_id as a number, and a twin that tells the texts
     of a repeated doc_id apart: a hash of the text, or 0 where the doc_id occurs once."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
     often = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("often"))
     rows = joined(rows, written(often, "suffix-ids"), "doc_id", "left", 16)
     twin = F.when(F.col("often"), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(0)
@@ -481,4 +481,4 @@ def cut_texts(docs: DataFrame, length: str | None = None) -> DataFrame:
     if length in docs.columns:
         kept = F.col("row").getField(length)
         new[length] = F.when(F.col("changed"), F.length("text").cast(docs.schema[length].dataType)).otherwise(kept)
-    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    return out.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
