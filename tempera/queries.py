@@ -295,6 +295,13 @@ def range_predicates(spark, sf_dir):
     return rows.groupBy("k", "hit", F.col("r.start").alias("a"), F.col("r.end").alias("b")).agg(F.count("*").alias("n"))
 
 
+@query("select cluster_id + (select count(*) from points) as point_id, round(y0, 6) as x0, round(y1, 6) as x1 from centers")
+def scan_centers(spark, sf_dir):
+    p = V.points2d(spark, sf_dir)
+    rows = writers.cluster_rows(p.withColumn("cluster_id", F.col("charge")), V.centers5(p), p.count())
+    return rounded(text.centers(text.peaks(writers.cluster_lines(rows).withColumnRenamed("value", "line"), 1)).select("point_id", "x0", "x1"), 6)
+
+
 # Reductions
 
 

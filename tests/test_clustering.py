@@ -304,3 +304,44 @@ def test_kmeans_follows_an_annealed_solution_and_a_configuration(spark, tmp_path
     _, _, assigned = job.run_kmeans(spark, replace(basic_kmeans(Config()), InitialNcent=4), p, f"file://{tmp_path}/out")
     lines = [x.value for x in spark.read.text(f"file://{tmp_path}/out/kmeans").collect()]
     assert len(lines) == p.count() + 4 and sum(x.endswith(" 0.0 100000000") for x in lines) == 4 and assigned.count() == p.count()
+
+
+def three_d(corr, c=100.0, width2=3.0, priority=-1):
+    """One cluster in three dimensions with the upper triangle of its correlations."""
+    return A.Clusters(np.zeros((1, 3)), np.ones(1), np.zeros(1, int), np.array([priority]), False, np.array([c]), np.zeros(1), np.array([width2]), np.array([c]), np.array([corr]), np.array([[1.0, 1.0, 1.0]]))
+
+
+def test_clusters_split_along_their_widest_direction_in_any_dimension():
+    schedule = A.Schedule(Config(ParameterVectorDimension=3), 1.0, 0.1, 1.0, 3.0, 1.0)
+    v = np.array([1.0, 2.0, 2.0]) / 3
+    corr = 10 * np.eye(3) + 90 * np.outer(v, v)
+    (k, found), = A.splits(three_d(corr[np.triu_indices(3)]), schedule, 100.0)
+    assert k == 0 and abs(abs(found @ v) - 1) < 1e-12
+    halves = A.split(three_d(corr[np.triu_indices(3)]), 0, found, schedule)
+    assert len(halves) == 2 and np.allclose(halves.y[0], -halves.y[1]) and np.allclose(halves.c, 50) and np.allclose(halves.p, 0.5)
+    assert 0.05 * 3**0.5 - 1e-9 <= np.linalg.norm(halves.y[0]) <= 0.2 * 3**0.5 + 1e-9
+
+
+def test_only_clusters_wide_large_unstable_and_old_enough_split():
+    schedule = A.Schedule(Config(ParameterVectorDimension=3), 1.0, 0.1, 1.0, 3.0, 1.0)
+    unstable, stable = np.diag([90.0, 10, 10])[np.triu_indices(3)], np.diag([40.0, 10, 10])[np.triu_indices(3)]
+    assert A.splits(three_d(unstable), schedule, 100.0)
+    for c in (three_d(stable), three_d(unstable, width2=1.5), three_d(unstable, c=4.0), three_d(unstable, priority=0)):
+        assert not A.splits(c, schedule, 100.0)
+    young = three_d(unstable, priority=2)
+    assert [bool(A.splits(young, schedule, 100.0)) for _ in range(8)] == [False] * 3 + [True] * 5 and young.priority[0] == -1
+
+
+def test_seeds_by_policy(spark):
+    rows = spark.range(100).select(F.col("id").alias("idx"))
+    label = lambda policy: [r.label for r in kmeans.initial_labels(rows, 7, policy).orderBy("idx").collect()]
+    for policy in (-1, -2, -3, -4):
+        assert set(label(policy)) <= set(range(7))
+    assert label(-2)[:7] == list(range(7)) and label(-3)[::14][:7] == list(range(7)) and label(-4) == [min(i // 14, 6) for i in range(100)]
+    assert len(set(label(-1))) > 1
+
+
+def test_the_summary_grows(tmp_path):
+    for x in ("one", "two"):
+        writers.append_summary(str(tmp_path / "s"), [x, x])
+    assert (tmp_path / "s").read_text().split() == ["one", "one", "two", "two"]
