@@ -274,6 +274,7 @@ def test_ids_and_texts_equal_the_library(spark, docs):
     odd = ["Hello<|endoftext|> World's 123 it'S ΑΣ ΑΣ. İstanbul 你好 🤦🏼‍♂️ é \x1c x y \x0b", "'" * 300, "a" * 3000, "don't we'll I'M", "ﬁ ǅ ß ẞ", "\0 \x85 a"]
     odd += ["".join(r.choice("abcdeéß '’12.,<|>\n\tZÀ😀\u0301") for _ in range(80)) for _ in range(300)]
     all_docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(5000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    all_docs = all_docs.withColumns({c: F.lit(1) for c in ("ids", "n_tokens", "decoded", "ids_sha256")})
     library = Tokenizer.from_file(bpe.default_path())
     library.no_padding(), library.no_truncation()
     texts = {i: t or "" for i, t in [*corpus(), *((5000 + i, t) for i, t in enumerate(odd))]}
