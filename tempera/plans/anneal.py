@@ -4,8 +4,8 @@ split along their most unstable direction and go when they are small or too clos
 The points stay distributed; the driver holds the clusters. One iteration is one Spark job: an Arrow
 kernel turns each batch into sums by cluster, with the memberships before and after from parameters
 alone, so memberships are never stored and lineage doesn't grow. Where the scales are the same for all
-clusters, a point meets only those that the triangle inequality leaves within the exponents' cut, or
-the nearest ``TargetNcentPerPoint`` of them. Partial sums are added in the order of the partitions, in
+clusters, and where it pays, a point meets only those that the triangle inequality leaves within the
+exponents' cut. At most the nearest ``TargetNcentPerPoint`` count. Partial sums are added in the order of the partitions, in
 two levels, which makes a run repeatable."""
 
 from __future__ import annotations
@@ -160,6 +160,17 @@ def reachable(x: np.ndarray, now: tuple, before: tuple | None, cut: float, apart
             yield rows[size == k], np.r_[np.arange(skip), np.sort(order[:k]) + skip]
 
 
+def pays(c: Clusters, schedule: Schedule, cut: float) -> bool:
+    """Whether skipping clusters saves more than it costs: by the centres' distances and the clusters' widths
+    a point should meet fewer than a quarter of them. The sums are the same either way."""
+    if not schedule.metric or len(c) < 8 or c.width2 is None:
+        return False
+    own = c.own
+    b = np.sqrt(c.width2[own])
+    reach = b + np.sqrt(b * b + 2 * cut * schedule.t)
+    return bool((distances(c.y[own] / np.sqrt(schedule.sigma2(c.y)[-1])) <= reach[:, None]).mean() < 0.25)
+
+
 def _folded(rows: DataFrame, keys: list[str], order: str, width: int) -> DataFrame:
     """Vectors ``v`` by keys, added in an order."""
     vs = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "v"))).alias("vs"))
@@ -376,7 +387,7 @@ def anneal(points: DataFrame, config: Config, max_clusters: int | None = None, m
     close_at, done, asked = None, 0.0, 0.0
     for step in range(max_steps):
         now = (c.y, schedule.sigma2(c.y), c.p, schedule.t, schedule.sponge_factor if c.sponge else None)
-        sums = em_sums(points, now, before if since else None, config.ExpArgumentCut1, schedule.metric, most, many_parts)
+        sums = em_sums(points, now, before if since else None, config.ExpArgumentCut1, pays(c, schedule, config.ExpArgumentCut1), most, many_parts)
         if abs(sums["c"].sum() - n) > max(0.5, 1e-6 * n):
             raise ArithmeticError("memberships don't sum to the points")
         done, asked = done + sums["work"].sum(), asked + n * len(c)
