@@ -262,7 +262,7 @@ class Index:
         self.short = _Pieces([(i, t) for i, (_, t) in enumerate(items) if 0 < len(t) < SHORT])
         self.tables: list[tuple[np.ndarray, _Tables]] = []
         walks = plan(items) if walks is None else walks
-        of = [walks.get(length_class(len(t)), 0) if len(t) >= SHORT else 0 for _, t in items]
+        of = [walks[length_class(len(t))] if len(t) >= SHORT else 0 for _, t in items]
         for w in sorted({_window(least) for least in walks}):
             for s in range(max(n for least, n in walks.items() if _window(least) == w)):
                 mine = [i for i, (_, t) in enumerate(items) if of[i] > s and _window(length_class(len(t))) == w]
@@ -339,7 +339,7 @@ def _index(items: list[tuple[int | None, bytes]], walks: dict[int, int]) -> Inde
 def _plan_of(items: DataFrame) -> tuple[dict[int, int], int]:
     """Walks by length class, planned on ``_PLANNED`` items of each, and the count of blocks."""
     n = F.octet_length("text")
-    step = F.when(n >= SHORT, F.floor(F.log2(F.floor(n / SHORT)))).otherwise(-1)
+    step = F.when(n >= SHORT, F.length(F.bin(F.floor(n / SHORT))) - 1).otherwise(-1)
     sizes = items.groupBy(step.cast("int").alias("step")).agg(F.sum(n).alias("bytes")).collect()
     walks, postings = {}, 0
     for step_, size in sizes:
