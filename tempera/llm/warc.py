@@ -232,7 +232,7 @@ def read_bundles(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
     return mapped(places.repartition(n), records, RECORD)
 
 
-def archive_pages(pages: DataFrame, folder: str | None = None, min_payload: int = 1000) -> tuple[str, DataFrame]:
+def archive_pages(pages: DataFrame, folder: str | None = None, min_payload: int = 1000, captured: str = CAPTURED) -> tuple[str, DataFrame]:
     """Write all pages; returns the folder of the bundles and the index table."""
     folder = folder or scratch_path(pages.sparkSession, "warc")
-    return folder, write_bundles(plan_records(pages, min_payload), folder)
+    return folder, write_bundles(plan_records(pages, min_payload), folder, captured)
