@@ -5,6 +5,8 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
+from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 
 from tempera.llm import chat, embed_dedup, urlfilter, warc
@@ -98,6 +100,15 @@ def test_warc_bundles_read_back(spark, monkeypatch, tmp_path):
         revisit = r.page_id in (1, 2)
         assert (r.record_type, r.refers_to) == (("revisit", 8) if revisit else ("response", None))
         assert bytes(r.payload) == (b"" if revisit else body[r.page_id])
+    store, seen = folder.removeprefix("file://"), {}
+    for x in index.collect():
+        data = zstandard.ZstdDecompressor().decompressobj().decompress(open(f"{store}/{x.bundle}", "rb").read()[warc.seek_table(pafs.LocalFileSystem(), f"{store}/{x.bundle}")[x.frame][0] :])
+        head = data[x.offset : x.offset + x.length].split(b"\r\n\r\n")[0].decode().split("\r\n")
+        fields = dict(h.split(": ", 1) for h in head[1:])
+        assert head[0] == "WARC/1.1" and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "Content-Length"} <= fields.keys()
+        assert ("WARC-Profile" in fields and "WARC-Refers-To" in fields) == (fields["WARC-Type"] == "revisit")
+        seen.setdefault(fields["WARC-Record-ID"], []).append((x.page_id, fields.get("WARC-Refers-To")))
+    assert all(len(set(v)) == 1 for v in seen.values()) and all(r in seen for v in seen.values() for _, r in v if r)
     for x in index.collect():
         assert warc.read_record(folder, x.bundle, x.frame, x.offset)["page_id"] == x.page_id
     folder, index = warc.archive_pages(pages.where("false"), f"file://{tmp_path}/e")
