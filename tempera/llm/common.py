@@ -61,11 +61,15 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def mapped(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``mapInArrow`` over batches of at most ``BATCH_BYTES``, unless the session sets another bound."""
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches are at most ``BATCH_BYTES`` from here on, unless the session sets another bound."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    conf = df.sparkSession.conf
-    conf.set(key, conf.get(key, str(BATCH_BYTES)))
+    spark.conf.set(key, spark.conf.get(key, str(BATCH_BYTES)))
+
+
+def mapped(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``mapInArrow`` over bounded batches."""
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempera.llm import bpe, chat, decontam, embed_dedup, minhash, sharding, suffix_dedup, toxicity, urlfilter, warc
+from tempera.llm import bpe, chat, decontam, embed_dedup, fim, minhash, negatives, secretscan, sharding, suffix_dedup, toxicity, urlfilter, warc
 from tempera.llm.common import table
 
 N_SHARDS = 40
@@ -58,6 +58,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), anchors=F.col("vec_id") % 100 == 0)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(table(spark, sf_dir, "documents"), outputs=False).drop("output")
+
+
+def op13_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secretscan.digests(secretscan.scan(docs, secretscan.fit(secretscan.findings(docs))))
+
+
 QUERIES = {
     "op1_chat_targets": op1_chat_targets,
     "op2_near_documents": op2_near_documents,
@@ -69,6 +84,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_warc_bundles": op9_warc_bundles,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_secret_spans": op13_secret_spans,
 }
 
 _HOST = r"translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -143,5 +161,38 @@ select page_id, n::bigint as payload_bytes, sha1(p.body) as payload_digest,
   case when first_id <> page_id then 'revisit' else 'response' end as record_type,
   case when first_id <> page_id then first_id end as refers_to
 from p left join f on p.body = f.body and n >= 1000
+""",
+    "op11_hard_negatives": """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as x
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.x, b.x)::bigint as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+), p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by score desc, vec_id))::int as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id)
+where not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify rank <= 5
+""",
+    "op12_fill_in_middle": r"""
+with d as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || doc_id) as h from documents
+), c as (
+  select *, len(u) as n, ('0x' || h[1:8])::ubigint % (len(u) + 1) as a, ('0x' || h[9:16])::ubigint % (len(u) + 1) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or ('0x' || h[17:24])::ubigint % 100 >= 100 then 'plain'
+      when ('0x' || h[25:32])::ubigint % 100 < 50 then 'spm' else 'psm' end as form
+  from d
+), o as (
+  select *, array_to_string(u[1:least(a, b)], '') as p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') as m, array_to_string(u[greatest(a, b) + 1:], '') as s from c
+)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256
+from o
 """,
 }
