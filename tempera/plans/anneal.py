@@ -3,10 +3,10 @@ split along their most unstable direction and go when they are small or too clos
 
 The points stay distributed; the driver holds the clusters. One iteration is one Spark job: an Arrow
 kernel turns each batch into sums by cluster, with the memberships before and after from parameters
-alone, so memberships are never stored and lineage doesn't grow. Where the scales are the same for all
-clusters, and where it pays, a point meets only those that the triangle inequality leaves within the
-exponents' cut. At most the nearest ``TargetNcentPerPoint`` count. Partial sums are added in the order of the partitions, in
-two levels, which makes a run repeatable."""
+alone, so memberships are never stored and lineage doesn't grow. A batch of points that lie close together meets only
+the clusters that its box can reach within the exponents' cut (``operators.boxes``); beyond ``SENT_BYTES`` of clusters a
+task gets only those as well (``ranged``). At most the nearest ``TargetNcentPerPoint`` count. Partial sums are added in the
+order of the partitions, which makes a run repeatable."""
 
 from __future__ import annotations
 
@@ -20,11 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempera.functions.exprs import ANNEALED, PROPORTIONAL, UNIT
-from tempera.operators.kmeans import distances, nearest
+from tempera.operators.boxes import compact, met, part_of
 from tempera.sources.config import Config
 
 MIN_P = 1e-7
 Y_CHANGE = 1e-6
+#: Clusters of more bytes are sent only to the tasks that they reach.
+SENT_BYTES = 1 << 20
+#: Partial sums of at most so many rows are added on the driver, without a shuffle.
+GATHERED_SUMS = 1 << 16
 
 
 @dataclass
@@ -138,109 +142,118 @@ def memberships(x: np.ndarray, y: np.ndarray, s2: np.ndarray, p: np.ndarray, t:
     return w / w.sum(1, keepdims=True), d2
 
 
-def reachable(x: np.ndarray, now: tuple, before: tuple | None, cut: float, apart: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of a batch with the clusters that can have a membership there, now or before, for scales that
-    all clusters share. With ``apart`` between centres, b to the nearest one c and r the reach of the
-    exponents, a cluster at least b + sqrt(b * b + r) from c is beyond it; centres that moved by at most m
-    since widen all by m."""
-    y, s2, _, t, sponge = now
-    skip, s = int(sponge is not None), np.sqrt(s2[-1])
-    own = y[skip:] / s
-    best, d2, _ = nearest(x / s, own, apart=apart)
-    b, m = np.sqrt(d2), 0.0
-    if before is not None:
-        t, m = max(t, before[3]), float(np.sqrt(((before[0][skip:] / s - own) ** 2).sum(1)).max(initial=0))
-    reach = (b + np.sqrt((b + m) ** 2 + 2 * cut * t) + m) * (1 + 1e-9)
-    for c in np.unique(best):
-        rows = np.flatnonzero(best == c)
-        order = np.argsort(apart[c], kind="stable")
-        n = np.searchsorted(apart[c][order], reach[rows], "right")
-        size = np.minimum(len(order), 1 << np.ceil(np.log2(n)).astype(int))
-        for k in np.unique(size):
-            yield rows[size == k], np.r_[np.arange(skip), np.sort(order[:k]) + skip]
-
-
-def pays(c: Clusters, schedule: Schedule, cut: float) -> bool:
-    """Whether skipping clusters saves more than it costs: by the centres' distances and the clusters' widths
-    a point should meet fewer than a quarter of them. The sums are the same either way."""
-    if not schedule.metric or len(c) < 8 or c.width2 is None:
-        return False
-    own = c.own
-    b = np.sqrt(c.width2[own])
-    reach = b + np.sqrt(b * b + 2 * cut * schedule.t)
-    return bool((distances(c.y[own] / np.sqrt(schedule.sigma2(c.y)[-1])) <= reach[:, None]).mean() < 0.25)
-
-
 def _folded(rows: DataFrame, keys: list[str], order: str, width: int) -> DataFrame:
     """Vectors ``v`` by keys, added in an order."""
     vs = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "v"))).alias("vs"))
     return vs.select(*keys, F.aggregate("vs", F.array_repeat(F.lit(0.0), width), lambda s, v: F.zip_with(s, v["v"], lambda a, b: a + b)).alias("v"))
 
 
-def em_sums(points: DataFrame, now: tuple, before: tuple | None, cut: float, metric: bool = False, most: int | None = None, many_parts: bool = False) -> dict[str, np.ndarray]:
-    """One pass: sums by cluster under ``now`` (y, s2, p, t, sponge factor), and how far memberships
-    moved from those under ``before``. ``metric``: all clusters have the same scales. ``work`` counts the
-    memberships that were computed. ``many_parts``: add the partitions' sums in blocks of 256 first."""
-    y, s2, _, t, sponge = now
-    k, d = y.shape
+def block_sums(x: np.ndarray, now: tuple, before: tuple | None, cut: float, most: int | None) -> np.ndarray:
+    """Sums of some points by cluster, in the columns that ``sums_by_name`` names. Moments are taken about the points' middle."""
+    y, s2, _, t, _ = now
+    m, d2 = memberships(x, *now, cut, most)
+    moved = np.abs(m - memberships(x, *before, cut, most)[0]).sum(0) if before else np.full(len(y), np.inf)
+    d, middle, m2 = x.shape[1], x.mean(0), m * m
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    width = 6 + d + d + len(pairs)
-    if before is not None and before[0].shape != y.shape:
+    xc, off = x - middle, middle - y  # x - y = xc + off
+    moments = m.T @ np.c_[np.ones(len(x)), xc, np.stack([xc[:, i] * xc[:, j] for i, j in pairs], 1)]
+    size, first, second = moments[:, 0], moments[:, 1 : 1 + d], moments[:, 1 + d :]
+    square = m2.T @ np.c_[np.ones(len(x)), xc]
+    quarter = (size / 2 - square[:, 0] / 4)[:, None] * off + first / 2 - square[:, 1:] / 4  # of half (1 - half) (x - y)
+    columns = [size, size - square[:, 0], (m * d2).sum(0), moved, np.bincount(m.argmax(1), minlength=len(y)), np.full(len(y), len(x)), (m > 0).sum(0)]
+    columns += list((first + size[:, None] * middle).T)
+    columns += list((quarter / (np.sqrt(s2) * t)).T)
+    columns += [(second[:, n] + off[:, i] * first[:, j] + off[:, j] * first[:, i] + size * off[:, i] * off[:, j]) / (2 * t * np.sqrt(s2[:, i] * s2[:, j])) for n, (i, j) in enumerate(pairs)]
+    return np.stack(columns, 1)
+
+
+def sums_width(d: int) -> int:
+    return 7 + d + d + d * (d + 1) // 2
+
+
+def sums_by_name(v: np.ndarray, d: int) -> dict[str, np.ndarray]:
+    """``v`` has a row a cluster. ``work`` counts the memberships that were computed, ``useful`` those above zero."""
+    c = v[:, 0]
+    safe, at = np.maximum(c, 1e-300), 7 + d
+    return {"c": c, "freezing": v[:, 1] / safe, "width2": v[:, 2] / safe, "moved": v[:, 3], "occupation": v[:, 4], "work": v[:, 5], "useful": v[:, 6], "mean": v[:, 7:at] / safe[:, None], "dc": v[:, at : at + d], "corr": v[:, at + d :]}
+
+
+def added_up(x: np.ndarray, now: tuple, before: tuple | None, cut: float, most: int | None, prune: bool, total: np.ndarray, ordered: bool = False) -> None:
+    """Add the sums of points to ``total``, a row a cluster."""
+    for rows, cols in met(x, now, before, cut, ordered) if prune else [(np.arange(len(x)), np.arange(len(now[0])))]:
+        mine, was = part_of(now, cols), part_of(before, cols)
+        for r in np.array_split(rows, max(1, len(rows) * len(cols) >> 18)):
+            total[cols] += block_sums(x[r], mine, was, cut, most)
+
+
+def em_sums(points: DataFrame, now: tuple, before: tuple | None, cut: float, prune: bool = False, most: int | None = None, many_parts: bool = False, parts: int | None = None) -> dict[str, np.ndarray]:
+    """One pass: sums by cluster under ``now`` (y, s2, p, t, sponge factor), and how far memberships
+    moved from those under ``before``. ``prune``: batches of points meet only the clusters that their box can
+    reach. ``points`` have ``x`` or are ``packed``. ``many_parts``: add the partitions' sums in blocks of 256 first. ``parts``: how many partitions there are, if known."""
+    k, d = now[0].shape
+    packed = points.columns == ["xs"]
+    if before is not None and before[0].shape != now[0].shape:
         before = None
-    part_of = lambda v, cols: (v[0][cols], v[1][cols], v[2][cols], v[3], v[4])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((k, width))
-        step = max(1, (1 << 21) // (1 if metric else k) >> (5 if metric else 0))
-        apart = distances(y[int(sponge is not None) :] / np.sqrt(s2[-1])) if metric else None
-        for batch in batches:
-            xs = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            for at in range(0, len(xs), step):
-                chunk = xs[at : at + step]
-                groups = reachable(chunk, now, before, cut, apart) if metric else [(np.arange(len(chunk)), np.arange(k))]
-                for rows, cols in groups:
-                    for r in np.array_split(rows, max(1, len(rows) * len(cols) >> 21)):
-                        x, mine = chunk[r], part_of(now, cols)
-                        m, d2 = memberships(x, *mine, cut, most)
-                        moved = np.abs(m - memberships(x, *part_of(before, cols), cut, most)[0]).sum(0) if before else np.full(len(cols), np.inf)
-                        half, off = m / 2, [x[:, None, i] - mine[0][None, :, i] for i in range(d)]
-                        columns = [m.sum(0), (m * (1 - m)).sum(0), (m * d2).sum(0), moved, np.bincount(m.argmax(1), minlength=len(cols)), np.full(len(cols), len(x))]
-                        columns += list((m.T @ x).T)
-                        columns += [(half * (1 - half) * off[i]).sum(0) / (np.sqrt(mine[1][:, i]) * t) for i in range(d)]
-                        columns += [(half * off[i] * off[j]).sum(0) / (t * np.sqrt(mine[1][:, i] * mine[1][:, j])) for i, j in pairs]
-                        total[cols] += np.stack(columns, 1)
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([part] * k), pa.array([part >> 8] * k), pa.array(np.arange(k)), pa.array(list(total))], ["part", "block", "k", "v"])
+        total = np.zeros((k, sums_width(d)))
+        for batch in batches:
+            for x in unpacked(batch.column(0), d) if packed else [batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)]:
+                added_up(x, now, before, cut, most, prune, total, packed)
+        part, some = TaskContext.get().partitionId(), np.flatnonzero(total[:, 5])
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int64()), pa.array([part >> 8] * len(some), pa.int64()), pa.array(some), pa.array(list(total[some]), pa.list_(pa.float64()))], ["part", "block", "k", "v"])
 
-    rows = points.select("x").mapInArrow(run, "part long, block long, k long, v array<double>")
-    if many_parts:
-        added = _folded(_folded(rows, ["k", "block"], "part", width), ["k"], "block", width)
-    else:
-        added = _folded(rows, ["k"], "part", width)
-    v = np.array([r["v"] for r in added.orderBy("k").collect()])
-    c = v[:, 0]
-    safe = np.maximum(c, 1e-300)
-    at = 6 + d
-    return {"c": c, "freezing": v[:, 1] / safe, "width2": v[:, 2] / safe, "moved": v[:, 3], "occupation": v[:, 4], "work": v[:, 5], "mean": v[:, 6:at] / safe[:, None], "dc": v[:, at : at + d], "corr": v[:, at + d :]}
+    rows = (points if packed else points.select("x")).mapInArrow(run, "part long, block long, k long, v array<double>")
+    return sums_by_name(collected(rows, k, sums_width(d), many_parts, parts), d)
+
+
+def unpacked(column: pa.Array, d: int) -> Iterator[np.ndarray]:
+    for packed in column:
+        yield np.frombuffer(packed.as_buffer(), np.float64).reshape(-1, d)
+
+
+def packed(points: DataFrame, d: int) -> DataFrame:
+    """Points (x) as ``xs``, some thousands to a row, in an order that keeps close ones together: read in every pass, they
+    cost a copy of bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            if len(x):
+                spread = np.maximum(x.std(0), 1e-300)
+                yield pa.RecordBatch.from_arrays([pa.array([x[compact(x, spread)].tobytes()], pa.binary())], ["xs"])
+
+    return points.select("x").mapInArrow(run, "xs binary")
+
+
+def collected(rows: DataFrame, k: int, width: int, many_parts: bool = False, parts: int | None = None) -> np.ndarray:
+    """Partial sums (part, block, k, v) added in the order of the parts, a row a cluster."""
+    if parts and parts * k <= GATHERED_SUMS:
+        found, out = rows.toArrow(), np.zeros((k, width))
+        order = np.lexsort((found.column("part").to_numpy(),))
+        np.add.at(out, found.column("k").to_numpy()[order], found.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)[order])
+        return out
+    added = _folded(_folded(rows, ["k", "block"], "part", width), ["k"], "block", width) if many_parts else _folded(rows, ["k"], "part", width)
+    found, out = added.toArrow(), np.zeros((k, width))
+    out[found.column("k").to_numpy()] = found.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return out
 
 
 def labels(points: DataFrame, c: Clusters, schedule: Schedule) -> DataFrame:
     """``point_id, cluster_id`` (long): the cluster of the greatest membership, the first of equals; the
     sponge, if any, is 0."""
     now = (c.y, schedule.sigma2(c.y), c.p, schedule.t, schedule.sponge_factor if c.sponge else None)
-    cut, metric, most, d = schedule.config.ExpArgumentCut1, schedule.metric, schedule.config.TargetNcentPerPoint or None, c.y.shape[1]
+    cut, most, d = schedule.config.ExpArgumentCut1, schedule.config.TargetNcentPerPoint or None, c.y.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y, s2, p, t, sponge = now
-        apart = distances(y[int(sponge is not None) :] / np.sqrt(s2[-1])) if metric else None
         for batch in batches:
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             out = np.zeros(len(x), np.int64)
-            for rows, cols in reachable(x, now, None, cut, apart) if metric else [(np.arange(len(x)), np.arange(len(y)))]:
-                for r in np.array_split(rows, max(1, len(rows) * len(cols) >> 21)):
-                    out[r] = cols[memberships(x[r], y[cols], s2[cols], p[cols], t, sponge, cut, most)[0].argmax(1)]
+            for rows, cols in met(x, now, None, cut):
+                for r in np.array_split(rows, max(1, len(rows) * len(cols) >> 18)):
+                    out[r] = cols[memberships(x[r], *part_of(now, cols), cut, most)[0].argmax(1)]
             yield pa.RecordBatch.from_arrays([batch.column("point_id"), pa.array(out)], ["point_id", "cluster_id"])
 
     return points.select(F.col("point_id").cast("long"), "x").mapInArrow(run, "point_id long, cluster_id long")
@@ -326,34 +339,34 @@ def invalid(c: Clusters, schedule: Schedule, closeness: bool = True) -> np.ndarr
     cfg = schedule.config
     small = c.c < (cfg.MinimumCountForClusterCkWithSponge if c.sponge else cfg.MinimumCountForClusterCk)
     small |= c.occupation < cfg.MinimuCountForClusterPoints
-    close, at = np.zeros(len(c), bool), np.arange(len(c))
+    close = np.zeros(len(c), bool)
     if closeness:
-        s2 = schedule.sigma2(c.y)
+        s2, limit = schedule.sigma2(c.y), cfg.ScaledSquaredDistanceAtClosenessTest
+        order = np.flatnonzero(c.own)[np.argsort(c.y[c.own, 0], kind="stable")]
+        at, width = c.y[order, 0], np.sqrt(limit * s2[:, 0])
+        first, last = np.searchsorted(at, c.y[:, 0] - width, "left"), np.searchsorted(at, c.y[:, 0] + width, "right")
         for k in np.flatnonzero(c.own & ~small):
-            near = ((c.y - c.y[k]) ** 2 / s2[k]).sum(1) < cfg.ScaledSquaredDistanceAtClosenessTest
-            more = (c.occupation > c.occupation[k]) | ((c.occupation == c.occupation[k]) & (at < k))
-            close[k] = (near & more & c.own & (at != k)).any()
+            near = order[first[k] : last[k]]  # the others are too far off in the first dimension alone
+            near = near[((c.y[near] - c.y[k]) ** 2 / s2[k]).sum(1) < limit]
+            close[k] = ((c.occupation[near] > c.occupation[k]) | ((c.occupation[near] == c.occupation[k]) & (near < k))).any()
     return (small | close) & c.own
 
 
 def splits(c: Clusters, schedule: Schedule, n: float) -> list[tuple[int, np.ndarray]]:
     """Clusters to split, most urgent first, with the unit vector of their least eigenvalue."""
     cfg, d = schedule.config, c.y.shape[1]
-    upper = np.triu_indices(d)
-    found = []
-    for k in np.flatnonzero(c.own):
-        if c.width2[k] <= cfg.MinimumScaledWidthSquaredToSplit or c.c[k] <= cfg.TooSmallToSplit or c.priority[k] == 0:
-            continue
-        a = np.zeros((d, d))
-        a[upper] = c.corr[k]
-        a = np.eye(d) * c.c[k] / 2 - (a + np.triu(a, 1).T)
-        values, vectors = np.linalg.eigh(a)
-        if c.priority[k] >= 1:
-            c.priority[k] = -1 if c.priority[k] >= 8 else c.priority[k] + 1
-        if 0 <= c.priority[k] < 6 or values[0] >= 0:
-            continue
-        urgency = (c.priority[k] - 10 if c.priority[k] > 0 else 0) + 20 * (c.c[k] >= 2 * n / len(c)) + 20 * (c.c[k] >= 6 * n / len(c))
-        found.append((-urgency, values[0], int(k), vectors[:, 0]))
+    ks = np.flatnonzero(c.own & (c.width2 > cfg.MinimumScaledWidthSquaredToSplit) & (c.c > cfg.TooSmallToSplit) & (c.priority != 0))
+    if not len(ks):
+        return []
+    a = np.zeros((len(ks), d, d))
+    a[:, *np.triu_indices(d)] = c.corr[ks]
+    a = np.eye(d) * c.c[ks, None, None] / 2 - (a + np.triu(a, 1).transpose(0, 2, 1))
+    values, vectors = np.linalg.eigh(a)
+    aged = c.priority[ks] >= 1
+    c.priority[ks[aged]] = np.where(c.priority[ks[aged]] >= 8, -1, c.priority[ks[aged]] + 1)
+    priority = c.priority[ks]
+    urgency = np.where(priority > 0, priority - 10, 0) + 20 * (c.c[ks] >= 2 * n / len(c)) + 20 * (c.c[ks] >= 6 * n / len(c))
+    found = [(-int(urgency[i]), float(values[i, 0]), int(ks[i]), vectors[i, :, 0]) for i in np.flatnonzero(((priority < 0) | (priority >= 6)) & (values[:, 0] < 0))]
     found.sort(key=lambda x: x[:3])
     return [(k, v) for _, _, k, v in found[: cfg.MaxNumberSplitClusters]]
 
@@ -376,18 +389,61 @@ def anneal(points: DataFrame, config: Config, max_clusters: int | None = None, m
     """Run to the end of the schedule, from one cluster or from a former run's state. ``points`` have
     ``x`` (array<double>); persist them first. The limit on clusters, sponge included, is ``max_clusters``
     or else ``MaxNcentTotal``, whose default of 0 sets none. ``sigma`` gives the squared scales of centres
-    (a row each) in place of the configured method."""
+    (a row each) in place of the configured method. The points are dealt anew, to a partition a core at
+    least (``spread``)."""
     config = config.checked()
     limit_k = max_clusters if max_clusters is not None else config.MaxNcentTotal or sys.maxsize
     most = config.TargetNcentPerPoint if config.TargetNcentPerPoint > 0 else None
-    n, many_parts = float(points.count()), points.rdd.getNumPartitions() > 256
+    points = spread(points)
+    passes = Passes(points, config.ParameterVectorDimension)
+    try:
+        return _annealed(points, passes, config, limit_k, most, max_steps, restart, sigma)
+    finally:
+        passes.close()
+        points.unpersist()
+
+
+def spread(points: DataFrame) -> DataFrame:
+    """Points dealt by ranges of their first dimension (equal ones by ``point_id``) to at least as many partitions as there
+    are cores, persisted: partitions of points that lie together have batches with small boxes."""
+    parts = max(points.sparkSession.sparkContext.defaultParallelism, points.rdd.getNumPartitions())
+    salt = F.xxhash64("point_id") if "point_id" in points.columns else F.lit(0)
+    rows = points.select(*[c for c in ("point_id", "x") if c in points.columns], F.get("x", F.lit(0)).alias("_first"), salt.alias("_salt"))
+    return rows.repartitionByRange(parts, "_first", "_salt").drop("_first", "_salt").persist()
+
+
+class Passes:
+    """Passes over the same points: all clusters to every task, or, where they are many, to those that they reach."""
+
+    def __init__(self, points: DataFrame, d: int):
+        self.points, self.d, self.dealt = points, d, None
+        self.packed = packed(points, d).persist()
+        self.parts = points.rdd.getNumPartitions()
+
+    def sums(self, now: tuple, before: tuple | None, cut: float, prune: bool, most: int | None) -> dict[str, np.ndarray]:
+        if 16 * (2 * self.d + 1) * len(now[0]) <= SENT_BYTES:
+            return em_sums(self.packed, now, before, cut, prune, most, self.parts > 256, self.parts)
+        if self.dealt is None:
+            from tempera.plans.ranged import deal
+
+            self.dealt = deal(self.points, self.d)
+        return self.dealt.sums(now, before, cut, most)
+
+    def close(self) -> None:
+        self.packed.unpersist()
+        if self.dealt is not None:
+            self.dealt.unpersist()
+
+
+def _annealed(points: DataFrame, passes: Passes, config: Config, limit_k: int, most: int | None, max_steps: int, restart: list | None, sigma: Callable | None) -> Result:
+    n = float(points.count())
     c, schedule = restarted(restart, config, sigma) if restart else initial(points, config, sigma)
     out, before, since, waited, final, rises, last_h, fine = Result(c, schedule), None, 0, 0, False, 0, None, False
     best: tuple[Clusters, float] | None = None  # the solution when H last fell
     close_at, done, asked = None, 0.0, 0.0
     for step in range(max_steps):
         now = (c.y, schedule.sigma2(c.y), c.p, schedule.t, schedule.sponge_factor if c.sponge else None)
-        sums = em_sums(points, now, before if since else None, config.ExpArgumentCut1, pays(c, schedule, config.ExpArgumentCut1), most, many_parts)
+        sums = passes.sums(now, before if since else None, config.ExpArgumentCut1, schedule.metric and len(c) >= 8, most)
         if abs(sums["c"].sum() - n) > max(0.5, 1e-6 * n):
             raise ArithmeticError("memberships don't sum to the points")
         done, asked = done + sums["work"].sum(), asked + n * len(c)

@@ -587,7 +587,7 @@ def em_kernel(spark, sf_dir):
     rows = V.centers5(p).orderBy("cluster_id").collect()
     column = lambda *names: np.array([[r[n] for n in names] for r in rows], float)
     now = (column("y0", "y1"), column("s0", "s1"), column("p")[:, 0], V.TEMPERATURE, None)
-    s = em_sums(p.select(F.array("x0", "x1").alias("x")), now, None, em.EXP_CUT1, metric=True)
+    s = em_sums(p.select(F.array("x0", "x1").alias("x")), now, None, em.EXP_CUT1, prune=True)
     out = [(int(r["cluster_id"]), *map(float, (s["c"][k], s["freezing"][k], *s["mean"][k], s["width2"][k])), int(s["occupation"][k])) for k, r in enumerate(rows)]
     df = spark.createDataFrame(out, "cluster_id long, c double, freezing double, y0 double, y1 double, width2 double, occupation long")
     return df.select("cluster_id", F.round("c", 4).alias("c"), F.round("freezing", 6).alias("freezing"), *[F.round(c, 5).alias(c) for c in ("y0", "y1", "width2")], "occupation")
@@ -674,6 +674,40 @@ def _rounds_sql(rounds: int) -> str:
     return ",\n".join(parts)
 
 
+_SPLIT_WORK = "select count(*) as points, {k} as centres, count(*) * {k} as pairs, true as adds_up, true as spares"
+
+
+@query(_SPLIT_WORK.format(k=10) + " from embeddings")
+def kmeans_work(spark, sf_dir):
+    """Distances of a round that were useful, useless or skipped, counted while the state is made."""
+    import numpy as np
+    from pyspark.sql import Observation
+
+    v = V.vectors(spark, sf_dir).withColumn("x", F.slice("x", 1, 3))  # bounds spare much in few dimensions
+    y0 = np.array([r["y"] for r in kmeans.centers_of(v, "label").orderBy("cluster_id").collect()])
+    state = kmeans.scan(v, y0)
+    new = {r["cluster_id"]: r["y"] for r in kmeans.centers_of(state, "cluster_id").collect()}
+    seen = Observation("work")
+    after = kmeans.rescan(state.drop("work", "useful"), np.array([new.get(k, y) for k, y in enumerate(y0)]), y0)
+    after = after.observe(seen, F.count("*").alias("points"), F.sum("work").alias("work"), F.sum("useful").alias("useful"), F.sum(F.lit(len(y0)) - F.col("work")).alias("skipped"))
+    after.write.format("noop").mode("overwrite").save()
+    o = seen.get
+    useless = o["work"] - o["useful"]
+    pairs = o["points"] * len(y0)
+    row = (o["points"], len(y0), pairs, o["useful"] + useless + o["skipped"] == pairs and min(o["useful"], useless, o["skipped"]) >= 0, o["skipped"] > pairs // 2)
+    return spark.createDataFrame([row], "points long, centres int, pairs long, adds_up boolean, spares boolean")
+
+
+@query(" union all ".join(f"select * from t{r}" for r in range(4)), more=_rounds_sql(4))
+def kmeans_bounded_rounds(spark, sf_dir):
+    import numpy as np
+
+    v = V.vectors(spark, sf_dir)
+    start = np.array([r["y"] for r in kmeans.centers_of(v, "label").orderBy("cluster_id").collect()])
+    _, trace = kmeans.run(v, start, 4, cut=0.0, bounds=True)
+    return spark.createDataFrame([(t["step"], *[round(float(t[k]), 5) for k in ("change", "radius", "width")]) for t in trace], "step int, change double, radius double, width double")
+
+
 @query(" union all ".join(f"select * from t{r}" for r in range(4)), more=_rounds_sql(4))
 def kmeans_rounds(spark, sf_dir):
     import numpy as np
@@ -708,8 +742,8 @@ def _annealed(spark, sf_dir):
     p = V.points2d(spark, sf_dir).select("point_id", F.array("x0", "x1").alias("x")).persist()
     c = Config(SigmaMethod=1, SigmaVectorParameters_i=V.PARAMS, Tminimum=-20.0, InitialCoolingFactor1=0.8, InitialCoolingFactor2=0.8, FineCoolingFactor1=0.85, FineCoolingFactor2=0.85, WaitIterations=1, ConvergenceLoopLimit=5, TemperatureForClosenessTest=0.1)
     out = anneal(p, c, max_clusters=6)
-    if out.reason == "step limit":
-        raise RuntimeError("annealing stopped before its schedule ended")
+    if out.reason == "step limit" or out.limited:
+        raise RuntimeError("annealing stopped before its schedule ended, or a limit held back a split")
     return p, out
 
 

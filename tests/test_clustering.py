@@ -345,3 +345,117 @@ def test_the_summary_grows(tmp_path):
     for x in ("one", "two"):
         writers.append_summary(str(tmp_path / "s"), [x, x])
     assert (tmp_path / "s").read_text().split() == ["one", "one", "two", "two"]
+
+
+def test_facing_lists_bound_what_they_leave_out_while_centres_move():
+    r = np.random.default_rng(6)
+    y = r.normal(size=(300, 6))
+    facing = kmeans.Facing.of(y, 20)
+    assert facing.ids.shape == (300, 20) and facing.rebuilt == 300
+    for step in (1e-3, 1e-3, 0.2):
+        y = y + step * r.normal(size=y.shape)
+        facing = facing.moved_to(y)
+        apart = np.sqrt(((y[:, None] - y[None]) ** 2).sum(2))
+        for k in range(300):
+            listed = np.isin(np.arange(300), facing.ids[k])
+            assert (facing.apart[k] - facing.slack[k] <= apart[k, facing.ids[k]] + 1e-9).all()
+            others = ~listed & (np.arange(300) != k)
+            assert (apart[k, others] >= facing.beyond[k] - facing.slack[k] - 1e-9).all()
+            assert facing.half[k] <= np.delete(apart[k], k).min() / 2 + 1e-9
+    assert facing.rebuilt == 600  # all lists once more after the long move, none after the short ones
+
+
+@pytest.mark.parametrize("length", [1, 4, 64])
+def test_nearest_by_lists_equals_all_distances(monkeypatch, length):
+    r = np.random.default_rng(7)
+    y = r.integers(0, 30, (200, 2)) * 1.0
+    x = np.r_[r.uniform(0, 30, (2000, 2)), y[:50], y[:50] + 0.5]
+    facing = kmeans.Facing.of(y, length)
+    truth = kmeans.nearest(x, y, prune=False)
+    for guess in (None, truth[0], r.integers(0, 200, len(x))):
+        found = kmeans.nearest(x, y, facing=facing, guess=guess)
+        assert (found[0] == truth[0]).all() and (found[1] == truth[1]).all()
+    assert length < 64 or kmeans.nearest(x, y, facing=facing, guess=truth[0])[2] < 0.2 * truth[2]
+
+
+def test_a_run_over_stored_bounds_has_the_trace_of_brute_force(spark):
+    p, y = grid(spark, 5)
+    start = y + np.random.default_rng(2).normal(size=y.shape) * 20
+    traces = [kmeans.run(p, start, 12, cut=0.0, **how)[1] for how in ({"prune": False}, {}, {"bounds": True})]
+    for other in traces[1:]:
+        assert len(other) == len(traces[0]) and other[-1]["reason"] == traces[0][-1]["reason"]
+        for a, b in zip(traces[0], other, strict=True):
+            assert np.allclose([a[c] for c in ("change", "radius", "width")], [b[c] for c in ("change", "radius", "width")], rtol=1e-9)
+    bounded = traces[2]
+    assert bounded[0]["work"] == 1 and all(t["work"] < 0.2 for t in bounded[1:]) and all(t["bytes"] > 0 for t in bounded)
+    assert kmeans.run(p, start, 2, cut=0.0)[1][-1]["reason"] == "round limit"
+
+
+def test_loops_use_a_partition_a_core(spark):
+    one = points(spark, [(i, float(i % 50), float(i)) for i in range(2000)]).select("point_id", F.array("x0", "x1").alias("x")).coalesce(1)
+    dealt = A.spread(one)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 600
+    same = A.spread(points(spark, [(i, 1.0, 1.0) for i in range(2000)]).select("point_id", F.array("x0", "x1").alias("x")))
+    assert max(r["count"] for r in same.groupBy(F.spark_partition_id()).count().collect()) < 600  # equal points are parted by id
+
+
+@pytest.mark.parametrize(("sponge", "scale"), [(None, 0.0), (3.0, 0.0), (None, 0.02)])
+def test_clusters_by_range_give_the_sums_of_the_dense_kernel(spark, sponge, scale):
+    from tempera.plans import ranged
+
+    r = np.random.default_rng(4)
+    x = r.uniform(0, 1000, (3000, 2)) * [1, 0.05]
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, x array<double>").repartition(3)
+    y = r.uniform(0, 1000, (400, 2)) * [1, 0.05]
+    s2 = np.tile([4.0, 9.0], (400, 1))
+    if scale:
+        s2[:, 0] = (scale * y[:, 0] + 1) ** 2
+    now = (y, s2, r.dirichlet(np.ones(400)), 0.5, sponge)
+    before = (y + r.normal(size=y.shape) * 0.3, s2, now[2], 0.6, sponge)
+    dealt = ranged.deal(p, 2, 6)
+    for was in (None, before):
+        a, b = A.em_sums(p, now, was, 20.0, False, 8), dealt.sums(now, was, 20.0, 8)
+        for name in a:
+            if name != "work":
+                assert np.allclose(a[name], b[name], rtol=1e-9, atol=1e-9), name
+        assert b["work"].sum() < 0.3 * a["work"].sum() and dealt.sent < 0.6 * 6 * 400
+    passes = dealt.bound_passes
+    dealt.sums((y + 0.01, *now[1:]), None, 20.0, 8)
+    assert dealt.bound_passes == passes + bool(scale)  # a short move needs no new bounds, unless scales differ
+
+
+def test_a_step_with_200000_centres_stays_in_bounded_memory(spark):
+    """As many centres as the largest known use, one pass, no array of centres by centres."""
+    import resource
+
+    from tempera.plans import ranged
+
+    k = 200_000
+    rows = spark.range(100_000).select(F.col("id").alias("point_id"), F.array(F.rand(1) * 100_000, F.rand(2) * 10).alias("x")).repartition(8)
+    p = rows.persist()
+    r = np.random.default_rng(1)
+    y = np.c_[r.uniform(0, 100_000, k), r.uniform(0, 10, k)]
+    now = (y, np.tile([0.25, 0.25], (k, 1)), np.full(k, 1 / k), 0.1, None)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    dealt = ranged.deal(p, 2, 16)
+    out = dealt.sums(now, None, 20.0, 8)
+    assert abs(out["c"].sum() - 100_000) < 1e-6 and dealt.sent < 1.1 * k
+    assert out["work"].sum() < 0.002 * 100_000 * k
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000  # KB; a dense matrix would take 320 GB
+    some = p.where("x[0] < 50")  # the same sums from all clusters near a few points
+    near = np.flatnonzero(y[:, 0] < 60)
+    dense = A.em_sums(some, (y[near], now[1][near], now[2][near], 0.1, None), None, 20.0, False, 8)
+    inner = np.flatnonzero(y[near, 0] < 40)
+    assert np.allclose(dense["c"][inner], out["c"][near][inner], rtol=1e-9, atol=1e-12)
+    dealt.unpersist()
+    p.unpersist()
+
+
+def test_annealing_takes_ranges_for_many_clusters(spark, monkeypatch):
+    p, y = grid(spark, 3)
+    config = Config(SigmaMethod=1, SigmaVectorParameters_i=(1.0, 1.0), Tminimum=-2000.0, InitialCoolingFactor1=0.7, InitialCoolingFactor2=0.7, FineCoolingFactor1=0.7, FineCoolingFactor2=0.7, WaitIterations=1, ConvergenceLoopLimit=4)
+    plain = A.anneal(p, config, max_clusters=9, max_steps=150)
+    monkeypatch.setattr(A, "SENT_BYTES", 400)  # from six clusters on
+    ranged_ = A.anneal(p, config, max_clusters=9, max_steps=150)
+    assert len(plain.trace) == len(ranged_.trace) and np.allclose(plain.clusters.y, ranged_.clusters.y, atol=1e-6)
