@@ -1,6 +1,6 @@
 """Near-duplicate embeddings: random-hyperplane signs in several tables, exact cosine, components.
 
-Equal vectors, told by 128-bit digests, are one class first, so copies cost nothing and only digests
+Components are doubles throughout. Equal vectors, told by 128-bit digests, are one class first, so copies cost nothing and only digests
 go back to the rows. Classes are dealt to buckets by the signs
 of their products with random hyperplanes, in enough tables to find a pair at the threshold with
 ``RECALL``. Inside a bucket all cosines are computed exactly, block by block; a pair counts in the
@@ -47,7 +47,14 @@ def _codes(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.array([np.frombuffer(x, np.float32) for x in column.to_pylist()], np.float64)
+    """Vectors of length one, in double precision; scaled by their greatest component first, as squares may not fit."""
+    x = np.array([np.frombuffer(v, np.float64) for v in column.to_pylist()])
+    return _unit(x)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _hashed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
@@ -55,8 +62,11 @@ def _hashed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            vectors = [np.array(v, np.float32) for v in batch.column("vector").to_pylist()]
-            codes = [_codes(v[None].astype(np.float64) / np.linalg.norm(v.astype(np.float64)), bits, tables)[0] for v in vectors] if len({len(v) for v in vectors}) > 1 else _codes(np.array(vectors, np.float64), bits, tables)
+            vectors = [np.array(v, np.float64) for v in batch.column("vector").to_pylist()]
+            if len({len(v) for v in vectors}) > 1:
+                codes = [_codes(_unit(v[None]), bits, tables)[0] for v in vectors]
+            else:
+                codes = _codes(_unit(np.array(vectors)), bits, tables) if vectors else []
             yield pa.RecordBatch.from_arrays(
                 [batch.column("rep"), batch.column("copies"), pa.array([len(v) for v in vectors], pa.int32()), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array([c for c in codes], pa.list_(pa.int32()))],
                 ["rep", "copies", "dim", "vector", "codes"],
@@ -70,7 +80,6 @@ def _compare(cosine: float):
         t, left, right = key[1].as_py(), key[3].as_py(), key[4].as_py()
         rep, copies = (rows.column(c).to_numpy() for c in ("rep", "copies"))
         x = _matrix(rows.column("vector"))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
         codes = np.array(rows.column("codes").to_pylist(), np.int32).reshape(len(rep), t)  # of the tables before this one
         block = rows.column("block").to_numpy()
         a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
@@ -106,7 +115,7 @@ def _compare(cosine: float):
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row."""
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("vector"))
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector"))
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     usable = F.coalesce(F.forall("vector", finite) & F.exists("vector", lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("vector", F.when(usable & F.col("vec_id").isNotNull(), F.col("vector")))

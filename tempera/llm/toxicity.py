@@ -9,7 +9,9 @@ prefixes it shares with other words, can't carry a score. Loss and gradient are
 small job an evaluation; the driver holds the weights only.
 
 Documented bound: at most about ``MAX_FIT_ROWS`` labelled rows are fitted, chosen by a hash of their
-id; the features, all from these rows, are bounded by them. Every document is scored, on its whole text.
+id and, where rows share ids, of their text too (rows that repeat count once there); the features, all from these rows, are
+bounded by them. ``Model.converged`` says whether the fit reached its tolerance within ``ROUNDS``. Every document is scored,
+on its whole text.
 
 Defined cases: a null or empty text gets the score of no words; rows without a label of 0 or 1 don't
 teach, of repeated labels the greatest holds; without both labels the score is the share of label 1
@@ -36,6 +38,7 @@ MAX_FIT_ROWS = 100_000
 MIN_ROWS, MIN_G = 4, 12.25  # of a feature: labelled rows with it, log-likelihood ratio
 PREFIXES = (4, 5)
 L2, COUNTERFACTUAL = 1e-4, 1.0
+ROUNDS, TOLERANCE = 20, 1e-4  # of the fit; its loss falls by less than this share of it at the end
 HELD_OUT = 2  # remainder of crc32(doc_id) by 4
 THRESHOLD = 0.3
 
@@ -77,6 +80,8 @@ class Model:
     bias: float = 0.0  # in logits
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     features: dict[str, int] = field(default_factory=dict)
+    converged: bool = True
+    loss: float = 0.0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -118,8 +123,8 @@ def _chosen(rows: DataFrame, n_pos: int, n_neg: int) -> list[str]:
     return sorted(r["f"] for r in good.select("f").collect())
 
 
-def _lbfgs(loss, x: np.ndarray, rounds: int = 20, memory: int = 6) -> np.ndarray:
-    """Minimise a smooth convex function given with its gradient."""
+def _lbfgs(loss, x: np.ndarray, rounds: int = ROUNDS, memory: int = 6, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float, bool]:
+    """Minimise a smooth convex function given with its gradient: where, its value there, and whether it settled."""
     value, grad = loss(x)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
@@ -142,16 +147,20 @@ def _lbfgs(loss, x: np.ndarray, rounds: int = 20, memory: int = 6) -> np.ndarray
         s, y = t * d, new_grad - grad
         if s @ y > 1e-12:
             steps = [*steps[1 - memory :], (s, y)]
-        done = abs(value - new_value) < 1e-4 * max(value, 1e-3)
+        done = abs(value - new_value) < tolerance * max(value, 1e-3)
         x, value, grad = x + s, new_value, new_grad
         if done:
-            break
-    return x
+            return x, value, True
+    return x, value, False
 
 
-def fit(docs: DataFrame, labels: DataFrame, counterfactual: float = COUNTERFACTUAL, max_rows: int = MAX_FIT_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, counterfactual: float = COUNTERFACTUAL, max_rows: int = MAX_FIT_ROWS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Model:
     """Learn from ``labels`` (doc_id, toxic), but for the rows held out."""
     rows = written(_labelled(docs, labels, max_rows).hint("rebalance"), "labelled")
+    n = rows.count()
+    if n > max_rows:  # rows that share ids
+        rows = rows.distinct().where(F.pmod(F.xxhash64("text", "label"), F.lit(1 << 30)) < int((1 << 30) * 0.98 * max_rows / n))
+        rows = written(rows, "labelled")
     by = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n_pos, n_neg = by.get(1, 0), by.get(0, 0)
     total = n_pos + n_neg
@@ -201,8 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, counterfactual: float = COUNTERFACTU
         w0 = np.r_[w[:-1], 0]
         return out[-1] / total + L2 / 2 * (w0 @ w0), out[:-1] / total + L2 * w0
 
-    w = _lbfgs(loss, np.r_[np.zeros(size), np.log(n_pos / n_neg)])
-    return Model(float(w[-1]), w[:-1], features)
+    w, least, settled = _lbfgs(loss, np.r_[np.zeros(size), np.log(n_pos / n_neg)], rounds, tolerance=tolerance)
+    return Model(float(w[-1]), w[:-1], features, settled, least)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

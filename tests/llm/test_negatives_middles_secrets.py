@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tempera.llm import fim, negatives, secretscan
+from tempera.llm import embed_dedup, fim, negatives, secretscan, toxicity
 
 CLASH = ("w", "rank", "score", "x", "anchor", "block", "digit", "output", "form", "found", "_x", "n")
 
@@ -197,3 +197,57 @@ def test_training_tells_shapes_apart():
     lengths = np.array([len(v) for v in values], float)
     net = secretscan._trained(seqs, lengths, y)
     assert ((net.logits(seqs, lengths) > 0) == y).mean() > 0.98
+
+
+def test_near_vectors_are_doubles_of_any_size(spark):
+    """Values beyond floats, and below them, and pairs on either side of the threshold by less than a float can tell."""
+    near = lambda c: [c, (1 - c * c) ** 0.5]
+    rows = [(1, [1e300, 1e300]), (2, [1e300, 1e300]), (3, [1e-310, 1e-310]), (4, [-1e300, 1e300]), (5, [-2.0, 2.0]), (10, [1.0, 0.0, 0.0]), (11, [*near(0.9 + 1e-10), 0.0]), (20, [0.0, 0.0, 1.0]), (21, [(1 - (0.9 - 1e-10) ** 2) ** 0.5 * 0.6, -((1 - (0.9 - 1e-10) ** 2) ** 0.5) * 0.8, 0.9 - 1e-10]), (30, [5e-324, 0.0, 0.0, 0.0]), (31, [1.7e308, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_vectors(df, recall=1 - 1e-9).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 10: (1, 10), 11: (1, 10), 20: (0, 20), 21: (0, 21), 30: (1, 30), 31: (1, 30)}
+
+
+def toxic_rows(n=240):
+    r = random.Random(2)
+    say = lambda: " ".join(r.choice(["river", "stone", "green", "walk", "light", "bread"]) for _ in range(8))
+    return [(i, say() + (" " + r.choice(["grotbag", "snivel", "muslimgrot"]) if i % 3 == 0 else "") + (" muslims walk" if i % 7 == 0 else ""), int(i % 3 == 0) if i % 31 else 1 - int(i % 3 == 0)) for i in range(n)]
+
+
+def test_the_fit_reaches_the_optimum_of_its_loss(spark):
+    """The same loss, penalty included, minimised by Newton's steps in numpy."""
+    rows = toxic_rows()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, rounds=200, tolerance=1e-12)
+    assert model.converged and len(model.features) >= 3
+    learnt = [(t, y) for i, t, y in rows if __import__("zlib").crc32(str(i).encode()) % 4 != toxicity.HELD_OUT]
+    keep = set(model.features)
+    vector = lambda words: np.array([float(f in toxicity._features(words, keep)) for f in sorted(keep, key=model.features.get)] + [1.0])
+    x = np.array([vector(toxicity._words(t)) for t, _ in learnt])
+    change = np.array([vector(toxicity._counterfactual(toxicity._words(t), t)) for t, _ in learnt]) - x
+    y, n, w = np.array([y for _, y in learnt], float), len(learnt), np.zeros(x.shape[1])
+    ridge = toxicity.L2 * np.r_[np.ones(len(w) - 1), 0]
+    loss = lambda w: np.logaddexp(0, np.where(y == 1, -(x @ w), x @ w)).sum() / n + toxicity.COUNTERFACTUAL * ((change @ w) ** 2).sum() / n + (ridge * w * w).sum() / 2
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        grad = x.T @ (p - y) / n + 2 * toxicity.COUNTERFACTUAL * change.T @ (change @ w) / n + ridge * w
+        hess = (x.T * (p * (1 - p))) @ x / n + 2 * toxicity.COUNTERFACTUAL * change.T @ change / n + np.diag(ridge) + 1e-12 * np.eye(len(w))
+        w = w - np.linalg.solve(hess, grad)
+    assert abs(model.loss - loss(w)) < 1e-7 and abs(loss(np.r_[model.weights, model.bias]) - loss(w)) < 1e-7
+    assert np.abs(x @ np.r_[model.weights, model.bias] - x @ w).max() < 0.05
+    assert not toxicity.fit(docs, labels, rounds=1).converged
+
+
+def test_the_bound_on_fitted_rows_holds_where_ids_repeat(spark, monkeypatch):
+    seen = []
+    real = toxicity._chosen
+    monkeypatch.setattr(toxicity, "_chosen", lambda rows, *a: seen.append(rows.count()) or real(rows, *a))
+    many = [(1, f"text {i} of one id") for i in range(2000)] + [(2, "other")] * 500 + [(3, "third")]
+    docs = spark.createDataFrame(many, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (5, 0)], "doc_id long, toxic int")
+    held = {i for i in (1, 2, 3, 5) if __import__("zlib").crc32(str(i).encode()) % 4 == toxicity.HELD_OUT}
+    model = toxicity.fit(docs, labels, max_rows=100)
+    assert all(n <= 130 for n in seen) and (held or seen)
+    scored = toxicity.score(docs, model)
+    assert scored.count() == len(many) and scored.where("score < 0 or score > 1").isEmpty()
