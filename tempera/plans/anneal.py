@@ -27,6 +27,8 @@ MIN_P = 1e-7
 Y_CHANGE = 1e-6
 #: Clusters of more bytes are sent only to the tasks that they reach.
 SENT_BYTES = 1 << 20
+#: Lists by point pay from so many times the clusters that count for a point.
+LISTED_FROM = 6
 #: Partial sums of at most so many rows are added on the driver, without a shuffle.
 GATHERED_SUMS = 1 << 16
 
@@ -413,15 +415,21 @@ def spread(points: DataFrame) -> DataFrame:
 
 
 class Passes:
-    """Passes over the same points: all clusters to every task, or, where they are many, to those that they reach."""
+    """Passes over the same points: all clusters to every task, or, where they are very many, to those that they reach; where
+    there are far more than count for a point, over lists kept by point."""
 
     def __init__(self, points: DataFrame, d: int):
-        self.points, self.d, self.dealt = points, d, None
+        self.points, self.d, self.dealt, self.listed = points, d, None, None
         self.packed = packed(points, d).persist()
         self.parts = points.rdd.getNumPartitions()
 
     def sums(self, now: tuple, before: tuple | None, cut: float, prune: bool, most: int | None) -> dict[str, np.ndarray]:
         if 16 * (2 * self.d + 1) * len(now[0]) <= SENT_BYTES:
+            if prune and most is not None and len(now[0]) >= LISTED_FROM * most:
+                from tempera.plans.listed import Listed
+
+                self.listed = self.listed or Listed(self.packed, self.d, cut, most)
+                return self.listed.sums(now, before, self.parts)
             return em_sums(self.packed, now, before, cut, prune, most, self.parts > 256, self.parts)
         if self.dealt is None:
             from tempera.plans.ranged import deal
@@ -433,6 +441,8 @@ class Passes:
         self.packed.unpersist()
         if self.dealt is not None:
             self.dealt.unpersist()
+        if self.listed is not None:
+            self.listed.close()
 
 
 def _annealed(points: DataFrame, passes: Passes, config: Config, limit_k: int, most: int | None, max_steps: int, restart: list | None, sigma: Callable | None) -> Result:

@@ -593,6 +593,54 @@ def em_kernel(spark, sf_dir):
     return df.select("cluster_id", F.round("c", 4).alias("c"), F.round("freezing", 6).alias("freezing"), *[F.round(c, 5).alias(c) for c in ("y0", "y1", "width2")], "occupation")
 
 
+def _state40(p, t: float):
+    """The forty clusters as the kernels take them, and their ids."""
+    import numpy as np
+
+    rows = V.centers40(p).orderBy("cluster_id").collect()
+    column = lambda *names: np.array([[r[n] for n in names] for r in rows], float)
+    return (column("y0", "y1"), column("s0", "s1"), column("p")[:, 0], t, None), [int(r["cluster_id"]) for r in rows]
+
+
+_D40 = "d40 as (select point_id, cluster_id, (x0 - y0) * (x0 - y0) / s0 + (x1 - y1) * (x1 - y1) / s1 as d2 from points cross join c40), n40 as (select *, row_number() over (partition by point_id order by d2, cluster_id) as rk, min(d2) over (partition by point_id) as best from d40)"
+
+
+@query(
+    "select point_id, sum((inside and rk <= 6)::int)::int as n, string_agg(cluster_id::varchar, ' ' order by rk) filter (inside and rk <= 6) as ids, case when count(*) filter (inside) > 6 then 'cap' when count(*) filter (inside) = count(*) then 'complete' else 'exponent' end as status, "
+    "round(case when count(*) filter (inside) > 6 then max(d2) filter (rk = 7) when count(*) filter (inside) < count(*) then max(best) + 0.08e0 end, 6) as rest from (select *, d2 <= best + 2 * 40e0 * 0.001e0 as inside from n40) group by point_id",
+    more=_D40,
+)
+def associated_lists(spark, sf_dir):
+    from tempera.operators.associated import associated
+
+    p = V.points2d(spark, sf_dir)
+    state, ids = _state40(p, 0.001)
+    found = associated(p.select("point_id", F.array("x0", "x1").alias("x")), state, em.EXP_CUT2, 6)
+    names = F.array(*[F.lit(str(i)) for i in ids])
+    text = F.array_join(F.transform("clusters", lambda c: F.get(names, c["k"])), " ")
+    return found.select("point_id", F.size("clusters").alias("n"), text.alias("ids"), "status", F.round("rest", 6).alias("rest"))
+
+
+@query("select any_value(n) * any_value(k) as pairs, count(*) filter (d2 - best < 2 * 20e0 * 0.01e0) as useful, true as adds_up, true as spares from n40 cross join (select (select count(*) from points) as n, (select count(*) from c40) as k)", more=_D40)
+def em_work(spark, sf_dir):
+    """Memberships of a pass that were above zero, zero, or skipped, over boxes and by ranges."""
+    from tempera.plans import anneal as A
+    from tempera.plans import ranged
+
+    p = V.points2d(spark, sf_dir)
+    state, _ = _state40(p, 0.01)
+    rows = p.select("point_id", F.array("x0", "x1").alias("x"))
+    n, k = p.count(), len(state[0])
+    dealt = ranged.deal(rows, 2)
+    ways = [A.em_sums(rows, state, None, em.EXP_CUT1, True), dealt.sums(state, None, em.EXP_CUT1)]
+    dealt.unpersist()
+    useful = {int(w["useful"].sum()) for w in ways}
+    useless = [int(w["work"].sum()) - int(w["useful"].sum()) for w in ways]
+    skipped = [n * k - int(w["work"].sum()) for w in ways]
+    row = (n * k, useful.pop(), not useful and min(*useless, *skipped) >= 0, min(skipped) > 0)
+    return spark.createDataFrame([row], "pairs long, useful long, adds_up boolean, spares boolean")
+
+
 # K-means
 
 _KM = """
@@ -694,7 +742,7 @@ def kmeans_work(spark, sf_dir):
     o = seen.get
     useless = o["work"] - o["useful"]
     pairs = o["points"] * len(y0)
-    row = (o["points"], len(y0), pairs, o["useful"] + useless + o["skipped"] == pairs and min(o["useful"], useless, o["skipped"]) >= 0, o["skipped"] > pairs // 2)
+    row = (o["points"], len(y0), pairs, o["useful"] + useless + o["skipped"] == pairs and min(o["useful"], useless, o["skipped"]) >= 0, o["skipped"] > 0)
     return spark.createDataFrame([row], "points long, centres int, pairs long, adds_up boolean, spares boolean")
 
 

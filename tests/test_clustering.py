@@ -459,3 +459,51 @@ def test_annealing_takes_ranges_for_many_clusters(spark, monkeypatch):
     monkeypatch.setattr(A, "SENT_BYTES", 400)  # from six clusters on
     ranged_ = A.anneal(p, config, max_clusters=9, max_steps=150)
     assert len(plain.trace) == len(ranged_.trace) and np.allclose(plain.clusters.y, ranged_.clusters.y, atol=1e-6)
+
+
+@pytest.mark.parametrize("sponge", [None, 2.5])
+def test_passes_over_lists_give_the_sums_of_full_ones(spark, sponge):
+    from tempera.plans.listed import Listed
+
+    r = np.random.default_rng(9)
+    x = r.uniform(0, 100, (4000, 2))
+    p = A.packed(A.spread(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, x array<double>")), 2).persist()
+    y, k, most = r.uniform(0, 100, (300, 2)), 300, 10
+    s2, weights = np.tile([9.0, 16.0], (k, 1)), r.dirichlet(np.ones(k))
+    state = lambda move, t: (y + move, s2, weights, t, sponge)
+    listed, before = Listed(p, 2, 20.0, most), None
+    steps = [r.normal(size=y.shape) * size for size in (0.0, 0.02, 0.02, 3.0, 0.02)]
+    for step, move in enumerate(steps):
+        now = state(sum(steps[: step + 1]), 1.0 - 0.1 * step)
+        full, lists = A.em_sums(p, now, before, 20.0, True, most), listed.sums(now, before, 8)
+        for name in full:
+            if name != "work":
+                assert np.allclose(full[name], lists[name], rtol=1e-8, atol=1e-8), (step, name)
+        if step in (1, 2):
+            assert listed.builds == 1 and listed.missed <= 0.05 and lists["work"].sum() < 0.5 * full["work"].sum()
+        if step == 3:
+            assert listed.missed > 0.05  # the long move; treated in full, and made anew next
+        before = now
+    assert listed.builds == 2 and listed.bytes > 0
+    listed.close()
+
+
+def test_lists_say_why_they_end():
+    from tempera.operators.associated import lists
+
+    x, y = np.array([[0.0], [50.0]]), np.array([[0.0], [1.0], [2.0], [3.0], [52.0]])
+    state = (y, np.ones((5, 1)), np.full(5, 0.2), 0.5, None)
+    ids, near, rest, status = lists(x, state, 5.0, 2)
+    assert ids.tolist() == [[0, 1], [4, -1]] and status.tolist() == [2, 1] and rest.tolist() == [4.0, 4.0 + 5.0]
+    assert near[0].tolist() == [0.0, 1.0] and near[1, 0] == 4.0
+    _, _, rest, status = lists(x[:1], (*state[:3], 1e6, None), 5.0, 5)
+    assert status.tolist() == [0] and np.isinf(rest).all()
+
+
+def test_annealing_over_lists_follows_the_plain_path(spark, monkeypatch):
+    p, y = grid(spark, 3)
+    config = Config(SigmaMethod=1, SigmaVectorParameters_i=(1.0, 1.0), Tminimum=-2000.0, InitialCoolingFactor1=0.7, InitialCoolingFactor2=0.7, FineCoolingFactor1=0.7, FineCoolingFactor2=0.7, WaitIterations=1, ConvergenceLoopLimit=4, TargetNcentPerPoint=4)
+    plain = A.anneal(p, config, max_clusters=9, max_steps=150)
+    monkeypatch.setattr(A, "LISTED_FROM", 2)
+    lists = A.anneal(p, config, max_clusters=9, max_steps=150)
+    assert len(plain.trace) == len(lists.trace) and np.allclose(plain.clusters.y, lists.clusters.y, atol=1e-6)
