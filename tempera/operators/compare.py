@@ -4,21 +4,25 @@ A labelling is a DataFrame of ``point_id, cluster_id`` (-1: none); points have `
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempera.operators.numbering import numbered
+from tempera.sources.scratch import Written
+
+#: Tables of clusters of at most so many bytes are broadcast.
+BROADCAST_BYTES = 16 << 20
+
 
 def relabel_sponge(labels: DataFrame, sponge_id: int, n_clusters: int) -> DataFrame:
     """Points of the sponge as clusters of their own, numbered on from ``n_clusters`` in the order of
-    the points. Ids are numbered inside ranges of 2 ** 16, these from the counts before them inside
-    spans of 2 ** 30 ids, and the spans among themselves."""
-    sponge = labels.where(F.col("cluster_id") == sponge_id).withColumn("_range", F.shiftright("point_id", 16))
-    counts = sponge.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_span", F.shiftright("_range", 14))
-    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = counts.groupBy("_span").agg(F.sum("_n").alias("_n")).select("_span", before(Window.partitionBy(F.lit(1)).orderBy("_span")).alias("_first"))  # a row for 2 ** 30 ids
-    ranges = counts.withColumn("_start", before(Window.partitionBy("_span").orderBy("_range"))).join(spans, "_span")
-    place = F.row_number().over(Window.partitionBy("_range").orderBy("point_id")) - 1
-    alone = sponge.join(ranges.select("_range", (F.col("_start") + F.col("_first")).alias("_start")), "_range").select("point_id", (F.lit(n_clusters) + F.col("_start") + place).cast("long").alias("cluster_id"))
+    the points."""
+    alone = numbered(labels.where(F.col("cluster_id") == sponge_id).select("point_id"), "point_id")
+    alone = alone.select("point_id", (F.lit(n_clusters) + F.col("idx")).alias("cluster_id"))
     return labels.where(F.col("cluster_id") != sponge_id).select("point_id", F.col("cluster_id").cast("long")).unionByName(alone)
 
 
@@ -105,18 +109,26 @@ def trim_histogram(hist: DataFrame) -> DataFrame:
 def trimmed_centers(points: DataFrame, labels: DataFrame, params: tuple[float, float], cut: float = 0.7, rounds: int = 10, min_size: int = 3, mode: int = 0) -> DataFrame:
     """Means of clusters above a size, each over its points within the cut (mode 0: square, scaled and
     radial; mode 1: scaled, in every dimension by itself) of the mean before; a cluster that would lose all its points keeps its mean. ``n_in`` counts the
-    points within the cut of the last. Every round is an aggregation that combines on the map side."""
-    sizes = labels.where("cluster_id >= 0").groupBy("cluster_id").agg(F.count("*").alias("n")).where(F.col("n") > min_size)
-    rows = points.join(labels.where("cluster_id >= 0"), "point_id").join(sizes, "cluster_id").select("cluster_id", "n", "x0", "x1")
-    centers = rows.groupBy("cluster_id", "n").agg(F.avg("x0").alias("c0"), F.avg("x1").alias("c1"))
-    for _ in range(rounds):
-        d0, d1 = (F.col("x0") - F.col("c0")) / (params[0] * F.col("c0")), (F.col("x1") - F.col("c1")) / params[1]
-        inside = d0 * d0 + d1 * d1 <= cut if mode == 0 else (F.abs(d0) <= cut) & (F.abs(d1) <= cut)
-        seen = rows.drop("n").join(centers, "cluster_id").withColumn("_in", inside)
-        centers = seen.groupBy("cluster_id", "n").agg(
-            F.coalesce(F.avg(F.when(F.col("_in"), F.col("x0"))), F.max("c0")).alias("c0"), F.coalesce(F.avg(F.when(F.col("_in"), F.col("x1"))), F.max("c1")).alias("c1"), F.count_if("_in").alias("n_in")
-        )
-    return centers
+    points within the cut of the last. The labelled points are written once; a round reads them and the centres of the round before,
+    which are broadcast up to ``BROADCAST_BYTES``, aggregates with a combine on the map side, and writes its centres, so its plan
+    is as small in the last round as in the first, and no cluster is gathered in a task."""
+    rows = points.join(labels.where("cluster_id >= 0"), "point_id").select("cluster_id", "x0", "x1")
+    rows = Written(rows)
+    try:
+        centers = Written(rows.df.groupBy("cluster_id").agg(F.count("*").alias("n"), F.avg("x0").alias("c0"), F.avg("x1").alias("c1")).where(F.col("n") > min_size).withColumn("n_in", F.lit(0).cast("long")))
+        small = centers.df.count() * 40 <= BROADCAST_BYTES
+        for _ in range(rounds):
+            d0, d1 = (F.col("x0") - F.col("c0")) / (params[0] * F.col("c0")), (F.col("x1") - F.col("c1")) / params[1]
+            inside = d0 * d0 + d1 * d1 <= cut if mode == 0 else (F.abs(d0) <= cut) & (F.abs(d1) <= cut)
+            own = centers.df.drop("n_in")
+            seen = rows.df.join(F.broadcast(own) if small else own, "cluster_id").withColumn("_in", inside)
+            mean = lambda x, c: F.coalesce(F.avg(F.when(F.col("_in"), F.col(x))), F.max(c)).alias(c)
+            after = Written(seen.groupBy("cluster_id", "n").agg(mean("x0", "c0"), mean("x1", "c1"), F.count_if("_in").alias("n_in")))
+            centers.drop()
+            centers = after
+    finally:
+        rows.drop()
+    return centers.df.select("cluster_id", "n", "c0", "c1", "n_in")
 
 
 def golden_match(points: DataFrame, golden: DataFrame, method: DataFrame, params: tuple[float, float], min_size: int = 3) -> DataFrame:
@@ -136,7 +148,6 @@ def solution_histograms(clusters: DataFrame, bins: int = 50) -> tuple[DataFrame,
     """Histograms of occupation and of distances between centres (each pair once, itself too), over
     their own ranges."""
     from tempera.functions.exprs import bin_with_overflow
-    from tempera.operators.em import scaled_distance
 
     c = clusters.where("not is_sponge")
 
@@ -144,6 +155,48 @@ def solution_histograms(clusters: DataFrame, bins: int = 50) -> tuple[DataFrame,
         ends = rows.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
         return rows.crossJoin(F.broadcast(ends)).groupBy(bin_with_overflow(F.col(v), F.col("_lo"), F.col("_hi"), bins).alias("bin")).agg(F.count("*").alias("n"))
 
-    b = c.select(F.col("cluster_id").alias("o"), F.col("y0").alias("o0"), F.col("y1").alias("o1"))
-    d = c.join(F.broadcast(b), F.col("cluster_id") <= F.col("o")).select(F.sqrt(scaled_distance(F.col("o0"), F.col("o1"), {k: F.col(k) for k in ("y0", "y1", "s0", "s1")})).alias("d"))
-    return over(c.select(F.col("occupation").cast("double").alias("v")), "v"), over(d, "d")
+    return over(c.select(F.col("occupation").cast("double").alias("v")), "v"), distance_counts(c, bins)
+
+
+#: Clusters that a task meets with as many others at once.
+BLOCK = 2048
+
+
+def distance_counts(clusters: DataFrame, bins: int) -> DataFrame:
+    """``bin, n`` of all distances between centres by the scales of the one with the lesser id. Clusters are packed into blocks by
+    their order; a block meets those after it and itself. No pair leaves a task: a first pass finds the ends, a second counts."""
+    spark = clusters.sparkSession
+    rows = numbered(clusters.select(F.col("cluster_id").cast("long").alias("id"), "y0", "y1", "s0", "s1"), "id")
+    blocks = rows.groupBy(F.expr(f"idx div {BLOCK}").alias("block")).agg(F.sort_array(F.collect_list(F.struct("idx", "y0", "y1", "s0", "s1"))).alias("c"))
+    blocks = Written(blocks)  # at most BLOCK clusters a row
+    n = blocks.df.count()
+    mine = blocks.df.select(F.col("block").alias("a"), F.col("c").alias("ca"), F.explode(F.sequence(F.col("block"), F.lit(n - 1).cast("long"))).alias("b"))
+    pairs = mine.join(blocks.df.select(F.col("block").alias("b"), F.col("c").alias("cb")), "b").select("a", "b", "ca", "cb")
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            for a, b, ca, cb in zip(*(batch.column(c) for c in ("a", "b", "ca", "cb")), strict=True):
+                v, w = (np.stack([c.values.field(f).to_numpy() for f in ("y0", "y1", "s0", "s1")], 1) for c in (ca, cb))
+                for low in range(0, len(v), 256):
+                    part = v[low : low + 256]
+                    d = np.sqrt((part[:, None, 0] - w[None, :, 0]) ** 2 / part[:, None, 2] + (part[:, None, 1] - w[None, :, 1]) ** 2 / part[:, None, 3])
+                    yield d[np.arange(len(w))[None] >= np.arange(low, low + len(part))[:, None]] if a.as_py() == b.as_py() else d.ravel()
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d in distances(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([d.min()]), pa.array([d.max()])], ["lo", "hi"])
+
+    found = pairs.mapInArrow(ends, "lo double, hi double").agg(F.min("lo"), F.max("hi")).first()
+    if found[0] is None:
+        blocks.drop()
+        return spark.createDataFrame([], "bin int, n long")
+    lo, hi = (float(v) for v in found)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In the bins of ``exprs.bin_with_overflow``; all in the first if there is one distance only."""
+        n = np.zeros(bins + 1, np.int64)
+        for d in distances(batches):
+            n += np.bincount(np.minimum(np.floor((d - lo) * bins / (hi - lo)), bins - 1).astype(int) + 1 if hi > lo else np.ones(len(d), int), minlength=bins + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(bins + 1), pa.int32()), pa.array(n)], ["bin", "n"])
+
+    return pairs.mapInArrow(counted, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).where("n > 0")

@@ -132,6 +132,13 @@ def reassigned(points: DataFrame, clusters: DataFrame, temperature: float, targe
     return rows.withColumn("ms", ms).drop("cs", "_sponge", "_near", "_ids", "_old", "_dist", "_m", "_sum")
 
 
+def trimmed(points: DataFrame, clusters: DataFrame, temperature: float, target: int, cut: float = EXP_CUT2) -> DataFrame:
+    """``reassigned`` only for points with more memberships (``ms``) than ``target``; ``changed`` says for which."""
+    rows = points.withColumn("changed", F.size("ms") > target)
+    new = reassigned(rows.where("changed"), clusters, temperature, target, cut)
+    return rows.where("not changed").unionByName(new)
+
+
 def repaired(memberships: DataFrame, removed: DataFrame, split: DataFrame) -> DataFrame:
     """Long memberships after clusters went (``cluster_id``) and others split (``cluster_id, child_id``): what a
     point loses goes to its other clusters in proportion, evenly if it loses 0.99 or more; both halves of a

@@ -5,7 +5,7 @@ that the triangle inequality rules out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -280,7 +280,7 @@ def _collected(rows: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tuple(np.array([r[c] for r in found], float) for c in ("n", "total", "far", "width")) + (int(sum(r["work"] for r in found)),)
 
 
-def _sums(points: DataFrame, y: np.ndarray, prune: bool, facing: Facing | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+def _sums(points: DataFrame, y: np.ndarray, prune: bool, facing: Facing | None = None, search: Callable | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     k, d = y.shape
     facing = (facing or Facing.of(y)) if prune and k > 1 else None
 
@@ -288,7 +288,7 @@ def _sums(points: DataFrame, y: np.ndarray, prune: bool, facing: Facing | None =
         n, total, far, width, done = np.zeros(k), np.zeros((k, d)), np.zeros(k), np.zeros(k), 0
         for batch in batches:
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            best, d2, work = nearest(x, y, prune, facing)
+            best, d2, work = search(x, y) if search else nearest(x, y, prune, facing)
             n += np.bincount(best, minlength=k)
             np.add.at(total, best, x)
             np.maximum.at(far, best, d2)
@@ -320,14 +320,23 @@ def _state_sums(state: DataFrame, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return _collected(state.select("x", "cluster_id", "upper", "work").mapInArrow(run, _SUMS), d)
 
 
-def run(points: DataFrame, centers: np.ndarray, max_rounds: int = 100, cut: float = 1e-3, prune: bool = True, bounds: bool = False) -> tuple[np.ndarray, list[dict]]:
+def run(
+    points: DataFrame, centers: np.ndarray, max_rounds: int = 100, cut: float = 1e-3, prune: bool = True, bounds: bool = False,
+    search: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, int]] | None = None, center: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None, radius: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None,
+) -> tuple[np.ndarray, list[dict]]:
     """Iterate until eleven rounds after the mean change of the centres fell below ``cut`` of the mean
     radius. An empty cluster in the first round is an error; later it keeps its centre. Returns the
     centres and a trace with the share of distances that were computed; its last row says what ended the run
     (``reason``: settled, unchanged or round limit). Points in fewer partitions than there are cores are dealt to as many.
 
     With ``bounds`` each round reads the state of the round before and writes its own (``bytes`` in the trace): distances are
-    computed only where a bound asks for them. Without, each round finds the nearest centres anew."""
+    computed only where a bound asks for them. Without, each round finds the nearest centres anew.
+
+    Callables may take a step's place: ``search(x, y)`` finds in the tasks the centre, the square distance and how many distances
+    that took (not with ``bounds``); ``center(y, n, total)`` makes the new centres of the old ones, the counts and the sums of their points;
+    ``radius(n, far, width)`` makes the radii of the counts, the greatest square distances and their sums."""
+    if bounds and search:
+        raise ValueError("bounds come from the search of their own")
     y, trace, left, held = np.array(centers, float), [], None, None
     cores = points.sparkSession.sparkContext.defaultParallelism
     few = points.rdd.getNumPartitions() < cores
@@ -342,15 +351,15 @@ def run(points: DataFrame, centers: np.ndarray, max_rounds: int = 100, cut: floa
             held = state
             n, total, far, width, work = _state_sums(state.df, y)
         else:
-            n, total, far, width, work = _sums(points, y, prune, facing)
+            n, total, far, width, work = _sums(points, y, prune, facing, search)
         if step == 0 and (n == 0).any():
             raise ValueError("a cluster is empty at the start")
-        new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], y)
-        change, radius = np.sqrt(((new - y) ** 2).sum(1)).mean(), np.sqrt(far).mean()
-        trace.append({"step": step, "change": change, "radius": radius, "width": width.sum() / n.sum(), "work": work / (n.sum() * len(y))} | ({"bytes": held.bytes} if bounds else {}))
+        new = np.array(center(y, n, total), float) if center else np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], y)
+        change, reach = np.sqrt(((new - y) ** 2).sum(1)).mean(), float(np.mean(radius(n, far, width) if radius else np.sqrt(far)))
+        trace.append({"step": step, "change": change, "radius": reach, "width": width.sum() / n.sum(), "work": work / (n.sum() * len(y))} | ({"bytes": held.bytes} if bounds else {}))
         before, y = y, new
         facing = facing.moved_to(y) if facing is not None else None
-        if left is None and change < cut * radius:
+        if left is None and change < cut * reach:
             left = 11
         if left is not None:
             left -= 1

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempera.operators.boxes import ends, leaves
 from tempera.operators.em import near_pairs, scaled_distance, with_clusters
 
 
@@ -30,42 +31,86 @@ def nearby_counts(clusters: DataFrame, cut: float) -> DataFrame:
     return near.withColumn("average", F.sum("n").over(every) / (2.0 * F.count("*").over(every)))
 
 
-def nearest_clusters(clusters: DataFrame, k: int) -> DataFrame:
-    """``cluster_id, other, d2, rank`` (from 1; ties by id) of each cluster's k nearest. The driver holds the
-    clusters anyway; tasks compare theirs with all, block by block, and keep k."""
-    c = clusters.where("not is_sponge").select("cluster_id", "y0", "y1", "s0", "s1")
-    ids, y = _positions(c)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mine = batch.column("cluster_id").to_numpy().astype(np.int64)
-            a0, a1, s0, s1 = (batch.column(x).to_numpy()[:, None] for x in ("y0", "y1", "s0", "s1"))
-            keep = np.zeros((len(mine), 0)), np.zeros((len(mine), 0), np.int64)
-            for at in range(0, len(ids), 1024):
-                o, other = y[at : at + 1024], np.broadcast_to(ids[at : at + 1024], (len(mine), len(y[at : at + 1024])))
-                d2 = (o[None, :, 0] - a0) ** 2 / s0 + (o[None, :, 1] - a1) ** 2 / s1
-                d2 = np.where(other == mine[:, None], np.inf, d2)
-                d2, other = np.concatenate([keep[0], d2], 1), np.concatenate([keep[1], other], 1)
-                order = np.lexsort((other, d2), 1)[:, :k]
-                keep = np.take_along_axis(d2, order, 1), np.take_along_axis(other, order, 1)
-            row, rank = np.nonzero(np.isfinite(keep[0]))
-            parts = mine[row], keep[1][row, rank], keep[0][row, rank], (rank + 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], ["cluster_id", "other", "d2", "rank"])
-
-    kind = c.schema["cluster_id"].dataType
-    found = c.mapInArrow(run, "cluster_id long, other long, d2 double, rank int")
-    return found.select(F.col("cluster_id").cast(kind), F.col("other").cast(kind), "d2", "rank")
-
-
-def _positions(c: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = c.select("cluster_id", "y0", "y1").collect()
-    return np.array([r["cluster_id"] for r in rows], np.int64), np.array([(r["y0"], r["y1"]) for r in rows], float).reshape(-1, 2)
-
-
-def point_quality(assigned: DataFrame, clusters: DataFrame, cut: float, sponge_id: int | None) -> DataFrame:
+#: Clusters of a range, about; a range with twice as many (of equal first positions) is dealt by id as well.
+RANGE = 20_000
+_NEAREST = "cluster_id long, other long, d2 double, rank int"
+
+
+def _k_nearest(mine: np.ndarray, others: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``mine`` and ``others`` have id, y0, y1, s0, s1 in their rows. For some of mine at once: their rows, the ids of their k nearest others
+    and the square distances, ties by id (-1 and infinite where there are fewer). A box of clusters looks only at those no farther off than
+    its k + 1 surest ones, which proves the kth."""
+    y = others[:, 1:3]
+    for rows in leaves(mine[:, 1:3]):
+        part = mine[rows]
+        near, _ = ends(part[:, 1:3].min(0), part[:, 1:3].max(0), y, part[:, 3:5].max(0), None)
+        _, far = ends(part[:, 1:3].min(0), part[:, 1:3].max(0), y, part[:, 3:5].min(0), None)
+        cols = np.flatnonzero(near <= np.partition(far, k)[k] * (1 + 1e-9)) if len(far) > k else np.arange(len(y))
+        d2 = (y[None, cols, 0] - part[:, None, 1]) ** 2 / part[:, None, 3] + (y[None, cols, 1] - part[:, None, 2]) ** 2 / part[:, None, 4]
+        ids = np.broadcast_to(others[cols, 0].astype(np.int64), d2.shape)
+        d2 = np.where(ids == part[:, :1].astype(np.int64), np.inf, d2)
+        order = np.lexsort((ids, d2), 1)[:, :k]
+        d2, ids = np.take_along_axis(d2, order, 1), np.take_along_axis(ids, order, 1)
+        if d2.shape[1] < k:
+            more = ((0, 0), (0, k - d2.shape[1]))
+            d2, ids = np.pad(d2, more, constant_values=np.inf), np.pad(ids, more, constant_values=-1)
+        yield rows, ids, d2
+
+
+def _rows(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy().astype(np.float64) for c in ("cluster_id", "y0", "y1", "s0", "s1")], 1)
+
+
+def nearest_clusters(clusters: DataFrame, k: int, range_size: int = RANGE) -> DataFrame:
+    """``cluster_id, other, d2, rank`` (from 1; ties by id) of each cluster's k nearest, by its own scales. Clusters are dealt by ranges of
+    the first dimension. Each range first bounds the distance of its kth neighbours by its own clusters; then it gets
+    those that lie within that bound, and no others. Ids are below 2 ** 53."""
+    kind = clusters.schema["cluster_id"].dataType
+    c = clusters.where("not is_sponge").select(F.col("cluster_id").cast("long").alias("cluster_id"), *[F.col(x).cast("double").alias(x) for x in ("y0", "y1", "s0", "s1")])
+    n = c.count()
+    parts = max(1, -(-n // range_size))
+    cuts = sorted(set(c.approxQuantile("y0", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    dealt = c.withColumn("part", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col("y0"))) if cuts else F.lit(0))
+    ranges = {r["part"]: r for r in dealt.groupBy("part").agg(F.min("y0").alias("lo"), F.max("y0").alias("hi"), F.max("s0").alias("s0"), F.count("*").alias("n")).collect()}
+    halves = {p: -(-r["n"] // (2 * range_size)) for p, r in ranges.items()}
+    of = lambda values, default: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in values.items() for v in kv]), F.col("part")), F.lit(default))
+    dealt = dealt.withColumn("sub", F.pmod(F.xxhash64("cluster_id"), of(halves, 1)).cast("int") if max(halves.values(), default=1) > 1 else F.lit(0))
+
+    def found(mine: np.ndarray, others: np.ndarray) -> pa.Table:
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for rows, ids, d2 in _k_nearest(mine, others, k):
+            row, rank = np.nonzero(np.isfinite(d2))
+            for column, v in zip(out, (mine[rows[row], 0].astype(np.int64), ids[row, rank], d2[row, rank], (rank + 1).astype(np.int32)), strict=True):
+                column.append(v)
+        types = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
+        return pa.table([pa.array(np.concatenate(v) if v else [], t) for v, t in zip(out, types, strict=True)], [x.split()[0] for x in _NEAREST.split(", ")])
+
+    if len(ranges) <= 1 and max(halves.values(), default=1) == 1:
+        near = dealt.groupBy("part").applyInArrow(lambda t: found(_rows(t), _rows(t)), _NEAREST)
+    else:
+
+        def bound(t: pa.Table) -> pa.Table:
+            mine = _rows(t)
+            worst = max(float(d2[:, -1].max()) for _, _, d2 in _k_nearest(mine, mine, k))
+            return pa.table({"part": t.column("part").slice(0, 1), "bound": [worst]})
+
+        bounds = {r["part"]: r["bound"] for r in dealt.groupBy("part", "sub").applyInArrow(bound, "part int, bound double").groupBy("part").agg(F.max("bound").alias("bound")).collect()}
+        windows = []  # a row a range
+        for p, r in ranges.items():
+            reach = np.sqrt(bounds[p] * r["s0"]) * (1 + 1e-9)
+            windows += [(p, i, float(r["lo"] - reach), float(r["hi"] + reach)) for i in range(halves[p])]
+        window = c.sparkSession.createDataFrame(windows, "part int, sub int, lo double, hi double").agg(F.collect_list(F.struct("*")).alias("ws"))
+        sent = c.crossJoin(F.broadcast(window)).select("*", F.explode(F.filter("ws", lambda w: F.col("y0").between(w["lo"], w["hi"]))).alias("w"))
+        sent = sent.select(*[F.col(x).alias(x) for x in c.columns], F.col("w.part").alias("part"), F.col("w.sub").alias("sub"))
+        near = dealt.groupBy("part", "sub").cogroup(sent.groupBy("part", "sub")).applyInArrow(lambda a, b: found(_rows(a), _rows(b)), _NEAREST)
+    return near.select(F.col("cluster_id").cast(kind), F.col("other").cast(kind), "d2", "rank")
+
+
+def point_quality(assigned: DataFrame, clusters: DataFrame, cut: float, sponge_id: int | None, sponge_cut: float | None = None) -> DataFrame:
     """Points with their nearest cluster, their distance to it and to their own, and where they
-    should go: sponge points within the cut go to the nearest; points beyond the cut of their own
+    should go: sponge points within the cut (or one of their own, ``sponge_cut``) go to the nearest; points beyond the cut of their own
     are illegal, and go to the sponge if there is one."""
+    near = cut if sponge_cut is None else sponge_cut
     rows = with_clusters(assigned, clusters.where("not is_sponge"))
     all_ = F.transform("cs", lambda c: F.struct(scaled_distance(F.col("x0"), F.col("x1"), c).alias("d2"), c["cluster_id"].alias("id")))
     rows = rows.withColumn("_all", all_).withColumn("_best", F.array_min("_all"))
@@ -73,7 +118,7 @@ def point_quality(assigned: DataFrame, clusters: DataFrame, cut: float, sponge_i
     is_sponge = F.col("cluster_id") == sponge_id if sponge_id is not None else F.lit(False)
     rows = rows.select("point_id", "cluster_id", F.col("_best.id").alias("nearest"), F.col("_best.d2").alias("nearest_d2"), own.alias("own_d2"), is_sponge.alias("in_sponge"))
     illegal = ~F.col("in_sponge") & (F.col("own_d2") > cut * cut)
-    confused = F.col("in_sponge") & (F.col("nearest_d2") <= cut * cut)
+    confused = F.col("in_sponge") & (F.col("nearest_d2") <= near * near)
     target = F.when(confused, F.col("nearest")).when(illegal, F.lit(sponge_id) if sponge_id is not None else F.col("cluster_id")).otherwise(F.col("cluster_id"))
     return rows.withColumns({"illegal": illegal, "confused": confused, "target": target})
 
@@ -129,6 +174,7 @@ def status_table(clusters: DataFrame, statistics: DataFrame, k: int, cut: float,
     )
 
 
+# Fixed value: the first line of a status file.
 STATUS_HEADER = "Label\tY-0\tY-1\tCount\tNearby Clusters\tNearby Sponge Points\tIllegal Points\tMax Extension\tNearby Cluster Points"
 
 

@@ -27,6 +27,8 @@ MIN_P = 1e-7
 Y_CHANGE = 1e-6
 #: Clusters of more bytes are sent only to the tasks that they reach.
 SENT_BYTES = 1 << 20
+#: In more dimensions than these, directions of splits come from power iteration instead of matrices by cluster.
+MATRIX_DIMENSIONS = 16
 #: Lists by point pay from so many times the clusters that count for a point.
 LISTED_FROM = 6
 #: Partial sums of at most so many rows are added on the driver, without a shuffle.
@@ -156,9 +158,9 @@ def block_sums(x: np.ndarray, now: tuple, before: tuple | None, cut: float, most
     m, d2 = memberships(x, *now, cut, most)
     moved = np.abs(m - memberships(x, *before, cut, most)[0]).sum(0) if before else np.full(len(y), np.inf)
     d, middle, m2 = x.shape[1], x.mean(0), m * m
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    pairs = pairs_of(d)
     xc, off = x - middle, middle - y  # x - y = xc + off
-    moments = m.T @ np.c_[np.ones(len(x)), xc, np.stack([xc[:, i] * xc[:, j] for i, j in pairs], 1)]
+    moments = m.T @ np.c_[np.ones(len(x)), xc, np.stack([xc[:, i] * xc[:, j] for i, j in pairs] or [xc[:, 0]], 1)]
     size, first, second = moments[:, 0], moments[:, 1 : 1 + d], moments[:, 1 + d :]
     square = m2.T @ np.c_[np.ones(len(x)), xc]
     quarter = (size / 2 - square[:, 0] / 4)[:, None] * off + first / 2 - square[:, 1:] / 4  # of half (1 - half) (x - y)
@@ -169,8 +171,13 @@ def block_sums(x: np.ndarray, now: tuple, before: tuple | None, cut: float, most
     return np.stack(columns, 1)
 
 
+def pairs_of(d: int) -> list[tuple[int, int]]:
+    """Places of the upper triangle of a cluster's correlations, none where there are too many dimensions."""
+    return [(i, j) for i in range(d) for j in range(i, d)] if d <= MATRIX_DIMENSIONS else []
+
+
 def sums_width(d: int) -> int:
-    return 7 + d + d + d * (d + 1) // 2
+    return 7 + d + d + len(pairs_of(d))
 
 
 def sums_by_name(v: np.ndarray, d: int) -> dict[str, np.ndarray]:
@@ -270,6 +277,7 @@ class Result:
     restored: bool = False  # whether the solution of the least H was taken in place of the last
     work: float = 0.0  # memberships computed, as a share of points times clusters
     reason: str = ""  # what ended the run; "step limit" if it isn't finished
+    by_count: list[tuple[float, Clusters]] = field(default_factory=list)  # with ClusterCountOutput 1: temperature and clusters when their number changed
 
 
 def hamiltonian(c: Clusters) -> float:
@@ -354,21 +362,28 @@ def invalid(c: Clusters, schedule: Schedule, closeness: bool = True) -> np.ndarr
     return (small | close) & c.own
 
 
-def splits(c: Clusters, schedule: Schedule, n: float) -> list[tuple[int, np.ndarray]]:
-    """Clusters to split, most urgent first, with the unit vector of their least eigenvalue."""
+def splits(c: Clusters, schedule: Schedule, n: float, widest: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> list[tuple[int, np.ndarray]]:
+    """Clusters to split, most urgent first, with the unit vector of their least eigenvalue. ``widest`` gives the greatest
+    eigenvalue and its vector of the correlations of clusters whose matrices weren't summed."""
     cfg, d = schedule.config, c.y.shape[1]
     ks = np.flatnonzero(c.own & (c.width2 > cfg.MinimumScaledWidthSquaredToSplit) & (c.c > cfg.TooSmallToSplit) & (c.priority != 0))
+    aged = ks[c.priority[ks] >= 1]
+    c.priority[aged] = np.where(c.priority[aged] >= 8, -1, c.priority[aged] + 1)
+    ks = ks[(c.priority[ks] < 0) | (c.priority[ks] >= 6)]
     if not len(ks):
         return []
-    a = np.zeros((len(ks), d, d))
-    a[:, *np.triu_indices(d)] = c.corr[ks]
-    a = np.eye(d) * c.c[ks, None, None] / 2 - (a + np.triu(a, 1).transpose(0, 2, 1))
-    values, vectors = np.linalg.eigh(a)
-    aged = c.priority[ks] >= 1
-    c.priority[ks[aged]] = np.where(c.priority[ks[aged]] >= 8, -1, c.priority[ks[aged]] + 1)
+    if widest is not None:
+        most, vectors = widest(ks)
+        values = c.c[ks] / 2 - most
+    else:
+        a = np.zeros((len(ks), d, d))
+        a[:, *np.triu_indices(d)] = c.corr[ks]
+        a = np.eye(d) * c.c[ks, None, None] / 2 - (a + np.triu(a, 1).transpose(0, 2, 1))
+        values, vectors = np.linalg.eigh(a)
+        values, vectors = values[:, 0], vectors[:, :, 0]
     priority = c.priority[ks]
     urgency = np.where(priority > 0, priority - 10, 0) + 20 * (c.c[ks] >= 2 * n / len(c)) + 20 * (c.c[ks] >= 6 * n / len(c))
-    found = [(-int(urgency[i]), float(values[i, 0]), int(ks[i]), vectors[i, :, 0]) for i in np.flatnonzero(((priority < 0) | (priority >= 6)) & (values[:, 0] < 0))]
+    found = [(-int(urgency[i]), float(values[i]), int(ks[i]), vectors[i]) for i in np.flatnonzero(values < 0)]
     found.sort(key=lambda x: x[:3])
     return [(k, v) for _, _, k, v in found[: cfg.MaxNumberSplitClusters]]
 
@@ -397,7 +412,7 @@ def anneal(points: DataFrame, config: Config, max_clusters: int | None = None, m
     limit_k = max_clusters if max_clusters is not None else config.MaxNcentTotal or sys.maxsize
     most = config.TargetNcentPerPoint if config.TargetNcentPerPoint > 0 else None
     points = spread(points)
-    passes = Passes(points, config.ParameterVectorDimension)
+    passes = Passes(points, config.ParameterVectorDimension, config.ExpArgumentCut2, config.ExpArgumentCut3)
     try:
         return _annealed(points, passes, config, limit_k, most, max_steps, restart, sigma)
     finally:
@@ -418,8 +433,9 @@ class Passes:
     """Passes over the same points: all clusters to every task, or, where they are very many, to those that they reach; where
     there are far more than count for a point, over lists kept by point."""
 
-    def __init__(self, points: DataFrame, d: int):
+    def __init__(self, points: DataFrame, d: int, list_cut: float = 40.0, range_cut: float = 0.0):
         self.points, self.d, self.dealt, self.listed = points, d, None, None
+        self.list_cut, self.range_cut = list_cut, range_cut
         self.packed = packed(points, d).persist()
         self.parts = points.rdd.getNumPartitions()
 
@@ -428,14 +444,28 @@ class Passes:
             if prune and most is not None and len(now[0]) >= LISTED_FROM * most:
                 from tempera.plans.listed import Listed
 
-                self.listed = self.listed or Listed(self.packed, self.d, cut, most)
+                self.listed = self.listed or Listed(self.packed, self.d, cut, most, max(cut, self.list_cut))
                 return self.listed.sums(now, before, self.parts)
             return em_sums(self.packed, now, before, cut, prune, most, self.parts > 256, self.parts)
         if self.dealt is None:
             from tempera.plans.ranged import deal
 
             self.dealt = deal(self.points, self.d)
-        return self.dealt.sums(now, before, cut, most)
+        return self.dealt.sums(now, before, cut, most, max(cut, self.range_cut))
+
+    def widest(self, state: tuple, cut: float, most: int | None) -> Callable | None:
+        """Power iteration for some clusters of a state, where their matrices aren't summed."""
+        if self.d <= MATRIX_DIMENSIONS:
+            return None
+        from tempera.operators.power import widest
+
+        return lambda ks: widest(self.packed, state, cut, most, ks, self.parts)[:2]
+
+    def expire(self) -> None:
+        """Lists by point are made anew in the next pass."""
+        if self.listed is not None:
+            self.listed.close()
+            self.listed.at = None
 
     def close(self) -> None:
         self.packed.unpersist()
@@ -469,6 +499,8 @@ def _annealed(points: DataFrame, passes: Passes, config: Config, limit_k: int, m
             continue
         h = hamiltonian(c)
         out.trace.append((step, schedule.t, len(c), h))
+        if config.ClusterCountOutput > 0 and (not out.by_count or len(out.by_count[-1][1]) != len(c)):
+            out.by_count.append((schedule.t, replace(c, **{k: v.copy() for k, v in c.__dict__.items() if isinstance(v, np.ndarray)})))
         falls = last_h is None or h <= last_h
         if falls:
             best = replace(c, **{k: v.copy() for k, v in c.__dict__.items() if isinstance(v, np.ndarray)}), h
@@ -494,7 +526,7 @@ def _annealed(points: DataFrame, passes: Passes, config: Config, limit_k: int, m
             continue
         waited += 1
         splitting, room = not final and waited >= config.WaitIterations, max(0, limit_k - len(c))
-        chosen = splits(c, schedule, n) if splitting else []
+        chosen = splits(c, schedule, n, passes.widest(before, config.ExpArgumentCut1, most)) if splitting else []
         out.limited |= len(chosen) > room
         if chosen and room:
             for k, v in chosen[:room]:
@@ -502,6 +534,7 @@ def _annealed(points: DataFrame, passes: Passes, config: Config, limit_k: int, m
             before, since, waited, fine, last_h = None, 0, 0, True, None
             continue
         if schedule.cleans_up():
+            passes.expire()
             before, since, waited, last_h = None, 0, 0, None
             continue
         schedule.cool(fine)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempera.operators import kmeans, quality
+from tempera.operators.numbering import numbered
 from tempera.plans import anneal as A
 from tempera.plans.comparison import full_comparison
 from tempera.plans.presets import preset
 from tempera.sources import text, writers
-from tempera.sources.config import Config
+from tempera.sources.config import Config, command_line
 
 
 @dataclass
@@ -59,8 +61,8 @@ def restart_rows(spark: SparkSession, config: Config) -> list:
 
 def run(spark: SparkSession, config: Config, out_dir: str | None = None, **limits) -> Outputs:
     """Cluster as the mode of the configuration says, and write below ``out_dir``: ``clusters`` and
-    ``clusters-scaled``, ``status``, ``shifts`` (lines of text), and the comparison's tables as Parquet. ``limits``
-    go to ``anneal``. A restart temperature of zero or more goes on from ``RestartClusterFile``; without
+    ``clusters-scaled`` (unless ``ClusterCountOutput`` is negative; at 1 with the clusters at every count), ``status``, ``shifts`` (lines of
+    text), the histograms ``occupations`` and ``distances`` and the comparison's tables as Parquet. ``limits`` go to ``anneal``. A restart temperature of zero or more goes on from ``RestartClusterFile``; without
     iterations at the end the former clusters are only analysed."""
     config = preset(config)
     watch = writers.Stopwatch()
@@ -85,10 +87,17 @@ def run(spark: SparkSession, config: Config, out_dir: str | None = None, **limit
         reports = full_comparison(points, names.select("point_id", F.col("golden").alias("cluster_id")), methods, params, config.SpongeFactor2)
     if out_dir:
         with watch.of("write"):
-            rows = writers.cluster_rows(assigned, clusters, n)
-            writers.cluster_lines(rows).write.text(f"{out_dir}/clusters")
-            writers.cluster_lines(writers.scaled_rows(rows, config.SigmaMethod, params)).write.text(f"{out_dir}/clusters-scaled")
-            stats = quality.point_statistics(quality.point_quality(assigned, clusters, cut, sponge_id))
+            if config.ClusterCountOutput >= 0:
+                rows = writers.cluster_rows(assigned, clusters, n)
+                writers.cluster_lines(rows).write.text(f"{out_dir}/clusters")
+                writers.cluster_lines(writers.scaled_rows(rows, config.SigmaMethod, params)).write.text(f"{out_dir}/clusters-scaled")
+            for t, c in result.by_count:
+                rows = [(k, float(t), *map(float, y), float(size)) for k, (y, size) in enumerate(zip(c.y, c.c, strict=True))]
+                spark.createDataFrame(rows, "cluster_id long, temperature double, " + ", ".join(f"y{i} double" for i in range(c.y.shape[1])) + ", size double").write.mode("append").parquet(f"{out_dir}/clusters-by-count/count={len(c)}")
+            near = config.NearbySpongePointLimit if config.NearbySpongePointLimit > 0 else cut
+            stats = quality.point_statistics(quality.point_quality(assigned, clusters, cut, sponge_id, near))
+            quality.occupation_histogram(clusters, config.HistogramOccupationMax).write.parquet(f"{out_dir}/occupations")
+            quality.distance_histogram(clusters, config.HistogramDistancesMax).write.parquet(f"{out_dir}/distances")
             table = quality.status_table(clusters, stats, config.NumberNearbyClusters, cut, config.SigmaMethod, params)
             quality.status_file_lines(table).select("value").write.text(f"{out_dir}/status")
             writers.shift_lines(quality.experiment_shifts(assigned, clusters, params)).write.text(f"{out_dir}/shifts")
@@ -111,7 +120,7 @@ def follow_up_kmeans(points: DataFrame, result: A.Result, cut: float = 1e-5, max
 def run_kmeans(spark: SparkSession, config: Config, vectors: DataFrame, out_dir: str | None = None) -> tuple[np.ndarray, list[dict], DataFrame]:
     """K-means of ``vectors`` (point_id, x) from blocks of points, by the configuration's count of clusters; the
     assignment is returned and written below ``out_dir`` with the centres."""
-    seeds = kmeans.initial_labels(vectors.withColumn("idx", F.col("point_id")), config.InitialNcent)
+    seeds = kmeans.initial_labels(numbered(vectors, "point_id"), config.InitialNcent)
     rows = kmeans.centers_of(seeds, "label").orderBy("cluster_id").collect()
     y, trace = kmeans.run(vectors, np.array([r["y"] for r in rows]), 1000, 1e-5)
     assigned = vectors.join(kmeans.assign_pruned(vectors, y), "point_id")
@@ -119,3 +128,26 @@ def run_kmeans(spark: SparkSession, config: Config, vectors: DataFrame, out_dir:
         centers = spark.createDataFrame([(k, [float(v) for v in c]) for k, c in enumerate(y)], "cluster_id long, y array<double>")
         writers.kmeans_lines(assigned, centers, vectors.count()).select("value").write.text(f"{out_dir}/kmeans")
     return y, trace, assigned
+
+
+def main(argv: list[str] | None = None) -> Outputs:
+    """Run a properties file: ``-c file -n nodes -t threads``, and ``--set Key=value`` before the file. Tables go to folders named after
+    ``ClusterFile`` without its ending; a line of timing is appended to ``TimingFile`` and the summary to ``SummaryFile``, which the
+    driver writes. Nodes times threads is the least number of partitions of a shuffle."""
+    given = command_line(sys.argv[1:] if argv is None else argv)
+    with open(given.configFile, encoding="utf-8") as f:
+        config = Config.from_properties(f.read(), dict(x.split("=", 1) for x in given.set))
+    spark = SparkSession.builder.appName("tempera").getOrCreate()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), given.nodeCount * given.threadCount)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    watch, out_dir = writers.Stopwatch(), config.ClusterFile.rsplit(".", 1)[0]
+    with watch.of("all"):
+        out = run(spark, config, out_dir)
+    n = int(out.labels.count())
+    writers.append_summary(config.SummaryFile, [f"{config.LabelFile}: {len(out.result.clusters)} clusters of {n} points at T {out.result.schedule.t:.4g}: {out.result.reason}", *(f"{k}: {v:.3f} s" for k, v in watch.totals.items())])
+    watch.append_run(config.TimingFile, given.threadCount, given.nodeCount, n, len(out.result.clusters), config.LabelFile, "all")
+    return out
+
+
+if __name__ == "__main__":
+    main()

@@ -19,15 +19,14 @@ from tempera.plans.anneal import MIN_P, added_up, collected, sums_by_name, sums_
 from tempera.sources.scratch import Written
 
 SPARE = 12  # clusters listed beyond those that count
-WIDER = 1.5  # times the exponents' cut that a list may reach
 MISSED = 0.05  # share of the points without a certificate, beyond which lists are made anew
 
 
 class Listed:
-    """``builds`` counts how often lists were made, ``missed`` the share of points that the last pass had to treat in full."""
+    """``builds`` counts how often lists were made, ``missed`` the share of points that the last pass had to treat in full. Lists reach to ``list_cut`` of the exponents, so that they hold for a while."""
 
-    def __init__(self, packed: DataFrame, d: int, cut: float, most: int):
-        self.packed, self.d, self.cut, self.most = packed, d, cut, most
+    def __init__(self, packed: DataFrame, d: int, cut: float, most: int, list_cut: float | None = None):
+        self.packed, self.d, self.cut, self.most, self.list_cut = packed, d, cut, most, list_cut or 2 * cut
         self.table: Written | None = None
         self.rows: DataFrame | None = None
         self.at: tuple[np.ndarray, np.ndarray] | None = None
@@ -41,7 +40,7 @@ class Listed:
 
     def _build(self, state: tuple) -> None:
         self.close()
-        d, cut, cap = self.d, self.cut * WIDER, self.most + SPARE
+        d, cut, cap = self.d, self.list_cut, self.most + SPARE
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

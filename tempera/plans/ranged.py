@@ -99,14 +99,15 @@ class Dealt:
             parts.append(np.full(len(ks[-1]), p))
         return np.concatenate(parts), np.concatenate(ks)
 
-    def sums(self, now: tuple, before: tuple | None, cut: float, most: int | None = None) -> dict[str, np.ndarray]:
-        """As ``anneal.em_sums``."""
+    def sums(self, now: tuple, before: tuple | None, cut: float, most: int | None = None, sent_cut: float | None = None) -> dict[str, np.ndarray]:
+        """As ``anneal.em_sums``. Clusters are sent as far as ``sent_cut`` of the exponents, at least to ``cut``."""
+        sent_cut = max(cut, sent_cut or cut)
         k, d = now[0].shape
         if before is not None and before[0].shape != now[0].shape:
             before = None
-        parts, ks = self.reached(now, cut)
+        parts, ks = self.reached(now, sent_cut)
         if before is not None:
-            parts0, ks0 = self.reached(before, cut)
+            parts0, ks0 = self.reached(before, sent_cut)
             both = np.unique(np.r_[parts * k + ks, parts0 * k + ks0])
             parts, ks = both // k, both % k
         self.sent, v = len(ks), np.c_[_state_columns(now), _state_columns(before)] if before is not None else _state_columns(now)

@@ -564,6 +564,16 @@ def reassign(spark, sf_dir):
     return rounded(em.long_form(em.reassigned(m, c, 0.01, 3)).select("point_id", "cluster_id", "m"), 6)
 
 
+@query(
+    "select cluster_id, count(*) as n, round(sum(m), 3) as c, count(*) filter (changed) as changed from (select point_id, cluster_id, size > 2 as changed, case when size <= 2 then m when s < 0.2e0 then 1e0 / n else m / s end as m from (select *, sum(m) filter (size <= 2 or keep) over (partition by point_id) as s, count(*) filter (size <= 2 or keep) over (partition by point_id) as n from (select *, rk <= 2 and (cluster_id = 0 or d2 - dn <= 2 * 40e0 * 0.01e0) as keep from (select point_id, cluster_id, m, d2, row_number() over (partition by point_id order by cluster_id <> 0, d2, cluster_id) as rk, min(d2) filter (cluster_id <> 0) over (partition by point_id) as dn, count(*) filter (m > 0) over (partition by point_id) as size from ms))) where (size <= 2 and m > 0) or (size > 2 and keep)) group by 1",
+    soft=True,
+)
+def trim_lists(spark, sf_dir):
+    m, c = _soft(spark, sf_dir, True)
+    out = em.trimmed(m, c, 0.01, 2).select("changed", F.explode("ms").alias("x"))
+    return out.groupBy("x.cluster_id").agg(F.count("*").alias("n"), F.round(F.sum("x.m"), 3).alias("c"), F.count_if("changed").alias("changed"))
+
+
 _REPAIR = "lo as (select *, sum(case when cluster_id in (3, 5) then m else 0e0 end) over (partition by point_id) as lost, count(*) filter (cluster_id not in (3, 5)) over (partition by point_id) as n from m where m > 0), re as (select point_id, cluster_id, case when lost >= 0.99e0 then 1e0 / n else m / (1 - lost) end as m from lo where cluster_id not in (3, 5))"
 
 

@@ -103,8 +103,10 @@ class Config:
 
 
 def command_line(argv: list[str]) -> argparse.Namespace:
-    """``-c file -n nodes -t threads``, all needed; nodes times threads is a hint for partitions."""
+    """``-c file -n nodes -t threads``, all needed; nodes times threads is a hint for partitions. ``--set Key=value``, as often as
+    needed, goes before the file."""
     p = argparse.ArgumentParser()
     for short, long, kind in (("-c", "--configFile", str), ("-n", "--nodeCount", int), ("-t", "--threadCount", int)):
         p.add_argument(short, long, type=kind, required=True)
+    p.add_argument("--set", action="append", default=[], metavar="Key=value")
     return p.parse_args(argv)

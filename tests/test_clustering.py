@@ -507,3 +507,137 @@ def test_annealing_over_lists_follows_the_plain_path(spark, monkeypatch):
     monkeypatch.setattr(A, "LISTED_FROM", 2)
     lists = A.anneal(p, config, max_clusters=9, max_steps=150)
     assert len(plain.trace) == len(lists.trace) and np.allclose(plain.clusters.y, lists.clusters.y, atol=1e-6)
+
+
+def test_power_iteration_equals_the_eigenvectors(spark):
+    from tempera.operators.power import products, widest
+
+    r = np.random.default_rng(3)
+    d, k = 12, 4
+    x = np.concatenate([r.normal(size=(150, d)) * r.uniform(0.5, 3, d) + 8 * r.normal(size=d) for _ in range(k)])
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, x array<double>").repartition(3)
+    y = np.stack([x[150 * i : 150 * i + 150].mean(0) for i in range(k)])
+    state = (y, np.tile(r.uniform(0.5, 2, d), (k, 1)), np.full(k, 1 / k), 2.0, None)
+    sums = A.em_sums(p, state, None, 20.0)
+    ks, upper = np.array([0, 2, 3]), np.triu_indices(d)
+    v = r.normal(size=(3, d))
+    full = []
+    for i in ks:
+        a = np.zeros((d, d))
+        a[upper] = sums["corr"][i]
+        full.append(a + np.triu(a, 1).T)
+    got = products(A.packed(p, d), state, 20.0, None, ks, v)
+    assert np.allclose(got, [a @ u for a, u in zip(full, v, strict=True)], rtol=1e-9)
+    values, vectors, settled = widest(p, state, 20.0, None, ks)
+    for a, value, u in zip(full, values, vectors, strict=True):
+        w, e = np.linalg.eigh(a)
+        assert abs(value - w[-1]) < 1e-3 * w[-1] and abs(u @ e[:, -1]) > 0.999
+    assert settled.all() and not widest(p, state, 20.0, None, ks, most_rounds=2)[2].any()
+
+
+def test_clusters_in_many_dimensions_split_without_matrices(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    d = 20
+    centres = np.zeros((2, d))
+    centres[1, :4] = 30
+    x = np.concatenate([c + r.normal(size=(120, d)) for c in centres])
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, x array<double>")
+    config = Config(ParameterVectorDimension=d, SigmaMethod=0, Tminimum=-3000.0, InitialCoolingFactor1=0.6, InitialCoolingFactor2=0.6, FineCoolingFactor1=0.6, FineCoolingFactor2=0.6, WaitIterations=1, ConvergenceLoopLimit=4)
+    assert A.sums_width(d) == 7 + 2 * d
+    found = A.anneal(p, config, max_clusters=2, max_steps=150).clusters
+    assert len(found) == 2 and found.corr.shape[1] == 0
+    assert np.allclose(found.y[np.argsort(found.y[:, 0])], centres, atol=1.0)
+
+
+def many_clusters(spark, n=900, seed=2):
+    r = np.random.default_rng(seed)
+    rows = [(int(i), False, float(np.round(r.exponential(50), 1)), float(np.round(r.uniform(0, 40))), float(r.choice([1.0, 4.0, 25.0])), 9.0, 0.1, int(r.integers(1, 90))) for i in r.permutation(n)]
+    rows += [(n + i, False, 5.0, 5.0, 1.0, 9.0, 0.1, 3) for i in range(90)]  # at one place
+    return clusters(spark, [(9999, True, 0.0, 0.0, 1.0, 1.0, 0.1, 0), *rows]).repartition(5), [x for x in rows if not x[1]]
+
+
+@pytest.mark.parametrize("range_size", [20_000, 100, 17])
+def test_nearest_clusters_by_ranges_equal_brute_force(spark, range_size):
+    from tempera.operators.quality import nearest_clusters
+
+    df, rows = many_clusters(spark)
+    found = {(r["cluster_id"], r["rank"]): (r["other"], r["d2"]) for r in nearest_clusters(df, 4, range_size).collect()}
+    ids, y, s = np.array([r[0] for r in rows]), np.array([r[2:4] for r in rows]), np.array([r[4:6] for r in rows])
+    assert len(found) == 4 * len(rows)
+    for i, a, scale in zip(ids, y, s, strict=True):
+        d2 = ((y - a) ** 2 / scale).sum(1)
+        order = [j for j in np.lexsort((ids, d2)) if ids[j] != i][:4]
+        assert [found[i, k + 1][0] for k in range(4)] == ids[order].tolist()
+        assert np.allclose([found[i, k + 1][1] for k in range(4)], d2[order])
+    few = nearest_clusters(df.where("cluster_id < 3"), 5, range_size)
+    assert few.count() == 6 and nearest_clusters(df.where("is_sponge"), 5, range_size).count() == 0
+
+
+def test_distances_of_solutions_by_blocks(spark, monkeypatch):
+    df, rows = many_clusters(spark, 300)
+    monkeypatch.setattr(compare, "BLOCK", 37)
+    got = {r["bin"]: r["n"] for r in compare.solution_histograms(df, 20)[1].collect()}
+    rows = sorted(rows)
+    y, s = np.array([r[2:4] for r in rows]), np.array([r[4:6] for r in rows])
+    d = np.concatenate([np.sqrt(((y[i:] - y[i]) ** 2 / s[i]).sum(1)) for i in range(len(rows))])
+    at = np.minimum(np.floor((d - d.min()) * 20 / (d.max() - d.min())), 19).astype(int) + 1
+    assert got == {int(b): int(n) for b, n in zip(*np.unique(at, return_counts=True), strict=True)}
+
+
+def test_rounds_of_trimming_leave_no_longer_plans(spark):
+    p = points(spark, [(i, 10.0 + (i % 10) / 10, float(i % 7)) for i in range(300)])
+    names = p.select("point_id", (F.col("point_id") % 4).alias("cluster_id"))
+    plans = [compare.trimmed_centers(p, names, (0.1, 3.0), rounds=n)._jdf.queryExecution().optimizedPlan().toString() for n in (1, 12)]
+    assert len(plans[0].splitlines()) == len(plans[1].splitlines()) < 6
+
+
+def test_rows_are_numbered_without_gaps(spark):
+    from tempera.operators.numbering import numbered
+
+    ids = [5, 70_000, -3, 1 << 40, (1 << 40) + 1, 65_535, 65_536, 0]
+    got = {r.id: r.idx for r in numbered(spark.createDataFrame([(i,) for i in ids], "id long"), "id").collect()}
+    assert got == {i: k for k, i in enumerate(sorted(ids))}
+
+
+def test_callables_take_the_place_of_steps_of_kmeans(spark):
+    p, y = grid(spark, 2)
+    seen = []
+
+    def search(x, y):
+        d2 = np.abs(x[:, None] - y[None]).sum(2) ** 2  # city blocks
+        best = d2.argmin(1)
+        return best, d2[np.arange(len(x)), best], d2.size
+
+    def radius(n, far, width):
+        seen.append(n.sum())
+        return np.sqrt(width / n)
+
+    found, trace = kmeans.run(p, y + 5, 40, search=search, center=lambda old, n, total: old + 0.5 * (total / n[:, None] - old), radius=radius)
+    assert np.allclose(found, y, atol=1) and len(seen) == len(trace) and all(s == p.count() for s in seen)
+    halves = [b["change"] / a["change"] for a, b in zip(trace[:4], trace[1:4], strict=False)]
+    assert np.allclose(halves, 0.5, atol=0.05) and trace[0]["work"] == 1
+    with pytest.raises(ValueError, match="bounds"):
+        kmeans.run(p, y, bounds=True, search=search)
+
+
+def test_the_command_line_runs_a_file_to_its_outputs(spark, tmp_path):
+    from tempera.plans import job
+
+    r = np.random.default_rng(1)
+    lines = [f"{i} {500 + 40 * (i % 3) + r.normal():.6f} {10 + 20 * (i % 3) + r.normal():.6f} 2 P {i % 3} {i % 3} {i % 3} {i % 5 + 1}" for i in range(150)]
+    (tmp_path / "in.txt").write_text("\n".join(lines))
+    (tmp_path / "run.properties").write_text(
+        f"LabelFile={tmp_path}/in.txt\nClusterFile={tmp_path}/out.txt\nTimingFile={tmp_path}/timings.txt\nSummaryFile={tmp_path}/summary.txt\nSelectedInputLabel=2\nSigmaMethod=1\nSigmaVectorParameters_i=1.0,1.0\nTminimum=-500\n"
+        "InitialCoolingFactor1=0.8\nInitialCoolingFactor2=0.8\nFineCoolingFactor1=0.8\nFineCoolingFactor2=0.8\nWaitIterations=1\nConvergenceLoopLimit=6\nNumberNearbyClusters=2\nMaxNcentTotal=3\nHistogramOccupationMax=30\nHistogramDistancesMax=9\nNearbySpongePointLimit=4.0\nExpArgumentCut2=35\nExpArgumentCut3=45\n"
+    )
+    out = job.main(["-c", f"{tmp_path}/run.properties", "-n", "1", "-t", "4", "--set", "ClusterCountOutput=1"])
+    assert len(out.result.clusters) == 3 and out.config.ClusterCountOutput == 1
+    read = lambda name: [x.value for x in spark.read.text(f"file://{tmp_path}/out/{name}").collect()]
+    assert len(read("clusters")) == 153 and "3 clusters of 150 points" in (tmp_path / "summary.txt").read_text()
+    assert (tmp_path / "timings.txt").read_text().splitlines()[1].split("\t")[8:10] == ["150", "3"]
+    bins = {r.bin: r.n for r in spark.read.parquet(f"file://{tmp_path}/out/occupations").collect()}
+    assert bins == {29: 3}  # all three hold more than 30 points
+    counts = spark.read.parquet(f"file://{tmp_path}/out/clusters-by-count").groupBy("count").count().collect()
+    assert {r["count"] for r in counts} == {1, 2, 3} or len(counts) == 3
+    none = job.run(spark, Config.from_properties((tmp_path / "run.properties").read_text(), {"ClusterCountOutput": "-1"}), f"file://{tmp_path}/silent")
+    assert not (tmp_path / "silent" / "clusters").exists() and (tmp_path / "silent" / "status").exists() and none.result.by_count == []
