@@ -26,7 +26,6 @@ ignored.
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,7 +148,8 @@ class _Tables:
 
 
 class _Pieces:
-    """The pieces of items below ``SHORT`` bytes, one more than the edits that an item allows."""
+    """The pieces of items, one more than the edits that an item allows: below ``SHORT`` bytes, and of classes for which
+    ``MOST_WALKS`` don't reach the recall asked for. One piece stands unchanged in every copy, so none is missed."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
         self.goals, self.begin = _joined([t for _, t in items], SHORT)
@@ -176,7 +176,9 @@ class _Pieces:
                 at = np.maximum(places[inside] - a, 0)
                 for c in range(0, len(at), 2048):
                     part = at[c : c + 2048]
-                    near = _window_edits(self.goals, np.full(len(part), self.begin[k]), buffer, part, len(goal)) <= _most(goal)
+                    near = np.ones(len(part), bool)  # of long items all places are verified
+                    if len(goal) < SHORT:
+                        near = _window_edits(self.goals, np.full(len(part), self.begin[k]), buffer, part, len(goal)) <= _most(goal)
                     for t, p in zip(text[inside][c : c + 2048][near].tolist(), part[near].tolist(), strict=True):
                         yield t, item, p - int(starts[t])
 
@@ -219,7 +221,8 @@ def edited(goal: bytes, edits: int, rng: np.random.Generator) -> bytes:
 
 def plan_walks(goals: list[bytes], least: int, recall: float = RECALL) -> int:
     """Walks for a class of items: one after the other searches ``_PLANTED`` copies of them, each with all
-    the edits of ``MAX_EDITS``, until the share found is ``recall`` by the lower bound of its 95 % interval."""
+    the edits of ``MAX_EDITS``, until the share found is ``recall`` by the lower bound of its 95 % interval. 0 if
+    ``MOST_WALKS`` don't get there: the class is then found by its pieces, which costs more and misses none."""
     rng = np.random.default_rng([_PLANTED, least])
     which = np.arange(_PLANTED) % len(goals)
     lead = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in rng.integers(0, 2 * least, _PLANTED)]
@@ -233,8 +236,7 @@ def plan_walks(goals: list[bytes], least: int, recall: float = RECALL) -> int:
         p = found.mean()
         if p - 1.65 * (p * (1 - p) / _PLANTED) ** 0.5 - 1 / _PLANTED >= recall:
             return walks
-    warnings.warn(f"{MOST_WALKS} walks find {p:.3f} of edited copies of items of {least} bytes and more; the target is {recall}", stacklevel=2)
-    return MOST_WALKS
+    return 0
 
 
 def _most(goal: bytes) -> int:
@@ -259,9 +261,9 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, bytes]], walks: dict[int, int] | None = None):
         self.items = items
-        self.short = _Pieces([(i, t) for i, (_, t) in enumerate(items) if 0 < len(t) < SHORT])
-        self.tables: list[tuple[np.ndarray, _Tables]] = []
         walks = plan(items) if walks is None else walks
+        self.short = _Pieces([(i, t) for i, (_, t) in enumerate(items) if 0 < len(t) < SHORT or len(t) >= SHORT and not walks[length_class(len(t))]])
+        self.tables: list[tuple[np.ndarray, _Tables]] = []
         of = [walks[length_class(len(t))] if len(t) >= SHORT else 0 for _, t in items]
         for w in sorted({_window(least) for least in walks}):
             for s in range(max(n for least, n in walks.items() if _window(least) == w)):
@@ -347,7 +349,7 @@ def _plan_of(items: DataFrame) -> tuple[dict[int, int], int]:
         if step_ >= 0:
             some = items.where(step == step_).orderBy(F.xxhash64("text"), "text").limit(_PLANNED).collect()
             walks[least] = plan_walks([folded(r["text"]) for r in some], least)
-        postings += size * TABLES * walks.get(least, 1)
+        postings += size * TABLES * max(1, walks.get(least, 1))
     return walks, max(1, -(-postings // BLOCK_POSTINGS))
 
 
