@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_P = 1e-7
+#: Cells that a cluster's reach may meet in a dimension, about.
+CELLS = 64
 EXP_CUT1, EXP_CUT2, EXP_CUT3 = 20.0, 40.0, 50.0
 _FIELDS = ("cluster_id", "is_sponge", "y0", "y1", "s0", "s1", "p")
 
@@ -155,15 +157,19 @@ def repaired(memberships: DataFrame, removed: DataFrame, split: DataFrame) -> Da
 
 def near_pairs(clusters: DataFrame, limit: float) -> DataFrame:
     """Ordered pairs of clusters (no sponge) at most ``limit`` apart, square and by the first one's scale:
-    ``cluster_id, occupation, other, other_occupation, d2``. Bins of the first dimension, as wide as the limit can
-    reach, meet their neighbours, so clusters far apart are never paired."""
-    c = clusters.where("not is_sponge")
-    width = c.agg(F.greatest(F.sqrt(limit * F.max("s0")), F.lit(1e-300)).alias("_width"))
-    c = c.crossJoin(F.broadcast(width)).withColumn("_bin", F.floor(F.col("y0") / F.col("_width")))
-    a = c.select("cluster_id", "occupation", "y0", "y1", "s0", "s1", F.explode(F.array(*[F.col("_bin") + k for k in (-1, 0, 1)])).alias("_bin"))
-    b = c.select("_bin", F.col("cluster_id").alias("other"), F.col("occupation").alias("other_occupation"), F.col("y0").alias("o0"), F.col("y1").alias("o1"))
+    ``cluster_id, occupation, other, other_occupation, d2``. A cluster looks into the cells of both dimensions that its own reach meets. Cells are
+    as wide as the mean reach, so a few wide clusters look into more of them and the others don't meet more; where that would be more
+    than ``CELLS`` in a dimension, all cells are wider."""
+    c = clusters.where("not is_sponge").withColumns({f"_r{i}": F.greatest(F.sqrt(F.lit(float(limit)) * F.col(f"s{i}")), F.lit(1e-300)) for i in (0, 1)})
+    width = c.agg(*[F.greatest(F.avg(f"_r{i}"), F.max(f"_r{i}") * 2 / CELLS, F.lit(1e-300)).alias(f"_w{i}") for i in (0, 1)])
+    c = c.crossJoin(F.broadcast(width))
+    cell = lambda v, i: F.floor(v / F.col(f"_w{i}"))
+    reach = lambda i: F.explode(F.sequence(cell(F.col(f"y{i}") - F.col(f"_r{i}"), i), cell(F.col(f"y{i}") + F.col(f"_r{i}"), i))).alias(f"_c{i}")
+    own = ("cluster_id", "occupation", "y0", "y1", "s0", "s1")
+    a = c.select(*own, "_r1", "_w1", reach(0)).select(*own, "_c0", reach(1))
+    b = c.select(cell(F.col("y0"), 0).alias("_c0"), cell(F.col("y1"), 1).alias("_c1"), F.col("cluster_id").alias("other"), F.col("occupation").alias("other_occupation"), F.col("y0").alias("o0"), F.col("y1").alias("o1"))
     d2 = scaled_distance(F.col("o0"), F.col("o1"), {k: F.col(k) for k in ("y0", "y1", "s0", "s1")})
-    return a.join(b, "_bin").where("cluster_id <> other").select("cluster_id", "occupation", "other", "other_occupation", d2.alias("d2")).where(F.col("d2") <= limit)
+    return a.join(b, ["_c0", "_c1"]).where("cluster_id <> other").select("cluster_id", "occupation", "other", "other_occupation", d2.alias("d2")).where(F.col("d2") <= limit)
 
 
 def close_clusters(clusters: DataFrame, limit: float) -> DataFrame:

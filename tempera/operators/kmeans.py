@@ -19,6 +19,7 @@ from tempera.sources.scratch import Written
 
 FACING = 64  # centres in the list of a centre
 LISTED = 8  # centres in the list of a point
+GATHERED_SUMS = 1 << 16  # partial sums of at most so many rows are added on the driver, without a shuffle
 
 
 def centers_of(points: DataFrame, label: str) -> DataFrame:
@@ -275,12 +276,22 @@ def _emitted(k: int, n: np.ndarray, total: np.ndarray, far: np.ndarray, width: n
     return pa.RecordBatch.from_arrays(parts, [c.split()[0] for c in _SUMS.split(", ")])
 
 
-def _collected(rows: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+def _collected(rows: DataFrame, k: int, d: int, parts: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Partial sums added up: on the driver if ``parts`` times the centres are few, else by Spark."""
+    if parts and parts * k <= GATHERED_SUMS:
+        found = rows.toArrow()
+        at = found.column("k").to_numpy()
+        n, far, width, total = np.zeros(k), np.zeros(k), np.zeros(k), np.zeros((k, d))
+        np.add.at(n, at, found.column("n").to_numpy())
+        np.add.at(width, at, found.column("width").to_numpy())
+        np.maximum.at(far, at, found.column("far").to_numpy())
+        np.add.at(total, at, found.column("total").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
+        return n, total, far, width, int(found.column("work").to_numpy().sum())
     found = rows.groupBy("k").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("total", F.lit(i))) for i in range(d)]).alias("total"), F.max("far").alias("far"), F.sum("width").alias("width"), F.sum("work").alias("work")).orderBy("k").collect()
     return tuple(np.array([r[c] for r in found], float) for c in ("n", "total", "far", "width")) + (int(sum(r["work"] for r in found)),)
 
 
-def _sums(points: DataFrame, y: np.ndarray, prune: bool, facing: Facing | None = None, search: Callable | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+def _sums(points: DataFrame, y: np.ndarray, prune: bool, facing: Facing | None = None, search: Callable | None = None, parts: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     k, d = y.shape
     facing = (facing or Facing.of(y)) if prune and k > 1 else None
 
@@ -296,10 +307,10 @@ def _sums(points: DataFrame, y: np.ndarray, prune: bool, facing: Facing | None =
             done += work
         yield _emitted(k, n, total, far, width, done)
 
-    return _collected(points.select("x").mapInArrow(run, _SUMS), d)
+    return _collected(points.select("x").mapInArrow(run, _SUMS), k, d, parts)
 
 
-def _state_sums(state: DataFrame, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+def _state_sums(state: DataFrame, y: np.ndarray, parts: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Sums of a scanned state; points that kept their centre without a distance get it here."""
     k, d = y.shape
 
@@ -317,7 +328,7 @@ def _state_sums(state: DataFrame, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
             done += int(np.maximum(work, 1).sum())
         yield _emitted(k, n, total, far, width, done)
 
-    return _collected(state.select("x", "cluster_id", "upper", "work").mapInArrow(run, _SUMS), d)
+    return _collected(state.select("x", "cluster_id", "upper", "work").mapInArrow(run, _SUMS), k, d, parts)
 
 
 def run(
@@ -339,7 +350,8 @@ def run(
         raise ValueError("bounds come from the search of their own")
     y, trace, left, held = np.array(centers, float), [], None, None
     cores = points.sparkSession.sparkContext.defaultParallelism
-    few = points.rdd.getNumPartitions() < cores
+    parts = points.rdd.getNumPartitions()
+    few, parts = parts < cores, max(parts, cores)
     points = points.select(*[c for c in ("point_id", "x") if c in points.columns])
     points = points.repartition(cores).persist() if few else points
     facing = Facing.of(y) if len(y) > 1 and (prune or bounds) else None
@@ -349,9 +361,9 @@ def run(
             if held is not None:
                 held.drop()
             held = state
-            n, total, far, width, work = _state_sums(state.df, y)
+            n, total, far, width, work = _state_sums(state.df, y, parts)
         else:
-            n, total, far, width, work = _sums(points, y, prune, facing, search)
+            n, total, far, width, work = _sums(points, y, prune, facing, search, parts)
         if step == 0 and (n == 0).any():
             raise ValueError("a cluster is empty at the start")
         new = np.array(center(y, n, total), float) if center else np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], y)

@@ -45,7 +45,7 @@ def products(points: DataFrame, state: tuple, cut: float, most: int | None, ks:
     return collected(rows, len(ks), d, (parts or 0) > 256, parts)
 
 
-def widest(points: DataFrame, state: tuple, cut: float, most: int | None, ks: np.ndarray, parts: int | None = None, seed: int = 7, most_rounds: int = MOST_ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def widest(points: DataFrame, state: tuple, cut: float, most: int | None, ks: np.ndarray, parts: int | None = None, seed: int = 7, most_rounds: int = MOST_ROUNDS, value_change: float = VALUE_CHANGE, vector_change: float = VECTOR_CHANGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Greatest eigenvalues of the correlations of clusters ``ks``, their unit vectors, and which of them settled. The vectors all
     start at one random direction; a cluster that has settled takes no further part."""
     d = state[0].shape[1]
@@ -59,7 +59,7 @@ def widest(points: DataFrame, state: tuple, cut: float, most: int | None, ks: np
         size = np.linalg.norm(new, axis=1)
         zero = size <= 1e-300
         new = np.where(zero[:, None], v[todo], new / np.where(zero, 1.0, size)[:, None])
-        settled = (np.abs(size - values[todo]) <= VALUE_CHANGE * np.maximum(size, 1e-300)) & (np.linalg.norm(new - v[todo], axis=1) <= VECTOR_CHANGE)
+        settled = (np.abs(size - values[todo]) <= value_change * np.maximum(size, 1e-300)) & (np.linalg.norm(new - v[todo], axis=1) <= vector_change)
         values[todo], v[todo] = size, new
         done[todo] = zero | (settled & (step + 1 >= LEAST_ROUNDS))
     return values, v, done

@@ -412,7 +412,7 @@ def anneal(points: DataFrame, config: Config, max_clusters: int | None = None, m
     limit_k = max_clusters if max_clusters is not None else config.MaxNcentTotal or sys.maxsize
     most = config.TargetNcentPerPoint if config.TargetNcentPerPoint > 0 else None
     points = spread(points)
-    passes = Passes(points, config.ParameterVectorDimension, config.ExpArgumentCut2, config.ExpArgumentCut3)
+    passes = Passes(points, config)
     try:
         return _annealed(points, passes, config, limit_k, most, max_steps, restart, sigma)
     finally:
@@ -430,28 +430,30 @@ def spread(points: DataFrame) -> DataFrame:
 
 
 class Passes:
-    """Passes over the same points: all clusters to every task, or, where they are very many, to those that they reach; where
-    there are far more than count for a point, over lists kept by point."""
+    """Passes over the same points: all clusters to every task, or, where they are very many (or the configuration's limits for
+    distribution are met), to those that they reach; where there are far more than count for a point, over lists kept by point."""
 
-    def __init__(self, points: DataFrame, d: int, list_cut: float = 40.0, range_cut: float = 0.0):
-        self.points, self.d, self.dealt, self.listed = points, d, None, None
-        self.list_cut, self.range_cut = list_cut, range_cut
+    def __init__(self, points: DataFrame, config: Config):
+        self.points, self.d, self.dealt, self.listed, self.config = points, config.ParameterVectorDimension, None, None, config
+        d = self.d
         self.packed = packed(points, d).persist()
         self.parts = points.rdd.getNumPartitions()
 
     def sums(self, now: tuple, before: tuple | None, cut: float, prune: bool, most: int | None) -> dict[str, np.ndarray]:
-        if 16 * (2 * self.d + 1) * len(now[0]) <= SENT_BYTES:
+        cfg = self.config
+        many = 16 * (2 * self.d + 1) * len(now[0]) > SENT_BYTES or 0 < cfg.ClusterLimitForDistribution <= len(now[0]) or now[3] < cfg.TemperatureLimitForDistribution
+        if not many:
             if prune and most is not None and len(now[0]) >= LISTED_FROM * most:
                 from tempera.plans.listed import Listed
 
-                self.listed = self.listed or Listed(self.packed, self.d, cut, most, max(cut, self.list_cut))
+                self.listed = self.listed or Listed(self.packed, self.d, cut, most, max(cut, cfg.ExpArgumentCut2))
                 return self.listed.sums(now, before, self.parts)
             return em_sums(self.packed, now, before, cut, prune, most, self.parts > 256, self.parts)
         if self.dealt is None:
             from tempera.plans.ranged import deal
 
             self.dealt = deal(self.points, self.d)
-        return self.dealt.sums(now, before, cut, most, max(cut, self.range_cut))
+        return self.dealt.sums(now, before, cut, most, max(cut, cfg.ExpArgumentCut3))
 
     def widest(self, state: tuple, cut: float, most: int | None) -> Callable | None:
         """Power iteration for some clusters of a state, where their matrices aren't summed."""
@@ -478,6 +480,7 @@ class Passes:
 def _annealed(points: DataFrame, passes: Passes, config: Config, limit_k: int, most: int | None, max_steps: int, restart: list | None, sigma: Callable | None) -> Result:
     n = float(points.count())
     c, schedule = restarted(restart, config, sigma) if restart else initial(points, config, sigma)
+    schedule.magic = config.MagicIndex
     out, before, since, waited, final, rises, last_h, fine = Result(c, schedule), None, 0, 0, False, 0, None, False
     best: tuple[Clusters, float] | None = None  # the solution when H last fell
     close_at, done, asked = None, 0.0, 0.0
@@ -527,6 +530,8 @@ def _annealed(points: DataFrame, passes: Passes, config: Config, limit_k: int, m
         waited += 1
         splitting, room = not final and waited >= config.WaitIterations, max(0, limit_k - len(c))
         chosen = splits(c, schedule, n, passes.widest(before, config.ExpArgumentCut1, most)) if splitting else []
+        if config.maxNcentCreated > 0:
+            room = max(0, min(room, config.maxNcentCreated - 1 - int(c.created.max())))
         out.limited |= len(chosen) > room
         if chosen and room:
             for k, v in chosen[:room]:

@@ -33,8 +33,11 @@ def read_points(spark: SparkSession, config: Config) -> DataFrame:
     if it asks for them (``copy``)."""
     rows = text.lines(spark, config.LabelFile)
     points = text.peaks(rows, config.InputFileType).where(F.col("label") != text.CENTER_LABEL)
-    if config.InputFileType == 0 or config.SelectedInputLabel >= 0:
-        points = text.select_label(points, config.SelectedInputLabel)
+    selected = config.SelectedInputLabel
+    if config.RestartTemperature >= 0 and config.RestartSelectedInputLabel != Config.RestartSelectedInputLabel:
+        selected = config.RestartSelectedInputLabel
+    if config.InputFileType == 0 or selected >= 0:
+        points = text.select_label(points, selected)
     if config.Replicate > 1:
         points = text.replicate(points, config.Replicate)
     return points.withColumn("x", F.array("x0", "x1"))
@@ -51,12 +54,23 @@ def cluster_table(spark: SparkSession, result: A.Result, labels: DataFrame) -> D
 
 
 def restart_rows(spark: SparkSession, config: Config) -> list:
-    """The clusters of a former run's file: as many rows as it had clusters."""
-    points = text.peaks(text.lines(spark, config.RestartClusterFile), 1)
-    own = text.centers(points)
+    """The clusters of a former run's file: as many rows as it had clusters. Where the points come from such a file too
+    (``InputFileType`` 1), its centres follow, numbered on, with the shares of their points."""
+    state = _former(spark, config.RestartClusterFile)
+    if config.InputFileType == 1 and config.LabelFile and config.LabelFile != config.RestartClusterFile:
+        last = max((r["cluster_id"] for r in state), default=0)
+        more = [r for r in _former(spark, config.LabelFile) if not r["is_sponge"] and r["y0"] is not None]
+        state += [r | {"cluster_id": last + k} for k, r in enumerate(more, 1)]
+        size = sum(r["c"] for r in state)
+        state = [r | {"p": r["c"] / size if size else 1.0 / len(state)} for r in state]
+    return state
+
+
+def _former(spark: SparkSession, path: str) -> list[dict]:
+    points = text.peaks(text.lines(spark, path), 1)
     first = points.where(F.col("label") != text.CENTER_LABEL).agg(F.count("*")).first()[0]
-    numbered = own.select((F.col("point_id") - first).alias("cluster_id"), F.col("x0").alias("y0"), F.col("x1").alias("y1"))
-    return text.restart_state(points, numbered).collect()
+    numbered_ = text.centers(points).select((F.col("point_id") - first).alias("cluster_id"), F.col("x0").alias("y0"), F.col("x1").alias("y1"))
+    return [r.asDict() for r in text.restart_state(points, numbered_).collect()]
 
 
 def run(spark: SparkSession, config: Config, out_dir: str | None = None, **limits) -> Outputs:

@@ -476,6 +476,26 @@ def eigen2x2(spark, sf_dir):
     return e.select("cluster_id", F.round("eigenvalue", 4).alias("eigenvalue"), F.round("v0", 5).alias("v0"), F.round("v1", 5).alias("v1"))
 
 
+@query("select cluster_id::bigint as cluster_id, round(0.5e0 - eigenvalue / c, 5) as widest, round(abs(v0), 4) as v0, round(abs(v1), 4) as v1, true as settled from v", soft=True, more=_CORR)
+def power_directions(spark, sf_dir):
+    """The widest direction of each cluster, in units of its size, without a matrix."""
+    import numpy as np
+
+    from tempera.operators.power import widest
+    from tempera.plans.anneal import em_sums
+
+    p = V.points2d(spark, sf_dir)
+    rows = V.centers5(p).orderBy("cluster_id").collect()
+    column = lambda *names: np.array([[r[n] for n in names] for r in rows], float)
+    state = (column("y0", "y1"), column("s0", "s1"), column("p")[:, 0], V.TEMPERATURE, None)
+    x = p.select(F.array("x0", "x1").alias("x"))
+    value, vector, settled = widest(x, state, em.EXP_CUT1, None, np.arange(len(rows)), value_change=1e-12, vector_change=1e-9)
+    size = em_sums(x, state, None, em.EXP_CUT1)["c"]
+    out = [(int(r["cluster_id"]), float(v / n), *map(float, np.abs(u)), bool(ok)) for r, v, n, u, ok in zip(rows, value, size, vector, settled, strict=True)]
+    df = spark.createDataFrame(out, "cluster_id long, widest double, v0 double, v1 double, settled boolean")
+    return df.select("cluster_id", F.round("widest", 5).alias("widest"), F.round("v0", 4).alias("v0"), F.round("v1", 4).alias("v1"), "settled")
+
+
 @query("select cluster_id, (row_number() over (order by eigenvalue, cluster_id))::int as rank from v where splittable order by rank limit 3", soft=True, more=_CORR)
 def split_candidates(spark, sf_dir):
     from pyspark.sql import Window
@@ -856,6 +876,12 @@ def knn_clusters(spark, sf_dir):
     return rounded(quality.nearest_clusters(V.centers40(V.points2d(spark, sf_dir)), 5).select("cluster_id", "other", F.col("rank").cast("int"), "d2"))
 
 
+@query("select cluster_id, other, rank::int as rank, round(d2, 5) as d2 from (select *, row_number() over (partition by cluster_id order by d2, other) as rank from q) where rank <= 5", more=_PAIRS)
+def knn_by_ranges(spark, sf_dir):
+    """The same in ranges of eight clusters, which get only those within their bounds."""
+    return rounded(quality.nearest_clusters(V.centers40(V.points2d(spark, sf_dir)), 5, 8).select("cluster_id", "other", F.col("rank").cast("int"), "d2"))
+
+
 _QUALITY = """
 z as (
   select h.point_id, h.cluster_id, arg_min(d.cluster_id, struct_pack(v := d.d2, i := d.cluster_id)) as nearest, min(d.d2) as nearest_d2,

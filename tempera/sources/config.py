@@ -27,6 +27,7 @@ class Config:
     RestartTemperature: float = -1.0
     ParameterVectorDimension: int = 2
     SelectedInputLabel: int = 6
+    RestartSelectedInputLabel: int = -100000000
     InputFileType: int = 0
     Replicate: int = 1
     CompareSolution: int = -1
@@ -39,7 +40,9 @@ class Config:
     NumberNearbyClusters: int = 5
     NearbySpongePointLimit: float = -1.0
     MagicTemperatures: tuple[float, ...] = (4.0, 3.0, 2.0, 1.0, 0.5)
+    MagicIndex: int = 0
     MaxNcentTotal: int = 0
+    maxNcentCreated: int = 0
     TargetNcentPerPoint: int = 20
     MaxNcentPerPoint: int = 25
     ExpArgumentCut1: float = 20.0
@@ -66,6 +69,8 @@ class Config:
     TooSmallToSplit: float = 4.0
     MinimumScaledWidthSquaredToSplit: float = 1.5
     ScaledSquaredDistanceAtClosenessTest: float = 0.5
+    ClusterLimitForDistribution: int = -1
+    TemperatureLimitForDistribution: float = -1.0
     TemperatureForClosenessTest: float = 4.0
     LCMSmode: int = 1
     HistogramOccupationMax: int = 202

@@ -641,3 +641,31 @@ def test_the_command_line_runs_a_file_to_its_outputs(spark, tmp_path):
     assert {r["count"] for r in counts} == {1, 2, 3} or len(counts) == 3
     none = job.run(spark, Config.from_properties((tmp_path / "run.properties").read_text(), {"ClusterCountOutput": "-1"}), f"file://{tmp_path}/silent")
     assert not (tmp_path / "silent" / "clusters").exists() and (tmp_path / "silent" / "status").exists() and none.result.by_count == []
+
+
+def test_limits_for_distribution_and_created_clusters_come_from_the_configuration(spark, monkeypatch):
+    p, y = grid(spark, 3)
+    made = []
+    from tempera.plans import ranged
+
+    real = ranged.deal
+    monkeypatch.setattr(ranged, "deal", lambda *a: made.append(a) or real(*a))
+    base = {"SigmaMethod": 1, "SigmaVectorParameters_i": (1.0, 1.0), "Tminimum": -200.0, "InitialCoolingFactor1": 0.6, "InitialCoolingFactor2": 0.6, "FineCoolingFactor1": 0.6, "FineCoolingFactor2": 0.6, "WaitIterations": 1, "ConvergenceLoopLimit": 3}
+    plain = A.anneal(p, Config(**base), max_clusters=4, max_steps=60)
+    assert not made
+    spread = A.anneal(p, Config(**base, ClusterLimitForDistribution=3), max_clusters=4, max_steps=60)
+    assert len(made) == 1 and np.allclose(plain.clusters.y, spread.clusters.y, atol=1e-6)
+    few = A.anneal(p, Config(**base, maxNcentCreated=3, MagicIndex=5), max_steps=60)
+    assert len(few.clusters) <= 3 and few.limited and few.schedule.magic == 5
+
+
+def test_a_restart_takes_the_centres_of_two_files(spark, tmp_path):
+    from tempera.plans import job
+
+    (tmp_path / "one.txt").write_text("0 1.0 1.0 0.0 1\n1 1.1 1.0 0.0 1\n2 9.0 9.0 0.0 0\n3 1.05 1.0 0.0 100000000\n4 0.0 0.0 0.0 100000000")
+    (tmp_path / "two.txt").write_text("0 5.0 5.0 0.0 1\n1 5.5 5.0 0.0 1\n2 7.0 7.0 0.0 2\n3 5.25 5.0 0.0 100000000\n4 7.0 7.0 0.0 100000000")
+    one = job.restart_rows(spark, Config(RestartClusterFile=f"{tmp_path}/one.txt", LabelFile=f"{tmp_path}/two.txt", InputFileType=0))
+    both = job.restart_rows(spark, Config(RestartClusterFile=f"{tmp_path}/one.txt", LabelFile=f"{tmp_path}/two.txt", InputFileType=1))
+    assert len(both) > len(one) and abs(sum(r["p"] for r in both) - 1) < 1e-9
+    extra = [(r["y0"], r["y1"]) for r in both[len(one) :]]
+    assert (7.0, 7.0) in extra or (5.25, 5.0) in extra
