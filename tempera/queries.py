@@ -476,7 +476,7 @@ def eigen2x2(spark, sf_dir):
     return e.select("cluster_id", F.round("eigenvalue", 4).alias("eigenvalue"), F.round("v0", 5).alias("v0"), F.round("v1", 5).alias("v1"))
 
 
-@query("select cluster_id::bigint as cluster_id, round(0.5e0 - eigenvalue / c, 5) as widest, round(abs(v0), 4) as v0, round(abs(v1), 4) as v1, true as settled from v", soft=True, more=_CORR)
+@query("select cluster_id::bigint as cluster_id, round(0.5e0 - eigenvalue / c, 5) as widest, round(abs(b - eigenvalue) / sqrt(o * o + (b - eigenvalue) * (b - eigenvalue)), 4) as v0, round(abs(o) / sqrt(o * o + (b - eigenvalue) * (b - eigenvalue)), 4) as v1, true as settled from e", soft=True, more=_CORR)
 def power_directions(spark, sf_dir):
     """The widest direction of each cluster, in units of its size, without a matrix."""
     import numpy as np
