@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tempera.llm.common import mapped
+from tempera.llm.common import CACHES, mapped
 
 #: The characters that stand for bytes in byte-level vocabularies are those of the
 #: printable ranges below; the other bytes follow from 256 on.
@@ -165,6 +165,7 @@ class Tokenizer:
 
 
 _LOADED: dict[str, Tokenizer] = {}
+CACHES.append(_LOADED.clear)
 
 
 def tokenizer(path: str) -> Tokenizer:

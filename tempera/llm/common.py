@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 16 << 20
 #: Of an Arrow batch on its way to a Python worker. It is in memory several times there and in the executor, whose
 #: buffers double as they grow, so batches of long texts at Spark's default of 64 MB take gigabytes.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,10 +71,37 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set(key, spark.conf.get(key, str(BATCH_BYTES)))
 
 
+#: How to empty what operators keep in a worker from task to task; a worker that turns to another operator does so.
+CACHES: list[Callable[[], None]] = []
+_working_for: list[str] = [""]
+
+
+def released(operator: str | None = None) -> None:
+    """Give memory that a worker no longer uses back to the system. Workers live on, and what one operator left in
+    them would stand beside the next one's; of another operator also the caches go."""
+    if operator and operator != _working_for[0]:
+        _working_for[0] = operator
+        for empty in CACHES:
+            empty()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def mapped(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``mapInArrow`` over bounded batches."""
+    """``mapInArrow`` over bounded batches; a task begins and ends with ``released``."""
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    operator = f"{function.__module__}.{function.__qualname__}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released(operator)
+        yield from function(batches)
+        released()
+
+    return df.mapInArrow(run, schema)
 
 
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:

@@ -1,8 +1,8 @@
 """Connected components of a large graph, by alternating star contractions.
 
 Every round points each node's larger neighbours, then its smaller ones, at the least node it knows.
-Only minima are aggregated (with a map-side combine) and joined back, so a hub of any degree is
-never gathered in one task; each round is written to the shared folder, which keeps the lineage
+Only minima are aggregated (with a map-side combine) and joined back. Where a hub's edges are a large partition of
+that join, Spark's adaptive execution splits it, as an inner join allows; each round is written to the shared folder, which keeps the lineage
 short, and rounds grow with the logarithm of the longest path."""
 
 from __future__ import annotations

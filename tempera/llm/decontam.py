@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempera.llm.common import mapped, written
+from tempera.llm.common import CACHES, mapped, written
 
 SHORT = 19  # bytes of the least length class; shorter items are found by their pieces
 RECALL = 0.98  # of copies with all the edits that the threshold allows, in every length class
@@ -328,6 +328,7 @@ def find(goal: bytes, text: bytes, most: int) -> tuple[int, int, int] | None:
 
 
 _INDEXES: dict[int, Index] = {}
+CACHES.append(_INDEXES.clear)
 
 
 def _index(items: list[tuple[int | None, bytes]], walks: dict[int, int]) -> Index:
