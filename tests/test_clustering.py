@@ -696,3 +696,9 @@ NINE = [(36000 * (i % 3) + 60 * (j % 5), "view", 100 * (i // 3) + j % 4, 1) for
 
 def test_registered_annealing_takes_as_many_clusters_as_there_are(spark, tmp_path):
     assert same_as_sql(spark, tmp_path, "anneal_invariants", NINE)[0][:2] == (920, 920)
+
+
+def test_the_registered_run_ends_where_six_clusters_would_hold_back_a_split(spark, tmp_path):
+    events_table(spark, tmp_path, NINE)
+    found = queries.anneal_run(spark, str(tmp_path)).collect()
+    assert found and abs(sum(r.c for r in found) - len(NINE)) < 1e-6
