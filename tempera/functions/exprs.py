@@ -104,3 +104,9 @@ def min_eigen_2x2(a: Column, b: Column, d: Column) -> Column:
     value = (a + d - F.sqrt((a - d) * (a - d) + 4 * b * b)) * 0.5
     norm = F.sqrt(b * b + (d - value) * (d - value))
     return F.struct(value.alias("value"), (-b / norm).alias("v0"), ((d - value) / norm).alias("v1"))
+
+
+def fixed(c: Column, places: int) -> Column:
+    """A number as text with so many decimals, rounded as C's printf does: by the exact value of the double, not by the
+    decimals that stand for it, as ``format_string`` would."""
+    return F.call_function("format_number", c, F.lit("0." + "0" * places))

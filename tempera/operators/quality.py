@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempera.functions.exprs import fixed
 from tempera.operators.boxes import ends, leaves
 from tempera.operators.em import near_pairs, scaled_distance, with_clusters
 
@@ -152,10 +153,10 @@ def experiment_shifts(assigned: DataFrame, clusters: DataFrame, params: tuple[fl
 def status_lines(clusters: DataFrame, k: int) -> DataFrame:
     """One line of text a cluster: id, position, points, and its k nearest clusters as id(distance)."""
     near = nearest_clusters(clusters, k)
-    text = F.format_string("%d(%.2f)", F.col("other"), F.sqrt("d2"))
+    text = F.format_string("%d(%s)", F.col("other"), fixed(F.sqrt("d2"), 2))
     near = near.groupBy("cluster_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", text.alias("t")))), lambda x: x["t"]), " ").alias("near"))
     c = clusters.where("not is_sponge").join(near, "cluster_id", "left")
-    return c.select("cluster_id", F.format_string("%d %.4f %.4f %d %s", F.col("cluster_id"), F.col("y0"), F.col("y1"), F.col("occupation"), F.coalesce("near", F.lit(""))).alias("line"))
+    return c.select("cluster_id", F.format_string("%d %s %s %d %s", F.col("cluster_id"), fixed(F.col("y0"), 4), fixed(F.col("y1"), 4), F.col("occupation"), F.coalesce("near", F.lit(""))).alias("line"))
 
 
 def status_table(clusters: DataFrame, statistics: DataFrame, k: int, cut: float, method: int, params: Sequence[float]) -> DataFrame:

@@ -712,3 +712,8 @@ def test_clusters_that_win_no_point_are_left_out_of_the_kernel_s_sums(spark, tmp
 def test_labels_go_to_their_own_events_where_value_and_id_make_up_for_each_other(spark, tmp_path):
     events = [(5, "view", 9 - i, 2 + i) for i in range(6)] + [(5, "view", 3.0, 8), (5, "view", 2.0, 7)]
     assert sum(r[1] > 0 for r in same_as_sql(spark, tmp_path, "label_transfer", events)) == 4
+
+
+def test_status_lines_round_ties_by_the_value_of_the_double(spark, tmp_path):
+    events = [(60 * m, "view", 10 * m + 7 * m % 100 / 100 + (0 if i else 0.01), 1) for m in range(20) for i in range(8)]
+    assert len(same_as_sql(spark, tmp_path, "status_lines", events)) == 20
