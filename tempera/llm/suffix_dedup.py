@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempera.llm.common import joined, mapped, written
+from tempera.llm.common import BROADCAST_BYTES, joined, mapped, written
 
 LENGTH, GRAM = 100, 24
 HOT = 2_048  # contexts of an anchor, about 300 KB, that one task sorts together
@@ -399,28 +399,34 @@ def _common_anchors(rows: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["gram"] for r in often.select("gram").collect()], np.int64))
 
 
+def _by_document(asked: DataFrame) -> DataFrame:
+    return asked.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("gram", "start", "length")).alias("asked"))
+
+
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """``doc_id, twin, start, length`` (bytes) of what repeats an earlier string, in rows of
     ``_identified``; spans may overlap. The texts' shuffle by document is the one that ``without_repeats``
-    needs too, so it happens once."""
+    needs too, so it happens once; contexts of anchors in more than ``HOT`` are gathered in a job of their own, before it,
+    for which the texts aren't shuffled while what it asks for can be broadcast."""
     rows = rows.select("doc_id", "twin", "text")
     found = mapped(rows, _find_anchors(_common_anchors(rows)), _ROWS)
     dealt = found.repartition("gram", "salt").sortWithinPartitions("gram", "context", "doc_id", "twin", "at")
     settled = written(mapped(dealt, _settle, _SETTLED), "suffix-settled")
     spans = settled.where("at is null").select("doc_id", "twin", "start", "length")
     asked = settled.where("at is not null").drop("at")
-    by_doc = written(asked.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("gram", "start", "length")).alias("asked")), "suffix-asked")
-    contexts = mapped(rows.join(by_doc, ["doc_id", "twin"]), _contexts, _CONTEXT)
     hot = written(asked.groupBy("gram").count().where(F.col("count") > HOT).select("gram"), "suffix-hot")
-    if hot.isEmpty():
-        cool = contexts
-    else:
-        cool = joined(contexts, hot, "gram", "left_anti", 16)
-        windows = written(mapped(joined(contexts, hot, "gram", "left_semi", 16), _hash_windows, _WINDOW), "suffix-windows")
+    any_hot = not hot.isEmpty()
+    cool = written(_by_document(joined(asked, hot, "gram", "left_anti", 16) if any_hot else asked), "suffix-asked")
+    if any_hot:
+        of_hot = written(_by_document(joined(asked, hot, "gram", "left_semi", 16)), "suffix-hot-asked")
+        size = of_hot.agg(F.sum(32 * (1 + F.size("asked")))).first()[0]
+        some = rows.join(F.broadcast(of_hot) if size <= BROADCAST_BYTES else of_hot, ["doc_id", "twin"])
+        windows = written(mapped(mapped(some, _contexts, _CONTEXT), _hash_windows, _WINDOW), "suffix-windows")
         firsts = windows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "twin", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
         later = windows.join(firsts, ["one", "two"]).where("doc_id <> first.doc_id or twin <> first.twin or start <> first.start")
         spans = spans.unionByName(later.select("doc_id", "twin", "start", F.lit(LENGTH).cast("long").alias("length")))
-    compared = mapped(cool.repartition("gram").sortWithinPartitions("gram"), _compare, _SPANS)
+    contexts = mapped(rows.join(cool, ["doc_id", "twin"]), _contexts, _CONTEXT)
+    compared = mapped(contexts.repartition("gram").sortWithinPartitions("gram"), _compare, _SPANS)
     return spans.unionByName(compared)
 
 
