@@ -251,3 +251,15 @@ def test_the_bound_on_fitted_rows_holds_where_ids_repeat(spark, monkeypatch):
     assert all(n <= 130 for n in seen) and (held or seen)
     scored = toxicity.score(docs, model)
     assert scored.count() == len(many) and scored.where("score < 0 or score > 1").isEmpty()
+
+
+def test_every_finding_takes_part_in_the_fit(spark, monkeypatch):
+    """More documents than were once looked at, and several shards."""
+    texts = spark.createDataFrame(secret_corpus(), "doc_id long, text string")
+    more = spark.range(21_000).select((F.col("id") + 1_000_000).alias("doc_id"), F.concat(F.lit("on "), F.col("id").cast("string"), F.lit("-4711 we met")).alias("text"))
+    docs = texts.unionByName(more)
+    monkeypatch.setattr(secretscan, "SHARD", 4_096)
+    found = secretscan.findings(docs)
+    net = secretscan.fit(found)
+    assert sum(r["findings"] for r in net.report.values()) == found.count() >= 20_000
+    assert net.report["measure"]["recall"] >= 0.9 and net.report["measure"]["precision"] >= 0.95
