@@ -483,7 +483,7 @@ def _annealed(points: DataFrame, passes: Passes, config: Config, limit_k: int, m
     schedule.magic = config.MagicIndex
     out, before, since, waited, final, rises, last_h, fine = Result(c, schedule), None, 0, 0, False, 0, None, False
     best: tuple[Clusters, float] | None = None  # the solution when H last fell
-    close_at, done, asked = None, 0.0, 0.0
+    close_at, done, asked, wait = None, 0.0, 0.0, config.WaitIterations
     for step in range(max_steps):
         now = (c.y, schedule.sigma2(c.y), c.p, schedule.t, schedule.sponge_factor if c.sponge else None)
         sums = passes.sums(now, before if since else None, config.ExpArgumentCut1, schedule.metric and len(c) >= 8, most)
@@ -511,7 +511,7 @@ def _annealed(points: DataFrame, passes: Passes, config: Config, limit_k: int, m
         close_at = schedule.t if closeness else close_at
         gone = invalid(c, schedule, closeness)
         if gone.any() and gone.sum() < c.own.sum():
-            c, before, since, last_h = c.keep(~gone), None, 0, None
+            c, before, since, last_h, waited, wait = c.keep(~gone), None, 0, None, 0, config.WaitIterationsConverge
             continue
         if final:
             rises += not falls
@@ -528,7 +528,10 @@ def _annealed(points: DataFrame, passes: Passes, config: Config, limit_k: int, m
             c, before, since, last_h = with_sponge(c, config), None, 0, None
             continue
         waited += 1
-        splitting, room = not final and waited >= config.WaitIterations, max(0, limit_k - len(c))
+        if waited > wait:
+            waited, wait = 0, config.WaitIterations
+        # So many temperatures must pass after splits and removals; without them, at one temperature, these could follow each other for ever.
+        splitting, room = not final and (waited == 0 or wait <= 0 or len(c) == 1), max(0, limit_k - len(c))
         chosen = splits(c, schedule, n, passes.widest(before, config.ExpArgumentCut1, most)) if splitting else []
         if config.maxNcentCreated > 0:
             room = max(0, min(room, config.maxNcentCreated - 1 - int(c.created.max())))
@@ -536,7 +539,7 @@ def _annealed(points: DataFrame, passes: Passes, config: Config, limit_k: int, m
         if chosen and room:
             for k, v in chosen[:room]:
                 c = split(c, k, v, schedule)
-            before, since, waited, fine, last_h = None, 0, 0, True, None
+            before, since, waited, wait, fine, last_h = None, 0, 0, config.WaitIterations, True, None
             continue
         if schedule.cleans_up():
             passes.expire()

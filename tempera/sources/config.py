@@ -60,6 +60,7 @@ class Config:
     FineCoolingFactor2: float = 0.999375
     CoolingTemperatureSwitch: float = 12.0
     WaitIterations: int = 10
+    WaitIterationsConverge: int = 4
     IterationAtEnd: int = 2000
     ConvergenceLoopLimit: int = 20
     FreezingLimit: float = 0.002

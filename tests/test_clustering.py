@@ -1,5 +1,7 @@
 """Small cases worked by hand, and the invariants of the loops."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -704,6 +706,15 @@ def test_the_registered_run_ends_where_six_clusters_would_hold_back_a_split(spar
     assert found and abs(sum(r.c for r in found) - len(NINE)) < 1e-6
 
 
+def test_the_registered_run_ends_where_splits_and_removals_could_follow_each_other_for_ever(spark, tmp_path, monkeypatch):
+    n, run, ends = 6000, A.anneal, []
+    events_table(spark, tmp_path, [(i * 3571 % 86400, "view", round(-50 * math.log(1 - (i * 7919 % n + 0.5) / n) * (i % 6 + 1), 2), 1) for i in range(n)])
+    monkeypatch.setattr(A, "anneal", lambda *a, **k: ends.append(run(*a, **k, max_steps=300)) or ends[-1])
+    found = queries.anneal_run(spark, str(tmp_path)).collect()
+    assert len(found) > 2 and abs(sum(r.c for r in found) - n) < 1e-3
+    assert ends[0].reason == "least temperature" and not ends[0].limited
+
+
 def test_clusters_that_win_no_point_are_left_out_of_the_kernel_s_sums(spark, tmp_path):
     events = [(60 * (i % 5), "error" if i % 4 == 0 else "click", 10 + i % 5, 1) for i in range(40)] + [(40000, "view", 300 + i, 1) for i in range(5)]
     assert [r[0] for r in sorted(same_as_sql(spark, tmp_path, "em_kernel", events))] == [1, 5]
